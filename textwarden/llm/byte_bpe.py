@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textwarden.llm.token_store import touching
+
 DICTIONARY = 400_000
 FOLD_BYTES = 128
 #: Buckets of the literal map; a prime.
@@ -154,7 +156,7 @@ def _split(path: str, pattern: str):
 
         byte_ids, pairs, _ = _tables(path)
         table = np.array(byte_ids, np.int32)
-        find, touching = regex.compile(pattern).findall, regex.compile(r" \s|\s ").search
+        find = regex.compile(pattern).findall
         numbers: dict[str, int] = {}  # of pieces
         chunks: dict[str, tuple[int, ...]] = {}  # the pieces of what stands between single spaces
 

@@ -5,9 +5,9 @@ then two skippable frames: the document index (doc_id, frame, offset within it,
 public seekable layout (compressed size, decompressed size, and the low half of XXH64 for each frame). A reader takes
 the seek table from the end of the file and inflates only the frames of the documents that it wants.
 
-Ids come from the tokenizers library. The pre-tokenizer never joins text across a single space that stands between two
-other characters, so a text without longer runs of blanks is cut there, each distinct piece is encoded once per worker
-and its ids are joined; any other text is encoded whole. Strings of special tokens are ordinary text.
+Ids come from the tokenizers library. The pre-tokenizer never joins text across a single space or line feed that stands
+between two other characters, so a text without longer runs of blanks is cut there, each distinct piece is encoded once
+per worker and its ids are joined; any other text is encoded whole. Strings of special tokens are ordinary text.
 
 Cases: null text is empty and yields the end id alone; null identifiers sort first; repeated rows are stored each for
 itself; an empty table writes no shard; very long texts make a frame of their own.
@@ -15,10 +15,10 @@ itself; an empty table writes no shard; very long texts make a frame of their ow
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +33,16 @@ FRAME_BYTES = 1 << 20
 #: Public constants of the skippable and seekable zstandard layouts.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
 INDEX = struct.Struct("<qqqqq")
-CACHE = 600_000
-#: A text where a space touches another blank is encoded whole.
-TOUCHING = re.compile(r" \s|\s ")
+CACHE = 1_000_000
+#: Blanks other than the space and the line feed.
+OTHER_BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+
+
+def touching(text: str) -> bool:
+    """Whether two blanks stand side by side; such a text is encoded whole."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+        return True
+    return any(c in text for c in OTHER_BLANKS)
 
 
 class Encoder:
@@ -46,25 +53,50 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: Ids of what follows a space, under the text up to the next one; a line feed in front stands for the space.
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        if TOUCHING.search(text):
-            return self.whole([text])[0]
-        first, *rest = text.split(" ")
-        pieces = [first, *map(" ".__add__, rest)]
+        return [struct.pack(f"<{len(ids)}I", *ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for ids in (e.ids,)]
+
+    @cached_property
+    def marks(self) -> dict[str, bytes]:
+        return dict(zip(".,\n", self.whole([".", ",", "\n"]), strict=True))
+
+    def learn(self, parts: set[str]) -> None:
+        """Ids of new parts. To the pre-tokenizer a single line feed, and one mark behind letters, are pieces of their own."""
+        known, feed = self.known, self.marks["\n"]
+        marked = [p for p in parts if p[-1:] in (".", ",") and p[:-1].lstrip("\n").isalpha()]
+        plain = list(parts.difference(marked).union(p[:-1] for p in marked).difference(known))
+        for p, ids in zip(plain, self.whole([p[1:] if p[:1] == "\n" else " " + p for p in plain]), strict=True):
+            known[p] = feed + ids if p[:1] == "\n" else ids
+        for p in marked:
+            known[p] = known[p[:-1]] + self.marks[p[-1]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            new = list({p for p in pieces if p not in known})
-            known.update(zip(new, self.whole(new), strict=True))
-            return b"".join([known[p] for p in pieces])
+        if len(known) > CACHE:
+            known.clear()
+        cut, new = [], set()
+        for text in texts:
+            parts = None
+            if not touching(text):
+                parts = ("\n" + text).replace("\n", " \n").split(" ")
+                del parts[0]
+                if None in (found := list(map(known.get, parts))):
+                    new.update(p for p, ids in zip(parts, found, strict=True) if ids is None)
+                else:
+                    parts = b"".join(found)
+            cut.append(parts)
+        if new:
+            self.learn(new)
+        out = []
+        for text, parts in zip(texts, cut, strict=True):
+            if parts is None:
+                out.append(self.whole([text])[0])
+            else:
+                out.append((parts if isinstance(parts, bytes) else b"".join(map(known.__getitem__, parts)))[4:])
+        return out
 
 
 class ShardWriter:
@@ -150,10 +182,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
                 number, name = batch.column(2)[0].as_py(), f"{uuid.uuid4().hex}.ids.zst"
                 stream, commit = write_atomically(folder, name)
                 writer, encoder = ShardWriter(stream), _encoder(tokenizer_path)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
-                writer.add(doc_id, ids)
-                tokens, count = tokens + len(ids) // 4, count + 1
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
+                    writer.add(doc_id, ids + end)
+                    tokens, count = tokens + len(ids) // 4 + 1, count + 1
         if writer is not None:
             writer.close()
             commit()
