@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textwarden.llm import byte_bpe, exact_dedup, langid, near_dedup, ppm, token_store, warc
+from textwarden.llm import byte_bpe, exact_dedup, langid, near_dedup, ppm, token_store, toxicity, warc
 from textwarden.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_ppm_score": op3_ppm_score,
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op8_language": op8_language,
     "op9_warc": op9_warc,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {

@@ -1,6 +1,6 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A token's input is a learned vector of its word joined with the mean vector of its hashed character n-grams. Windows of
+A token's input is a learned vector of its word joined with the mean vector of its hashed character n-grams (a word that repeats at once counts once). Windows of
 32 tokens that overlap by half cover the whole text; two recurrent passes read each, attention weighs their states, and
 a document's score is that of its worst window.
 
@@ -34,26 +34,37 @@ CHAR_BITS, WORD_ROWS = 15, 8192
 TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
 CACHE = 300_000
 SLICE = 4096
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+    """The text's words in lower case without marks around them; runs of one word count once."""
+    words = [w.strip(MARKS) for w in (text or "").encode().lower().split()]
+    return [w for w, before in zip(words, [b"", *words]) if w and w != before]  # noqa: B905
 
 
 def char_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, starts): the hashed 3-, 4- and 5-grams of each word between marks, and where each word's begin."""
-    raw = b"".join(b"\x02\x02" + w[:60] + b"\x03\x03" for w in words)
-    size = np.array([min(len(w), 60) + 4 for w in words])
+    """(buckets, starts): each word's hashed byte 3-, 5- and 7-grams and its beginnings of 4, 6, 8 and 9 bytes, marks
+    around the word included, and where each word's begin."""
+    raw = b"".join(b"\x02" + w[:60] + b"\x03" for w in words)
+    size = np.array([min(len(w), 60) + 2 for w in words])
     x = np.frombuffer(raw, np.uint8).astype(np.uint32)
     word = np.repeat(np.arange(len(words)), size)
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
     out, of = [], []
-    for n in (3, 4, 5):
-        inside = np.flatnonzero(word[n - 1 :] == word[: len(x) - n + 1])
+    for n in (3, 5, 7, 4, 6, 8, 9):
+        if n in (3, 5, 7):
+            inside = np.flatnonzero(word[n - 1 :] == word[: max(0, len(x) - n + 1)])
+        else:
+            inside = begin[size >= n]
         h = np.full(len(inside), n, np.uint32)
         for k in range(n):
             h = (h * np.uint32(0x01000193)) ^ x[inside + k]
         out.append((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - CHAR_BITS))
         of.append(word[inside])
+    h = np.full(len(words), 0, np.uint32)  # a bucket for the first byte, so that no word is without one
+    out.append(((h + x[begin + 1]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - CHAR_BITS))
+    of.append(np.arange(len(words)))
     buckets, owner = np.concatenate(out), np.concatenate(of)
     order = np.argsort(owner, kind="stable")
     return buckets[order].astype(np.int64), np.searchsorted(owner[order], np.arange(len(words)))
@@ -70,6 +81,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
 
 
+def _sum_rows(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Rows added up by index."""
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    if len(index):
+        order = np.argsort(index, kind="stable")
+        line = index[order]
+        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        out[line[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 class Net:
     """p: parameters by name. Directions are stacked on a leading axis of two."""
 
@@ -136,7 +158,7 @@ class Net:
         d_e = a * (d_a - (a * d_a).sum(axis=0))
         d["att"] = np.tensordot(d_e, both, axes=([0, 1], [0, 1]))
         d_both = a[:, :, None] * d_pool + d_e[:, :, None] * p["att"]
-        d_gates, carry = np.zeros_like(gates), np.zeros((2, n, HIDDEN), np.float32)
+        steps, carry = np.empty((2, length, n, 3 * HIDDEN), gates.dtype), np.zeros((2, n, HIDDEN), np.float32)
         for t in reversed(range(length)):
             s = length - 1 - t
             h, z, r, c, u = trace[t]
@@ -148,17 +170,17 @@ class Net:
             du = np.concatenate([dz, dr, dc * r], axis=2)
             d["wh"] += np.swapaxes(h, 1, 2) @ du
             carry = dh * z + du @ np.swapaxes(p["wh"], 1, 2)
-            np.add.at(d_gates[0], index[:, t], dg[0])
-            np.add.at(d_gates[1], index[:, s], dg[1])
-        dg = d_gates[:, :-1]
+            steps[0, t], steps[1, s] = dg[0], dg[1]
+        where = np.where(index.T < 0, len(x), index.T).ravel()
+        dg = np.stack([_sum_rows(where, steps[k].reshape(-1, 3 * HIDDEN), len(x) + 1)[:-1] for k in (0, 1)])
         d["wx"] = x.T @ dg
         d["bx"] = dg.sum(axis=1, keepdims=True)
         dx = (dg @ np.swapaxes(p["wx"], 1, 2)).sum(axis=0)
         buckets, starts, number, at = made
-        np.add.at(d["word"], at, dx[:, :WORD_DIM])
+        d["word"] = _sum_rows(at, dx[:, :WORD_DIM], len(d["word"]))
         d["word"][0] = 0
         per = np.repeat(dx[:, WORD_DIM:] / np.sqrt(number), number[:, 0], axis=0)
-        np.add.at(d["char"], buckets, per)
+        d["char"] = _sum_rows(buckets, per, len(d["char"]))
         return d
 
 
@@ -248,7 +270,7 @@ def _telling(docs: list[list[bytes]], toxic: np.ndarray) -> dict[bytes, float]:
     return {w: float(max(of[grams[w]].max(initial=0), odds(np.array(c), np.array(t)))) for w, (c, t) in words.items()}
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 3, steps: int = 130, batch: int = 384, seed: int = 5) -> Net:
+def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 3, steps: int = 120, batch: int = 256, seed: int = 5) -> Net:
     rng = np.random.default_rng(seed)
     docs = [tokens(t) for t in texts]
     often: dict[bytes, int] = {}
