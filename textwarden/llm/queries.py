@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textwarden.llm import byte_bpe, exact_dedup, langid, near_dedup, ppm, token_store, toxicity, warc
+from textwarden.llm import byte_bpe, decontaminate, exact_dedup, langid, near_dedup, ppm, secrets, token_store, toxicity, warc
 from textwarden.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "question_overlap", "answer_overlap")
+
+
 def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -48,16 +57,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op3_ppm_score": op3_ppm_score,
     "op4_token_ids": op4_token_ids,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_secrets": op7_secrets,
     "op8_language": op8_language,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
 }
 
+#: Words as the operator cuts them: lower case, ended by blanks and ASCII marks.
+WORDS_SQL = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+
 SQL: dict[str, str] = {
+    "op2_decontaminate": f"""
+        WITH b AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+        c AS (SELECT item_id, w, greatest(5, CAST(ceil(len(w) / 4.0) AS BIGINT)) AS a FROM b WHERE len(w) >= 10),
+        p AS (SELECT item_id, 1 AS part, list_slice(w, 1, len(w) - a) AS w FROM c UNION ALL SELECT item_id, 2, list_slice(w, len(w) - a + 1, len(w)) FROM c),
+        s AS (SELECT DISTINCT item_id, part, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT item_id, part, w, unnest(range(1, len(w) - 3)) AS i FROM p)),
+        n AS (SELECT item_id, part, count(*) AS n FROM s GROUP BY ALL),
+        d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+        e AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+        m AS (SELECT doc_id, item_id, part, count(*) AS k FROM e JOIN s USING (g) GROUP BY ALL),
+        r AS (SELECT doc_id, item_id, max(k / n) FILTER (part = 1) AS question_overlap, max(k / n) FILTER (part = 2) AS answer_overlap FROM m JOIN n USING (item_id, part) GROUP BY ALL)
+        SELECT doc_id, item_id, question_overlap, answer_overlap FROM r WHERE question_overlap >= 0.8 AND answer_overlap >= 0.8""",
     "op5_exact_dedup": """
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY 1)
