@@ -4,13 +4,15 @@ A document's set holds its distinct 5-word shingles as 64-bit hashes. The top se
 buckets; a bucket's register keeps the least remainder of its hashes as a leading-zero count and mantissa bits.
 Equal sets are one class with one representative, so copies are never expanded into pairs.
 
-1. Bands. Four registers make a band key; bands without any shingle are left out.
-2. Candidates. A key with few representatives gives all its pairs. A larger one gives the pairs of its smallest
-   member with each other member. If its members then aren't in one component, its rows are dealt again by the keys of
-   further bands, so that accidental company parts while near copies stay together; what is still mixed after the last
-   level gives all pairs between different components. So no link between different texts is left out by a cap.
-3. Estimate. The compressed registers (16 bits) give a Jaccard estimate corrected for accidental collisions; pairs
-   far below the threshold (by ESTIMATE_SIGMAS standard errors) go.
+1. Bands. Four registers make a band key; bands without any shingle are left out. Rows of a key with more than SMALL
+   representatives are dealt again by the pair of the band and each of the next STEPS bands, which parts those that
+   share a passage from near copies.
+2. Clusters. What stands under a key that is large even then forms clusters (connected by their keys). A cluster is
+   compared in full, in cells of two blocks of bounded size, so that no task holds more than two blocks and each cell
+   reports no more links than it needs to connect what it holds.
+3. Pairs. Small keys give all their pairs of fitting sizes, but those within one cluster. The compressed registers
+   (16 bits) give a Jaccard estimate corrected for accidental collisions; pairs far below the threshold (by
+   ESTIMATE_SIGMAS standard errors) go.
 4. Verification on the full sets: first the best partner of every document, then the pairs whose ends are still in
    different components. Pairs within one component can't change the result.
 
@@ -40,7 +42,9 @@ EMPTY32, EMPTY16 = 0xFFFFFFFF, 0xFFFF
 #: Two different minima agree in lz and ten mantissa bits with a probability of about (1/3) / 2**10.
 COLLISION = 1 / 3 / 1024
 ESTIMATE_SIGMAS = 5.0
-SMALL, STEPS, LEVELS = 16, 6, 4
+SMALL, STEPS = 16, 6
+#: Bounds of a block: documents and shingles.
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 60_000
 #: Identifiers that a broadcast filter may hold (8 bytes each); more are joined in a shuffle.
 BROADCAST_IDS = 2_000_000
 CACHE = 1_000_000
@@ -161,8 +165,58 @@ def _verified(percent: int):
     return run
 
 
+def _cells(percent: int):
+    """The links of a cell (two blocks of a cluster) as a spanning forest; its documents' sets come with their block."""
+    names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("rep_id").to_numpy()
+        block = table.column("block").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        size = np.array([len(x) for x in sets], np.int64)
+        lo, hi = block.min(), block.max()
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        shared = np.zeros((len(left), len(right)), np.float32)
+        place = np.full(len(sets), -1)
+        place[left] = np.arange(len(left))
+        other = np.full(len(sets), -1)
+        other[right] = np.arange(len(right))
+        order = np.argsort(code, kind="stable")
+        code, owner = code[order], owner[order]
+        for first in range(0, int(code[-1]) + 1, 8192):  # shingles in stripes, so that the matrices stay small
+            at = slice(np.searchsorted(code, first), np.searchsorted(code, first + 8192))
+            c, o = code[at] - first, owner[at]
+            x, y = np.zeros((len(left), 8192), np.float32), np.zeros((len(right), 8192), np.float32)
+            in_left, in_right = place[o] >= 0, other[o] >= 0
+            x[place[o[in_left]], c[in_left]] = 1
+            y[other[o[in_right]], c[in_right]] = 1
+            shared += x @ y.T
+        both = shared.astype(np.int64)
+        link = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+        root = {i: i for i in ids.tolist()}
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        out = []
+        for i, j in np.argwhere(link):
+            u, v = int(ids[left[i]]), int(ids[right[j]])
+            ru, rv = find(u), find(v)
+            if ru != rv:
+                root[max(ru, rv)] = min(ru, rv)
+                out.append((min(u, v), max(u, v)))
+        return pa.Table.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=names)
+
+    return run
+
+
 class _Linker:
-    """Candidate pairs in, verified links out, with the components of all links so far."""
+    """Verified links and their components."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, percent: int):
         self.docs, self.reps, self.percent = docs, reps, percent
@@ -175,77 +229,84 @@ class _Linker:
         found = rows.join(self.comps.select(F.col("node").alias(node), F.col("comp").alias(out)), node, "left")
         return found.withColumn(out, F.coalesce(out, node))
 
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        return self.with_comps(self.with_comps(pairs, "a", "_ca"), "b", "_cb").where("_ca <> _cb").drop("_ca", "_cb")
+    def add(self, links: DataFrame) -> None:
+        """links (a, b), written."""
+        if not links.isEmpty():
+            found = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+            self.links = found if self.links is None else self.links.unionByName(found)
+            self.comps = written(components(self.links), "components")
 
-    def test(self, pairs: DataFrame) -> None:
-        """pairs (a, b) of representatives."""
-        side = lambda x: self.reps.select(F.col("rep_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-        sized = pairs.distinct().join(side("a").drop("s_a"), "a").join(side("b").drop("s_b"), "b")
-        sized = sized.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent).select("a", "b")
-        sketched = sized.join(side("a").drop("n_a"), "a").join(side("b").drop("n_b"), "b").select("a", "b", "s_a", "s_b")
-        likely = written(sketched.mapInArrow(_estimated(self.percent), "a long, b long, estimate double"), "likely")
-        if likely.isEmpty():
-            return
-        sets = self._sets(likely)
-        best = likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
-        self._verify(best.select("a", "b"), sets)
-        rest = self.apart(likely.select("a", "b").join(best, ["a", "b"], "left_anti"))
-        self._verify(rest, sets)
-
-    def _sets(self, likely: DataFrame) -> DataFrame:
-        ids = written(likely.select(F.col("a").alias("rep_id")).unionByName(likely.select(F.col("b").alias("rep_id"))).distinct(), "likely-ids")
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        """(rep_id, shingles) of the representatives in ids (rep_id, distinct), computed from their texts."""
         few = ids.count() <= BROADCAST_IDS
         found = self.docs.select(F.col("doc_id").alias("rep_id"), "text").join(F.broadcast(ids) if few else ids, "rep_id", "left_semi")
         return written(found.mapInArrow(_sets, "rep_id long, shingles binary"), "sets").dropDuplicates(["rep_id"])
 
-    def _verify(self, pairs: DataFrame, sets: DataFrame) -> None:
+    def compare_clusters(self, members: DataFrame) -> None:
+        """members (rep_id, cluster): all links within each cluster."""
+        sized = members.join(self.reps.select("rep_id", "n_shingles"), "rep_id")
+        need = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        dealt = members.join(need, "cluster").withColumn("block", F.pmod(F.xxhash64("rep_id"), F.col("blocks")).cast("int"))
+        dealt = dealt.select("rep_id", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+        dealt = dealt.select("rep_id", "cluster", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
+        cells = dealt.join(self.sets_of(written(members.select("rep_id").distinct(), "cluster-ids")), "rep_id")
+        self.add(written(cells.groupBy("cluster", "lo", "hi").applyInArrow(_cells(self.percent), "a long, b long"), "links"))
+
+    def test(self, pairs: DataFrame) -> None:
+        """pairs (a, b) of representatives of fitting sizes."""
+        side = lambda x: self.reps.select(F.col("rep_id").alias(x), F.col("sketch").alias(f"s_{x}"))
+        sketched = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
+        likely = written(sketched.mapInArrow(_estimated(self.percent), "a long, b long, estimate double"), "likely")
+        if likely.isEmpty():
+            return
+        ids = likely.select(F.col("a").alias("rep_id")).unionByName(likely.select(F.col("b").alias("rep_id"))).distinct()
+        sets = self.sets_of(written(ids, "likely-ids"))
+        best = written(likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b"), "best")
+        self.add(self._verified(best, sets))
+        rest = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
+        apart = self.with_comps(self.with_comps(rest, "a", "_ca"), "b", "_cb").where("_ca <> _cb").select("a", "b")
+        self.add(self._verified(apart, sets))
+
+    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         side = lambda x: sets.select(F.col("rep_id").alias(x), F.col("shingles").alias(f"s_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
-        found = written(both.mapInArrow(_verified(self.percent), "a long, b long"), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if not found.isEmpty():
-            self.links = found if self.links is None else self.links.unionByName(found)
-            self.comps = written(components(self.links), "components")
+        return written(both.mapInArrow(_verified(self.percent), "a long, b long"), "links")
 
 
-def _crossing(keyed: DataFrame, linker: _Linker) -> DataFrame:
-    """All pairs of different components under the same key."""
-    rows = linker.with_comps(keyed.select("key", "rep_id"), "rep_id", "comp")
-    x, y = (rows.select("key", F.col("rep_id").alias(i), F.col("comp").alias(f"c_{i}")) for i in "ab")
-    return x.join(y.hint("merge"), "key").where("a < b AND c_a <> c_b").select("a", "b")
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows with a column key: those of keys of two or more, with n and the smallest member as pivot."""
+    total = rows.count()
+    full = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep_id").alias("pivot")).where("n > 1"), "keys")
+    return written(attach(rows, full, ["key"], "n", total).where("n IS NOT NULL"), "keyed")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept. Links have 100 * intersection >= percent * union."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
     profile = written(docs.mapInArrow(_profile, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary, bands array<long>"), "profiles")
     keys = ["n_shingles", "d1", "d2"]
     classes = written(profile.groupBy(*keys).agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies")), "classes")
     filled = classes.where("n_shingles > 0 AND rep_id IS NOT NULL")
-    reps = written(profile.drop("n_shingles").join(filled.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("rep_id").alias("doc_id")), "doc_id").where("d1 = _d1 AND d2 = _d2").select(F.col("doc_id").alias("rep_id"), F.col("_n_shingles").alias("n_shingles"), "sketch", "bands").dropDuplicates(["rep_id", "n_shingles"]), "reps")
+    chosen = filled.select(F.col("n_shingles").alias("_n"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("rep_id").alias("doc_id"))
+    reps = profile.join(chosen, "doc_id").where("d1 = _d1 AND d2 = _d2 AND n_shingles = _n").dropDuplicates(["doc_id"])
+    reps = written(reps.select(F.col("doc_id").alias("rep_id"), "n_shingles", "sketch", "bands"), "reps")
     linker = _Linker(docs, reps, percent)
-    rows = reps.select("rep_id", F.posexplode("bands").alias("at", "key")).where("key <> 0")
-    for level in range(1, LEVELS + 1):
-        rows = written(rows, "bands") if level > 1 else rows
-        total = rows.count()
-        full = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep_id").alias("pivot")).where("n > 1"), "keys")
-        keyed = written(attach(rows, full, ["key"], "n", total).where("n IS NOT NULL"), "keyed")
-        small = keyed.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("rep_id")).alias("m"))
-        pairs = small.select(F.explode(F.expr("flatten(transform(sequence(1, size(m) - 1), i -> transform(slice(m, i + 1, size(m)), y -> struct(m[i - 1] AS a, y AS b))))")).alias("p")).select("p.*")
-        large = keyed.where(F.col("n") > SMALL)
-        stars = large.where("rep_id <> pivot").select(F.col("pivot").alias("a"), F.col("rep_id").alias("b"))
-        linker.test(linker.apart(pairs.unionByName(stars).distinct()) if level > 1 else pairs.unionByName(stars))
-        mixed = linker.with_comps(large, "rep_id", "comp").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
-        mixed = written(mixed, "mixed")
-        if mixed.isEmpty():
-            break
-        left = attach(large.drop("n", "pivot"), mixed, ["key"], "n", total).where("n IS NOT NULL").drop("n")
-        if level == LEVELS:
-            linker.test(_crossing(written(left, "crossing"), linker))
-            break
-        dealt = left.join(reps.select("rep_id", "bands"), "rep_id").select("rep_id", "key", "bands", "at", F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("step"))
-        rows = dealt.select("rep_id", ((F.col("at") + F.col("step")) % BANDS).alias("at"), "key", "bands").select("rep_id", "at", F.xxhash64("key", "at", F.expr("bands[at]")).alias("key"))
+
+    one = _keyed(reps.select("rep_id", "n_shingles", F.posexplode("bands").alias("at", "key")).where("key <> 0"))
+    spread = one.where(F.col("n") > SMALL).join(reps.select("rep_id", "bands"), "rep_id").select("rep_id", "n_shingles", "key", "at", F.expr(f"transform(sequence(1, {STEPS}), i -> struct((at + i) % {BANDS} AS at, bands[(at + i) % {BANDS}] AS key))").alias("next"))
+    deal = spread.select("rep_id", "n_shingles", F.col("key").alias("first"), F.explode("next").alias("next"))
+    two = _keyed(deal.select("rep_id", "n_shingles", F.xxhash64("first", "next.at", "next.key").alias("key")))
+    stars = two.where((F.col("n") > SMALL) & (F.col("rep_id") != F.col("pivot"))).select(F.col("pivot").alias("u"), F.col("rep_id").alias("v"))
+    clusters = written(components(stars).select(F.col("node").alias("rep_id"), F.col("comp").alias("cluster")), "clusters")
+    if not clusters.isEmpty():
+        linker.compare_clusters(clusters)
+
+    small = one.where(F.col("n") <= SMALL).select("key", "rep_id", "n_shingles").unionByName(two.where(F.col("n") <= SMALL).select("key", "rep_id", "n_shingles"))
+    marked = small.join(clusters, "rep_id", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rep_id", "n_shingles", "cluster"))).alias("m"))
+    fits = f"least(x.n_shingles, y.n_shingles) * 100 >= greatest(x.n_shingles, y.n_shingles) * {percent} AND NOT coalesce(x.cluster = y.cluster, false)"
+    pairs = marked.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> {fits}), y -> struct(x.rep_id AS a, y.rep_id AS b))))")).alias("p")).select("p.*")
+    linker.test(pairs)
+
     named = linker.with_comps(classes.where("rep_id IS NOT NULL"), "rep_id", "component_id").unionByName(classes.where("rep_id IS NULL").withColumn("component_id", F.col("rep_id")))
     named = written(named.select(*keys, "component_id", "copies"), "named")
     found = attach(profile.select("doc_id", *keys), named, keys, "copies", profile.count())
