@@ -1 +1 @@
-
+"""Structured Streaming entry points of the engine."""
