@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters that are mapped, then those that are deleted.
 MAPPED_FROM = "״“”’׳–—"
@@ -33,7 +34,7 @@ def normalize_document(c: Column) -> Column:
     return strip(v)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
