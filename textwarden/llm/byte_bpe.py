@@ -32,8 +32,10 @@ from textwarden.llm.token_store import touching
 
 DICTIONARY = 400_000
 FOLD_BYTES = 128
-#: Buckets of the literal map; a prime.
-MAP_BUCKETS = 65521
+#: Places of the literal map are left ^ right << SHIFT.
+SHIFT = 3
+#: Stands in front of a word's ids; no pair begins or ends with it.
+MARK = -1
 WORD, END, DOC = 0, 1, 2
 
 
@@ -75,13 +77,15 @@ def heap_merge(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
 
 
 def literal_rank_map(pairs: dict[tuple[int, int], int]) -> Column:
-    """A foldable array of buckets, each the keys left << 17 | right that fall there and their merged ids."""
-    buckets: list[dict] = [{"k": [], "v": []} for _ in range(MAP_BUCKETS)]
+    """A foldable array<map<int,int>>: under left ^ right << SHIFT stands a map from left to the merged id.
+
+    Given the place and left, right follows, so left is key enough. Places without a pair are null.
+    """
+    places: list[dict | None] = [None] * (1 + max(left ^ right << SHIFT for left, right in pairs))
     for (left, right), rank in pairs.items():
-        key = left << 17 | right
-        buckets[key % MAP_BUCKETS]["k"].append(key)
-        buckets[key % MAP_BUCKETS]["v"].append(rank)
-    return F.from_json(F.lit(json.dumps(buckets)), "array<struct<k:array<bigint>,v:array<int>>>")
+        at = left ^ right << SHIFT
+        places[at] = (places[at] or {}) | {str(left): rank}
+    return F.from_json(F.lit(json.dumps(places)), "array<map<string,int>>").cast("array<map<int,int>>")
 
 
 def literal_pieces(ranks: dict[bytes, int]) -> Column:
@@ -95,37 +99,36 @@ def literal_pieces(ranks: dict[bytes, int]) -> Column:
 def fold_merges(word: Column, rank_map: Column) -> Column:
     """Byte ids (array<int>) to token ids by ranked merges.
 
-    The state holds the ids and, beside each, rank << 20 | position of the pair that it begins (null: no merge), so that
-    the least of them is the next merge and a merge looks up two pairs only.
+    The state holds the ids behind a mark, so that every pair has a left neighbour, and beside each id the rank of the
+    pair that it begins (null: no merge). The least rank is the next merge, the leftmost of equals; it looks up the two
+    pairs that are new. Places out of range give null, as pairs without a rank do.
     """
-    none = F.lit(None).cast("bigint")
+    every = F.lit(1 << 30)
 
     def rank(left: Column, right: Column) -> Column:
-        key = F.shiftleft(left.cast("bigint"), 17).bitwiseOR(right.cast("bigint"))
-
-        def within(bucket: Column) -> Column:
-            return F.get(bucket["v"], (F.array_position(bucket["k"], key) - 1).cast("int"))
-
-        return F.get(F.transform(F.array(F.get(rank_map, (key % F.lit(MAP_BUCKETS)).cast("int"))), within), F.lit(0)).cast("bigint")
+        return F.get(rank_map, left.bitwiseXOR(F.shiftleft(right, SHIFT)))[left]
 
     def begin(ids: Column) -> Column:
-        return F.struct(ids.alias("ids"), F.transform(ids, lambda x, i: F.when(i < F.size(ids) - 1, rank(x, F.get(ids, i + 1))).otherwise(none)).alias("ranks"))
+        return F.struct(ids.alias("ids"), F.transform(ids, lambda x, i: rank(x, F.get(ids, i + 1))).alias("ranks"))
 
     def step(state: Column, _: Column) -> Column:
         ids, ranks = state["ids"], state["ranks"]
 
-        def merge(best: Column) -> Column:
-            at, merged = (F.array_position(ranks, best) - 1).cast("int"), best.cast("int")
-            left = F.when(at > 0, F.array(rank(F.get(ids, at - 1), merged))).otherwise(F.array().cast("array<bigint>"))
-            right = F.when(at + 2 < F.size(ids), rank(merged, F.get(ids, at + 2))).otherwise(none)
+        def merge(best: Column, at: Column) -> Column:
             return F.struct(
-                F.concat(F.slice(ids, F.lit(1), at), F.array(merged), F.slice(ids, at + 3, F.size(ids))).alias("ids"),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 1, F.lit(0))), left, F.array(right), F.slice(ranks, at + 3, F.size(ids))).alias("ranks"),
+                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, at + 2, every)).alias("ids"),
+                F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(rank(F.get(ids, at - 2), best), rank(best, F.get(ids, at + 1))), F.slice(ranks, at + 2, every)).alias("ranks"),
             )
 
-        return F.get(F.transform(F.array(F.array_min(ranks)), lambda best: F.when(best.isNull(), state).otherwise(merge(best))), F.lit(0))
+        def placed(best: Column) -> Column:
+            found = F.transform(F.array(F.array_position(ranks, best).cast("int")), lambda at: merge(best, at))
+            return F.when(best.isNull(), state).otherwise(F.get(found, F.lit(0)))
+
+        return F.get(F.transform(F.array(F.array_min(ranks)), placed), F.lit(0))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1))), begin(word), step, lambda state: state["ids"])
+    marked = F.concat(F.array(F.lit(MARK)), word)
+    steps = F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1)))
+    return F.aggregate(steps, F.get(F.transform(F.array(marked), begin), F.lit(0)), step, lambda state: F.slice(state["ids"], F.lit(2), every))
 
 
 def concat_pieces(ids: Column, pieces: Column) -> Column:
