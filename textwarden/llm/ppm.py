@@ -8,9 +8,9 @@ classes by count and fan-out, and leaving each occurrence out in turn shows how
 that is new to it. On top the score adapts to the document: the pretrained probability of a word is mixed with its
 share among the words that the document has shown so far.
 
-A word's pretrained code length depends on the word alone, so the trie, which grows with the corpus, is held and
-joined as a table of (prefix, count) over distinct words and never sent to one place. Only the counts of three
-adjacent bytes are collected and broadcast; there are 2**24 at most. Documents are cut into blocks whose words are
+A word's pretrained code length depends on the word alone, so the trie, which grows with the corpus, is built over
+ranges of the sorted distinct words and never stands in one place. Collected and broadcast are the counts of three
+adjacent bytes (2**24 at most) and the nodes that reach over a range's ends (a few for each range). Documents are cut into blocks whose words are
 numbered; a block meets the code lengths of its distinct words, so texts are never shuffled.
 
 Cases: null text is empty and holds the end token only; an unknown word has a finite code length by escapes; null
@@ -26,12 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import attach, written
+from textwarden.llm.common import written
 
-BLOCK_TOKENS, BLOCK_WORDS = 2_000_000, 400_000
+BLOCK_TOKENS, BLOCK_WORDS = 6_000_000, 500_000
+#: Distinct words in a range of the sorted vocabulary.
+RANGE_WORDS = 60_000
 BLANK, END = 0x20, 0x0A
 FOLDS, HELD = 5, 1
 #: Weight of the document's own words after many words, and the number of words at which it has half of it.
@@ -69,6 +72,7 @@ def _blocks(folds: int, held: int):
             n = len(codes) + 1
             return _batch(BLOCK, [[block] * n, [None] * n, [None] * n, [None] * n, np.arange(n, dtype=np.int32), [b"", *codes], counts])
 
+        squeeze = zstandard.ZstdCompressor(level=1)
         block, codes, train, tokens = fresh()
         for batch in batches:
             ids, held_out, rows = [], [], []
@@ -81,7 +85,7 @@ def _blocks(folds: int, held: int):
                     train.append(line)
                 ids.append(doc_id)
                 held_out.append(fold == held)
-                rows.append(line.tobytes())
+                rows.append(squeeze.compress(line.tobytes()))
                 tokens += len(line)
                 if tokens > BLOCK_TOKENS or len(codes) > BLOCK_WORDS:
                     n = len(ids)
@@ -160,27 +164,121 @@ def escape_table(n: np.ndarray, fan: np.ndarray, once: np.ndarray, nodes: np.nda
     return (new + 0.2) / (new + old + 1.0)
 
 
-def _tail(model, escapes_of, log_total: float):
+TRIE_SQL = "kind int, word binary, c long, shared int, depth int, n long, classes binary, mask binary"
+TRIE = pa.schema([("kind", pa.int32()), ("word", pa.binary()), ("c", pa.int64()), ("shared", pa.int32()), ("depth", pa.int32()), ("n", pa.int64()), ("classes", pa.binary()), ("mask", pa.binary())])
+WORD, EDGE, CLASS = 0, 1, 2
+
+
+def _lcp(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    return next((i for i in range(n) if a[i] != b[i]), n)
+
+
+def _folded(n: int) -> int:
+    """Counts from 64 on stand for their power of two."""
+    return n if n < 64 else 1 << (n.bit_length() - 1)
+
+
+def _trie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range of the sorted vocabulary to the trie nodes that lie in it.
+
+    A node is a prefix, so its words are neighbours: only the prefixes of the range's first and last word can reach into
+    other ranges. Rows of three kinds: words with the classes of their nodes below those shared ones; children of the
+    shared nodes with their counts, to be added up over all ranges; and numbers of finished nodes by count, fan-out and
+    children seen once.
+    """
+    pairs = sorted((w, c) for batch in batches for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    if not pairs:
+        return
+    first, last = pairs[0][0] + b" ", pairs[-1][0] + b" "
+    n: dict[bytes, int] = {}
+    for w, c in pairs:
+        if c:
+            full = w + b" "
+            for k in range(len(full) + 1):
+                p = full[:k]
+                n[p] = n.get(p, 0) + c
+    stats: dict[bytes, list[int]] = {}
+    for p, c in n.items():
+        if p:
+            s = stats.setdefault(p[:-1], [0, 0, 0])
+            s[0] += 1
+            s[1] += c == 1
+            s[2] |= 1 << p[-1]
+    edges = {f[:k] for f in (first, last) for k in range(len(f))}
+    children = [(p, c) for p, c in n.items() if p and p[:-1] in edges]
+    tally: dict[tuple[int, int, int], int] = {}
+    for p, (fan, once, _) in stats.items():
+        if p not in edges:
+            key = _folded(n[p]), min(fan, 8), min(once, 8)
+            tally[key] = tally.get(key, 0) + 1
+    none = [None] * len(children)
+    yield _batch(TRIE, [[EDGE] * len(children), [p for p, _ in children], [c for _, c in children], none, none, none, none, none])
+    rows = [(*k, v) for k, v in tally.items()]
+    none = [None] * len(rows)
+    yield _batch(TRIE, [[CLASS] * len(rows), none, [r[3] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[0] for r in rows], none, none])
+    of = {p: int(node_class(np.int64(n[p]), np.int64(s[0]))) for p, s in stats.items()} if len(stats) < 1000 else dict(zip(stats, node_class(np.fromiter((n[p] for p in stats), np.int64, len(stats)), np.fromiter((s[0] for s in stats.values()), np.int64, len(stats))).tolist(), strict=True))
+    for at in range(0, len(pairs), 20_000):
+        out = []
+        for w, c in pairs[at : at + 20_000]:
+            full = w + b" "
+            shared = min(len(w), max(_lcp(full, first), _lcp(full, last)))
+            depth = len(w)
+            while depth > shared and full[:depth] not in stats:
+                depth -= 1
+            p = full[:depth]
+            own = depth > shared
+            out.append((WORD, w, c, shared, depth if own else -1, n[p] if own else 0, bytes(of[full[:k]] for k in range(shared + 1, depth + 1)), stats[p][2].to_bytes(32, "little") if own else b""))
+        yield _batch(TRIE, list(zip(*out, strict=True)))
+
+
+def shared_nodes(children: dict[bytes, int], escapes: np.ndarray) -> dict[bytes, tuple[float, float, int, int]]:
+    """Prefix to (the path's code length, that of its escape, count, mask of next bytes) for nodes shared by ranges."""
+    stats: dict[bytes, list[int]] = {}
+    for p, c in children.items():
+        s = stats.setdefault(p[:-1], [0, 0, 0])
+        s[0] += c
+        s[1] += 1
+        s[2] |= 1 << p[-1]
+    out: dict[bytes, tuple[float, float, int, int]] = {}
+    for p in sorted(stats, key=len):
+        e = float(escapes[int(node_class(np.int64(stats[p][0]), np.int64(stats[p][1])))])
+        out[p] = (out[p[:-1]][0] if p else 0.0) + float(np.log10(1 - e)), float(np.log10(e)), stats[p][0], stats[p][2]
+    return out
+
+
+def _tail(model, sent, log_total: float):
     """Known words: the path's code length. Others: that of the deepest node, the escape, and the byte model's for the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("log_p", pa.float64())])
         p = _model(model)
+        shared_of, escapes = sent.value
+        on, leave = np.log10(1 - escapes), np.log10(escapes)
         for batch in batches:
-            words, c, path, depth, n, escape = (batch.column(i).to_pylist() if i == 0 else np.asarray(batch.column(i)) for i in range(6))
-            masks = np.stack([np.asarray(batch.column(i)) for i in range(6, 10)], axis=1) if batch.num_rows else np.zeros((0, 4), np.int64)
+            words, c, shared, depth, n, classes, mask = (batch.column(i).to_pylist() for i in range(7))
             out = np.zeros(batch.num_rows)
             for i, word in enumerate(words):
+                full, k = word + b" ", shared[i]
+                while k >= 0 and full[:k] not in shared_of:
+                    k -= 1
+                path, escape, count, seen = shared_of[full[:k]] if k >= 0 else (0.0, 0.0, 0, 0)
+                own = np.frombuffer(classes[i], np.uint8)
                 if c[i] > 0:
-                    out[i] = np.log10(c[i]) - log_total + path[i]
+                    out[i] = np.log10(c[i]) - log_total + path + on[own].sum()
                     continue
-                x = np.frombuffer(b"  " + word + b" ", np.uint8).astype(np.int64)
-                d = int(depth[i])
-                rows = p[(x[:-2] << 8 | x[1:-1])[d:]]
-                took = rows[np.arange(len(rows)), x[2 + d :]].astype(np.float64)
-                gone = np.unpackbits(masks[i].view(np.uint8), bitorder="little").astype(bool)
-                took[0] /= max(1e-9, 1.0 - rows[0][gone].sum(dtype=np.float64))
-                out[i] = path[i] + escape[i] + (np.log10(n[i]) - log_total if n[i] > 0 else 0.0) + np.log10(np.maximum(took, 1e-12)).sum()
+                if depth[i] >= 0:
+                    k, count, seen = depth[i], n[i], int.from_bytes(mask[i], "little")
+                    path, escape = path + on[own[:-1]].sum(), leave[own[-1]]
+                elif k >= 0:
+                    path = shared_of[full[: k - 1]][0] if k else 0.0
+                x = np.frombuffer(b"  " + full, np.uint8).astype(np.int64)
+                rows = p[(x[:-2] << 8 | x[1:-1])[max(k, 0) :]]
+                took = rows[np.arange(len(rows)), x[2 + max(k, 0) :]].astype(np.float64)
+                if seen:
+                    gone = np.unpackbits(np.frombuffer(seen.to_bytes(32, "little"), np.uint8), bitorder="little").astype(bool)
+                    took[0] /= max(1e-9, 1.0 - rows[0][gone].sum(dtype=np.float64))
+                out[i] = path + escape + (np.log10(count) - log_total if count else 0.0) + np.log10(np.maximum(took, 1e-12)).sum()
             yield _batch(schema, [words, c, out])
 
     return run
@@ -208,9 +306,9 @@ def _score(total: int, distinct: int):
         c[at], log_p[at] = words.column("c").to_numpy(), words.column("log_p").to_numpy()
         base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
         p = 10.0**log_p
-        rows = []
+        rows, expand = [], zstandard.ZstdDecompressor()
         for doc_id, held, raw in zip(*(docs.column(x).to_pylist() for x in ("doc_id", "held_out", "codes")), strict=True):
-            codes = np.frombuffer(raw, np.uint32).astype(np.int64)
+            codes = np.frombuffer(expand.decompress(raw), np.uint32).astype(np.int64)
             n = len(codes)
             order = np.argsort(codes, kind="stable")
             line = codes[order]
@@ -243,33 +341,15 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held: int = HELD, id_co
     triples = words.where("c > 0").mapInArrow(_triples, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     model = spark.sparkContext.broadcast((uuid.uuid4().hex, triples.column("key").to_numpy(), triples.column("n").to_numpy()))
 
-    paths = words.select("word", "c", F.expr("concat(word, X'20')").alias("full"))
-    stops = paths.select("word", "c", "full", F.explode(F.sequence(F.lit(0), F.octet_length("word"))).alias("depth"))
-    steps = paths.where("c > 0").select("c", "full", F.explode(F.sequence(F.lit(0), F.octet_length("full"))).alias("depth")).select("c", F.expr("substring(full, 1, depth)").alias("prefix"))
-    nodes = steps.groupBy("prefix").agg(F.sum("c").alias("n"))
-    byte = F.conv(F.hex(F.expr("substring(prefix, -1, 1)")), 16, 10).cast("int")
-    kids = nodes.where("prefix <> X''").select(F.expr("substring(prefix, 1, octet_length(prefix) - 1)").alias("prefix"), "n", byte.alias("b"))
-    bit = lambda k: F.coalesce(F.bit_or(F.when(F.floor(F.col("b") / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b") % 64))), F.lit(0).cast("long")).alias(f"m{k}")
-    fans = kids.groupBy("prefix").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("fan"), F.count_if(F.col("n") == 1).alias("once"), *(bit(k) for k in range(4)))
-    trie = written(fans, "trie")
-
-    # As many rows as there are classes of equal nodes; counts beyond 2**20 fall into the last class anyway.
-    least = F.least(F.col("n"), F.lit(1 << 20)).alias("n")
-    grouped = trie.select(F.when(F.col("n") < 64, F.col("n")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(F.log2(least)).cast("int"))).alias("n"), F.least("fan", F.lit(8)).alias("fan"), F.least("once", F.lit(8)).alias("once"))
-    classes = grouped.groupBy("n", "fan", "once").agg(F.count(F.lit(1)).alias("nodes")).toArrow()
-    escapes = escape_table(*(classes.column(x).to_numpy() for x in ("n", "fan", "once", "nodes")))
-    size = F.least(F.when(F.col("n") < 8, F.col("n")).otherwise(5 + F.floor(F.log2("n"))), F.lit(COUNT_CLASSES - 1))
-    escape = F.get(F.lit(escapes.tolist()), (size * FAN_CLASSES + F.least("fan", F.lit(FAN_CLASSES - 1))).cast("int"))
-    node = trie.select("prefix", "n", F.log10(escape).alias("out"), F.log10(1 - escape).alias("on"), "m0", "m1", "m2", "m3", F.lit(1).cast("long").alias("present"))
-    n_words = words.count()
-    met = attach(stops.select("word", "c", "depth", F.expr("substring(full, 1, depth)").alias("prefix")), node, ["prefix"], "n", max(1, total)).where("present = 1") if n_words else stops.join(node, F.lit(False)).withColumn("prefix", F.lit(None).cast("binary"))
-    last = F.max_by(F.struct("n", "out", "on", "m0", "m1", "m2", "m3"), "depth").alias("z")
-    found = met.groupBy("word", "c").agg(F.sum("on").alias("path"), F.max("depth").alias("depth"), last)
-    whole = F.when(F.col("c") > 0, F.col("path")).otherwise(F.col("path") - F.col("z.on"))
-    nothing = words.where(F.lit(total == 0)).select("word", "c", F.lit(0.0).alias("path"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("out"), *(F.lit(0).cast("long").alias(f"m{k}") for k in range(4)))
-    ready = found.select("word", "c", whole.alias("path"), "depth", "z.n", "z.out", "z.m0", "z.m1", "z.m2", "z.m3").unionByName(nothing)
+    # Ranges of the sorted vocabulary, of bounded size; what they share is a few prefixes of each range's ends.
+    ranges = max(1, -(-words.count() // RANGE_WORDS))
+    trie = written(words.select("word", "c").repartitionByRange(ranges, "word").mapInArrow(_trie, TRIE_SQL), "trie")
+    children = {r.word: r.c for r in trie.where(F.col("kind") == EDGE).groupBy("word").agg(F.sum("c").alias("c")).toLocalIterator()}
+    classes = trie.where(F.col("kind") == CLASS).groupBy("n", "shared", "depth").agg(F.sum("c").alias("nodes")).toArrow()
+    escapes = escape_table(*(classes.column(x).to_numpy().astype(np.int64) for x in ("n", "shared", "depth", "nodes")))
+    shared = spark.sparkContext.broadcast((shared_nodes(children, escapes), escapes))
     log_total = float(np.log10(max(total, 1)))
-    scored = ready.mapInArrow(_tail(model, escapes, log_total), "word binary, c long, log_p double")
+    scored = trie.where(F.col("kind") == WORD).select("word", "c", "shared", "depth", "n", "classes", "mask").mapInArrow(_tail(model, shared, log_total), "word binary, c long, log_p double")
     ends = vocab.where("word = X''").select("word", "c", F.log10(F.greatest(F.col("c"), F.lit(1)) / F.lit(float(max(total, 1) + 1))).alias("log_p"))
     lengths = written(scored.unionByName(ends), "code-lengths")
     known = parts.select(F.col("block").alias("of"), "code", "word").join(lengths, "word").select("of", "code", "c", "log_p")
