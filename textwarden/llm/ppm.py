@@ -232,18 +232,26 @@ def _trie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(TRIE, list(zip(*out, strict=True)))
 
 
-def shared_nodes(children: dict[bytes, int], escapes: np.ndarray) -> dict[bytes, tuple[float, float, int, int]]:
-    """Prefix to (the path's code length, that of its escape, count, mask of next bytes) for nodes shared by ranges."""
+def edge_stats(children: dict[bytes, int]) -> dict[bytes, list[int]]:
+    """Count, fan-out, children seen once and mask of next bytes of each shared node."""
     stats: dict[bytes, list[int]] = {}
     for p, c in children.items():
-        s = stats.setdefault(p[:-1], [0, 0, 0])
+        s = stats.setdefault(p[:-1], [0, 0, 0, 0])
         s[0] += c
         s[1] += 1
-        s[2] |= 1 << p[-1]
+        s[2] += c == 1
+        s[3] |= 1 << p[-1]
+    return stats
+
+
+def shared_nodes(children: dict[bytes, int], escapes: np.ndarray) -> dict[bytes, tuple[float, float, int, int]]:
+    """Prefix to (the path's code length, that of its escape, count, mask of next bytes) for nodes shared by ranges."""
+    stats = edge_stats(children)
     out: dict[bytes, tuple[float, float, int, int]] = {}
     for p in sorted(stats, key=len):
-        e = float(escapes[int(node_class(np.int64(stats[p][0]), np.int64(stats[p][1])))])
-        out[p] = (out[p[:-1]][0] if p else 0.0) + float(np.log10(1 - e)), float(np.log10(e)), stats[p][0], stats[p][2]
+        n, fan, _, mask = stats[p]
+        e = float(escapes[int(node_class(np.int64(n), np.int64(fan)))])
+        out[p] = (out[p[:-1]][0] if p else 0.0) + float(np.log10(1 - e)), float(np.log10(e)), n, mask
     return out
 
 
@@ -346,7 +354,9 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held: int = HELD, id_co
     trie = written(words.select("word", "c").repartitionByRange(ranges, "word").mapInArrow(_trie, TRIE_SQL), "trie")
     children = {r.word: r.c for r in trie.where(F.col("kind") == EDGE).groupBy("word").agg(F.sum("c").alias("c")).toLocalIterator()}
     classes = trie.where(F.col("kind") == CLASS).groupBy("n", "shared", "depth").agg(F.sum("c").alias("nodes")).toArrow()
-    escapes = escape_table(*(classes.column(x).to_numpy().astype(np.int64) for x in ("n", "shared", "depth", "nodes")))
+    inner = np.stack([classes.column(x).to_numpy().astype(np.int64) for x in ("n", "shared", "depth", "nodes")], axis=1)
+    edge = np.array([(_folded(n), min(fan, 8), min(once, 8), 1) for n, fan, once, _ in edge_stats(children).values()], np.int64).reshape(-1, 4)
+    escapes = escape_table(*np.concatenate([inner, edge]).T)
     shared = spark.sparkContext.broadcast((shared_nodes(children, escapes), escapes))
     log_total = float(np.log10(max(total, 1)))
     scored = trie.where(F.col("kind") == WORD).select("word", "c", "shared", "depth", "n", "classes", "mask").mapInArrow(_tail(model, shared, log_total), "word binary, c long, log_p double")
