@@ -24,13 +24,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False
     return good, parsed.where(broken).select("file", F.lit("MalformedJSON").alias("error"), F.substring("line", 1, PREVIEW).alias("preview"))
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, malformed): a header names the columns; rows of another width are malformed."""
     head = spark.read.option("header", True).csv(path)
-    schema = ", ".join(f"`{c.lstrip(BOM)}` string" for c in head.columns)
-    rows = spark.read.schema(f"{schema}, _bad string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("enforceSchema", True).csv(path)
+    names = [c.lstrip(BOM) for c in head.columns]
+    schema = ", ".join(f"{_quoted(c)} string" for c in names)
+    rows = spark.read.schema(f"{schema}, _bad string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("enforceSchema", True).option("columnPruning", False).csv(path)
     named = rows.withColumn("file", F.col("_metadata.file_path"))
-    return named.where("_bad IS NULL").drop("_bad"), named.where("_bad IS NOT NULL").select("file", F.lit("MalformedCSVRow").alias("error"), F.substring("_bad", 1, PREVIEW).alias("preview"))
+    # Spark refuses scans that need nothing but the corrupt record, so the filter looks at a data column too.
+    bad = named.where(F.col("_bad").isNotNull() & (F.length(F.coalesce(F.col(_quoted(names[0])), F.lit(""))) >= 0))
+    return named.where("_bad IS NULL").drop("_bad"), bad.select("file", F.lit("MalformedCSVRow").alias("error"), F.substring("_bad", 1, PREVIEW).alias("preview"))
 
 
 def read_any(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
