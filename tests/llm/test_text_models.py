@@ -1,0 +1,138 @@
+"""Language-model scores, language identification, toxicity and secrets."""
+
+from __future__ import annotations
+
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from textwarden.llm import langid, ppm, secrets, toxicity
+
+WORDS = {"aa": ["the", "of", "thing", "water", "house"], "bb": ["der", "und", "schein", "wasser", "haus"], "cc": ["una", "que", "cosa", "agua", "casa"]}
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(WORDS[g]) for _ in range(rng.randrange(1, 60))), g) for i in range(300) for g in [rng.choice(list(WORDS))]]
+    rows += [(1001, None, "aa"), (1002, "", "bb"), (1003, "12 !?", None), (1004, "THE of zzqx", None), (None, "der und", "bb"), (1005, "the " * 20_000, "aa"), (3, rows[3][1], rows[3][2])]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x")).repartition(4)
+
+
+def test_ppm_counts_and_base(docs, monkeypatch):
+    rows = [(r.doc_id, (r.text or "").encode().lower().split() + [b"\n"]) for r in docs.collect()]
+    fold = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 5
+    count = Counter(w for i, line in rows if fold(i) not in (None, 1) for w in line)
+    total, distinct = sum(count.values()), len(count)
+    base = lambda line: sum(math.log10((count[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in line)
+    want = sorted((i or -1, fold(i) == 1, len(line), sum(count[w] > 0 for w in line), total, round(base(line), 4)) for i, line in rows)
+    runs = []
+    for size in (60_000, 3):  # one range of the vocabulary, or many
+        monkeypatch.setattr(ppm, "RANGE_WORDS", size)
+        got = ppm.score_documents(docs).collect()
+        assert sorted((r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
+        assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+        runs.append(sorted((r.doc_id or -1, round(r.score, 6)) for r in got))
+    assert runs[0] == runs[1]
+    assert ppm.score_documents(docs.where("false")).count() == 0
+
+
+def test_byte_model_is_a_distribution():
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 1 << 24, 5000))
+    p = ppm.byte_model(keys, rng.integers(1, 9, len(keys)))
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-3) and (p >= 0).all()
+
+
+def test_language(docs):
+    got = {r.doc_id: r for r in langid.identify(docs).join(docs.select("doc_id", "lang").distinct(), "doc_id").collect()}
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1001, 1002, 1003))
+    held = [r for r in got.values() if r.held_out and r.doc_id < 1000]
+    assert held and sum(r.lang_pred == r.lang for r in held) >= 0.95 * len(held) and all(0 <= r.score <= 1 for r in got.values())
+    assert langid.identify(docs.where("false")).count() == 0
+    assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_codewords_differ():
+    for n in (1, 2, 4, 9, 30):
+        code = langid.codewords(n)
+        assert len({tuple(r) for r in code.tolist()}) == n
+
+
+def test_toxicity(spark):
+    rng = random.Random(9)
+    clean, bad = [f"w{k}" for k in range(200)], ["vile", "vilest", "VILE!!", "scumbag"]
+    rows, labels = [], []
+    for i in range(600):
+        line = [rng.choice(clean) for _ in range(rng.randrange(5, 150))]
+        if toxic := int(rng.random() < 0.3):
+            for _ in range(1 + len(line) // 25):
+                line.insert(rng.randrange(len(line)), rng.choice(bad))
+        rows.append((i, " ".join(line)))
+        labels.append((i, toxic))
+    rows += [(1001, None), (1002, ""), (None, "vile"), (1003, "w1 " * 30_000 + "w2 vile w3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxic", F.lit(7))
+    gold = spark.createDataFrame([*labels, (5, None), (9999, 1)], "doc_id long, toxic int")
+    got = toxicity.classify(docs, gold).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    truth = dict(labels)
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.95 * len(held)
+    kept = toxicity.keep_clean(docs, gold)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if not r.predicted}
+    assert {r.score for r in toxicity.classify(docs, gold.where("false")).collect()} == {0.0}
+
+
+def test_network_gradient():
+    net = toxicity.Net({b"aa": 1, b"bb": 2})
+    words, index = [b"aa", b"bb", b"cc", b"dd"], np.full((2, toxicity.WINDOW), -1)
+    index[0, :2], index[1, :3] = [0, 2], [1, 0, 3]
+    goal, rng = np.array([1.0, 0.0]), np.random.default_rng(1)
+    net.p = {k: v.astype(np.float64) + 0.01 * rng.standard_normal(v.shape) for k, v in net.p.items()}
+    net.p["word"][0] = 0
+
+    def loss():
+        logit = net.forward(net.gates(net.inputs(words)[0]), index)
+        return float((np.logaddexp(0, logit) - goal * logit).sum())
+
+    x, made = net.inputs(words)
+    gates = net.gates(x)
+    logit, kept = net.forward(gates, index, keep=True)
+    grads = net.backward(gates, index, kept, 1 / (1 + np.exp(-logit)) - goal, x, made)
+    for name, g in grads.items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old = net.p[name][at]
+        net.p[name][at] = old + 1e-2
+        up = loss()
+        net.p[name][at] = old - 1e-2
+        down = loss()
+        net.p[name][at] = old
+        assert (up - down) / 2e-2 == pytest.approx(g[at], rel=1e-2, abs=1e-5)
+
+
+def test_windows_cover_everything():
+    for n in (0, 1, 31, 32, 33, 47, 48, 49, 1000):
+        s = toxicity.windows(n)
+        assert s[0] == 0 and (n <= 32 or s[-1] + 32 == n) and (np.diff(s) <= toxicity.STRIDE).all()
+
+
+def test_secrets(spark):
+    token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'é say token = "{token}" then'), (2, None), (3, ""), (4, "see commit 04dbebab91ab85687d33eeaaf9ac699e1188f963 for the fix"), (5, "token = your_api_key_here"), (6, "plain words only"), (1, "no")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert set(got) == {1, 4, 5} and got[1].is_secret and not got[4].is_secret and not got[5].is_secret
+    assert rows[0][1][got[1].start : got[1].end] == token
+    assert secrets.scan(docs.where("false")).count() == 0
+
+
+def test_forest_on_held_out_findings():
+    forest = secrets.train(secrets.labelled_findings(1500, seed=1))
+    rows = secrets.labelled_findings(600, seed=2)
+    p = forest.probability(np.array([secrets.features(*r[:4]) for r in rows]))
+    assert np.mean((p >= 0.5) == np.array([r[4] for r in rows], bool)) > 0.95
