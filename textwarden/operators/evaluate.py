@@ -64,9 +64,8 @@ def token_micro(tokens: DataFrame) -> DataFrame:
 
 def per_type(tokens: DataFrame, schema: DataFrame) -> DataFrame:
     """One against the rest for every type of the schema (label_id, entity_type), those that don't occur included."""
-    dim = F.broadcast(schema)
-    g = dim.select(F.col("label_id").alias("gold"), F.col("entity_type").alias("gt"))
-    p = dim.select(F.col("label_id").alias("predicted"), F.col("entity_type").alias("pt"))
+    g = schema.select(F.col("label_id").alias("gold"), F.col("entity_type").alias("gt"))
+    p = schema.select(F.col("label_id").alias("predicted"), F.col("entity_type").alias("pt"))
     named = tokens.groupBy("gold", "predicted").agg(F.count(F.lit(1)).alias("n")).join(g, "gold", "left").join(p, "predicted", "left")
     n = F.col("n")
     one = lambda c, cond, name: named.where(cond & F.col(c).isNotNull()).groupBy(F.col(c).alias("entity_type")).agg(F.sum(n).alias(name))

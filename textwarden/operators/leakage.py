@@ -56,7 +56,7 @@ def pair_summary(records: DataFrame, roles: DataFrame) -> DataFrame:
     normal = overlap_matrix(records, "normalized_hash").withColumnRenamed("shared", "normalized")
     joined = exact.join(normal, both, "fullouter").join(group_overlap_matrix(records), both, "fullouter").fillna(0, ["exact", "normalized", "shared_groups"])
     unique = affected_unique(records)
-    of = lambda s: F.broadcast(roles.select(*(F.col(c).alias(f"{c}_{s}") for c in ("file", "role", "critical"))))  # noqa: E731  a row for each file
+    of = lambda s: roles.select(*(F.col(c).alias(f"{c}_{s}") for c in ("file", "role", "critical")))
     named = joined.join(of("a"), "file_a").join(of("b"), "file_b").join(unique, both, "left").fillna(0, ["affected"])
     level = severity(F.col("role_a"), F.col("role_b"), F.col("critical_a") | F.col("critical_b"))
     historical = level == "HISTORICAL_ONLY"
@@ -106,7 +106,7 @@ def number_sorted(keys: DataFrame, col: str) -> DataFrame:
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(col)) - 1
-    return ranged.withColumn("_rank", rank).join(F.broadcast(before), "_part").select(col, (F.col("_before") + F.col("_rank")).alias("position"))
+    return ranged.withColumn("_rank", rank).join(before, "_part").select(col, (F.col("_before") + F.col("_rank")).alias("position"))
 
 
 def recommended(a: Column, b: Column) -> Column:

@@ -52,27 +52,32 @@ def is_label_value(line: Column) -> Column:
     return masked(line).rlike(rf"(?U)^[^;?!؟]+(?<![.…][{CLOSERS}]{{0,20}}\s{{0,20}})[:：]\s*\S")
 
 
+def _middle(sizes: Column) -> Column:
+    return (F.get(sizes, F.floor((F.size(sizes) - 1) / 2).cast("int")) + F.get(sizes, F.floor(F.size(sizes) / 2).cast("int"))) / F.lit(2.0)
+
+
 def line_records(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, line_no (from 0), line (stripped)."""
-    lines = pages.select(*keys, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
-    return lines.withColumn("line", strip(F.col("line")))
+    """keys, line_no (from 0), line (stripped), and the page's median length and lower half's median length.
+
+    The statistics come from the array of lines before it is exploded, so they cost no shuffle.
+    """
+    lines = pages.select(*keys, F.transform(F.split(F.col(text), "\n", -1), strip).alias("_lines"))
+    lengths = F.array_sort(F.transform(F.filter("_lines", lambda x: x != ""), F.length))
+    half = F.slice("_sizes", 1, F.greatest(F.lit(1), F.floor(F.size("_sizes") / 2).cast("int")))
+    sized = lines.withColumn("_sizes", lengths)
+    return sized.select(*keys, F.coalesce(_middle(F.col("_sizes")), F.lit(0.0)).alias("median_length"), F.coalesce(_middle(half), F.lit(0.0)).alias("lower_length"), F.posexplode("_lines").alias("line_no", "line"))
 
 
 def line_features(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds statistics of the page, neighbours and predicates."""
+    """Adds neighbours and predicates. Next lines are looked up in descending order: a frame that grows stays linear."""
     page = Window.partitionBy(*keys)
     ordered = page.orderBy("line_no")
     filled = F.nullif(F.col("line"), F.lit(""))
-    size = F.when(F.col("line") != "", F.length("line"))
-    lengths = F.array_sort(F.collect_list(size).over(page))
-    half = F.slice(lengths, 1, F.greatest(F.lit(1), F.floor(F.size(lengths) / 2).cast("int")))
-    middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / F.lit(2.0)
+    nearest = lambda order: F.last(filled, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     out = lines.select(
         "*",
-        F.coalesce(middle(lengths), F.lit(0.0)).alias("median_length"),
-        F.coalesce(middle(half), F.lit(0.0)).alias("lower_length"),
-        F.last(filled, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)).alias("previous_line"),
-        F.first(filled, ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing)).alias("next_line"),
+        nearest(ordered).alias("previous_line"),
+        nearest(page.orderBy(F.desc("line_no"))).alias("next_line"),
         (F.coalesce(F.lag("line").over(ordered), F.lit("")) == "").alias("previous_blank"),
         (F.coalesce(F.lead("line").over(ordered), F.lit("")) == "").alias("next_blank"),
     )
