@@ -31,7 +31,7 @@ WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 12
 CHAR_BITS, WORD_ROWS = 15, 8192
 #: Bounds of the training sample.
-TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
+TOXIC_ROWS, CLEAN_ROWS = 1200, 2500
 CACHE = 300_000
 SLICE = 4096
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
