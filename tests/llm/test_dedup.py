@@ -8,7 +8,7 @@ import re
 
 import pytest
 
-from textwarden.llm import exact_dedup, near_dedup
+from textwarden.llm import exact_dedup, graph, near_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, segment int, run int, keep_id long"
 
@@ -92,6 +92,15 @@ def test_near_duplicates(spark, percent, monkeypatch):
     assert got == brute(rows, percent)
 
 
+@pytest.mark.parametrize("local", [0, 500_000])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
+    chain = [(i, i + 1) for i in range(100, 130)] + [(7, 3), (3, 7), (5, 5), (3, 9), (None, 4)] + [(1000, k) for k in range(500, 600)]
+    got = {r.node: r.comp for r in graph.components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    assert got == {i: 100 for i in range(100, 131)} | {3: 3, 7: 3, 9: 3} | {k: 500 for k in [*range(500, 600), 1000]}
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     df = table(spark, [(1, "x")])
     assert near_dedup.near_duplicates(df.where("false")).count() == 0
