@@ -62,12 +62,14 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
     Groups of at least total / HOT_PARTS rows number at most HOT_PARTS, so they are broadcast; the others are
     small by definition and meet their rows in a shuffle.
     """
-    hot = groups.where(F.col(size) * F.lit(HOT_PARTS) >= F.lit(total))
-    cold = groups.where(F.col(size) * F.lit(HOT_PARTS) < F.lit(total))
-    seen = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    found = seen.where(F.col("_hot").isNotNull()).drop("_hot")
-    rest = seen.where(F.col("_hot").isNull()).select(*rows.columns)
-    return found.unionByName(rest.join(cold.hint("merge"), keys, "left"))
+    digest = F.xxhash64(*keys)
+    hot = [r[0] for r in groups.where(F.col(size) * F.lit(HOT_PARTS) >= F.lit(total)).select(digest).collect()]
+    if not hot:
+        return rows.join(groups.hint("merge"), keys, "left")
+    # Both sides are split by the digest, so keys that share one stay together. At most HOT_PARTS values are listed.
+    is_hot = digest.isin(hot)
+    found = rows.where(is_hot).join(F.broadcast(groups.where(is_hot)), keys, "left")
+    return found.unionByName(rows.where(~is_hot).join(groups.where(~is_hot).hint("merge"), keys, "left"))
 
 
 def crc_mod(column: str, mod: int) -> Column:
