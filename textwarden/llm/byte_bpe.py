@@ -97,6 +97,11 @@ def literal_pieces(ranks: dict[bytes, int]) -> Column:
 
 
 def fold_merges(word: Column, rank_map: Column) -> Column:
+    """fold() with the map bound once, so that the plan holds one copy of it."""
+    return F.get(F.transform(F.array(rank_map), lambda m: fold(word, m)), F.lit(0))
+
+
+def fold(word: Column, rank_map: Column) -> Column:
     """Byte ids (array<int>) to token ids by ranked merges.
 
     The state holds the ids behind a mark, so that every pair has a left neighbour, and beside each id the rank of the

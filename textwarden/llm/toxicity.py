@@ -272,7 +272,8 @@ def _telling(docs: list[list[bytes]], toxic: np.ndarray) -> dict[bytes, float]:
 
 def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 3, steps: int = 120, batch: int = 256, seed: int = 5) -> Net:
     rng = np.random.default_rng(seed)
-    docs = [tokens(t) for t in texts]
+    pool: dict[bytes, bytes] = {}
+    docs = [[pool.setdefault(w, w) for w in tokens(t)] for t in texts]  # one object a distinct word
     often: dict[bytes, int] = {}
     for d in docs:
         for w in set(d):
