@@ -75,6 +75,20 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(table, bench.where("false")).count() == 0 and decontaminate.find_leaks(table.where("false"), bench).count() == 0
 
 
+def test_leaks_with_a_changed_word():
+    """One word replaced at every position, and a cut last word; half an item is no leak."""
+    rng = random.Random(8)
+    for n in (10, 11, 15, 16, 20, 24, 28, 29, 33, 59):
+        item = [f"t{rng.randrange(400)}" for _ in range(n)]
+        index = decontaminate.Index([(1, *decontaminate.parts([w.encode() for w in item]))], split=True)
+        around = " ".join(f"u{k}" for k in range(90))
+        lost = [i for i in range(n) if not index.leaks(f"{around} {' '.join([*item[:i], 'foreign', *item[i + 1 :]])} {around}")]
+        assert not lost, (n, lost)
+        assert index.leaks(f"{around} {' '.join(item[:-1])} {around}")
+        assert not index.leaks(f"{around} {' '.join(item[: n // 2])} {around}")
+        assert not index.leaks(" ".join(f"{w} {around}" for w in item))
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_ITEMS", 2)
     items = [(i, f"alpha{i} beta{i} gamma{i} delta{i} eps{i} zeta{i} eta{i} theta{i} iota{i} kappa{i}") for i in range(5)]

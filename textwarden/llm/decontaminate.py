@@ -8,7 +8,10 @@ items of the blocks left are scored in full. All items at or above the threshold
 
 A retrieved item counts as leaked if the document holds at least overlap of the 5-word shingles of its question and of
 its answer. Items without a separate answer are split: the last quarter of the words, five at least, is the answer
-(items of fewer than ten words are both at once; parts of fewer than five words are one shingle).
+(items of fewer than ten words are both at once; parts of fewer than five words are one shingle). So short an answer is
+lost by one changed word; split items therefore leak too if the document holds overlap of the shingles of the whole
+item, or, where one changed word breaks more than that, all word pairs but one word's (or overlap of them) in a stretch
+of the document twice as long as the item.
 
 The index goes to executors in blocks of MAX_ITEMS items and MAX_ITEM_WORDS words at most, a pass over the documents
 for each, so what is broadcast stays bounded.
@@ -59,13 +62,13 @@ class _Numbers(dict):
 
 
 class Index:
-    """items: (item_id, question words, answer words), none empty."""
+    """items: (item_id, question words, answer words), none empty; split says that both come from one text."""
 
-    def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]], threshold: float = THRESHOLD):
-        self.threshold = threshold
+    def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]], threshold: float = THRESHOLD, split: bool = False):
+        self.threshold, self.split = threshold, split
         self.ids = [i for i, _, _ in items]
         self.parts = [(shingles(q), shingles(a)) for _, q, a in items]
-        lines = [q if q == a else q + a for _, q, a in items]
+        lines = self.lines = [q if q == a else q + a for _, q, a in items]
         self.window = max(128, 2 * max(map(len, lines)))
         self.number = _Numbers()
         rows: dict[int, dict[int, int]] = {}
@@ -137,10 +140,37 @@ class Index:
         out = []
         for k, score in sorted(found.items()):
             share = [sum(s in held for s in p) / len(p) for p in self.parts[k]]
-            if min(share) >= overlap:
+            if min(share) >= overlap or (self.split and self._whole(line, held, k, overlap)):
                 out.append((self.ids[k], score, *share))
         return out
 
+    def _whole(self, line: list[bytes], held: set[tuple], k: int, overlap: float) -> bool:
+        """Whether a text holds a split item as a whole, up to a few words."""
+        item = self.lines[k]
+        if len(item) < 2 * WORDS:
+            return False
+        whole = shingles(item)
+        if sum(s in held for s in whole) >= overlap * len(whole):
+            return True
+        if len(whole) - WORDS >= overlap * len(whole):
+            return False
+        pairs = set(zip(item, item[1:], strict=False))
+        least = min(overlap * len(pairs), len(pairs) - 2)
+        at = [(i, p) for i, p in enumerate(zip(line, line[1:], strict=False)) if p in pairs]
+        inside: dict[tuple, int] = {}
+        first = 0
+        for i, p in at:
+            inside[p] = inside.get(p, 0) + 1
+            while at[first][0] <= i - 2 * len(item):
+                old = at[first][1]
+                inside[old] -= 1
+                if not inside[old]:
+                    del inside[old]
+                first += 1
+            if len(inside) >= least:
+                return True
+        return False
+
 
 def item_blocks(items: DataFrame, id_col: str, question_col: str, answer_col: str | None) -> Iterator[list]:
     """The items in bounded lists, read one partition at a time."""
@@ -168,7 +198,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, item_id: str = "item_id", ques
     spark = docs.sparkSession
     passes = []
     for block in item_blocks(items, item_id, question, answer):
-        sent = spark.sparkContext.broadcast(Index(block, threshold))
+        sent = spark.sparkContext.broadcast(Index(block, threshold, split=answer is None))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
