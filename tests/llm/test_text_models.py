@@ -88,6 +88,20 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.classify(docs, gold.where("false")).collect()} == {0.0}
 
 
+def test_threshold_holds_for_the_true_ratio(spark):
+    """Both classes are capped to a ratio at which a word that they share is worth calling toxic; it isn't among all."""
+    rng = random.Random(4)
+    line = lambda *w: " ".join(rng.sample([*w, *(rng.choice(["red", "blue", "green", "black"]) for _ in range(6))], 6 + len(w)))
+    rows = [(line("scum", "vile") if i % 2 else line("vile"), 1) for i in range(200)] + [(line("vile") if i % 4 == 0 else line(), 0) for i in range(2000)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    gold = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    net = toxicity.train(docs, gold, toxic_rows=100, clean_rows=200)
+    got = [(r.score, r.predicted, rows[r.doc_id][1]) for r in toxicity.score(docs, net).collect() if not r.held_out]
+    f1 = lambda called: 2 * sum(y for y, c in called if c) / (sum(c for _, c in called) + sum(y for y, _ in called))
+    best = max(f1([(y, s >= cut) for s, _, y in got]) for cut in {s for s, _, _ in got})
+    assert f1([(y, c) for _, c, y in got]) >= best - 0.01
+
+
 def test_network_gradient():
     net = toxicity.Net({b"aa": 1, b"bb": 2})
     words, index = [b"aa", b"bb", b"cc", b"dd"], np.full((2, toxicity.WINDOW), -1)
