@@ -129,6 +129,19 @@ def test_network_gradient():
         assert (up - down) / 2e-2 == pytest.approx(g[at], rel=1e-2, abs=1e-5)
 
 
+def test_long_words_are_read_whole():
+    """Words joined by marks or other blanks are words, and every byte of a long word counts."""
+    for joint in ("\u00a0", "/", ",", "_", "\u3000"):
+        assert toxicity.tokens(joint.join(["fine"] + [f"w{k}" for k in range(40)] + ["VILE"]))[-1] == b"vile"
+    for long in ("\u6c34" * 3 + "".join(chr(0x4E00 + 7 * k) for k in range(300)), "".join(f"x{k}" for k in range(90))):
+        parts = toxicity.tokens(long)
+        raw = long.encode()
+        assert max(map(len, parts)) <= toxicity.LONG
+        assert all(any(raw[i : i + 7] in p for p in parts) for i in range(len(raw) - 6))
+        inputs = [np.concatenate([toxicity.char_grams([w])[0] for w in toxicity.tokens(t)]).tolist() for t in (long, long[:-1] + "z", long[: len(long) // 2] + "z" + long[len(long) // 2 + 1 :])]
+        assert inputs[0] != inputs[1] and inputs[0] != inputs[2]
+
+
 def test_windows_cover_everything():
     for n in (0, 1, 31, 32, 33, 47, 48, 49, 1000):
         s = toxicity.windows(n)

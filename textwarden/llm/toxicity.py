@@ -18,6 +18,7 @@ result; a text of any length is scored in slices of whole windows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,19 +39,30 @@ SLICE = 4096
 #: Logits are counted in bins of 1 / BINS up to FAR either way.
 BINS, FAR = 64, 60
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: Longer words are cut at blanks of any kind and ASCII marks, then into pieces that share so many bytes.
+LONG, SHARED = 60, 6
+INNER = re.compile(r"[\s!-/:-@\[-`{-~]+")
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """A word of any length as words of at most LONG bytes; every 7-gram of what stands between marks is in one."""
+    if len(word) <= LONG:
+        return [word]
+    parts = [w.encode() for w in INNER.split(word.decode())]
+    return [w[i : i + LONG] for w in parts for i in range(0, max(1, len(w) - SHARED), LONG - SHARED)]
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """The text's words in lower case without marks around them; runs of one word count once."""
-    words = [w.strip(MARKS) for w in (text or "").encode().lower().split()]
+    """The text's words in lower case without marks around them, long ones in pieces; runs of one word count once."""
+    words = [p for w in (text or "").encode().lower().split() for p in pieces(w.strip(MARKS))]
     return [w for w, before in zip(words, [b"", *words]) if w and w != before]  # noqa: B905
 
 
 def char_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, starts): each word's hashed byte 3-, 5- and 7-grams and its beginnings of 4, 6, 8 and 9 bytes, marks
     around the word included, and where each word's begin."""
-    raw = b"".join(b"\x02" + w[:60] + b"\x03" for w in words)
-    size = np.array([min(len(w), 60) + 2 for w in words])
+    raw = b"".join(b"\x02" + w + b"\x03" for w in words)
+    size = np.array([len(w) + 2 for w in words])
     x = np.frombuffer(raw, np.uint8).astype(np.uint32)
     word = np.repeat(np.arange(len(words)), size)
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
