@@ -158,6 +158,13 @@ def test_secrets(spark):
     assert secrets.scan(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("size", [200, 201, 5000])
+def test_long_secrets(size):
+    value = ("aB3" * size)[:size]
+    assert secrets.candidates(f"see {value} end") == [(4, 4 + size, "long_string")]
+    assert secrets.candidates(f"token = {value}! end") == [(8, 9 + size, "assignment")]
+
+
 def test_forest_on_held_out_findings():
     forest = secrets.train(secrets.labelled_findings(1500, seed=1))
     rows = secrets.labelled_findings(600, seed=2)

@@ -30,8 +30,8 @@ RULES = [
     ("cloud_key", re.compile(r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b")),
     ("prefixed_token", re.compile(r"\b((?:gh[pousr]_|sk-|xox[abprs]-|glpat-)[A-Za-z0-9_-]{16,})")),
     ("web_token", re.compile(r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,})")),
-    ("assignment", re.compile(r"(?i)\b(?:api[_-]?key|secret|token|passwd|password|pwd|auth|access[_-]?key|credential)s?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{8,200})")),
-    ("long_string", re.compile(r"(?<![\w+/=-])([A-Za-z0-9+/_=-]{24,200})(?![\w+/=-])")),
+    ("assignment", re.compile(r"(?i)\b(?:api[_-]?key|secret|token|passwd|password|pwd|auth|access[_-]?key|credential)s?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{8,})")),
+    ("long_string", re.compile(r"(?<![\w+/=-])([A-Za-z0-9+/_=-]{24,})(?![\w+/=-])")),
 ]
 DICTIONARY = "about access account admin after api app auth base before build cache change check class client code commit config connect content count create data date default delete demo development document dummy email error event example false field file filter first from function group handler header hello hash home host image index info input insert item key label last length license line list load local lock login main manager message model name network node null number object option order output page param parent password path placeholder point port process project query read record remote replace request response result return root sample schema secret server service session set size source start state status string system table target task template test text this time title token true type update upload user util value version view with word world write your".split()
 HINTS = [["token", "secret", "password", "passwd", "api", "auth", "credential", "bearer", "login"], ["example", "sample", "dummy", "placeholder", "test", "demo", "fake", "your"], ["commit", "sha", "md5", "checksum", "hash", "digest", "etag", "revision", "integrity"], ["uuid", "guid", "id", "request", "trace", "session"], ["license", "copyright", "version", "http", "https", "www"]]
