@@ -172,3 +172,15 @@ def test_stream(spark, tmp_path):
     texts = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
     stream.start(texts, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert [(r.doc_id, r.type) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, "ID")]
+
+
+def test_near_duplicates_in_a_large_block(spark):
+    """A near copy of the last of 120 protected texts with one beginning is found."""
+    from textwarden.operators import audit
+
+    texts = [f"the same beginning of every text, number {k:04d}" for k in range(121)]
+    rows = [(k, "test", True, t) for k, t in enumerate(texts[:120])] + [(500, "train", False, texts[119] + "!")]
+    records = spark.createDataFrame([(*r, str(r[0])) for r in rows], "seq long, split string, protected boolean, normalized_text string, normalized_hash string")
+    assert {(r.seq_a, r.seq_b) for r in audit.near_candidates(records).collect()} == {(500, k) for k in range(120)}
+    assert audit.near_candidates(records, 50).count() == 50
+    assert audit.near_duplicates(records).first().seq_b == 119

@@ -109,20 +109,25 @@ def cross_task_overlaps(tokens: DataFrame, sequences: DataFrame, conflicts: Data
 LENGTH_STEP, PREFIX, LEAST = 40, 16, 20
 
 
-#: Comparisons of a training text within one length bucket and prefix: a bounded search, as the operator is.
-COMPARISONS = 50
+#: Protected texts of a block that meet its training texts under one key of the join.
+CELL = 50
 
 
-def near_candidates(records: DataFrame, comparisons: int = COMPARISONS) -> DataFrame:
+def near_candidates(records: DataFrame, comparisons: int | None = None) -> DataFrame:
     """Distinct training against distinct protected texts by length bucket (one either way) and prefix; an exploded
-    equi-join with the first protected texts of each bucket."""
+    equi-join, in which blocks of many protected texts are dealt into cells by hash. With comparisons, only with the
+    first so many protected texts of each block."""
     long = records.where(F.length("normalized_text") >= LEAST)
     fold = lambda d, s: d.groupBy("normalized_hash", "normalized_text").agg(F.min("seq").alias(f"seq_{s}")).select(f"seq_{s}", F.col("normalized_hash").alias(f"normalized_hash_{s}"), F.col("normalized_text").alias(f"normalized_text_{s}"), F.substring("normalized_text", 1, PREFIX).alias("p"), F.floor(F.length("normalized_text") / LENGTH_STEP).alias("b"))
     bucket = F.col("b")
     train = fold(long.where("split = 'train' AND NOT protected"), "a").withColumn("b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
     held = fold(long.where("protected"), "b")
-    held = held.withColumn("_r", F.row_number().over(Window.partitionBy("p", "b").orderBy("seq_b"))).where(F.col("_r") <= comparisons).drop("_r")
-    return train.join(held, ["p", "b"]).where("normalized_hash_a <> normalized_hash_b")
+    if comparisons is not None:
+        held = held.withColumn("_r", F.row_number().over(Window.partitionBy("p", "b").orderBy("seq_b"))).where(F.col("_r") <= comparisons).drop("_r")
+    cells = held.groupBy("p", "b").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("_n"))
+    held = held.join(cells, ["p", "b"]).withColumn("_c", F.pmod(F.xxhash64("normalized_hash_b"), F.col("_n")).cast("int")).drop("_n")
+    train = train.join(cells, ["p", "b"]).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    return train.join(held, ["p", "b", "_c"]).drop("_c").where("normalized_hash_a <> normalized_hash_b")
 
 
 @F.pandas_udf(DoubleType())
