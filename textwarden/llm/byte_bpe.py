@@ -1,19 +1,21 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
-A task walks its documents in order and splits them by the vocabulary's public pattern. Each piece that it has not met
-yet becomes a row of its own, in front of the document that needs it: a distinct word as an array of byte ids. The JVM
-folds every word with aggregate(): each step replaces the adjacent pair of the lowest rank, the leftmost of equals, by
-their merged id, looked up in a rank map that is a literal of the plan; and it decodes the ids by concatenating the
-vocabulary's binary pieces. A document's row only holds the numbers of its words; behind the fold, the same task joins
-the words' ids and bytes in the document's order. So there is no shuffle, and a word is folded once per task.
-
-The map from pairs to merged ids is derived from the ranks: a pair of tokens can merge if its bytes are a token.
-A task forgets its words after DICTIONARY of them and starts anew, which bounds its memory. Words of over FOLD_BYTES
-bytes (runs without blanks) are merged by a heap in Python with the same rule, since the fold takes quadratic time.
-
-Cases: null text is empty: no tokens, digests of nothing; repeated rows are encoded each; strings of special tokens are
-ordinary text; lone surrogates can't occur in Spark strings; an empty table gives an empty result; decoding ids that are
-no token raises.
+1. Tasks walk their documents in order and split them by the vocabulary's public pattern. Pieces are numbered within a
+   block of documents; the documents' numbers go to a file of the block in the shared folder, its distinct pieces to a
+   table, dealt out by a hash of the piece.
+2. Equal pieces of all blocks meet, and the JVM folds every distinct word of the whole table with aggregate(): each step
+   replaces the adjacent pair of the lowest rank, the leftmost of equals, by their merged id, looked up in a rank map
+   that is a literal of the plan. It decodes the ids by concatenating the vocabulary's binary pieces.
+3. The ids and bytes go back to the blocks that asked for them, and a task for each block joins them in the documents'
+   order. So texts are never shuffled, and what a block may hold is bounded by BLOCK_WORDS, BLOCK_TOKENS and BLOCK_DOCS.
+
+The map from pairs to merged ids is derived from the ranks: a pair of tokens can merge if its bytes are a token. A word
+that stands in very many blocks is dealt out by SALT_BLOCKS blocks at a time. Words of over FOLD_BYTES bytes (runs
+without blanks) are merged by a heap in Python with the same rule, since the fold takes quadratic time.
+
+Cases: null text is empty: no tokens, digests of nothing; repeated rows are encoded each; null identifiers stay null;
+strings of special tokens are ordinary text; lone surrogates can't occur in Spark strings; an empty table gives an empty
+result; decoding ids that are no token raises.
 """
 
 from __future__ import annotations
@@ -22,21 +24,31 @@ import base64
 import hashlib
 import heapq
 import json
+import uuid
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textwarden.llm.common import open_fs, shared_dir, write_atomically, written
 from textwarden.llm.token_store import touching
 
-DICTIONARY = 400_000
-FOLD_BYTES = 128
+#: Bounds of a block: distinct pieces, pieces and documents.
+BLOCK_WORDS, BLOCK_TOKENS, BLOCK_DOCS = 600_000, 8_000_000, 500_000
+#: Pieces are dealt out by a hash into so many buckets, and a list of the blocks that hold one has about SALT_BLOCKS at most.
+BUCKETS, SALT_BLOCKS = 8192, 4096
+FOLD_BYTES = 512
+#: Bounds of what a task keeps beside its block: pieces of what stands between blanks, and documents' numbers not yet written.
+CHUNKS, PENDING = 150_000, 1_000_000
 #: Places of the literal map are left ^ right << SHIFT.
 SHIFT = 3
 #: Stands in front of a word's ids; no pair begins or ends with it.
 MARK = -1
-WORD, END, DOC = 0, 1, 2
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -151,90 +163,215 @@ def _tables(path: str) -> tuple:
     return _TABLES[path]
 
 
-ROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("word", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32())), ("codes", pa.binary())])
-ROW_SQL = "kind int, doc_id long, word array<int>, ids array<int>, codes binary"
-
-
-def _split(path: str, pattern: str):
-    """Documents to rows of new words, then the rows of the documents that hold them."""
+BLOCK_SQL = "block long, bucket int, words array<binary>, codes array<int>"
+BLOCK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.list_(pa.binary())), ("codes", pa.list_(pa.int32()))])
+TEXTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("planes", pa.binary())])
+PART_SQL = "block long, part binary"
+PART = pa.schema([("block", pa.int64()), ("part", pa.binary())])
+DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+
+def _planes(codes: np.ndarray) -> bytes:
+    """32-bit numbers with their first bytes first, then their second ones: the upper ones are mostly zero."""
+    return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+class _Block:
+    """Documents as numbers of their pieces, in a file of its own, and the pieces."""
+
+    def __init__(self, folder: str):
+        self.name = uuid.uuid4().int >> 65
+        self.numbers: dict[str, int] = {}
+        stream, self.commit = write_atomically(folder, f"{self.name}.texts")
+        self.file = pa.ipc.new_stream(stream, TEXTS, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1)))
+        self.pending, self.held, self.tokens, self.docs = [], 0, 0, 0
+
+    def number(self, pieces: list[str]) -> tuple[int, ...]:
+        numbers = self.numbers
+        return tuple([numbers.setdefault(p, len(numbers)) for p in pieces])
+
+    def add(self, doc_id: int | None, codes: np.ndarray) -> None:
+        self.pending.append((doc_id, codes))
+        self.held += len(codes)
+        self.tokens += len(codes)
+        self.docs += 1
+        if self.held > PENDING or len(self.pending) > 50_000:
+            self.flush()
+
+    def flush(self) -> None:
+        """A row with the numbers of several documents follows rows with their identifiers and sizes."""
+        if self.pending:
+            n = len(self.pending)
+            body = _planes(np.concatenate([c for _, c in self.pending]))
+            ids, sizes = [d for d, _ in self.pending], [len(c) for _, c in self.pending]
+            self.file.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([*[None] * (n - 1), body], pa.binary())], schema=TEXTS))
+            self.pending, self.held = [], 0
+
+    def full(self) -> bool:
+        return len(self.numbers) > BLOCK_WORDS or self.tokens > BLOCK_TOKENS or self.docs >= BLOCK_DOCS
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        """Ends the file; the block's pieces by bucket, and a row without a bucket."""
+        self.flush()
+        self.file.close()
+        self.commit()
+        raw = [w.encode() for w in self.numbers]
+        bucket = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % BUCKETS
+        order = np.argsort(bucket, kind="stable")
+        first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        starts = pa.array(np.append(first, len(raw)), pa.int32())
+        words = pa.ListArray.from_arrays(starts, pa.array(raw, pa.binary()).take(pa.array(order)))
+        codes = pa.ListArray.from_arrays(starts, pa.array(order, pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array([self.name]), pa.nulls(1, pa.int32()), pa.nulls(1, BLOCK.types[2]), pa.nulls(1, BLOCK.types[3])], schema=BLOCK)
+        if len(first):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), self.name)), pa.array(bucket[order][first], pa.int32()), words, codes], schema=BLOCK)
+
+
+def _split(pattern: str, folder: str):
+    """Documents to the files and pieces of their blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
         import regex
 
-        byte_ids, pairs, _ = _tables(path)
-        table = np.array(byte_ids, np.int32)
         find = regex.compile(pattern).findall
-        numbers: dict[str, int] = {}  # of pieces
-        chunks: dict[str, tuple[int, ...]] = {}  # the pieces of what stands between single spaces
-
-        def rows(docs: list[tuple], fresh: list[str], end: bool) -> pa.RecordBatch:
-            raw = [w.encode() for w in fresh]
-            short = [table[np.frombuffer(w, np.uint8)] if len(w) <= FOLD_BYTES else None for w in raw]
-            long = [None if s is not None else heap_merge([byte_ids[b] for b in w], pairs) for s, w in zip(short, raw, strict=True)]
-            n, m, e = len(fresh), len(docs), int(end)
-            columns = ([WORD] * n + [DOC] * m + [END] * e, [None] * n + [d for d, _ in docs] + [None] * e, [*short, *[None] * (m + e)], [*long, *[None] * (m + e)], [None] * n + [c for _, c in docs] + [None] * e)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ROW.types, strict=True)], schema=ROW)
-
+        block, chunks = None, {}
         for batch in batches:
-            docs, fresh = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block is None:
+                    block, chunks = _Block(folder), {}
                 text = text or ""
-                if touching(text):
-                    parts = [text]
+                if not text:
+                    codes = np.empty(0, np.uint32)
+                elif touching(text):
+                    pieces = find(text)
+                    codes = np.fromiter(block.number(pieces), np.uint32, len(pieces))
                 else:  # no piece crosses a single space
                     first, *rest = text.split(" ")
-                    parts = [first, *map(" ".__add__, rest)]
-                codes: list[int] = []
-                for part in parts:
-                    found = chunks.get(part)
-                    if found is None:
-                        pieces = find(part)
-                        for p in pieces:
-                            if p not in numbers:
-                                numbers[p] = len(numbers)
-                                fresh.append(p)
-                        found = tuple(map(numbers.__getitem__, pieces))
-                        if len(part) < 100:
-                            chunks[part] = found
-                    codes += found
-                docs.append((doc_id, np.array(codes, np.uint32).tobytes()))
-                full = len(numbers) > DICTIONARY
-                if full or len(docs) >= 500 or len(fresh) >= 20_000:
-                    yield rows(docs, fresh, full)
-                    docs, fresh = [], []
-                if full:
-                    numbers.clear()
-                    chunks.clear()
-            if docs:
-                yield rows(docs, fresh, False)
+                    codes = list(block.number(find(first)))
+                    found = list(map(chunks.get, rest))
+                    if None in found:
+                        for i, part in enumerate(rest):
+                            if found[i] is None:
+                                found[i] = chunks.get(part) or block.number(find(" " + part))
+                                if len(part) < 100:
+                                    chunks[part] = found[i]
+                    codes = np.fromiter(chain(codes, chain.from_iterable(found)), np.uint32)
+                    if len(chunks) > CHUNKS:
+                        chunks.clear()
+                block.add(doc_id, codes)
+                if block.full():
+                    yield from block.close()
+                    block = None
+        if block is not None:
+            yield from block.close()
+
+    return run
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of rows that begin at starts, one after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def _pack(codes: np.ndarray, id_sizes: np.ndarray, ids: np.ndarray, body_sizes: np.ndarray, bodies: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    head = np.array([len(codes), len(ids)], "<u4").tobytes()
+    return squeeze.compress(head + b"".join(_planes(x) for x in (codes, id_sizes, body_sizes, ids)) + bodies.tobytes())
+
+
+def _unpack(part: bytes, expand: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    raw = expand.decompress(part)
+    n, m = np.frombuffer(raw[:8], "<u4").tolist()
+    at = [8 + 4 * x for x in (0, n, 2 * n, 3 * n, 3 * n + m)]
+    codes, id_sizes, body_sizes, ids = (_unplanes(raw[a:b]) for a, b in zip(at, at[1:], strict=False))
+    return codes, id_sizes, body_sizes, ids, raw[at[-1] :]
+
+
+def _offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the rows of a list or binary column without nulls."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return at[:-1], np.diff(at)
+
+
+def _deal(path: str):
+    """Words with their ids and bytes, and the blocks that ask for them, to a part for each block."""
+
+    def parts(at: pa.Array, ids: pa.Array, bodies: pa.Array, squeeze: zstandard.ZstdCompressor) -> pa.RecordBatch:
+        _, asked = _offsets(at)
+        places = at.flatten()
+        block, code = (np.asarray(places.field(i)) for i in (0, 1))
+        owner = np.repeat(np.arange(len(at)), asked)
+        order = np.argsort(block, kind="stable")
+        block, code, owner = block[order], code[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        id_start, id_size = _offsets(ids)
+        body_start, body_size = _offsets(bodies)
+        values, raw = np.asarray(ids.values), np.frombuffer(bodies.buffers()[2] or b"", np.uint8)
+        out = []
+        for a, b in zip(first, np.append(first[1:], len(block)), strict=True):
+            w = owner[a:b]
+            out.append(_pack(code[a:b], id_size[w], values[_ragged(id_start[w], id_size[w])], body_size[w], raw[_ragged(body_start[w], body_size[w])], squeeze))
+        return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(out, pa.binary())], schema=PART)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, ids, bodies, long = batch.columns
+            if long.null_count < len(long):
+                byte_ids, pairs, pieces = _tables(path)
+                merged = [heap_merge([byte_ids[b] for b in w], pairs) for w in long.drop_null().to_pylist()]
+                own = [b"".join(map(pieces.__getitem__, x)) for x in merged]
+                yield parts(at.filter(long.is_valid()), pa.array(merged, pa.list_(pa.int32())), pa.array(own, pa.binary()), squeeze)
+                short = long.is_null()
+                at, ids, bodies = at.filter(short), ids.filter(short), bodies.filter(short)
+            if len(at):
+                yield parts(at, ids, bodies, squeeze)
 
     return run
 
 
-def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words' ids and bytes in each document's order, as digests."""
-    import numpy as np
+_DECIMALS: list[str] = []
+
+
+def _join(folder: str):
+    """The words' ids and bytes in the order of each of a block's documents, as digests."""
 
-    texts: list[str] = []
-    sizes: list[int] = []
-    bodies: list[bytes] = []
-    for batch in batches:
+    def run(table: pa.Table) -> pa.Table:
+        expand = zstandard.ZstdDecompressor()
+        parts = [_unpack(p, expand) for p in table.column("part").drop_null().to_pylist()]
+        n = sum(len(p[0]) for p in parts)
+        top = max((int(p[3].max()) for p in parts if len(p[3])), default=0)
+        _DECIMALS.extend(map(str, range(len(_DECIMALS), top + 1)))
+        texts, bodies, sizes = [""] * n, [b""] * n, np.zeros(n, np.int64)
+        for codes, id_sizes, body_sizes, ids, raw in parts:
+            sizes[codes] = id_sizes
+            decimals = list(map(_DECIMALS.__getitem__, ids.tolist()))
+            a = b = 0
+            for code, i, j in zip(codes.tolist(), id_sizes.tolist(), body_sizes.tolist(), strict=True):
+                texts[code], bodies[code] = " ".join(decimals[a : a + i]), raw[b : b + j]
+                a, b = a + i, b + j
+        del parts
         out = []
-        for kind, doc_id, ids, body, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if kind == WORD:
-                texts.append(ids)
-                sizes.append(ids.count(" ") + 1)
-                bodies.append(body)
-            elif kind == END:
-                texts, sizes, bodies = [], [], []
-            else:
-                at = np.frombuffer(codes, np.uint32).tolist()
-                joined = " ".join(map(texts.__getitem__, at))
-                body = b"".join(map(bodies.__getitem__, at))
-                out.append((doc_id, sum(map(sizes.__getitem__, at)), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(body).hexdigest()))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        fs, base = open_fs(folder)
+        with fs.open_input_stream(f"{base}/{table.column('block')[0].as_py()}.texts", compression=None) as stream:
+            for batch in pa.ipc.open_stream(stream):
+                lengths = batch.column(1).to_pylist()
+                codes = _unplanes(batch.column(2)[batch.num_rows - 1].as_py())
+                counts, line = np.concatenate([[0], np.cumsum(sizes[codes])]), codes.tolist()
+                at = 0
+                for doc_id, length in zip(batch.column(0).to_pylist(), lengths, strict=True):
+                    own = line[at : at + length]
+                    ids, body = " ".join(map(texts.__getitem__, own)), b"".join(map(bodies.__getitem__, own))
+                    out.append((doc_id, int(counts[at + length] - counts[at]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(body).hexdigest()))
+                    at += length
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), DIGESTS.types, strict=True)], schema=DIGESTS)
+
+    return run
 
 
 def encode_words(words: DataFrame, path: str, column: str = "word") -> DataFrame:
@@ -244,19 +381,27 @@ def encode_words(words: DataFrame, path: str, column: str = "word") -> DataFrame
     return with_ids.withColumn("decoded", concat_pieces(F.col("ids"), literal_pieces(ranks)))
 
 
-def byte_ids(text: Column, path: str) -> Column:
-    """A string column's bytes as ids of single bytes."""
-    ranks = load_ranks(path)
+def byte_ids(word: Column, ranks: dict[bytes, int]) -> Column:
+    """A binary column's bytes as ids of single bytes: each byte as the character of its number, then that number."""
     table = F.array(*(F.lit(ranks[bytes([b])]) for b in range(256)))
-    raw = F.hex(F.encode(text, "UTF-8"))
-    return F.transform(F.sequence(F.lit(0), F.octet_length(text) - 1), lambda i: F.get(table, F.conv(F.substring(raw, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
+    letters = F.split(F.decode(word, "ISO-8859-1"), "")
+    return F.get(F.transform(F.array(table), lambda t: F.transform(letters, lambda x: F.get(t, F.ascii(x)))), F.lit(0))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256 (the decoded bytes)."""
     ranks = load_ranks(path)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_split(path, pattern), ROW_SQL)
-    folded = F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), literal_rank_map(pair_ranks(ranks)))).otherwise(F.col("ids"))
-    encoded = rows.select("kind", "doc_id", folded.alias("ids"), "codes")
-    decoded = encoded.select("kind", "doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), concat_pieces(F.col("ids"), literal_pieces(ranks)).alias("body"), "codes")
-    return decoded.mapInArrow(_join, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    folder = shared_dir(docs.sparkSession, "bpe-texts")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    blocks = written(rows.mapInArrow(_split(pattern, folder), BLOCK_SQL), "bpe-words")
+    names = blocks.where("bucket IS NULL").select("block")
+    salts = max(1, -(-names.count() // SALT_BLOCKS))
+    # Buckets stay together, so the words of one need no further exchange.
+    asked = blocks.where("bucket IS NOT NULL").repartition("bucket").select("bucket", "block", F.explode(F.arrays_zip("words", "codes")).alias("w"))
+    asked = asked.select("bucket", F.pmod("block", F.lit(salts)).alias("salt"), "block", F.col("w.words").alias("word"), F.col("w.codes").alias("code"))
+    words = asked.groupBy("bucket", "salt", "word").agg(F.collect_list(F.struct("block", "code")).alias("at"))
+    short = F.octet_length("word") <= FOLD_BYTES
+    encoded = words.select("at", F.when(short, fold_merges(byte_ids(F.col("word"), ranks), literal_rank_map(pair_ranks(ranks)))).alias("ids"), F.when(~short, F.col("word")).alias("long"))
+    decoded = encoded.select("at", "ids", F.when(F.col("ids").isNotNull(), concat_pieces(F.col("ids"), literal_pieces(ranks))).alias("body"), "long")
+    parts = decoded.mapInArrow(_deal(path), PART_SQL).unionByName(names.withColumn("part", F.lit(None).cast("binary")))
+    return parts.groupBy("block").applyInArrow(_join(folder), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
