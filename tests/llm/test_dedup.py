@@ -104,8 +104,34 @@ def test_components(spark, monkeypatch, local):
 def test_near_duplicates_of_nothing(spark):
     df = table(spark, [(1, "x")])
     assert near_dedup.near_duplicates(df.where("false")).count() == 0
-    got = near_dedup.near_duplicates(table(spark, [(None, "a b c"), (5, "a b c"), (6, None)])).collect()
-    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, False), (5, 5, True), (6, 6, True)]
+    assert near_dedup.survivors(df.where("false")).count() == 0
+    got = near_dedup.near_duplicates(table(spark, [(None, "a b c"), (5, "a b c"), (6, None), (None, "alone here"), (None, None)])).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, False), (0, 0, False), (0, 5, False), (5, 5, True), (6, 6, True)]
+
+
+def test_repeated_identifiers_keep_their_links(spark):
+    """Rows with one identifier and different texts are linked each for itself, and one row of each group stays."""
+    rng = random.Random(12)
+    a, b, c, alone = (words(rng, 90) for _ in range(4))
+    rows = [(5, a), (5, b), (6, a + " more"), (7, b + " more"), (None, c), (None, c + " end"), (9, alone), (9, alone), (None, ""), (None, None), (9, " "), (30, "x y"), (31, "X  y")]
+    df = table(spark, rows)
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in near_dedup.near_duplicates(df).collect()))
+    assert [(i, k) for i, n, k in got if i in (5, 6, 7)] == [(5, 5), (5, 5), (6, 5), (7, 5)]
+    kept = near_dedup.survivors(df)
+    assert kept.columns == df.columns
+    texts = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert [t for t in texts if t[0] in (5, 6, 7)] == sorted([(5, a), (5, b)])
+    assert len([t for t in texts if t[1].startswith(c)]) == 1 and texts.count((9, alone)) == 1
+    assert texts.count((0, "")) == 2 and (9, " ") in texts and (30, "x y") in texts and len(texts) == 8
+
+
+def test_recall_against_brute_force(spark):
+    """All links of whole tables: the components of sf0.001."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, 85).collect()}
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], 85)
+    print("recall", sum(got[i] == want[i] for i in want) / len(want))
+    assert got == want
 
 
 def test_estimate_is_near_the_truth():
@@ -114,5 +140,5 @@ def test_estimate_is_near_the_truth():
     b = a[:2600] + [f"v{rng.randrange(10**6)}" for _ in range(400)]
     s, t = near_dedup.shingle_set(" ".join(a)), near_dedup.shingle_set(" ".join(b))
     true = len(set(s.tolist()) & set(t.tolist())) / len(set(s.tolist()) | set(t.tolist()))
-    x, y = (near_dedup.compressed(near_dedup.registers(v))[None] for v in (s, t))
+    x, y = (near_dedup.registers(v)[None] for v in (s, t))
     assert abs(float(near_dedup.estimates(x, y)[0][0]) - true) < 0.15

@@ -1,34 +1,39 @@
 """Near-duplicate groups of documents by HyperMinHash sketches and an exact check of every link.
 
 A document's set holds its distinct 5-word shingles as 64-bit hashes. The top seven bits of a hash name one of 128
-buckets; a bucket's register keeps the least remainder of its hashes as a leading-zero count and mantissa bits.
-Equal sets are one class with one representative, so copies are never expanded into pairs.
+buckets; a bucket's register keeps the least remainder of its hashes as a leading-zero count and mantissa bits, 16 bits
+in all. Equal sets are one class, a node named by the class's digest, so copies are never expanded into pairs and
+identifiers need not be unique.
 
-1. Bands. Four registers make a band key; bands without any shingle are left out. Rows of a key with more than SMALL
-   representatives are dealt again by the pair of the band and each of the next STEPS bands, which parts those that
+1. Bands. Four compressed registers make a band key; bands without any shingle are left out. Nodes that share a key with
+   more than SMALL are dealt again by the pair of the band and each of the next STEPS bands, which parts those that
    share a passage from near copies.
-2. Clusters. What stands under a key that is large even then forms clusters (connected by their keys). A cluster is
-   compared in full, in cells of two blocks of bounded size, so that no task holds more than two blocks and each cell
-   reports no more links than it needs to connect what it holds.
+2. Clusters. What stands under a key that is large even then forms clusters (connected by their keys). A cluster is cut
+   into blocks of bounded size at random; members are compared with their block and with a few PIVOTS of the cluster,
+   which links nearly all that can be linked. Only members outside the cluster's largest component so far are then
+   compared with the whole cluster, block by block. A cell reports no more links than it needs to connect what it holds.
 3. Pairs. Small keys give all their pairs of fitting sizes, but those within one cluster. The compressed registers
-   (16 bits) give a Jaccard estimate corrected for accidental collisions; pairs far below the threshold (by
-   ESTIMATE_SIGMAS standard errors) go.
-4. Verification on the full sets: first the best partner of every document, then the pairs whose ends are still in
+   give a Jaccard estimate corrected for accidental collisions; pairs far below the threshold (by ESTIMATE_SIGMAS
+   standard errors) go.
+4. Verification on the full sets: first the best partner of every node, then the pairs whose ends are still in
    different components. Pairs within one component can't change the result.
 
 Cases: null and blank texts have an empty set and are linked with nothing; texts with fewer than five words have their
-whole word sequence as their only shingle; null identifiers give rows that are their own null component and not kept;
-repeated identifiers with equal texts are one class; an empty table gives an empty result.
+whole word sequence as their only shingle; null identifiers have the component of their text's class and aren't kept
+(its smallest identifier; null if there is none); repeated identifiers are rows of their own, with equal or different
+texts; an empty table gives an empty result. survivors() keeps one row of each group and every row without words, also
+where identifiers are null or repeat.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarden.llm.common import attach, written
@@ -37,17 +42,17 @@ from textwarden.llm.graph import components
 WORDS, BUCKET_BITS, BAND = 5, 7, 4
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // BAND
-MANTISSA = 26
-EMPTY32, EMPTY16 = 0xFFFFFFFF, 0xFFFF
+MANTISSA = 10
+EMPTY = 0xFFFF
 #: Two different minima agree in lz and ten mantissa bits with a probability of about (1/3) / 2**10.
 COLLISION = 1 / 3 / 1024
 ESTIMATE_SIGMAS = 5.0
 SMALL, STEPS = 16, 6
-#: Bounds of a block: documents and shingles.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 60_000
+#: Bounds of a block: documents and shingles; and the members of a cluster that all others are compared with at first.
+BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS = 256, 60_000, 4
 #: Identifiers that a broadcast filter may hold (8 bytes each); more are joined in a shuffle.
 BROADCAST_IDS = 2_000_000
-CACHE = 1_000_000
+CACHE = 200_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,58 +88,66 @@ def shingle_set(text: str | None, width: int = WORDS) -> np.ndarray:
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
-    """128 registers of 32 bits from a sorted set: leading zeros of the least remainder, then its mantissa."""
-    out = np.full(BUCKETS, EMPTY32, np.uint32)
+    """128 compressed registers of 16 bits from a sorted set: leading zeros of the least remainder, then its mantissa."""
+    out = np.full(BUCKETS, EMPTY, "<u2")
     if len(hashes):
         bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         rest = (hashes[first] & np.uint64((1 << (64 - BUCKET_BITS)) - 1)).astype(np.float64) + 1.0
         part, power = np.frexp(rest)
-        zeros = np.clip(64 - BUCKET_BITS + 1 - power, 0, 62).astype(np.uint32)
-        out[bucket[first]] = (zeros << np.uint32(MANTISSA)) | ((part * 2 - 1) * (1 << MANTISSA)).astype(np.uint32)
+        zeros = np.clip(64 - BUCKET_BITS + 1 - power, 0, 62).astype(np.uint16)
+        out[bucket[first]] = (zeros << np.uint16(MANTISSA)) | ((part * 2 - 1) * (1 << MANTISSA)).astype(np.uint16)
     return out
 
 
-def compressed(regs: np.ndarray) -> np.ndarray:
-    """The registers with ten mantissa bits."""
-    return np.where(regs == EMPTY32, EMPTY16, regs >> (MANTISSA - 10)).astype("<u2")
-
-
-def band_keys(regs: np.ndarray) -> list[int | None]:
-    """A signed 64-bit key for each band; the keys of bands without any shingle are equal and even, others odd."""
-    rows = regs.reshape(BANDS, BAND)
-    empty = (rows == EMPTY32).all(axis=1)
-    raw = regs.tobytes()
-    keys = [xxhash.xxh3_64_intdigest(raw[16 * k : 16 * k + 16], k) | 1 if not empty[k] else 0 for k in range(BANDS)]
+def band_keys(regs: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band of compressed registers; 0 for bands without any shingle, others odd."""
+    empty = (regs.reshape(BANDS, BAND) == EMPTY).all(axis=1).tolist()
+    raw, size = regs.tobytes(), 2 * BAND
+    keys = [xxhash.xxh3_64_intdigest(raw[size * k : size * k + size], k) | 1 if not empty[k] else 0 for k in range(BANDS)]
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected Jaccard estimates of paired rows of compressed registers, and how many buckets each used."""
-    used = ((a != EMPTY16) | (b != EMPTY16)).sum(axis=1)
-    equal = ((a == b) & (a != EMPTY16)).sum(axis=1)
+    used = ((a != EMPTY) | (b != EMPTY)).sum(axis=1)
+    equal = ((a == b) & (a != EMPTY)).sum(axis=1)
     raw = equal / np.maximum(used, 1)
     return np.clip((raw - COLLISION) / (1 - COLLISION), 0, 1), used
 
 
+PROFILE_SQL = "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"
+KEYS = ["n_shingles", "d1", "d2"]
+
+
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             s = shingle_set(text)
-            d = xxhash.xxh3_128_digest(s.tobytes())
-            regs = registers(s)
-            rows.append((doc_id, len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), compressed(regs).tobytes(), band_keys(regs)))
+            rows.append((doc_id, len(s), *_digest(s), registers(s).tobytes()))
         if rows:
-            kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_shingles", "d1", "d2", "sketch", "bands"])
+            kinds = [pa.int64()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", *KEYS, "sketch"])
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bands = [band_keys(np.frombuffer(x, "<u2")) for x in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bands, pa.list_(pa.int64()))], names=["node", "n_shingles", "least", "sketch", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["rep_id", "shingles"])
+            found = [shingle_set(t) for t in batch.column(0).slice(start, 256).to_pylist()]
+            digests = zip(*map(_digest, found), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in found], pa.int64()), *(pa.array(d, pa.int64()) for d in digests), pa.array([x.tobytes() for x in found], pa.binary())], names=[*KEYS, "shingles"])
 
 
 def _estimated(percent: int):
@@ -165,35 +178,41 @@ def _verified(percent: int):
     return run
 
 
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(left, right): sizes of the intersections of the sets at these places."""
+    size = np.array([len(x) for x in sets], np.int64)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = np.zeros((len(left), len(right)), np.float32)
+    rows, columns = np.full(len(sets), -1), np.full(len(sets), -1)
+    rows[left], columns[right] = np.arange(len(left)), np.arange(len(right))
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, 8192):  # shingles in stripes, so that the matrices stay small
+        at = slice(np.searchsorted(code, first), np.searchsorted(code, first + 8192))
+        c, o = code[at] - first, owner[at]
+        x, y = np.zeros((len(left), 8192), np.float32), np.zeros((len(right), 8192), np.float32)
+        in_left, in_right = rows[o] >= 0, columns[o] >= 0
+        x[rows[o[in_left]], c[in_left]] = 1
+        y[columns[o[in_right]], c[in_right]] = 1
+        shared += x @ y.T
+    return shared.astype(np.int64)
+
+
 def _cells(percent: int):
-    """The links of a cell (two blocks of a cluster) as a spanning forest; its documents' sets come with their block."""
+    """The links of a cell as a spanning forest: of its rows marked left with all its rows; their sets come with them."""
     names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("rep_id").to_numpy()
-        block = table.column("block").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        ids = table.column("node").to_numpy()
+        _, once = np.unique(ids, return_index=True)  # a pivot may be in its own block
+        marked = set(ids[table.column("left").to_numpy(zero_copy_only=False)].tolist())
+        ids = ids[once]
+        column = table.column("shingles")
+        sets = [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in once]
         size = np.array([len(x) for x in sets], np.int64)
-        lo, hi = block.min(), block.max()
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        _, code = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), size)
-        shared = np.zeros((len(left), len(right)), np.float32)
-        place = np.full(len(sets), -1)
-        place[left] = np.arange(len(left))
-        other = np.full(len(sets), -1)
-        other[right] = np.arange(len(right))
-        order = np.argsort(code, kind="stable")
-        code, owner = code[order], owner[order]
-        for first in range(0, int(code[-1]) + 1, 8192):  # shingles in stripes, so that the matrices stay small
-            at = slice(np.searchsorted(code, first), np.searchsorted(code, first + 8192))
-            c, o = code[at] - first, owner[at]
-            x, y = np.zeros((len(left), 8192), np.float32), np.zeros((len(right), 8192), np.float32)
-            in_left, in_right = place[o] >= 0, other[o] >= 0
-            x[place[o[in_left]], c[in_left]] = 1
-            y[other[o[in_right]], c[in_right]] = 1
-            shared += x @ y.T
-        both = shared.astype(np.int64)
+        left, right = np.flatnonzero([i in marked for i in ids.tolist()]), np.arange(len(sets))
+        both = _shared(sets, left, right)
         link = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
         root = {i: i for i in ids.tolist()}
 
@@ -216,10 +235,10 @@ def _cells(percent: int):
 
 
 class _Linker:
-    """Verified links and their components."""
+    """Verified links between nodes and their components."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, percent: int):
-        self.docs, self.reps, self.percent = docs, reps, percent
+    def __init__(self, docs: DataFrame, reps: DataFrame, percent: int, name):
+        self.docs, self.reps, self.percent, self.name = docs, reps, percent, name
         self.links: DataFrame | None = None
         self.comps: DataFrame | None = None
 
@@ -236,31 +255,57 @@ class _Linker:
             self.links = found if self.links is None else self.links.unionByName(found)
             self.comps = written(components(self.links), "components")
 
-    def sets_of(self, ids: DataFrame) -> DataFrame:
-        """(rep_id, shingles) of the representatives in ids (rep_id, distinct), computed from their texts."""
-        few = ids.count() <= BROADCAST_IDS
-        found = self.docs.select(F.col("doc_id").alias("rep_id"), "text").join(F.broadcast(ids) if few else ids, "rep_id", "left_semi")
-        return written(found.mapInArrow(_sets, "rep_id long, shingles binary"), "sets").dropDuplicates(["rep_id"])
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """(node, shingles) of the nodes (node, distinct), from the texts of rows with the least identifier of each."""
+        wanted = written(nodes.join(self.reps.select("node", "least"), "node"), "wanted")
+        few = wanted.count() <= BROADCAST_IDS
+        ids = wanted.select(F.col("least").alias("_id")).distinct()
+        texts = self.docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+        found = texts.mapInArrow(_sets, "n_shingles long, d1 long, d2 long, shingles binary").select(self.name().alias("node"), "shingles")
+        # Other texts under the same identifier go; equal ones count once.
+        keys = wanted.select("node")
+        return written(found.join(F.broadcast(keys) if few else keys, "node", "left_semi"), "sets").dropDuplicates(["node"])
 
     def compare_clusters(self, members: DataFrame) -> None:
-        """members (rep_id, cluster): all links within each cluster."""
-        sized = members.join(self.reps.select("rep_id", "n_shingles"), "rep_id")
-        need = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-        dealt = members.join(need, "cluster").withColumn("block", F.pmod(F.xxhash64("rep_id"), F.col("blocks")).cast("int"))
-        dealt = dealt.select("rep_id", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-        dealt = dealt.select("rep_id", "cluster", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
-        cells = dealt.join(self.sets_of(written(members.select("rep_id").distinct(), "cluster-ids")), "rep_id")
-        self.add(written(cells.groupBy("cluster", "lo", "hi").applyInArrow(_cells(self.percent), "a long, b long"), "links"))
+        """members (node, cluster): all links within each cluster."""
+        sized = members.join(self.reps.select("node", "n_shingles"), "node")
+        size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+        need = written(sized.groupBy("cluster").agg(size.alias("blocks"), F.count(F.lit(1)).alias("members")), "cluster-sizes")
+        total = members.count()
+        dice = F.xxhash64("node")
+        placed = attach(members, need, ["cluster"], "members", total)
+        placed = written(placed.select("node", "cluster", "blocks", F.pmod(dice, F.col("blocks")).cast("int").alias("block")), "cluster-blocks")
+        sets = written(self.sets_of(placed.select("node").distinct()), "cluster-sets")
+        pivots = placed.groupBy("cluster", "blocks", F.pmod(dice, F.lit(PIVOTS)).alias("turn")).agg(F.min_by("node", dice).alias("node"))
+        pivots = pivots.select("node", "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        self._cells(placed.select("node", "cluster", "block").unionByName(pivots).withColumn("lo", F.lit(-1)).withColumn("left", F.lit(True)), sets)
+
+        told = written(self.with_comps(placed, "node", "comp"), "cluster-components")
+        sizes = told.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
+        main = written(sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("members")), "cluster-main")
+        rest = written(attach(told, main, ["cluster"], "members", total).where("comp <> main").select("node", "cluster", "block", "blocks"), "cluster-rest")
+        # Each block's members outside the main component meet every block of the cluster.
+        asking = written(rest.groupBy("cluster").agg(F.collect_set("block").alias("asking")).join(main.select("cluster", "members"), "cluster"), "cluster-asking")
+        others = attach(placed.select("node", "cluster", "block"), asking, ["cluster"], "members", total)
+        others = others.select("node", "cluster", F.explode("asking").alias("lo"), "block").withColumn("left", F.lit(False))
+        own = rest.select("node", "cluster", F.col("block").alias("lo"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).withColumn("left", F.lit(True))
+        cells = written(others.unionByName(own), "cells")
+        if not cells.isEmpty():
+            self._cells(cells, sets)
+
+    def _cells(self, rows: DataFrame, sets: DataFrame) -> None:
+        cells = rows.select("node", "cluster", "lo", "block", "left").join(sets, "node")
+        self.add(written(cells.groupBy("cluster", "lo", "block").applyInArrow(_cells(self.percent), "a long, b long"), "links"))
 
     def test(self, pairs: DataFrame) -> None:
-        """pairs (a, b) of representatives of fitting sizes."""
-        side = lambda x: self.reps.select(F.col("rep_id").alias(x), F.col("sketch").alias(f"s_{x}"))
+        """pairs (a, b) of nodes of fitting sizes."""
+        side = lambda x: self.reps.select(F.col("node").alias(x), F.col("sketch").alias(f"s_{x}"))
         sketched = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
         likely = written(sketched.mapInArrow(_estimated(self.percent), "a long, b long, estimate double"), "likely")
         if likely.isEmpty():
             return
-        ids = likely.select(F.col("a").alias("rep_id")).unionByName(likely.select(F.col("b").alias("rep_id"))).distinct()
-        sets = self.sets_of(written(ids, "likely-ids"))
+        ids = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+        sets = self.sets_of(written(ids, "likely-nodes"))
         best = written(likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b"), "best")
         self.add(self._verified(best, sets))
         rest = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
@@ -268,7 +313,7 @@ class _Linker:
         self.add(self._verified(apart, sets))
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        side = lambda x: sets.select(F.col("rep_id").alias(x), F.col("shingles").alias(f"s_{x}"))
+        side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
         return written(both.mapInArrow(_verified(self.percent), "a long, b long"), "links")
 
@@ -276,46 +321,89 @@ class _Linker:
 def _keyed(rows: DataFrame) -> DataFrame:
     """rows with a column key: those of keys of two or more, with n and the smallest member as pivot."""
     total = rows.count()
-    full = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep_id").alias("pivot")).where("n > 1"), "keys")
+    full = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"), "keys")
     return written(attach(rows, full, ["key"], "n", total).where("n IS NOT NULL"), "keyed")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept. Links have 100 * intersection >= percent * union."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = written(docs.mapInArrow(_profile, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary, bands array<long>"), "profiles")
-    keys = ["n_shingles", "d1", "d2"]
-    classes = written(profile.groupBy(*keys).agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies")), "classes")
-    filled = classes.where("n_shingles > 0 AND rep_id IS NOT NULL")
-    chosen = filled.select(F.col("n_shingles").alias("_n"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("rep_id").alias("doc_id"))
-    reps = profile.join(chosen, "doc_id").where("d1 = _d1 AND d2 = _d2 AND n_shingles = _n").dropDuplicates(["doc_id"])
-    reps = written(reps.select(F.col("doc_id").alias("rep_id"), "n_shingles", "sketch", "bands"), "reps")
-    linker = _Linker(docs, reps, percent)
-
-    one = _keyed(reps.select("rep_id", "n_shingles", F.posexplode("bands").alias("at", "key")).where("key <> 0"))
-    spread = one.where(F.col("n") > SMALL).join(reps.select("rep_id", "bands"), "rep_id").select("rep_id", "n_shingles", "key", "at", F.expr(f"transform(sequence(1, {STEPS}), i -> struct((at + i) % {BANDS} AS at, bands[(at + i) % {BANDS}] AS key))").alias("next"))
-    deal = spread.select("rep_id", "n_shingles", F.col("key").alias("first"), F.explode("next").alias("next"))
-    two = _keyed(deal.select("rep_id", "n_shingles", F.xxhash64("first", "next.at", "next.key").alias("key")))
-    stars = two.where((F.col("n") > SMALL) & (F.col("rep_id") != F.col("pivot"))).select(F.col("pivot").alias("u"), F.col("rep_id").alias("v"))
-    clusters = written(components(stars).select(F.col("node").alias("rep_id"), F.col("comp").alias("cluster")), "clusters")
+def _named(classes: DataFrame):
+    """The node of a class: half of its digest, or a mix of both halves where two classes share that half."""
+    shared = [r.d1 for r in classes.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1").collect()]
+    return lambda: F.when(F.col("d1").isin(shared), F.xxhash64("d1", "d2", "n_shingles")).otherwise(F.col("d1")) if shared else F.col("d1")
+
+
+def _groups(docs: DataFrame, percent: int) -> DataFrame:
+    """docs (doc_id, text) to a row for each: doc_id, n_shingles, d1, d2, comp (a node, null without words), component_id."""
+    profile = written(docs.mapInArrow(_profile, PROFILE_SQL), "profiles")
+    classes = written(profile.groupBy(*KEYS).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")), "classes")
+    name = _named(classes)
+    filled = classes.where("n_shingles > 0").select(name().alias("node"), "n_shingles", "least", "sketch")
+    reps = written(filled.mapInArrow(_bands, "node long, n_shingles long, least long, sketch binary, bands array<long>"), "reps")
+    linker = _Linker(docs, reps, percent, name)
+
+    one = _keyed(reps.select("node", "n_shingles", F.posexplode("bands").alias("at", "key")).where("key <> 0"))
+    hot = one.where(F.col("n") > SMALL).groupBy("node").agg(F.collect_list("at").alias("hot"))
+    step = f"flatten(transform(hot, at -> transform(sequence(1, {STEPS}), i -> xxhash64(at, bands[at], (at + i) % {BANDS}, bands[(at + i) % {BANDS}]))))"
+    two = _keyed(hot.join(reps.select("node", "n_shingles", "bands"), "node").select("node", "n_shingles", F.explode(F.expr(step)).alias("key")))
+    stars = two.where((F.col("n") > SMALL) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("u"), F.col("node").alias("v"))
+    clusters = written(components(stars).select("node", F.col("comp").alias("cluster")), "clusters")
     if not clusters.isEmpty():
         linker.compare_clusters(clusters)
 
-    small = one.where(F.col("n") <= SMALL).select("key", "rep_id", "n_shingles").unionByName(two.where(F.col("n") <= SMALL).select("key", "rep_id", "n_shingles"))
-    marked = small.join(clusters, "rep_id", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rep_id", "n_shingles", "cluster"))).alias("m"))
+    small = one.where(F.col("n") <= SMALL).select("key", "node", "n_shingles").unionByName(two.where(F.col("n") <= SMALL).select("key", "node", "n_shingles"))
+    marked = small.join(clusters, "node", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "n_shingles", "cluster"))).alias("m"))
     fits = f"least(x.n_shingles, y.n_shingles) * 100 >= greatest(x.n_shingles, y.n_shingles) * {percent} AND NOT coalesce(x.cluster = y.cluster, false)"
-    pairs = marked.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> {fits}), y -> struct(x.rep_id AS a, y.rep_id AS b))))")).alias("p")).select("p.*")
+    pairs = marked.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> {fits}), y -> struct(x.node AS a, y.node AS b))))")).alias("p")).select("p.*")
     linker.test(pairs)
 
-    named = linker.with_comps(classes.where("rep_id IS NOT NULL"), "rep_id", "component_id").unionByName(classes.where("rep_id IS NULL").withColumn("component_id", F.col("rep_id")))
-    named = written(named.select(*keys, "component_id", "copies"), "named")
-    found = attach(profile.select("doc_id", *keys), named, keys, "copies", profile.count())
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    owned = linker.with_comps(classes.where("n_shingles > 0").select(*KEYS, name().alias("node"), "least", "copies"), "node", "comp")
+    least = owned.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = written(owned.join(least, "comp").select(*KEYS, "comp", "component_id", "copies"), "named")
+    found = attach(profile.where("n_shingles > 0").select("doc_id", *KEYS), named, KEYS, "copies", profile.count()).drop("copies")
+    alone = profile.where("n_shingles = 0").select("doc_id", *KEYS, F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"))
+    return found.select(alone.columns).unionByName(alone)
 
 
-def survivors(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay, one document per group, with all columns of docs."""
-    kept = near_duplicates(docs, percent).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, kept. Links have 100 * intersection >= percent * union."""
+    found = _groups(_plain(docs, id_col, text_col), percent)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def survivors(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, one per group and all without words, with all columns of docs."""
+    plain = _plain(docs, id_col, text_col)
+    groups = written(_groups(plain, percent), "groups")
+    first = groups.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "d1", "d2")).alias("w"))
+    kept = written(first.select("w.doc_id", "w.d1", "w.d2"), "kept")
+    stay = kept.select("doc_id").unionByName(groups.where("comp IS NULL").select("doc_id")).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_near_id"))
+    repeated = written(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_near_id")), "repeated")
+    key = F.col(id_col).cast("long")
+    if repeated.isEmpty():
+        return docs.join(stay, key == F.col("_near_id"), "left_semi")
+    # Identifiers that don't name one row: the row is chosen by its text as well.
+    plainly = docs.join(repeated, key.eqNullSafe(F.col("_near_id")), "left_anti").join(stay, key == F.col("_near_id"), "left_semi")
+    unclear = docs.join(repeated, key.eqNullSafe(F.col("_near_id")), "left_semi")
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    told = _plain(unclear, id_col, text_col).where("text IS NOT NULL").distinct().mapInArrow(_told, "doc_id long, sha string, n_shingles long, d1 long, d2 long")
+    wins = told.alias("t").join(kept.alias("k"), F.expr("t.doc_id <=> k.doc_id AND t.d1 = k.d1 AND t.d2 = k.d2"), "left_semi").where("n_shingles > 0")
+    wins = wins.groupBy("doc_id", "d1", "d2").agg(F.min("sha").alias("sha"))
+    wins = written(wins.select(F.col("doc_id").alias("_near_id"), F.col("sha").alias("_near_sha")), "winners")
+    chosen = unclear.join(wins, key.eqNullSafe(F.col("_near_id")) & (sha == F.col("_near_sha")), "left_semi")
+    chosen = chosen.withColumn("_near_sha", sha).dropDuplicates([id_col, "_near_sha"]).drop("_near_sha")
+    wordless = unclear.where(F.coalesce(F.col(text_col), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$"))
+    return plainly.unionByName(chosen).unionByName(wordless)
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            s = shingle_set(text)
+            rows.append((doc_id, hashlib.sha256(text.encode()).hexdigest(), len(s), *_digest(s)))
+        if rows:
+            kinds = [pa.int64(), pa.string()] + [pa.int64()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "sha", *KEYS])
