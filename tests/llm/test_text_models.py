@@ -170,3 +170,34 @@ def test_forest_on_held_out_findings():
     rows = secrets.labelled_findings(600, seed=2)
     p = forest.probability(np.array([secrets.features(*r[:4]) for r in rows]))
     assert np.mean((p >= 0.5) == np.array([r[4] for r in rows], bool)) > 0.95
+
+
+def test_many_languages(spark):
+    """Each of 300 labels is learned, from a sample of a few rows of each."""
+    rng = random.Random(8)
+    words = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäößéñøåçžš") for _ in range(rng.randrange(3, 8))) for _ in range(25)] for k in range(300)}
+    rows = [(i, " ".join(rng.choice(words[g]) for _ in range(40)), g) for i in range(4500) for g in [f"l{i % 300:03d}"]]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=3000).collect()
+    assert len({r.lang_pred for r in got}) == 300
+    held = [r for r in got if r.held_out]
+    assert sum(r.lang_pred == rows[r.doc_id][2] for r in held) >= 0.9 * len(held)
+
+
+def test_decoding_by_hand():
+    """Loss-weighted decoding against its definition."""
+    rng = np.random.default_rng(2)
+    code = langid.codewords(5)
+    m = langid.Model([f"l{k}" for k in range(5)], code, rng.standard_normal((langid.DIM, code.shape[1])).astype(np.float32), rng.standard_normal(code.shape[1]).astype(np.float32), rng.random(code.shape[1]).astype(np.float32))
+    x = langid.features(np.stack([langid.counts(t) for t in ("some words", "und mehr", "z")]))
+    best, score = m.decode(x)
+    for row, b, s in zip(x, best, score, strict=True):
+        margin = [sum(float(row[d]) * float(m.weights[d, k]) for d in np.flatnonzero(row)) + float(m.bias[k]) for k in range(code.shape[1])]
+        loss = [sum(float(m.trust[k]) * math.log1p(math.exp(-int(code[c, k]) * margin[k])) for k in range(code.shape[1])) for c in range(5)]
+        p = [math.exp(min(loss) - v) for v in loss]
+        assert loss.index(min(loss)) == b and s == pytest.approx(max(p) / sum(p), abs=1e-3)
+
+
+def test_features_are_sparse_and_whole():
+    text = "abc déf " * 70_000
+    row = langid.counts(text)
+    assert np.allclose(langid.Rows([langid.Rows.pack(row)]).dense(np.array([0]))[0], langid.features(row)) and row.max() > 65_535
