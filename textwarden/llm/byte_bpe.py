@@ -24,10 +24,10 @@ import base64
 import hashlib
 import heapq
 import json
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +44,12 @@ BLOCK_WORDS, BLOCK_TOKENS, BLOCK_DOCS = 600_000, 8_000_000, 500_000
 BUCKETS, SALT_BLOCKS = 8192, 4096
 FOLD_BYTES = 512
 #: Bounds of what a task keeps beside its block: pieces of what stands between blanks, and documents' numbers not yet written.
-CHUNKS, PENDING = 150_000, 1_000_000
+CHUNKS, PENDING = 500_000, 1_000_000
 #: Places of the literal map are left ^ right << SHIFT.
 SHIFT = 3
-#: Stands in front of a word's ids; no pair begins or ends with it.
-MARK = -1
+#: Lowest bits of the rank and of the place in the fold's state; NEVER is above every rank. Words have less than 1024 bytes.
+RANK, PLACE = 32, 22
+NEVER = 1 << 22
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -89,7 +90,7 @@ def heap_merge(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
 
 
 def literal_rank_map(pairs: dict[tuple[int, int], int]) -> Column:
-    """A foldable array<map<int,int>>: under left ^ right << SHIFT stands a map from left to the merged id.
+    """A foldable array<map<long,long>>: under left ^ right << SHIFT stands a map from left to the merged id.
 
     Given the place and left, right follows, so left is key enough. Places without a pair are null.
     """
@@ -97,7 +98,7 @@ def literal_rank_map(pairs: dict[tuple[int, int], int]) -> Column:
     for (left, right), rank in pairs.items():
         at = left ^ right << SHIFT
         places[at] = (places[at] or {}) | {str(left): rank}
-    return F.from_json(F.lit(json.dumps(places)), "array<map<string,int>>").cast("array<map<int,int>>")
+    return F.from_json(F.lit(json.dumps(places)), "array<map<string,long>>").cast("array<map<long,long>>")
 
 
 def literal_pieces(ranks: dict[bytes, int]) -> Column:
@@ -116,36 +117,37 @@ def fold_merges(word: Column, rank_map: Column) -> Column:
 def fold(word: Column, rank_map: Column) -> Column:
     """Byte ids (array<int>) to token ids by ranked merges.
 
-    The state holds the ids behind a mark, so that every pair has a left neighbour, and beside each id the rank of the
-    pair that it begins (null: no merge). The least rank is the next merge, the leftmost of equals; it looks up the two
-    pairs that are new. Places out of range give null, as pairs without a rank do.
+    The state is one array of longs: the rank of the pair that a token begins, the place of its first byte, and its id
+    (RANK, PLACE and ID bits), behind a mark, so that every pair has a left neighbour. The least long is the next merge,
+    the leftmost of equal ranks; it looks up the two pairs that are new. Places out of range give null, as pairs without
+    a rank do.
     """
-    every = F.lit(1 << 30)
+    every, low, ids = F.lit(1 << 30), F.lit((1 << RANK) - 1), F.lit((1 << PLACE) - 1)
 
-    def rank(left: Column, right: Column) -> Column:
-        return F.get(rank_map, left.bitwiseXOR(F.shiftleft(right, SHIFT)))[left]
+    def ranked(left: Column, right: Column) -> Column:
+        rank = F.get(rank_map, left.bitwiseXOR(F.shiftleft(right, SHIFT)).cast("int"))[left]
+        return F.coalesce(F.shiftleft(rank, RANK), F.lit(NEVER << RANK))
 
-    def begin(ids: Column) -> Column:
-        return F.struct(ids.alias("ids"), F.transform(ids, lambda x, i: rank(x, F.get(ids, i + 1))).alias("ranks"))
+    def begin(all_ids: Column) -> Column:
+        return F.transform(all_ids, lambda x, i: ranked(x, F.get(all_ids, i + 1)) + F.shiftleft(i.cast("long"), PLACE) + x)
 
     def step(state: Column, _: Column) -> Column:
-        ids, ranks = state["ids"], state["ranks"]
-
         def merge(best: Column, at: Column) -> Column:
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, at + 2, every)).alias("ids"),
-                F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(rank(F.get(ids, at - 2), best), rank(best, F.get(ids, at + 1))), F.slice(ranks, at + 2, every)).alias("ranks"),
-            )
+            before, new = F.get(state, at - 2), F.shiftright(best, RANK)
+            left = F.when(at > 2, ranked(before.bitwiseAND(ids), new) + before.bitwiseAND(low)).otherwise(before)
+            own = ranked(new, F.get(state, at + 1).bitwiseAND(ids)) + (best.bitwiseAND(low) - best.bitwiseAND(ids)) + new
+            return F.concat(F.slice(state, F.lit(1), at - 2), F.array(left, own), F.slice(state, at + 2, every))
 
         def placed(best: Column) -> Column:
-            found = F.transform(F.array(F.array_position(ranks, best).cast("int")), lambda at: merge(best, at))
-            return F.when(best.isNull(), state).otherwise(F.get(found, F.lit(0)))
+            found = F.transform(F.array(F.array_position(state, best).cast("int")), lambda at: merge(best, at))
+            return F.when(best >= F.lit(NEVER << RANK), state).otherwise(F.get(found, F.lit(0)))
 
-        return F.get(F.transform(F.array(F.array_min(ranks)), placed), F.lit(0))
+        return F.get(F.transform(F.array(F.array_min(state)), placed), F.lit(0))
 
-    marked = F.concat(F.array(F.lit(MARK)), word)
+    mark = F.array(F.lit(NEVER << RANK))
     steps = F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1)))
-    return F.aggregate(steps, F.get(F.transform(F.array(marked), begin), F.lit(0)), step, lambda state: F.slice(state["ids"], F.lit(2), every))
+    start = F.concat(mark, F.get(F.transform(F.array(word.cast("array<long>")), begin), F.lit(0)))
+    return F.aggregate(steps, start, step, lambda state: F.transform(F.slice(state, F.lit(2), every), lambda x: x.bitwiseAND(ids).cast("int")))
 
 
 def concat_pieces(ids: Column, pieces: Column) -> Column:
@@ -190,14 +192,14 @@ class _Block:
         self.file = pa.ipc.new_stream(stream, TEXTS, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1)))
         self.pending, self.held, self.tokens, self.docs = [], 0, 0, 0
 
-    def number(self, pieces: list[str]) -> tuple[int, ...]:
+    def number(self, pieces: list[str]) -> bytes:
         numbers = self.numbers
-        return tuple([numbers.setdefault(p, len(numbers)) for p in pieces])
+        return struct.pack(f"<{len(pieces)}I", *[numbers.setdefault(p, len(numbers)) for p in pieces])
 
-    def add(self, doc_id: int | None, codes: np.ndarray) -> None:
+    def add(self, doc_id: int | None, codes: bytes) -> None:
         self.pending.append((doc_id, codes))
-        self.held += len(codes)
-        self.tokens += len(codes)
+        self.held += len(codes) // 4
+        self.tokens += len(codes) // 4
         self.docs += 1
         if self.held > PENDING or len(self.pending) > 50_000:
             self.flush()
@@ -206,8 +208,8 @@ class _Block:
         """A row with the numbers of several documents follows rows with their identifiers and sizes."""
         if self.pending:
             n = len(self.pending)
-            body = _planes(np.concatenate([c for _, c in self.pending]))
-            ids, sizes = [d for d, _ in self.pending], [len(c) for _, c in self.pending]
+            body = _planes(np.frombuffer(b"".join([c for _, c in self.pending]), "<u4"))
+            ids, sizes = [d for d, _ in self.pending], [len(c) // 4 for _, c in self.pending]
             self.file.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([*[None] * (n - 1), body], pa.binary())], schema=TEXTS))
             self.pending, self.held = [], 0
 
@@ -231,6 +233,19 @@ class _Block:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), self.name)), pa.array(bucket[order][first], pa.int32()), words, codes], schema=BLOCK)
 
 
+def _bounded(rows: Iterator[tuple[int | None, str | None]]) -> Iterator[list[tuple[int | None, str]]]:
+    """Documents in lists of about a million characters."""
+    out, size = [], 0
+    for doc_id, text in rows:
+        out.append((doc_id, text or ""))
+        size += len(text or "")
+        if size > 1_000_000 or len(out) >= 2000:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
 def _split(pattern: str, folder: str):
     """Documents to the files and pieces of their blocks."""
 
@@ -240,29 +255,19 @@ def _split(pattern: str, folder: str):
         find = regex.compile(pattern).findall
         block, chunks = None, {}
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if block is None:
-                    block, chunks = _Block(folder), {}
-                text = text or ""
-                if not text:
-                    codes = np.empty(0, np.uint32)
-                elif touching(text):
-                    pieces = find(text)
-                    codes = np.fromiter(block.number(pieces), np.uint32, len(pieces))
-                else:  # no piece crosses a single space
-                    first, *rest = text.split(" ")
-                    codes = list(block.number(find(first)))
-                    found = list(map(chunks.get, rest))
-                    if None in found:
-                        for i, part in enumerate(rest):
-                            if found[i] is None:
-                                found[i] = chunks.get(part) or block.number(find(" " + part))
-                                if len(part) < 100:
-                                    chunks[part] = found[i]
-                    codes = np.fromiter(chain(codes, chain.from_iterable(found)), np.uint32)
-                    if len(chunks) > CHUNKS:
-                        chunks.clear()
-                block.add(doc_id, codes)
+            for rows in _bounded(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if block is None or len(chunks) > CHUNKS:
+                    block, chunks = block or _Block(folder), {}
+                # No piece crosses a single space, so texts without blanks side by side are cut there.
+                cut = [None if touching(text) else text.split(" ") for _, text in rows]
+                for part in set().union(*(parts[1:] for parts in cut if parts)).difference(chunks):
+                    chunks[part] = block.number(find(" " + part))
+                for (doc_id, text), parts in zip(rows, cut, strict=True):
+                    if parts is None:
+                        codes = block.number(find(text))
+                    else:
+                        codes = block.number(find(parts[0])) + b"".join(map(chunks.__getitem__, parts[1:]))
+                    block.add(doc_id, codes)
                 if block.full():
                     yield from block.close()
                     block = None
