@@ -9,10 +9,13 @@ identifiers need not be unique.
    more than SMALL are dealt again by the pair of the band and each of the next STEPS bands, which parts those that
    share a passage from near copies.
 2. Clusters. What stands under a key that is large even then forms clusters (connected by their keys). A cluster is cut
-   into blocks of bounded size at random; members are compared with their block and with a few PIVOTS of the cluster,
-   which links nearly all that can be linked. Only members outside the cluster's largest component so far are then
-   compared with the whole cluster, block by block. A cell reports no more links than it needs to connect what it holds.
-3. Pairs. Small keys give all their pairs of fitting sizes, but those within one cluster. The compressed registers
+   into blocks of bounded size at random; members are compared with their block and with PIVOTS of the cluster, which
+   links nearly all that can be linked. Members outside the cluster's largest component then look for partners by rare
+   shingles: two sets of similarity t share one of the (1 - t) n + 1 first shingles of either in any common order, and
+   in an order by their number among the pivots, what a whole cluster shares comes last. No link is lost, sets are sent
+   once, and a cluster of documents that only share a passage costs no more than its size.
+3. Pairs. Small keys give all their pairs of fitting sizes, but those within one cluster, and rare shingles give
+   theirs. The compressed registers
    give a Jaccard estimate corrected for accidental collisions; pairs far below the threshold (by ESTIMATE_SIGMAS
    standard errors) go.
 4. Verification on the full sets: first the best partner of every node, then the pairs whose ends are still in
@@ -32,8 +35,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.llm.common import attach, written
@@ -49,7 +53,7 @@ COLLISION = 1 / 3 / 1024
 ESTIMATE_SIGMAS = 5.0
 SMALL, STEPS = 16, 6
 #: Bounds of a block: documents and shingles; and the members of a cluster that all others are compared with at first.
-BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS = 256, 60_000, 4
+BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS = 256, 60_000, 32
 #: Identifiers that a broadcast filter may hold (8 bytes each); more are joined in a shuffle.
 BROADCAST_IDS = 2_000_000
 CACHE = 200_000
@@ -199,21 +203,24 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return shared.astype(np.int64)
 
 
+def _members(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Nodes, sets and which of them are pivots; a pivot that stands in its own block counts once."""
+    ids = table.column("node").to_numpy()
+    pivots = set(ids[table.column("pivot").to_numpy(zero_copy_only=False)].tolist())
+    ids, once = np.unique(ids, return_index=True)
+    column = table.column("shingles")
+    return ids, [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in once], np.array([i in pivots for i in ids.tolist()], bool)
+
+
 def _cells(percent: int):
-    """The links of a cell as a spanning forest: of its rows marked left with all its rows; their sets come with them."""
+    """The links of a block's members and the cluster's pivots as a spanning forest."""
     names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("node").to_numpy()
-        _, once = np.unique(ids, return_index=True)  # a pivot may be in its own block
-        marked = set(ids[table.column("left").to_numpy(zero_copy_only=False)].tolist())
-        ids = ids[once]
-        column = table.column("shingles")
-        sets = [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in once]
-        size = np.array([len(x) for x in sets], np.int64)
-        left, right = np.flatnonzero([i in marked for i in ids.tolist()]), np.arange(len(sets))
-        both = _shared(sets, left, right)
-        link = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+        ids, sets, _ = _members(table)
+        size, every = np.array([len(x) for x in sets], np.int64), np.arange(len(sets))
+        both = _shared(sets, every, every)
+        link = np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1)
         root = {i: i for i in ids.tolist()}
 
         def find(i: int) -> int:
@@ -224,7 +231,7 @@ def _cells(percent: int):
 
         out = []
         for i, j in np.argwhere(link):
-            u, v = int(ids[left[i]]), int(ids[right[j]])
+            u, v = int(ids[i]), int(ids[j])
             ru, rv = find(u), find(v)
             if ru != rv:
                 root[max(ru, rv)] = min(ru, rv)
@@ -234,6 +241,28 @@ def _cells(percent: int):
     return run
 
 
+def _rare(percent: int):
+    """The first shingles of a block's members, by their number among the cluster's pivots, then by their hash."""
+    names = pa.schema([("cluster", pa.int64()), ("node", pa.int64()), ("shingle", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        own = set(table.filter(pc.invert(table.column("pivot"))).column("node").to_pylist())
+        ids, sets, pivots = _members(table)
+        known, number = np.unique(np.concatenate([x for x, p in zip(sets, pivots, strict=True) if p]), return_counts=True)
+        nodes, shingles = [], []
+        for i, x in zip(ids.tolist(), sets, strict=True):
+            if i in own:
+                at = np.searchsorted(known, x)
+                often = np.where(known[np.minimum(at, len(known) - 1)] == x, number[np.minimum(at, len(known) - 1)], 0)
+                first = len(x) - -(-percent * len(x) // 100) + 1
+                shingles.append(x[np.lexsort((x, often))[:first]])
+                nodes.append(np.full(len(shingles[-1]), i, np.int64))
+        nodes, shingles = np.concatenate(nodes), np.concatenate(shingles).view(np.int64)
+        return pa.Table.from_arrays([pa.array(np.full(len(nodes), table.column("cluster")[0].as_py(), np.int64)), pa.array(nodes), pa.array(shingles)], schema=names)
+
+    return run
+
+
 class _Linker:
     """Verified links between nodes and their components."""
 
@@ -266,36 +295,36 @@ class _Linker:
         keys = wanted.select("node")
         return written(found.join(F.broadcast(keys) if few else keys, "node", "left_semi"), "sets").dropDuplicates(["node"])
 
-    def compare_clusters(self, members: DataFrame) -> None:
-        """members (node, cluster): all links within each cluster."""
+    def compare_clusters(self, members: DataFrame) -> DataFrame | None:
+        """members (node, cluster): links what their blocks and pivots show; returns the pairs (a, b) that are left to test."""
         sized = members.join(self.reps.select("node", "n_shingles"), "node")
         size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
         need = written(sized.groupBy("cluster").agg(size.alias("blocks"), F.count(F.lit(1)).alias("members")), "cluster-sizes")
-        total = members.count()
-        dice = F.xxhash64("node")
-        placed = attach(members, need, ["cluster"], "members", total)
-        placed = written(placed.select("node", "cluster", "blocks", F.pmod(dice, F.col("blocks")).cast("int").alias("block")), "cluster-blocks")
+        total, dice = members.count(), F.xxhash64("node")
+        placed = attach(sized, need, ["cluster"], "members", total)
+        placed = written(placed.select("node", "n_shingles", "cluster", "blocks", F.pmod(dice, F.col("blocks")).cast("int").alias("block")), "cluster-blocks")
         sets = written(self.sets_of(placed.select("node").distinct()), "cluster-sets")
         pivots = placed.groupBy("cluster", "blocks", F.pmod(dice, F.lit(PIVOTS)).alias("turn")).agg(F.min_by("node", dice).alias("node"))
         pivots = pivots.select("node", "cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        self._cells(placed.select("node", "cluster", "block").unionByName(pivots).withColumn("lo", F.lit(-1)).withColumn("left", F.lit(True)), sets)
+        rows = placed.select("node", "cluster", "block").withColumn("pivot", F.lit(False)).unionByName(pivots.withColumn("pivot", F.lit(True)))
+        rows = written(rows, "cluster-rows")
+        cells = lambda some: some.join(sets, "node").groupBy("cluster", "block")
+        self.add(written(cells(rows).applyInArrow(_cells(self.percent), "a long, b long"), "links"))
 
-        told = written(self.with_comps(placed, "node", "comp"), "cluster-components")
+        told = written(self.with_comps(placed.select("node", "n_shingles", "cluster"), "node", "comp"), "cluster-components")
         sizes = told.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
-        main = written(sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("members")), "cluster-main")
-        rest = written(attach(told, main, ["cluster"], "members", total).where("comp <> main").select("node", "cluster", "block", "blocks"), "cluster-rest")
-        # Each block's members outside the main component meet every block of the cluster.
-        asking = written(rest.groupBy("cluster").agg(F.collect_set("block").alias("asking")).join(main.select("cluster", "members"), "cluster"), "cluster-asking")
-        others = attach(placed.select("node", "cluster", "block"), asking, ["cluster"], "members", total)
-        others = others.select("node", "cluster", F.explode("asking").alias("lo"), "block").withColumn("left", F.lit(False))
-        own = rest.select("node", "cluster", F.col("block").alias("lo"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).withColumn("left", F.lit(True))
-        cells = written(others.unionByName(own), "cells")
-        if not cells.isEmpty():
-            self._cells(cells, sets)
-
-    def _cells(self, rows: DataFrame, sets: DataFrame) -> None:
-        cells = rows.select("node", "cluster", "lo", "block", "left").join(sets, "node")
-        self.add(written(cells.groupBy("cluster", "lo", "block").applyInArrow(_cells(self.percent), "a long, b long"), "links"))
+        main = written(sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("comps")).where("comps > 1"), "cluster-main")
+        if main.isEmpty():
+            return None
+        told = attach(told, main, ["cluster"], "members", total).where("main IS NOT NULL").select("node", "n_shingles", "comp", (F.col("comp") == F.col("main")).alias("in_main"))
+        rare = cells(rows.join(main.select("cluster"), "cluster", "left_semi")).applyInArrow(_rare(self.percent), "cluster long, node long, shingle long")
+        rare = rare.join(told, "node")
+        shared = rare.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("cluster", "shingle")
+        rare = written(rare.join(shared, ["cluster", "shingle"], "left_semi"), "rare")
+        x, y = rare.where("NOT in_main").alias("x"), rare.alias("y")
+        fits = f"least(x.n_shingles, y.n_shingles) * 100 >= greatest(x.n_shingles, y.n_shingles) * {self.percent} AND x.comp <> y.comp AND (y.in_main OR x.node < y.node)"
+        found = x.join(y, F.expr(f"x.cluster = y.cluster AND x.shingle = y.shingle AND {fits}"))
+        return found.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b"))
 
     def test(self, pairs: DataFrame) -> None:
         """pairs (a, b) of nodes of fitting sizes."""
@@ -346,14 +375,13 @@ def _groups(docs: DataFrame, percent: int) -> DataFrame:
     two = _keyed(hot.join(reps.select("node", "n_shingles", "bands"), "node").select("node", "n_shingles", F.explode(F.expr(step)).alias("key")))
     stars = two.where((F.col("n") > SMALL) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("u"), F.col("node").alias("v"))
     clusters = written(components(stars).select("node", F.col("comp").alias("cluster")), "clusters")
-    if not clusters.isEmpty():
-        linker.compare_clusters(clusters)
+    far = None if clusters.isEmpty() else linker.compare_clusters(clusters)
 
     small = one.where(F.col("n") <= SMALL).select("key", "node", "n_shingles").unionByName(two.where(F.col("n") <= SMALL).select("key", "node", "n_shingles"))
     marked = small.join(clusters, "node", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "n_shingles", "cluster"))).alias("m"))
     fits = f"least(x.n_shingles, y.n_shingles) * 100 >= greatest(x.n_shingles, y.n_shingles) * {percent} AND NOT coalesce(x.cluster = y.cluster, false)"
     pairs = marked.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> {fits}), y -> struct(x.node AS a, y.node AS b))))")).alias("p")).select("p.*")
-    linker.test(pairs)
+    linker.test(pairs if far is None else pairs.unionByName(far))
 
     owned = linker.with_comps(classes.where("n_shingles > 0").select(*KEYS, name().alias("node"), "least", "copies"), "node", "comp")
     least = owned.groupBy("comp").agg(F.min("least").alias("component_id"))
