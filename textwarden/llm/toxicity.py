@@ -1,23 +1,24 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A token's input is a learned vector of its word joined with the mean vector of its hashed character n-grams (a word that repeats at once counts once). Windows of
+A token's input is a learned vector of its word joined with the mean vector of its hashed character n-grams. Windows of
 32 tokens that overlap by half cover the whole text; two recurrent passes read each, attention weighs their states, and
 a document's score is that of its worst window.
 
-Training takes a bounded sample of the labelled rows. Labels hold for documents, not windows, so training first picks
-the window of each toxic document that has the most telling features, then alternates: fit, and pick again the worst
-window of each document by the network itself (which also finds the clean windows it gets wrong). Last, all labelled
-rows that aren't held out are rated on the executors, and the threshold is moved to where they are told apart best, in
-the ratio in which they come.
+Training takes a bounded sample of the labelled rows and runs in one executor task; the driver only gets the network.
+Labels hold for documents, not windows, so training first picks the window of each toxic document that has the most
+telling features, then alternates: fit, and pick again the worst window of each document by the network itself (which
+also finds the clean windows it gets wrong). Last, all labelled rows that aren't held out are rated on the executors, and
+the threshold is moved to where they are told apart best, in the ratio in which they come.
 
 Cases: null and empty texts are one window of padding with a score of their own; null identifiers are neither held out
-nor trained on; repeated rows are scored each; labels that are null, or whose document is missing, train nothing;
+nor trained on; repeated rows are scored each, and of rows with one identifier the least text trains; labels that are null, or whose document is missing, train nothing;
 without labels of both kinds the score is the share of toxic labels (0 without any); an empty table gives an empty
 result; a text of any length is scored in slices of whole windows.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -53,9 +54,11 @@ def pieces(word: bytes) -> list[bytes]:
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """The text's words in lower case without marks around them, long ones in pieces; runs of one word count once."""
-    words = [p for w in (text or "").encode().lower().split() for p in pieces(w.strip(MARKS))]
-    return [w for w, before in zip(words, [b"", *words]) if w and w != before]  # noqa: B905
+    """The text's words in lower case without marks around them, long ones in pieces."""
+    words = [w.strip(MARKS) for w in (text or "").encode().lower().split()]
+    if max(map(len, words), default=0) > LONG:
+        words = [p for w in words for p in pieces(w)]
+    return [w for w in words if w]
 
 
 def char_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -385,15 +388,24 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, tox
     dice = F.xxhash64(F.col("doc_id"), F.lit(11))
     few = [rows.where(F.col("toxic") == k).orderBy(dice, "doc_id").limit(n) for k, n in ((1, toxic_rows), (0, clean_rows))]
     picked = F.broadcast(few[0].unionByName(few[1]))  # at most toxic_rows + clean_rows rows
-    sample = docs.select(F.col("doc_id"), "text").join(picked, "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    y = sample.column("toxic").to_numpy().astype(np.int64)
-    if len(y) == 0 or y.min() == y.max():
-        return float(y.mean()) if len(y) else 0.0
-    net = fit(sample.column("text").to_pylist(), y)
-    net.offset = -_divide(*np.array(_rate(docs, rows, net), np.int64).T)
+    sample = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("long").alias("toxic"))
+    found = sample.repartition(1).mapInArrow(_fitted, "net binary").collect()
+    net = pickle.loads(found[0].net) if found else 0.0
+    if isinstance(net, Net):
+        net.offset = -_divide(*np.array(_rate(docs, rows, net), np.int64).T)
     return net
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of the sample to one row with the network, or the share of toxic labels."""
+    if not (held := [b for b in batches if b.num_rows]):
+        return
+    sample = pa.Table.from_batches(held).sort_by("doc_id")
+    y = sample.column("toxic").to_numpy().astype(np.int64)
+    net = float(y.mean()) if y.min() == y.max() else fit(sample.column("text").to_pylist(), y)
+    yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps(net)], pa.binary())})
+
+
 _SCORERS: dict[str, Scorer] = {}
 
 
