@@ -11,9 +11,9 @@ identifiers need not be unique.
 2. Clusters. What stands under a key that is large even then forms clusters (connected by their keys). A cluster is cut
    into blocks of bounded size at random; members are compared with their block and with PIVOTS of the cluster, which
    links nearly all that can be linked. Members outside the cluster's largest component then look for partners by rare
-   shingles: two sets of similarity t share one of the (1 - t) n + 1 first shingles of either in any common order, and
-   in an order by their number among the pivots, what a whole cluster shares comes last. No link is lost, sets are sent
-   once, and a cluster of documents that only share a passage costs no more than its size.
+   shingles: in any common order of shingles, the first one that two sets share stands early enough in both to leave room
+   for the overlap that their sizes ask for. Ordered by their number among the pivots, what a whole cluster shares comes
+   last, so documents that only share a passage don't meet. No link is lost, and sets are sent once.
 3. Pairs. Small keys give all their pairs of fitting sizes, but those within one cluster, and rare shingles give
    theirs. The compressed registers
    give a Jaccard estimate corrected for accidental collisions; pairs far below the threshold (by ESTIMATE_SIGMAS
@@ -242,23 +242,31 @@ def _cells(percent: int):
 
 
 def _rare(percent: int):
-    """The first shingles of a block's members, by their number among the cluster's pivots, then by their hash."""
-    names = pa.schema([("cluster", pa.int64()), ("node", pa.int64()), ("shingle", pa.int64())])
+    """The first shingles of a block's members, by their number among the cluster's pivots, then by their hash.
+
+    A partner that is no larger shares at least 2 * percent / (100 + percent) of its own size, one that is no smaller at
+    least percent / 100; early marks the places up to the first bound, rows end at the second.
+    """
+    names = pa.schema([("cluster", pa.int64()), ("node", pa.int64()), ("shingle", pa.int64()), ("place", pa.int32()), ("early", pa.bool_())])
 
     def run(table: pa.Table) -> pa.Table:
         own = set(table.filter(pc.invert(table.column("pivot"))).column("node").to_pylist())
         ids, sets, pivots = _members(table)
         known, number = np.unique(np.concatenate([x for x, p in zip(sets, pivots, strict=True) if p]), return_counts=True)
-        nodes, shingles = [], []
+        nodes, shingles, places, early = [], [], [], []
         for i, x in zip(ids.tolist(), sets, strict=True):
             if i in own:
-                at = np.searchsorted(known, x)
-                often = np.where(known[np.minimum(at, len(known) - 1)] == x, number[np.minimum(at, len(known) - 1)], 0)
-                first = len(x) - -(-percent * len(x) // 100) + 1
-                shingles.append(x[np.lexsort((x, often))[:first]])
-                nodes.append(np.full(len(shingles[-1]), i, np.int64))
-        nodes, shingles = np.concatenate(nodes), np.concatenate(shingles).view(np.int64)
-        return pa.Table.from_arrays([pa.array(np.full(len(nodes), table.column("cluster")[0].as_py(), np.int64)), pa.array(nodes), pa.array(shingles)], schema=names)
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                often = np.where(known[at] == x, number[at], 0)
+                last = len(x) - -(-percent * len(x) // 100) + 1
+                nodes.append(np.full(last, i, np.int64))
+                shingles.append(x[np.lexsort((x, often))[:last]])
+                places.append(np.arange(last))
+                early.append(places[-1] <= len(x) - -(-2 * percent * len(x) // (100 + percent)))
+        columns = [np.concatenate(c) for c in (nodes, shingles, places, early)]
+        kinds = names.types
+        cluster = np.full(len(columns[0]), table.column("cluster")[0].as_py(), np.int64)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip((cluster, columns[0], columns[1].view(np.int64), *columns[2:]), kinds, strict=True)], schema=names)
 
     return run
 
@@ -317,13 +325,14 @@ class _Linker:
         if main.isEmpty():
             return None
         told = attach(told, main, ["cluster"], "members", total).where("main IS NOT NULL").select("node", "n_shingles", "comp", (F.col("comp") == F.col("main")).alias("in_main"))
-        rare = cells(rows.join(main.select("cluster"), "cluster", "left_semi")).applyInArrow(_rare(self.percent), "cluster long, node long, shingle long")
+        rare = cells(rows.join(main.select("cluster"), "cluster", "left_semi")).applyInArrow(_rare(self.percent), "cluster long, node long, shingle long, place int, early boolean")
         rare = rare.join(told, "node")
-        shared = rare.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("cluster", "shingle")
-        rare = written(rare.join(shared, ["cluster", "shingle"], "left_semi"), "rare")
-        x, y = rare.where("NOT in_main").alias("x"), rare.alias("y")
-        fits = f"least(x.n_shingles, y.n_shingles) * 100 >= greatest(x.n_shingles, y.n_shingles) * {self.percent} AND x.comp <> y.comp AND (y.in_main OR x.node < y.node)"
-        found = x.join(y, F.expr(f"x.cluster = y.cluster AND x.shingle = y.shingle AND {fits}"))
+        shared = rare.groupBy("cluster", "shingle").agg(F.min("comp").alias("one"), F.max("comp").alias("other"), F.max("early").alias("met")).where("one <> other AND met")
+        rare = written(rare.join(shared.select("cluster", "shingle"), ["cluster", "shingle"], "left_semi"), "rare")
+        # x is the larger one; least is the overlap that both sizes ask for.
+        least = f"ceil({self.percent} * (x.n_shingles + y.n_shingles) / {100 + self.percent})"
+        fits = f"(x.n_shingles > y.n_shingles OR (x.n_shingles = y.n_shingles AND x.node > y.node)) AND x.place <= x.n_shingles - {least} AND y.place <= y.n_shingles - {least}"
+        found = rare.alias("x").join(rare.where("early").alias("y"), F.expr(f"x.cluster = y.cluster AND x.shingle = y.shingle AND x.comp <> y.comp AND NOT (x.in_main AND y.in_main) AND {fits}"))
         return found.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b"))
 
     def test(self, pairs: DataFrame) -> None:
