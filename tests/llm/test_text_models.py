@@ -24,29 +24,75 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x")).repartition(4)
 
 
-def test_ppm_counts_and_base(docs, monkeypatch):
-    rows = [(r.doc_id, (r.text or "").encode().lower().split() + [b"\n"]) for r in docs.collect()]
+def ppm_by_hand(train, lines, order=ppm.ORDER):
+    """log10 probabilities of lines of words by the definition: longest context first, escapes, exclusion at every step."""
+    spell = lambda line: b"\n" * order + b"".join(w + b" " for w in line) + b"\n"
+    seen = {}
+    for line in train:
+        raw = spell(line)
+        for i in range(order, len(raw)):
+            for k in range(order + 1):
+                seen.setdefault(raw[i - k : i], Counter())[raw[i]] += 1
+    out = []
+    for line in lines:
+        raw, total = spell(line), 0.0
+        for i in range(order, len(raw)):
+            gone, left = set(), 1.0
+            for k in range(order, -1, -1):
+                symbols = {s: c for s, c in seen.get(raw[i - k : i], {}).items() if s not in gone}
+                n = sum(symbols.values())
+                if raw[i] in symbols:
+                    total += math.log10(left * (2 * symbols[raw[i]] - 1) / (2 * n))
+                    break
+                if n:
+                    left *= len(symbols) / (2 * n)
+                gone |= set(symbols)
+            else:
+                total += math.log10(left / (256 - len(gone)))
+        out.append(total)
+    return out
+
+
+def test_ppm_against_its_definition(docs, monkeypatch):
+    rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect()]
     fold = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 5
-    count = Counter(w for i, line in rows if fold(i) not in (None, 1) for w in line)
+    train = [line for i, line in rows if fold(i) not in (None, 1)]
+    count = Counter(w for line in train for w in [*line, b"\n"])
     total, distinct = sum(count.values()), len(count)
     base = lambda line: sum(math.log10((count[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in line)
-    want = sorted((i or -1, fold(i) == 1, len(line), sum(count[w] > 0 for w in line), total, round(base(line), 4)) for i, line in rows)
-    runs = []
-    for size in (60_000, 3):  # one range of the vocabulary, or many
-        monkeypatch.setattr(ppm, "RANGE_WORDS", size)
-        got = ppm.score_documents(docs).collect()
-        assert sorted((r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-        assert all(math.isfinite(r.score) and r.score < 0 for r in got)
-        runs.append(sorted((r.doc_id or -1, round(r.score, 6)) for r in got))
-    assert runs[0] == runs[1]
+    scores = ppm_by_hand(train, [line for _, line in rows])
+    want = sorted((i or -1, fold(i) == 1, len(line) + 1, sum(count[w] > 0 for w in [*line, b"\n"]), total, base([*line, b"\n"]), s) for (i, line), s in zip(rows, scores, strict=True))
+    for tokens in (8_000_000, 500):  # one block a task, or many
+        monkeypatch.setattr(ppm, "BLOCK_TOKENS", tokens)
+        got = sorted((r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ppm.score_documents(docs).collect())
+        assert [g[:5] for g in got] == [w[:5] for w in want]
+        assert [x for g in got for x in g[5:]] == pytest.approx([x for w in want for x in w[5:]], rel=1e-6)
     assert ppm.score_documents(docs.where("false")).count() == 0
 
 
-def test_byte_model_is_a_distribution():
-    rng = np.random.default_rng(0)
-    keys = np.unique(rng.integers(0, 1 << 24, 5000))
-    p = ppm.byte_model(keys, rng.integers(1, 9, len(keys)))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-3) and (p >= 0).all()
+def test_ppm_without_training_rows(spark):
+    got = ppm.score_documents(spark.createDataFrame([(None, "ab c"), (None, None)], "doc_id long, text string")).collect()
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.score, 6)) for r in got) == [(1, 0, 0, round(-math.log10(256), 6)), (3, 0, 0, round(-6 * math.log10(256), 6))]
+
+
+def test_ppm_learns_more_than_word_counts(spark):
+    """Against the smoothed word counts, on training rows and on the known words of held-out rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = ppm.score_documents(docs).collect()
+    mean = lambda x, held: sum(getattr(r, x) for r in got if r.held_out == held) / sum(r.n_tokens for r in got if r.held_out == held)
+    assert mean("score", False) > mean("base_score", False)
+
+
+def test_ppm_is_a_distribution():
+    """The shares of all bytes after a context add up to one."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["ab", "abc", "b", "cab"]) for _ in range(40)).encode() + b" \n" for _ in range(20)]
+    key, n = ppm.counted(texts, [True] * len(texts))
+    model = ppm.levels(key, n, ppm.ORDER, ppm.levels(*ppm.shorter(key, n, ppm.ORDER - ppm.SHARED_ORDER), ppm.SHARED_ORDER, []))
+    for context in (b"ab ab", b"zzzzz", b"zz ab", b"\n\n\n\n\n", b"cab c"):
+        last = int.from_bytes(context[::-1], "big")
+        p = 10 ** ppm.code_lengths(model, np.array([last << 8 | s for s in range(256)], np.int64))
+        assert p.sum() == pytest.approx(1)
 
 
 def test_language(docs):

@@ -1,21 +1,24 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-The model predicts a text's words byte by byte, each word with a closing blank. Its longest context is the word so far,
-a node of the byte trie of all training words; below it stand the contexts of the last two, one and no bytes, and the
-uniform distribution over the bytes not excluded. An escape leads from a context to the next shorter one, in which the
-symbols seen in the longer one are excluded. Escapes from trie nodes are estimated from the data: nodes are put into
-classes by count and fan-out, and leaving each occurrence out in turn shows how often a node of a class meets a symbol
-that is new to it. On top the score adapts to the document: the pretrained probability of a word is mixed with its
-share among the words that the document has shown so far.
-
-A word's pretrained code length depends on the word alone, so the trie, which grows with the corpus, is built over
-ranges of the sorted distinct words and never stands in one place. Collected and broadcast are the counts of three
-adjacent bytes (2**24 at most) and the nodes that reach over a range's ends (a few for each range). Documents are cut into blocks whose words are
-numbered; a block meets the code lengths of its distinct words, so texts are never shuffled.
-
-Cases: null text is empty and holds the end token only; an unknown word has a finite code length by escapes; null
+A text is its words in lower case, each with a closing blank, then an end byte. The model is a trie of byte contexts of
+up to ORDER bytes that run across blanks, counted over all training texts. A byte is predicted by its longest context
+that was ever seen; from there escapes lead to the next shorter one down to the empty context and at last to a uniform
+choice. At every step the symbols seen in the longer context are excluded: a context with n occurrences of q symbols
+that aren't excluded gives a symbol of count c the share (2c - 1) / 2n and the escape q / 2n.
+
+1. Documents are cut into blocks, kept as word numbers in a file of the block in the shared folder. A block reports its
+   distinct (context, byte) grams and words with their training counts, dealt out to buckets: grams by their last three
+   context bytes, so a bucket holds whole subtrees, words by a hash.
+2. A bucket adds up the counts of all blocks, builds its part of the trie, and sends the code length of each gram and the
+   count of each word back to the blocks that asked. Contexts of up to two bytes are shared by all buckets: their counts
+   (2**24 at most, in real texts some 100,000) are broadcast.
+3. A task for each block adds up the code lengths of its documents.
+
+So what is gathered grows with the input and is never in one place, and texts are never shuffled.
+
+Cases: null text is empty and holds the end token only; a byte that was never seen has a finite code length; null
 identifiers belong neither to the training nor to the held-out rows; repeated rows count and score each for itself;
-without any training row all counts are zero and the byte model is uniform; an empty table gives an empty result.
+without any training row all counts are zero and every byte costs log10(256); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,306 +33,294 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import written
+from textwarden.llm.common import open_fs, shared_dir, write_atomically, written
 
-BLOCK_TOKENS, BLOCK_WORDS = 6_000_000, 500_000
-#: Distinct words in a range of the sorted vocabulary.
-RANGE_WORDS = 60_000
+ORDER, SHARED_ORDER = 5, 2
+#: Bounds of a block: tokens, distinct words and documents; and bytes that are looked at in one go.
+BLOCK_TOKENS, BLOCK_WORDS, BLOCK_DOCS, SLICE = 8_000_000, 600_000, 500_000, 4_000_000
+MOST_BUCKETS = 1 << 16
 BLANK, END = 0x20, 0x0A
 FOLDS, HELD = 5, 1
-#: Weight of the document's own words after many words, and the number of words at which it has half of it.
-CACHE_WEIGHT, CACHE_HALF = 0.25, 60.0
-COUNT_CLASSES, FAN_CLASSES = 24, 6
+BYTE, PAIR = np.int64(8), np.int64(16)
+
+
+def fold_of(doc_id: int | None, folds: int = FOLDS) -> int | None:
+    return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % folds
+
+
+def _batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def squeezed(x: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """An array, its elements' first bytes first, compressed."""
+    x = np.ascontiguousarray(x)
+    return squeeze.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()) if len(x) else b""
+
+
+def expanded(raw: bytes, kind: str, expand: zstandard.ZstdDecompressor) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(expand.decompress(raw), np.uint8).reshape(size, -1).T).view(kind).reshape(-1) if raw else np.empty(0, kind)
+
+
+# Grams: a context's bytes, the last one first, and the byte behind it.
+
+
+def grams(texts: list[bytes]) -> np.ndarray:
+    """The grams of all bytes of some texts, as if each began behind ORDER ends."""
+    pad = bytes([END]) * ORDER
+    x = np.frombuffer(b"".join(pad + t for t in texts), np.uint8).astype(np.int64)
+    n = len(x) - ORDER
+    if n <= 0:
+        return np.empty(0, np.int64)
+    key = x[ORDER - 1 : ORDER - 1 + n].copy()
+    for back in range(2, ORDER + 1):
+        key = key << BYTE | x[ORDER - back : ORDER - back + n]
+    key = key << BYTE | x[ORDER:]
+    size = np.array([len(t) for t in texts])
+    return key[np.repeat(np.cumsum(size + ORDER) - size - ORDER - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
+def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(key) else n
+
+
+def counted(texts: list[bytes], train: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of all texts and how often each occurs in the training texts."""
+    keys, counts, part, size = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [], 0
+    for i, text in enumerate(texts):
+        part.append(i)
+        size += len(text)
+        if size > SLICE or i + 1 == len(texts):
+            for flag in (True, False):
+                if chosen := [texts[k] for k in part if train[k] == flag]:
+                    key, n = np.unique(grams(chosen), return_counts=True)
+                    keys.append(key)
+                    counts.append(n if flag else np.zeros(len(key), np.int64))
+            part, size = [], 0
+            if len(keys) > 8:
+                key, n = added(keys, counts)
+                keys, counts = [key], [n]
+    return added(keys, counts)
+
+
+def shorter(key: np.ndarray, n: np.ndarray, steps: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Grams with their contexts' first bytes left out."""
+    return added([key >> np.int64(8 * (steps + 1)) << BYTE | key & 255], [n])
+
+
+class Level:
+    """The contexts of one length: grams with counts, and each context's occurrences and number of symbols."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, below: Level | None):
+        self.key, self.n = key, n
+        self.context, start = np.unique(key >> BYTE, return_index=True)
+        self.total = np.add.reduceat(n, start) if len(n) else n
+        self.symbols = np.diff(np.append(start, len(key)))
+        #: How often the context without its first byte is followed by one of this context's symbols.
+        self.excluded = np.zeros(len(start), np.int64)
+        if below is not None and len(key):
+            self.excluded = np.add.reduceat(below.n[np.searchsorted(below.key, key >> PAIR << BYTE | key & 255)], start)
+
+
+def levels(key: np.ndarray, n: np.ndarray, order: int, below: list[Level]) -> list[Level]:
+    """The levels of orders len(below) to order from the counts of the longest grams, behind those below."""
+    grown = [(key, n)]
+    while len(grown) <= order - len(below):
+        grown.append(shorter(*grown[-1]))
+    out = list(below)
+    for key, n in reversed(grown):
+        out.append(Level(key, n, out[-1] if out else None))
+    return out
+
+
+def _found(sorted_keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(sorted_keys):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, key), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == key
+
+
+def code_lengths(model: list[Level], key: np.ndarray) -> np.ndarray:
+    """log10 probabilities of grams whose contexts have len(model) - 1 bytes."""
+    out, open_ = np.zeros(len(key)), np.arange(len(key))
+    taken, known = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+    for order in range(len(model) - 1, -1, -1):
+        level, rest = model[order], key[open_]
+        context = rest >> np.int64(8 * (len(model) - order))
+        at, seen = _found(level.context, context)
+        gram, hit = _found(level.key, context << BYTE | rest & 255)
+        if not len(level.key):
+            continue
+        n, q = level.total[at] - taken, level.symbols[at] - known
+        with np.errstate(divide="ignore"):
+            step = np.where(hit, np.log10((2 * level.n[gram] - 1) / np.maximum(2 * n, 1)), np.log10(q / np.maximum(2 * n, 1)))
+        out[open_] += np.where(seen & (hit | (n > 0)), step, 0.0)
+        taken, known = (np.where(seen, x[at], 0)[~hit] for x in (level.excluded, level.symbols))
+        open_ = open_[~hit]
+    out[open_] -= np.log10(np.maximum(256 - known, 1))
+    return out
+
+
+# Blocks of documents.
+
+BLOCK_SQL = "block long, bucket int, grams binary, gram_counts binary, words binary, sizes binary, word_counts binary, low array<int>, low_counts array<long>"
+BLOCK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((x, pa.binary()) for x in ("grams", "gram_counts", "words", "sizes", "word_counts")), ("low", pa.list_(pa.int32())), ("low_counts", pa.list_(pa.int64()))])
+TEXTS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.binary())])
 
 
 class _Codes(dict):
     def __missing__(self, word: bytes) -> int:
-        self[word] = code = len(self) + 1
+        self[word] = code = len(self)
         return code
 
 
-BLOCK_SQL = "block long, doc_id long, held_out boolean, codes binary, code int, word binary, train long"
-BLOCK = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.binary()), ("code", pa.int32()), ("word", pa.binary()), ("train", pa.int64())])
+def _bucket_of_grams(key: np.ndarray, buckets: int) -> np.ndarray:
+    """By the last three context bytes."""
+    h = (key >> np.int64(8 * (ORDER - 2))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+def _dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by bucket, and where each bucket begins in it."""
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def fold_of(doc_id: int | None, folds: int = FOLDS) -> int | None:
-    return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % folds
+def _bucket_of_words(words: list[bytes], buckets: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
 
 
-def _blocks(folds: int, held: int):
-    """Documents to rows with the numbers of their words (0 is the end token), and a row for each word of a block."""
+def _spelled(words: list[bytes], line: np.ndarray) -> bytes:
+    """A document's bytes from the numbers of its words; 0 is the end."""
+    return b"".join(map(words.__getitem__, line.tolist()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def fresh():
-            return uuid.uuid4().int >> 65, _Codes(), [], 0
 
-        def words() -> pa.RecordBatch:
-            counts = np.bincount(np.concatenate(train), minlength=len(codes) + 1) if train else np.zeros(len(codes) + 1, np.int64)
-            n = len(codes) + 1
-            return _batch(BLOCK, [[block] * n, [None] * n, [None] * n, [None] * n, np.arange(n, dtype=np.int32), [b"", *codes], counts])
+class _Block:
+    def __init__(self, folder: str):
+        self.folder, self.name, self.codes = folder, uuid.uuid4().int >> 65, _Codes({b"": 0})
+        self.docs: list[tuple[int | None, bool, bool, np.ndarray]] = []
+        self.tokens = 0
 
+    def add(self, doc_id: int | None, text: str | None, folds: int, held: int) -> bool:
+        parts = (text or "").encode().lower().split()
+        parts.append(b"")
+        line = np.fromiter(map(self.codes.__getitem__, parts), np.uint32, len(parts))
+        fold = fold_of(doc_id, folds)
+        self.docs.append((doc_id, fold == held, fold is not None and fold != held, line))
+        self.tokens += len(line)
+        return self.tokens > BLOCK_TOKENS or len(self.codes) > BLOCK_WORDS or len(self.docs) >= BLOCK_DOCS
+
+    def close(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """Writes the file; the block's grams and words by bucket, and one row without a bucket for short contexts."""
         squeeze = zstandard.ZstdCompressor(level=1)
-        block, codes, train, tokens = fresh()
+        words = list(self.codes)
+        stream, commit = write_atomically(self.folder, f"{self.name}.texts")
+        with pa.ipc.new_stream(stream, TEXTS) as file:
+            spell = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], "<u4")
+            file.write_batch(_batch(TEXTS, [[None, None], [None, None], [squeezed(x, squeeze) for x in spell]]))
+            for at in range(0, len(self.docs), 1000):
+                part = self.docs[at : at + 1000]
+                file.write_batch(_batch(TEXTS, [[d[0] for d in part], [d[1] for d in part], [squeezed(d[3], squeeze) for d in part]]))
+        commit()
+        full = [bytes([END]), *(w + bytes([BLANK]) for w in words[1:])]
+        key, n = counted([_spelled(full, d[3]) for d in self.docs], [d[2] for d in self.docs])
+        train = [d[3] for d in self.docs if d[2]]
+        often = np.bincount(np.concatenate(train), minlength=len(words)) if train else np.zeros(len(words), np.int64)
+        low, low_n = shorter(key[n > 0], n[n > 0], ORDER - SHARED_ORDER)
+        yield _batch(BLOCK, [[self.name], [None], *[[None]] * 5, [low], [low_n]])
+        order, start = _dealt(_bucket_of_grams(key, buckets), buckets)
+        word_order, word_start = _dealt(_bucket_of_words(words, buckets), buckets)
+        rows = []
+        for b in range(buckets):
+            own, named = order[start[b] : start[b + 1]], word_order[word_start[b] : word_start[b + 1]]
+            if len(own) or len(named):
+                listed = [words[i] for i in named.tolist()]
+                columns = (np.diff(key[own], prepend=0), n[own], np.frombuffer(b"".join(listed), np.uint8), np.array([len(w) for w in listed], "<u4"), often[named])
+                rows.append((self.name, b, *(squeezed(x, squeeze) for x in columns), None, None))
+        yield _batch(BLOCK, list(zip(*rows, strict=True)))
+
+
+def _blocks(folder: str, buckets: int, folds: int, held: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
         for batch in batches:
-            ids, held_out, rows = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = (text or "").encode().lower().split()
-                line = np.fromiter(map(codes.__getitem__, parts), np.uint32, len(parts))
-                line = np.append(line, np.uint32(0))
-                fold = fold_of(doc_id, folds)
-                if fold is not None and fold != held:
-                    train.append(line)
-                ids.append(doc_id)
-                held_out.append(fold == held)
-                rows.append(squeeze.compress(line.tobytes()))
-                tokens += len(line)
-                if tokens > BLOCK_TOKENS or len(codes) > BLOCK_WORDS:
-                    n = len(ids)
-                    yield _batch(BLOCK, [[block] * n, ids, held_out, rows, [None] * n, [None] * n, [None] * n])
-                    yield words()
-                    block, codes, train, tokens = fresh()
-                    ids, held_out, rows = [], [], []
-            if n := len(ids):
-                yield _batch(BLOCK, [[block] * n, ids, held_out, rows, [None] * n, [None] * n, [None] * n])
-        if tokens:
-            yield words()
+                block = block or _Block(folder)
+                if block.add(doc_id, text, folds, held):
+                    yield from block.close(buckets)
+                    block = None
+        if block is not None:
+            yield from block.close(buckets)
 
     return run
 
 
-def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, c) to counts of three adjacent bytes, words within two blanks before and one behind."""
-    schema = pa.schema([("key", pa.int32()), ("n", pa.int64())])
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        raw = [b"  " + w + b" " for w in batch.column(0).to_pylist()]
-        size = np.array([len(x) for x in raw])
-        weight = np.repeat(np.asarray(batch.column(1)), size)
-        x = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)
-        inside = np.ones(len(x), bool)
-        start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        inside[start] = inside[start + 1] = False
-        at = np.flatnonzero(inside)
-        key, back = np.unique(x[at - 2] << 16 | x[at - 1] << 8 | x[at], return_inverse=True)
-        yield _batch(schema, [key, np.bincount(back, weight[at]).astype(np.int64)])
-
-
-def escape_share(counts: np.ndarray) -> np.ndarray:
-    """The share of a context's probability that is left to new symbols, by the symbols seen once."""
-    total = counts.sum(axis=-1)
-    return np.where(total > 0, ((counts == 1).sum(axis=-1) + 0.5) / (total + 1), 1.0)
-
-
-def byte_model(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(2**16, 256) float32: the probability of a byte after two bytes, with escapes and exclusion."""
-    full = np.zeros((256, 256, 256), np.float32)
-    full.reshape(-1)[keys] = n
-    one = full.sum(axis=0, dtype=np.float64)
-    zero = one.sum(axis=0)
-    out = np.empty((256, 256, 256), np.float32)
-    for a in range(256):
-        two = full[a].astype(np.float64)
-        left, p = np.ones(256), np.zeros((256, 256))
-        seen = np.zeros((256, 256), bool)
-        for counts in (two, one, np.broadcast_to(zero, (256, 256))):
-            masked = np.where(seen, 0, counts)
-            total, escape = masked.sum(axis=1), escape_share(masked)
-            escape = np.where((seen | (masked > 0)).all(axis=1), 0.0, escape)
-            p += np.where(masked > 0, (left * (1 - escape) / np.maximum(total, 1))[:, None] * masked, 0)
-            left, seen = left * escape, seen | (masked > 0)
-        p += np.where(seen, 0, (left / np.maximum((~seen).sum(axis=1), 1))[:, None])
-        out[a] = p
-    return out.reshape(65536, 256)
-
-
-def node_class(n: np.ndarray, fan: np.ndarray) -> np.ndarray:
-    """The class of trie nodes with n occurrences and fan different next bytes."""
-    size = np.where(n < 8, n, 5 + np.floor(np.log2(np.maximum(n, 1)))).astype(np.int64)
-    return np.minimum(size, COUNT_CLASSES - 1) * FAN_CLASSES + np.minimum(fan, FAN_CLASSES - 1)
-
-
-def escape_table(n: np.ndarray, fan: np.ndarray, once: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """Escape probability of each class from the nodes grouped by (n, fan, once): leaving one occurrence out of a node
-    leaves n - 1 and, where its symbol occurred once, a symbol that is new to what is left."""
-    new, old = np.zeros(COUNT_CLASSES * FAN_CLASSES), np.zeros(COUNT_CLASSES * FAN_CLASSES)
-    many = n > 1
-    n, fan, once, nodes = n[many], fan[many], once[many], nodes[many].astype(float)
-    np.add.at(new, node_class(n - 1, fan - 1), once * nodes)
-    np.add.at(old, node_class(n - 1, fan), (n - once) * nodes)
-    return (new + 0.2) / (new + old + 1.0)
-
-
-TRIE_SQL = "kind int, word binary, c long, shared int, depth int, n long, classes binary, mask binary"
-TRIE = pa.schema([("kind", pa.int32()), ("word", pa.binary()), ("c", pa.int64()), ("shared", pa.int32()), ("depth", pa.int32()), ("n", pa.int64()), ("classes", pa.binary()), ("mask", pa.binary())])
-WORD, EDGE, CLASS = 0, 1, 2
-
-
-def _lcp(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    return next((i for i in range(n) if a[i] != b[i]), n)
-
-
-def _folded(n: int) -> int:
-    """Counts from 64 on stand for their power of two."""
-    return n if n < 64 else 1 << (n.bit_length() - 1)
-
-
-def _trie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A range of the sorted vocabulary to the trie nodes that lie in it.
-
-    A node is a prefix, so its words are neighbours: only the prefixes of the range's first and last word can reach into
-    other ranges. Rows of three kinds: words with the classes of their nodes below those shared ones; children of the
-    shared nodes with their counts, to be added up over all ranges; and numbers of finished nodes by count, fan-out and
-    children seen once.
-    """
-    pairs = sorted((w, c) for batch in batches for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-    if not pairs:
-        return
-    first, last = pairs[0][0] + b" ", pairs[-1][0] + b" "
-    n: dict[bytes, int] = {}
-    for w, c in pairs:
-        if c:
-            full = w + b" "
-            for k in range(len(full) + 1):
-                p = full[:k]
-                n[p] = n.get(p, 0) + c
-    stats: dict[bytes, list[int]] = {}
-    for p, c in n.items():
-        if p:
-            s = stats.setdefault(p[:-1], [0, 0, 0])
-            s[0] += 1
-            s[1] += c == 1
-            s[2] |= 1 << p[-1]
-    edges = {f[:k] for f in (first, last) for k in range(len(f))}
-    children = [(p, c) for p, c in n.items() if p and p[:-1] in edges]
-    tally: dict[tuple[int, int, int], int] = {}
-    for p, (fan, once, _) in stats.items():
-        if p not in edges:
-            key = _folded(n[p]), min(fan, 8), min(once, 8)
-            tally[key] = tally.get(key, 0) + 1
-    none = [None] * len(children)
-    yield _batch(TRIE, [[EDGE] * len(children), [p for p, _ in children], [c for _, c in children], none, none, none, none, none])
-    rows = [(*k, v) for k, v in tally.items()]
-    none = [None] * len(rows)
-    yield _batch(TRIE, [[CLASS] * len(rows), none, [r[3] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[0] for r in rows], none, none])
-    of = {p: int(node_class(np.int64(n[p]), np.int64(s[0]))) for p, s in stats.items()} if len(stats) < 1000 else dict(zip(stats, node_class(np.fromiter((n[p] for p in stats), np.int64, len(stats)), np.fromiter((s[0] for s in stats.values()), np.int64, len(stats))).tolist(), strict=True))
-    for at in range(0, len(pairs), 20_000):
-        out = []
-        for w, c in pairs[at : at + 20_000]:
-            full = w + b" "
-            shared = min(len(w), max(_lcp(full, first), _lcp(full, last)))
-            depth = len(w)
-            while depth > shared and full[:depth] not in stats:
-                depth -= 1
-            p = full[:depth]
-            own = depth > shared
-            out.append((WORD, w, c, shared, depth if own else -1, n[p] if own else 0, bytes(of[full[:k]] for k in range(shared + 1, depth + 1)), stats[p][2].to_bytes(32, "little") if own else b""))
-        yield _batch(TRIE, list(zip(*out, strict=True)))
-
-
-def edge_stats(children: dict[bytes, int]) -> dict[bytes, list[int]]:
-    """Count, fan-out, children seen once and mask of next bytes of each shared node."""
-    stats: dict[bytes, list[int]] = {}
-    for p, c in children.items():
-        s = stats.setdefault(p[:-1], [0, 0, 0, 0])
-        s[0] += c
-        s[1] += 1
-        s[2] += c == 1
-        s[3] |= 1 << p[-1]
-    return stats
-
-
-def shared_nodes(children: dict[bytes, int], escapes: np.ndarray) -> dict[bytes, tuple[float, float, int, int]]:
-    """Prefix to (the path's code length, that of its escape, count, mask of next bytes) for nodes shared by ranges."""
-    stats = edge_stats(children)
-    out: dict[bytes, tuple[float, float, int, int]] = {}
-    for p in sorted(stats, key=len):
-        n, fan, _, mask = stats[p]
-        e = float(escapes[int(node_class(np.int64(n), np.int64(fan)))])
-        out[p] = (out[p[:-1]][0] if p else 0.0) + float(np.log10(1 - e)), float(np.log10(e)), n, mask
-    return out
-
-
-def _tail(model, sent, log_total: float):
-    """Known words: the path's code length. Others: that of the deepest node, the escape, and the byte model's for the rest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("log_p", pa.float64())])
-        p = _model(model)
-        shared_of, escapes = sent.value
-        on, leave = np.log10(1 - escapes), np.log10(escapes)
-        for batch in batches:
-            words, c, shared, depth, n, classes, mask = (batch.column(i).to_pylist() for i in range(7))
-            out = np.zeros(batch.num_rows)
-            for i, word in enumerate(words):
-                full, k = word + b" ", shared[i]
-                while k >= 0 and full[:k] not in shared_of:
-                    k -= 1
-                path, escape, count, seen = shared_of[full[:k]] if k >= 0 else (0.0, 0.0, 0, 0)
-                own = np.frombuffer(classes[i], np.uint8)
-                if c[i] > 0:
-                    out[i] = np.log10(c[i]) - log_total + path + on[own].sum()
-                    continue
-                if depth[i] >= 0:
-                    k, count, seen = depth[i], n[i], int.from_bytes(mask[i], "little")
-                    path, escape = path + on[own[:-1]].sum(), leave[own[-1]]
-                elif k >= 0:
-                    path = shared_of[full[: k - 1]][0] if k else 0.0
-                x = np.frombuffer(b"  " + full, np.uint8).astype(np.int64)
-                rows = p[(x[:-2] << 8 | x[1:-1])[max(k, 0) :]]
-                took = rows[np.arange(len(rows)), x[2 + max(k, 0) :]].astype(np.float64)
-                if seen:
-                    gone = np.unpackbits(np.frombuffer(seen.to_bytes(32, "little"), np.uint8), bitorder="little").astype(bool)
-                    took[0] /= max(1e-9, 1.0 - rows[0][gone].sum(dtype=np.float64))
-                out[i] = path + escape + (np.log10(count) - log_total if count else 0.0) + np.log10(np.maximum(took, 1e-12)).sum()
-            yield _batch(schema, [words, c, out])
+PART_SQL = "block long, bucket int, lengths binary, counts binary, tokens long, distinct long"
+PART = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("lengths", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64())])
+
+
+def _bucket(sent):
+    """A bucket's rows of all blocks to the code lengths of their grams and the training counts of their words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        squeeze, expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        below = levels(*sent.value, SHARED_ORDER, [])
+        rows = [[np.cumsum(expanded(k, "<i8", expand)), expanded(c, "<i8", expand)] for k, c in zip(table.column("grams").to_pylist(), table.column("gram_counts").to_pylist(), strict=True)]
+        key, n = added([r[0] for r in rows], [r[1] for r in rows])
+        lengths = code_lengths(levels(key[n > 0], n[n > 0], ORDER, below), key).astype("<f4")
+        asked: list[list[bytes]] = []
+        often: dict[bytes, int] = {}
+        for raw, sizes, counts in zip(*(table.column(x).to_pylist() for x in ("words", "sizes", "word_counts")), strict=True):
+            ends = np.cumsum(expanded(sizes, "<u4", expand), dtype=np.int64).tolist()
+            body = expand.decompress(raw) if raw else b""
+            words = [body[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            asked.append(words)
+            for w, c in zip(words, expanded(counts, "<i8", expand).tolist(), strict=True):
+                often[w] = often.get(w, 0) + c
+        out = [(squeezed(lengths[np.searchsorted(key, r[0])], squeeze), squeezed(np.array([often[w] for w in words], "<i8"), squeeze)) for r, words in zip(rows, asked, strict=True)]
+        first = [1] + [0] * (len(out) - 1)
+        tokens, distinct = sum(often.values()), sum(c > 0 for c in often.values())
+        return pa.Table.from_batches([_batch(PART, [table.column("block").to_pylist(), table.column("bucket").to_pylist(), [x[0] for x in out], [x[1] for x in out], [tokens * f for f in first], [distinct * f for f in first]])])
 
     return run
 
 
-_MODELS: dict[str, np.ndarray] = {}
-
-
-def _model(sent) -> np.ndarray:
-    """The byte model of a broadcast, built once in a worker."""
-    name, keys, n = sent.value
-    if name not in _MODELS:
-        _MODELS.clear()
-        _MODELS[name] = byte_model(keys, n)
-    return _MODELS[name]
-
-
-def _score(total: int, distinct: int):
-    names = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        size = words.num_rows
-        at = words.column("code").to_numpy()
-        c, log_p = np.zeros(size, np.int64), np.zeros(size)
-        c[at], log_p[at] = words.column("c").to_numpy(), words.column("log_p").to_numpy()
-        base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-        p = 10.0**log_p
-        rows, expand = [], zstandard.ZstdDecompressor()
-        for doc_id, held, raw in zip(*(docs.column(x).to_pylist() for x in ("doc_id", "held_out", "codes")), strict=True):
-            codes = np.frombuffer(expand.decompress(raw), np.uint32).astype(np.int64)
-            n = len(codes)
-            order = np.argsort(codes, kind="stable")
-            line = codes[order]
-            first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-            before = np.empty(n)
-            before[order] = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-            i = np.arange(n)
-            weight = CACHE_WEIGHT * i / (i + CACHE_HALF)
-            mixed = (1 - weight) * p[codes] + weight * before / np.maximum(i, 1)
-            logs = np.where(weight > 0, np.log10(np.maximum(mixed, 1e-300)), log_p[codes])
-            logs = np.where((mixed < 1e-290) | (before == 0), np.log10(1 - weight) + log_p[codes], logs)
-            rows.append((doc_id, held, n, int((c[codes] > 0).sum()), total, float(base[codes].sum()), float(logs.sum())))
-        return pa.Table.from_batches([_batch(names, list(zip(*rows, strict=True)) or [[]] * 7)])
+SCORE_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _score(folder: str, buckets: int, total: int, distinct: int):
+    def run(table: pa.Table) -> pa.Table:
+        expand = zstandard.ZstdDecompressor()
+        table = table.sort_by("bucket")
+        fs, base_dir = open_fs(folder)
+        with fs.open_input_stream(f"{base_dir}/{table.column('block')[0].as_py()}.texts", compression=None) as stream:
+            batches = list(pa.ipc.open_stream(stream))
+        raw, sizes = (expanded(batches[0].column(2)[i].as_py(), k, expand) for i, k in ((0, "u1"), (1, "<u4")))
+        ends = np.cumsum(sizes, dtype=np.int64).tolist()
+        body = raw.tobytes()
+        words = [body[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        full = [bytes([END]), *(w + bytes([BLANK]) for w in words[1:])]
+        docs = [(d, h, expanded(c, "<u4", expand)) for batch in batches[1:] for d, h, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+        texts = [_spelled(full, line) for _, _, line in docs]
+        key, _ = counted(texts, [False] * len(texts))
+        parts = {b: (x, y) for b, x, y in zip(*(table.column(c).to_pylist() for c in ("bucket", "lengths", "counts")), strict=True)}
+        length, often = np.zeros(len(key)), np.zeros(len(words), np.int64)
+        for which, kind, (order, start), into in ((0, "<f4", _dealt(_bucket_of_grams(key, buckets), buckets), length), (1, "<i8", _dealt(_bucket_of_words(words, buckets), buckets), often)):
+            for b, part in parts.items():
+                into[order[start[b] : start[b + 1]]] = expanded(part[which], kind, expand)
+        base = np.log10((often + 0.5) / (total + 0.5 * (distinct + 1)))
+        rows = []
+        for (doc_id, held, line), text in zip(docs, texts, strict=True):
+            score = float(length[np.searchsorted(key, np.sort(grams([text])))].sum())
+            rows.append((doc_id, held, len(line), int((often[line] > 0).sum()), total, float(base[line].sum()), score))
+        return pa.Table.from_batches([_batch(SCORE, list(zip(*rows, strict=True)))])
 
     return run
 
@@ -340,29 +331,14 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held: int = HELD, id_co
     The rows whose crc32 of the identifier modulo folds is held are scored only; the others train the model as well.
     """
     spark = docs.sparkSession
-    blocks = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_blocks(folds, held), BLOCK_SQL), "blocks")
-    parts = blocks.where("word IS NOT NULL").select("block", "code", "word", "train")
-    vocab = written(parts.groupBy("word").agg(F.sum("train").alias("c")), "vocabulary")
-    total, distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    words = vocab.where("word <> X''")
-
-    triples = words.where("c > 0").mapInArrow(_triples, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    model = spark.sparkContext.broadcast((uuid.uuid4().hex, triples.column("key").to_numpy(), triples.column("n").to_numpy()))
-
-    # Ranges of the sorted vocabulary, of bounded size; what they share is a few prefixes of each range's ends.
-    ranges = max(1, -(-words.count() // RANGE_WORDS))
-    trie = written(words.select("word", "c").repartitionByRange(ranges, "word").mapInArrow(_trie, TRIE_SQL), "trie")
-    children = {r.word: r.c for r in trie.where(F.col("kind") == EDGE).groupBy("word").agg(F.sum("c").alias("c")).toLocalIterator()}
-    classes = trie.where(F.col("kind") == CLASS).groupBy("n", "shared", "depth").agg(F.sum("c").alias("nodes")).toArrow()
-    inner = np.stack([classes.column(x).to_numpy().astype(np.int64) for x in ("n", "shared", "depth", "nodes")], axis=1)
-    edge = np.array([(_folded(n), min(fan, 8), min(once, 8), 1) for n, fan, once, _ in edge_stats(children).values()], np.int64).reshape(-1, 4)
-    escapes = escape_table(*np.concatenate([inner, edge]).T)
-    shared = spark.sparkContext.broadcast((shared_nodes(children, escapes), escapes))
-    log_total = float(np.log10(max(total, 1)))
-    scored = trie.where(F.col("kind") == WORD).select("word", "c", "shared", "depth", "n", "classes", "mask").mapInArrow(_tail(model, shared, log_total), "word binary, c long, log_p double")
-    ends = vocab.where("word = X''").select("word", "c", F.log10(F.greatest(F.col("c"), F.lit(1)) / F.lit(float(max(total, 1) + 1))).alias("log_p"))
-    lengths = written(scored.unionByName(ends), "code-lengths")
-    known = parts.select(F.col("block").alias("of"), "code", "word").join(lengths, "word").select("of", "code", "c", "log_p")
-    texts = blocks.where("codes IS NOT NULL").select("block", "doc_id", "held_out", "codes")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_score(total, distinct), schema)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    buckets = min(MOST_BUCKETS, 2 * max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    folder = shared_dir(spark, "ppm-texts")
+    blocks = written(rows.mapInArrow(_blocks(folder, buckets, folds, held), BLOCK_SQL), "ppm-blocks")
+    # One row for each gram of a short context, 2**24 at most.
+    low = blocks.where("bucket IS NULL").select(F.explode(F.arrays_zip("low", "low_counts")).alias("x")).groupBy(F.col("x.low").alias("key")).agg(F.sum("x.low_counts").alias("n")).toArrow().sort_by("key")
+    sent = spark.sparkContext.broadcast((low.column("key").to_numpy().astype(np.int64), low.column("n").to_numpy().astype(np.int64)))
+    asked = blocks.where("bucket IS NOT NULL").drop("low", "low_counts")
+    parts = written(asked.groupBy("bucket").applyInArrow(_bucket(sent), PART_SQL), "ppm-parts")
+    total, distinct = parts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    return parts.drop("tokens", "distinct").groupBy("block").applyInArrow(_score(folder, buckets, total, distinct), SCORE_SQL)
