@@ -6,6 +6,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from textwarden.llm import exact_dedup, graph, near_dedup
@@ -39,7 +41,7 @@ def corpus(seed=1):
     return rows
 
 
-def test_exact_dedup(spark):
+def test_exact_dedup(spark, monkeypatch):
     rows = [*corpus(), (7, "twice"), (7, "twice"), (None, "nobody"), (None, "twice")]
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = {}
@@ -50,8 +52,11 @@ def test_exact_dedup(spark):
         same = groups[norm(t)]
         keep = min((x for x in same if x is not None), default=None)
         want.append((i, keep, len(same), i is not None and i == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
-    for fan_in in (2, 16):
-        got = exact_dedup.exact_dedup(table(spark, rows).repartition(7), fan_in=fan_in).collect()
+    for bits, pieces in ((1, 10), (4, 1_000_000)):
+        monkeypatch.setattr(exact_dedup, "LEVEL_BITS", bits)
+        monkeypatch.setattr(exact_dedup, "FAN_IN", 1 << bits)
+        monkeypatch.setattr(exact_dedup, "PIECE_ROWS", pieces)
+        got = exact_dedup.exact_dedup(table(spark, rows).repartition(7)).collect()
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
@@ -62,6 +67,30 @@ def test_exact_survivors_keep_columns(spark):
     assert exact_dedup.exact_dedup(df.where("false")).count() == 0
 
 
+def test_runs_arrive_sorted_and_keep_the_least():
+    """Merges refuse runs out of order; entries that differ in length or second digest stay apart."""
+    def run(*entries):
+        out = np.zeros(len(entries), exact_dedup.ROW)
+        for i, (sha, size, check, none, keep) in enumerate(entries):
+            out[i] = ((sha, 0, 0, 0), size, check, none, keep, 1, 1)
+        return out
+
+    one, two = run((1, 5, 5, 0, 9), (2, 5, 5, 1, 0), (2, 6, 5, 0, 4)), run((1, 5, 5, 0, 3), (2, 5, 5, 0, 8), (3, 1, 1, 1, 0))
+    assert exact_dedup.in_order(one) and not exact_dedup.in_order(one[::-1])
+    got = exact_dedup.merged([one, two])
+    assert exact_dedup.in_order(got)
+    assert [(int(r["sha"][0]), int(r["n_bytes"]), int(r["none"]), int(r["keep_id"]), int(r["group_size"]), int(r["keep_rows"])) for r in got] == [(1, 5, 0, 3, 2, 1), (2, 5, 0, 8, 2, 1), (2, 6, 0, 4, 1, 1), (3, 1, 1, 0, 1, 1)]
+    bad = pa.Table.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([one[::-1].tobytes()], pa.binary())], schema=exact_dedup.RUN)
+    with pytest.raises(ValueError):
+        exact_dedup._merge(bad)
+
+
+def test_exact_survivors_without_proper_identifiers(spark):
+    df = table(spark, [(None, "only  null"), (None, "only null"), (7, "two texts"), (7, "other text"), (7, "other  text"), (8, "other text"), (9, "two texts"), (3, None), (None, "")])
+    got = sorted((r.doc_id or 0, " ".join((r.text or "").split())) for r in exact_dedup.survivors(df).collect())
+    assert got == [(0, "only null"), (3, ""), (7, "other text"), (7, "two texts")]
+
+
 def brute(rows, percent):
     sets = {}
     for i, t in rows:
