@@ -89,6 +89,14 @@ def test_leaks_with_a_changed_word():
         assert not index.leaks(" ".join(f"{w} {around}" for w in item))
 
 
+def test_leaks_without_identifiers(spark):
+    """A document without an identifier can't hide a leak, and a clean one stays."""
+    item = " ".join(f"q{k}" for k in range(30))
+    docs = spark.createDataFrame([(None, f"see {item} here", 1), (None, "clean text", 2), (1, None, 3), (1, item, 4)], "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame([(7, item), (None, "clean text"), (8, None)], "item_id long, text string")
+    assert sorted(r.item_id for r in decontaminate.drop_leaks(docs, bench).collect()) == [2, 3]
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_ITEMS", 2)
     items = [(i, f"alpha{i} beta{i} gamma{i} delta{i} eps{i} zeta{i} eta{i} theta{i} iota{i} kappa{i}") for i in range(5)]

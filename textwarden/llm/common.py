@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,16 +18,33 @@ HOT_PARTS = 1000
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run below spark.checkpoint.dir, which every executor can reach.
 
-    The setting is read from the session; only where it is unset (tests, local mode) a local folder is set.
+    The setting is read from the session; only in local mode, where it is unset in tests, a local folder is set. A path
+    without a scheme is one of the cluster's default file system.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "textwarden-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if "://" not in path:
-        path = "file://" + os.path.abspath(path.removeprefix("file:"))
-    return path
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    full = re.sub(r"^file:/+", "file:///", full)
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(full)
+    return full
+
+
+#: Folders that each application has made.
+_MADE: dict[str, list[str]] = {}
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Deletes the folders that this application's runs have left; call it when their results have been stored."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for folder in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(made)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,8 +56,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a shared folder, as executors open it."""
-    return pafs.FileSystem.from_uri(uri)
+    """The file system of a shared folder, as executors open it; the store that Spark calls s3a is s3 here."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
 def write_atomically(uri: str, name: str):

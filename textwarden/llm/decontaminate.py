@@ -30,8 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import written
-
 WORDS = 5
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.6, 0.8
@@ -213,7 +211,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, item_id: str = "item_id", ques
     return out
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns."""
-    leaked = written(find_leaks(docs, items).select("doc_id").distinct(), "leaked")
-    return docs.join(leaked, "doc_id", "left_anti")
+def drop_leaks(docs: DataFrame, items: DataFrame, item_id: str = "item_id", question: str = "text", answer: str | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of docs that hold no item, with all their columns, whatever their identifiers."""
+    for block in item_blocks(items, item_id, question, answer):
+        sent = docs.sparkSession.sparkContext.broadcast(Index(block, split=answer is None))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, place: int = docs.columns.index(text_col)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not sent.value.leaks(t) for t in batch.column(place).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

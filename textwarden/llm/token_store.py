@@ -7,7 +7,8 @@ the seek table from the end of the file and inflates only the frames of the docu
 
 Ids come from the tokenizers library. The pre-tokenizer never joins text across a single space or line feed that stands
 between two other characters, so a text without longer runs of blanks is cut there, each distinct piece is encoded once
-per worker and its ids are joined; any other text is encoded whole. Strings of special tokens are ordinary text.
+per worker and its ids are joined; any other text is encoded whole, and so is one that holds a token which the
+vocabulary adds to its pieces (the library gives such a string its own id).
 
 Cases: null text is empty and yields the end id alone; null identifiers sort first; repeated rows are stored each for
 itself; an empty table writes no shard; very long texts make a frame of their own.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from textwarden.llm.common import open_fs, shared_dir, write_atomically, written
 
-FRAME_BYTES = 1 << 20
+FRAME_BYTES, SHARD_BYTES = 1 << 20, 16 << 20
 #: Public constants of the skippable and seekable zstandard layouts.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
 INDEX = struct.Struct("<qqqqq")
@@ -52,7 +53,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that have an id of their own wherever they stand.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Ids of what follows a space, under the text up to the next one; a line feed in front stands for the space.
         self.known: dict[str, bytes] = {}
 
@@ -80,7 +82,7 @@ class Encoder:
         cut, new = [], set()
         for text in texts:
             parts = None
-            if not touching(text):
+            if not touching(text) and not any(t in text for t in self.added):
                 parts = ("\n" + text).replace("\n", " \n").split(" ")
                 del parts[0]
                 if None in (found := list(map(known.get, parts))):
@@ -165,11 +167,17 @@ class ShardReader:
             yield None if null else doc_id, data[offset : offset + length]
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the shards in ascending identifier order; returns their table (shard, path, docs, tokens), materialised."""
+def _size(docs: DataFrame, rows: DataFrame) -> int:
+    """Bytes of the input as the optimizer knows them (the files' size); where it doesn't, those of the texts."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes shards of about shard_bytes of input each in ascending identifier order; returns their table (shard, path, docs, tokens), materialised."""
     end = struct.pack("<I", end_id)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ordered = rows.repartitionByRange(max(1, -(-_size(docs, rows) // shard_bytes)), "doc_id").sortWithinPartitions("doc_id")
     ordered = ordered.select("doc_id", "text", F.spark_partition_id().alias("shard"))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
