@@ -42,6 +42,29 @@ def test_members_and_damage():
             warc.parse(bad)
 
 
+def test_archives_of_others(spark, tmp_path):
+    """Record types, digests and headers that our own writer doesn't make."""
+    def record(kind, block, *lines):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:5f0a>", *lines, f"Content-Length: {len(block)}"]
+        return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: identity\r\n\r\nbody"
+    hexed, based = hashlib.sha1(b"body").hexdigest(), warc.base32_sha1(b"body")
+    data = [
+        record("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Target-URI: http://a/"),
+        record("response", http, "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{hexed}"), record("response", http, "Content-Type: application/http", f"WARC-Payload-Digest: sha1:{based}", "WARC-Block-Digest: md5:77"),
+        record("metadata", b"{}", "Content-Type: application/json"), record("revisit", b"", "WARC-Refers-To: <urn:uuid:77>"), record("resource", b"raw bytes"),
+    ]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(data))
+    got = warc.read_warc(spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz",)], "path string")).collect()
+    assert [(r.record_type, r.page_id, r.url, None if r.payload is None else bytes(r.payload)) for r in got] == [
+        ("warcinfo", None, None, b"software: x\r\n"), ("request", None, "http://a/", b""), ("response", None, None, b"body"), ("response", None, None, b"body"),
+        ("metadata", None, None, b"{}"), ("revisit", None, None, None), ("resource", None, None, b"raw bytes"),
+    ]
+    with pytest.raises(warc.BadArchive):
+        warc.parse(gzip.decompress(record("response", http, "Content-Type: application/http", "WARC-Payload-Digest: sha1:" + "0" * 40)))
+
+
 def leaks_by_hand(docs, items):
     out = set()
     for d, t in docs:

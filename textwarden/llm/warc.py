@@ -6,7 +6,8 @@ page it stands for (its Content-Length is that of the full payload) and names th
 
 Cases: null html counts as an empty payload; a null url gets a urn target; a null page_id is never the response of
 others while its group has any identifier, and repeated page_ids share their type; an empty table writes no archive and
-reads as no rows; control characters in a url are percent-encoded, so they can't end a header line.
+reads as no rows; control characters in a url are percent-encoded, so they can't end a header line. Archives of others
+are read too: records of any type, with or without digests; fields that they lack are null.
 """
 
 from __future__ import annotations
@@ -41,9 +42,10 @@ def _urn(page_id: int | None) -> str:
     return f"urn:x-page:{'none' if page_id is None else page_id}"
 
 
-def _from_urn(text: str) -> int | None:
-    name = text.strip("<>").rpartition(":")[2]
-    return None if name == "none" else int(name)
+def _from_urn(text: str | None) -> int | None:
+    """The page of a record of our own; none for records of others."""
+    head, _, name = (text or "").strip("<>").rpartition(":")
+    return int(name) if head == "urn:x-page" and name != "none" else None
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
@@ -80,31 +82,50 @@ def members(stream) -> Iterator[bytes]:
 
 
 def _headers(raw: bytes, at: int, end: int) -> dict[str, str]:
-    pairs = (line.partition(":") for line in raw[at:end].decode().split("\r\n")[1:])
+    pairs = (line.partition(":") for line in raw[at:end].decode(errors="replace").split("\r\n")[1:])
     return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
+def _digest_fits(named: str | None, data: bytes) -> bool:
+    """Whether a SHA-1 digest in base 32 or 16 is that of data; other algorithms and missing digests can't be checked."""
+    algorithm, _, value = (named or "").partition(":")
+    if algorithm.lower() != "sha1":
+        return True
+    return value.upper() == base32_sha1(data) or value.lower() == hashlib.sha1(data).hexdigest()
+
+
 def parse(raw: bytes) -> dict:
-    """A record's fields, after its frame and digests are checked."""
-    if not raw.startswith(b"WARC/1."):
+    """A record's fields, after its frame and those digests that it has are checked.
+
+    Records of any type are read: the payload of HTTP messages is what follows their header, that of others the block.
+    """
+    if not raw.startswith(b"WARC/"):
         raise BadArchive("no record begins here")
     if (cut := raw.find(b"\r\n\r\n")) < 0:
         raise BadArchive("the header has no end")
     head = _headers(raw, 0, cut)
+    if not head.get("content-length", "").isdigit() or "warc-type" not in head:
+        raise BadArchive("the header lacks its length or type")
     start, size = cut + 4, int(head["content-length"])
     block = raw[start : start + size]
     if len(block) != size or raw[start + size :] != b"\r\n\r\n":
         raise BadArchive("Content-Length doesn't frame the record")
-    if head["warc-block-digest"] != f"sha1:{base32_sha1(block)}":
+    if not _digest_fits(head.get("warc-block-digest"), block):
         raise BadArchive("the block's digest doesn't match")
-    http_end = block.find(b"\r\n\r\n")
-    payload, length = block[http_end + 4 :], int(_headers(block, 0, http_end)["content-length"])
-    digest, revisit = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"] == "revisit"
-    if not revisit and (len(payload) != length or base32_sha1(payload) != digest):
-        raise BadArchive("the payload's digest doesn't match")
+    kind, digest = head["warc-type"], head.get("warc-payload-digest")
+    payload, http = block, {}
+    if head.get("content-type", "").startswith("application/http"):
+        end = block.find(b"\r\n\r\n")
+        end = len(block) if end < 0 else end
+        payload, http = block[end + 4 :], _headers(block, 0, end)
+    length = len(payload)
+    if kind == "revisit":
+        length = int(http["content-length"]) if http.get("content-length", "").isdigit() else 0
+    elif "warc-truncated" not in head and (not _digest_fits(digest, payload) or (_from_urn(head.get("warc-record-id")) is not None and http.get("content-length") != str(length))):
+        raise BadArchive("the payload's digest or length doesn't match")
     return {
-        "page_id": _from_urn(head["warc-record-id"]), "payload_bytes": length, "payload_digest": digest, "record_type": head["warc-type"],
-        "refers_to": _from_urn(head["warc-refers-to"]) if revisit else None, "url": head["warc-target-uri"], "payload": None if revisit else payload,
+        "page_id": _from_urn(head.get("warc-record-id")), "payload_bytes": length, "payload_digest": digest and digest.partition(":")[2], "record_type": kind,
+        "refers_to": _from_urn(head.get("warc-refers-to")), "url": head.get("warc-target-uri"), "payload": None if kind == "revisit" else payload,
     }
 
 
