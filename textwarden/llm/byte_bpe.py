@@ -400,7 +400,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = written(rows.mapInArrow(_split(pattern, folder), BLOCK_SQL), "bpe-words")
     names = blocks.where("bucket IS NULL").select("block")
-    salts = max(1, -(-names.count() // SALT_BLOCKS))
+    number = names.count()
+    salts = max(1, -(-number // SALT_BLOCKS))
     # Buckets stay together, so the words of one need no further exchange.
     asked = blocks.where("bucket IS NOT NULL").repartition("bucket").select("bucket", "block", F.explode(F.arrays_zip("words", "codes")).alias("w"))
     asked = asked.select("bucket", F.pmod("block", F.lit(salts)).alias("salt"), "block", F.col("w.words").alias("word"), F.col("w.codes").alias("code"))
@@ -409,4 +410,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     encoded = words.select("at", F.when(short, fold_merges(byte_ids(F.col("word"), ranks), literal_rank_map(pair_ranks(ranks)))).alias("ids"), F.when(~short, F.col("word")).alias("long"))
     decoded = encoded.select("at", "ids", F.when(F.col("ids").isNotNull(), concat_pieces(F.col("ids"), literal_pieces(ranks))).alias("body"), "long")
     parts = decoded.mapInArrow(_deal(path), PART_SQL).unionByName(names.withColumn("part", F.lit(None).cast("binary")))
-    return parts.groupBy("block").applyInArrow(_join(folder), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    # A task for each block, however small the parts are.
+    return parts.repartition(max(1, number), "block").groupBy("block").applyInArrow(_join(folder), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
