@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,20 +17,32 @@ DELETED = "‏‎﻿‪‫‬"
 HEBREW = "א-ת"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Python's str.strip(): all Unicode white space, not only blanks."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def _apart(v: Column) -> Column:
+    """A blank between Hebrew letters and digits or Latin letters."""
+    for left, right in ((f"[{HEBREW}]", r"(?U)\d"), (r"(?U)\d", f"[{HEBREW}]"), (f"[{HEBREW}]", "[A-Za-z]"), ("[A-Za-z]", f"[{HEBREW}]")):
+        v = F.regexp_replace(v, f"({left})({right})", "$1 $2")
+    return v
+
+
 def normalize_document(c: Column) -> Column:
     """Extraction artefacts out, lines and paragraphs kept. Null becomes empty."""
-    v = F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n?", "\n")
-    v = F.translate(F.translate(v, " ", " "), MAPPED_FROM + DELETED, MAPPED_TO)
-    v = F.regexp_replace(v, r"[ \t]+", " ")
+    v = F.coalesce(c, F.lit(""))
+    v = let(v, lambda x: F.when(x.contains("\r"), F.regexp_replace(x, "\r\n?", "\n")).otherwise(x))
+    v = F.translate(v, "\u00a0" + MAPPED_FROM + DELETED, " " + MAPPED_TO)
+    v = F.regexp_replace(v, r"[ \t]{2,}|\t", " ")
     v = F.regexp_replace(v, r"(?Udm)^[^\S\n]+|[^\S\n]+$", "")
-    for left, right in ((f"[{HEBREW}]", r"(?U)\d"), (r"(?U)\d", f"[{HEBREW}]"), (f"[{HEBREW}]", "[A-Za-z]"), ("[A-Za-z]", f"[{HEBREW}]")):
-        v = F.regexp_replace(v, f"({left})({right})", "$1 $2")
-    v = F.regexp_replace(v, r"\n{3,}", "\n\n")
+    v = let(v, lambda x: F.when(x.rlike(f"[{HEBREW}]"), _apart(x)).otherwise(x))
+    v = let(v, lambda x: F.when(x.contains("\n\n\n"), F.regexp_replace(x, r"\n{3,}", "\n\n")).otherwise(x))
     v = F.regexp_replace(v, r"(?U)\s+([,;.!?؟])", "$1")
     return strip(v)
 

@@ -125,7 +125,7 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = _docs(spark, sf_dir).select("doc_id", text.normalize_document(F.col("text")).alias("text")).where("text <> ''")
-    return segment.line_features(segment.line_records(clean, ["doc_id"]), ["doc_id"])
+    return segment.line_features(clean, ["doc_id"])
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,12 +184,13 @@ def line_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {KIND} SELECT doc_id, line_no, kind FROM kin")
 def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.line_kinds(_features(spark, sf_dir)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "kind")
+    return _features(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "kind")
 
 
 @query(f"WITH {BLOCK} SELECT doc_id, block_no, block FROM blk")
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.blocks(segment.line_kinds(_features(spark, sf_dir)), ["doc_id"]).select("doc_id", F.col("block_no").cast("long").alias("block_no"), "block")
+    clean = _docs(spark, sf_dir).select("doc_id", text.normalize_document(F.col("text")).alias("text"))
+    return segment.blocks(clean, ["doc_id"]).select("doc_id", F.col("block_no").cast("long").alias("block_no"), "block")
 
 
 @query(r"SELECT conv_id, turn, len(list_filter(string_split(regexp_replace(text, '([.!?؟…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '' AND NOT regexp_matches(x, '^[^\pL\pN]+$'))) AS sentences FROM conversations")
