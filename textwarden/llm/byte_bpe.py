@@ -2,16 +2,17 @@
 
 1. Tasks walk their documents in order and split them by the vocabulary's public pattern. Pieces are numbered within a
    block of documents; the documents' numbers go to a file of the block in the shared folder, its distinct pieces to a
-   table, dealt out by a hash of the piece.
-2. Equal pieces of all blocks meet, and the JVM folds every distinct word of the whole table with aggregate(): each step
-   replaces the adjacent pair of the lowest rank, the leftmost of equals, by their merged id, looked up in a rank map
-   that is a literal of the plan. It decodes the ids by concatenating the vocabulary's binary pieces.
+   table, packed and dealt out by a hash of the piece.
+2. Equal pieces of all blocks meet in a bucket, and the JVM folds every distinct word of the whole table with
+   aggregate(): each step replaces the adjacent pair of the lowest rank, the leftmost of equals, by their merged id,
+   looked up in a rank map that is a literal of the plan. It decodes the ids by concatenating the vocabulary's binary
+   pieces.
 3. The ids and bytes go back to the blocks that asked for them, and a task for each block joins them in the documents'
    order. So texts are never shuffled, and what a block may hold is bounded by BLOCK_WORDS, BLOCK_TOKENS and BLOCK_DOCS.
 
-The map from pairs to merged ids is derived from the ranks: a pair of tokens can merge if its bytes are a token. A word
-that stands in very many blocks is dealt out by SALT_BLOCKS blocks at a time. Words of over FOLD_BYTES bytes (runs
-without blanks) are merged by a heap in Python with the same rule, since the fold takes quadratic time.
+The map from pairs to merged ids is derived from the ranks: a pair of tokens can merge if its bytes are a token. Words of
+over FOLD_BYTES bytes (runs without blanks) are merged by a heap in Python with the same rule, since the fold takes
+quadratic time.
 
 Cases: null text is empty: no tokens, digests of nothing; repeated rows are encoded each; null identifiers stay null;
 strings of special tokens are ordinary text; lone surrogates can't occur in Spark strings; an empty table gives an empty
@@ -24,7 +25,6 @@ import base64
 import hashlib
 import heapq
 import json
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,15 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.llm.common import open_fs, shared_dir, write_atomically, written
-from textwarden.llm.token_store import touching
 
 #: Bounds of a block: distinct pieces, pieces and documents.
 BLOCK_WORDS, BLOCK_TOKENS, BLOCK_DOCS = 600_000, 8_000_000, 500_000
-#: Pieces are dealt out by a hash into so many buckets, and a list of the blocks that hold one has about SALT_BLOCKS at most.
-BUCKETS, SALT_BLOCKS = 8192, 4096
+MOST_BUCKETS = 1 << 16
 FOLD_BYTES = 512
-#: Bounds of what a task keeps beside its block: pieces of what stands between blanks, and documents' numbers not yet written.
-CHUNKS, PENDING = 500_000, 1_000_000
+#: Numbers of documents that a task keeps before it writes them.
+PENDING = 1_000_000
 #: Places of the literal map are left ^ right << SHIFT.
 SHIFT = 3
 #: Lowest bits of the rank and of the place in the fold's state; NEVER is above every rank. Words have less than 1024 bytes.
@@ -165,9 +163,12 @@ def _tables(path: str) -> tuple:
     return _TABLES[path]
 
 
-BLOCK_SQL = "block long, bucket int, words array<binary>, codes array<int>"
-BLOCK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.list_(pa.binary())), ("codes", pa.list_(pa.int32()))])
+BLOCK_SQL = "block long, bucket int, pieces binary, codes binary"
+BLOCK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("pieces", pa.binary()), ("codes", pa.binary())])
 TEXTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("planes", pa.binary())])
+#: A block that asks for a word, and the word's number there.
+PLACE_OF = np.dtype([("block", "<i8"), ("code", "<u4")])
+ASKED_SQL = "word binary, at binary"
 PART_SQL = "block long, part binary"
 PART = pa.schema([("block", pa.int64()), ("part", pa.binary())])
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -182,109 +183,119 @@ def _unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
+class _Numbers(dict):
+    def __missing__(self, piece: str) -> int:
+        self[piece] = code = len(self)
+        return code
+
+
 class _Block:
     """Documents as numbers of their pieces, in a file of its own, and the pieces."""
 
     def __init__(self, folder: str):
         self.name = uuid.uuid4().int >> 65
-        self.numbers: dict[str, int] = {}
+        self.numbers = _Numbers()
         stream, self.commit = write_atomically(folder, f"{self.name}.texts")
         self.file = pa.ipc.new_stream(stream, TEXTS, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1)))
         self.pending, self.held, self.tokens, self.docs = [], 0, 0, 0
 
-    def number(self, pieces: list[str]) -> bytes:
-        numbers = self.numbers
-        return struct.pack(f"<{len(pieces)}I", *[numbers.setdefault(p, len(numbers)) for p in pieces])
-
-    def add(self, doc_id: int | None, codes: bytes) -> None:
-        self.pending.append((doc_id, codes))
-        self.held += len(codes) // 4
-        self.tokens += len(codes) // 4
+    def add(self, doc_id: int | None, pieces: list[str]) -> None:
+        self.pending.append((doc_id, np.fromiter(map(self.numbers.__getitem__, pieces), "<u4", len(pieces))))
+        self.held += len(pieces)
+        self.tokens += len(pieces)
         self.docs += 1
         if self.held > PENDING or len(self.pending) > 50_000:
             self.flush()
 
     def flush(self) -> None:
-        """A row with the numbers of several documents follows rows with their identifiers and sizes."""
+        """A batch of documents: the row of the last one has the numbers of all."""
         if self.pending:
             n = len(self.pending)
-            body = _planes(np.frombuffer(b"".join([c for _, c in self.pending]), "<u4"))
-            ids, sizes = [d for d, _ in self.pending], [len(c) // 4 for _, c in self.pending]
+            body = _planes(np.concatenate([c for _, c in self.pending]))
+            ids, sizes = [d for d, _ in self.pending], [len(c) for _, c in self.pending]
             self.file.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([*[None] * (n - 1), body], pa.binary())], schema=TEXTS))
             self.pending, self.held = [], 0
 
     def full(self) -> bool:
         return len(self.numbers) > BLOCK_WORDS or self.tokens > BLOCK_TOKENS or self.docs >= BLOCK_DOCS
 
-    def close(self) -> Iterator[pa.RecordBatch]:
+    def close(self, buckets: int) -> Iterator[pa.RecordBatch]:
         """Ends the file; the block's pieces by bucket, and a row without a bucket."""
         self.flush()
         self.file.close()
         self.commit()
+        squeeze = zstandard.ZstdCompressor(level=1)
         raw = [w.encode() for w in self.numbers]
-        bucket = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % BUCKETS
+        bucket = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % buckets
         order = np.argsort(bucket, kind="stable")
-        first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        starts = pa.array(np.append(first, len(raw)), pa.int32())
-        words = pa.ListArray.from_arrays(starts, pa.array(raw, pa.binary()).take(pa.array(order)))
-        codes = pa.ListArray.from_arrays(starts, pa.array(order, pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array([self.name]), pa.nulls(1, pa.int32()), pa.nulls(1, BLOCK.types[2]), pa.nulls(1, BLOCK.types[3])], schema=BLOCK)
-        if len(first):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), self.name)), pa.array(bucket[order][first], pa.int32()), words, codes], schema=BLOCK)
-
-
-def _bounded(rows: Iterator[tuple[int | None, str | None]]) -> Iterator[list[tuple[int | None, str]]]:
-    """Documents in lists of about a million characters."""
-    out, size = [], 0
-    for doc_id, text in rows:
-        out.append((doc_id, text or ""))
-        size += len(text or "")
-        if size > 1_000_000 or len(out) >= 2000:
-            yield out
-            out, size = [], 0
-    if out:
-        yield out
-
-
-def _split(pattern: str, folder: str):
+        starts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+        rows = [(self.name, None, None, None)]
+        for b in range(buckets):
+            own = order[starts[b] : starts[b + 1]]
+            if len(own):
+                words = [raw[i] for i in own.tolist()]
+                sizes = np.array([len(w) for w in words], "<u4")
+                packed = np.array([len(words)], "<u4").tobytes() + _planes(sizes) + b"".join(words)
+                rows.append((self.name, b, squeeze.compress(packed), squeeze.compress(_planes(np.diff(own, prepend=0)))))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), BLOCK.types, strict=True)], schema=BLOCK)
+
+
+def _split(pattern: str, folder: str, buckets: int):
     """Documents to the files and pieces of their blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        block, chunks = None, {}
+        block = None
         for batch in batches:
-            for rows in _bounded(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if block is None or len(chunks) > CHUNKS:
-                    block, chunks = block or _Block(folder), {}
-                # No piece crosses a single space, so texts without blanks side by side are cut there.
-                cut = [None if touching(text) else text.split(" ") for _, text in rows]
-                for part in set().union(*(parts[1:] for parts in cut if parts)).difference(chunks):
-                    chunks[part] = block.number(find(" " + part))
-                for (doc_id, text), parts in zip(rows, cut, strict=True):
-                    if parts is None:
-                        codes = block.number(find(text))
-                    else:
-                        codes = block.number(find(parts[0])) + b"".join(map(chunks.__getitem__, parts[1:]))
-                    block.add(doc_id, codes)
-                if block.full():
-                    yield from block.close()
-                    block = None
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    block = block or _Block(folder)
+                    block.add(doc_id, find(text or ""))
+                    if block.full():
+                        yield from block.close(buckets)
+                        block = None
         if block is not None:
-            yield from block.close()
+            yield from block.close(buckets)
 
     return run
 
 
+def _binary(data: bytes, sizes: np.ndarray) -> pa.Array:
+    """A binary column of rows of these sizes."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """A bucket's pieces of all blocks to its distinct words, each with the places that ask for it."""
+    expand, numbers = zstandard.ZstdDecompressor(), _Numbers()
+    word, places = [], []
+    for block, pieces, codes in zip(*(table.column(c).to_pylist() for c in ("block", "pieces", "codes")), strict=True):
+        raw = expand.decompress(pieces)
+        n = int.from_bytes(raw[:4], "little")
+        ends = (4 + 4 * n + np.cumsum(_unplanes(raw[4 : 4 + 4 * n]), dtype=np.int64)).tolist()
+        word.append(np.fromiter((numbers[raw[a:b]] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)), np.int64, n))
+        at = np.empty(n, PLACE_OF)
+        at["block"], at["code"] = block, np.cumsum(_unplanes(expand.decompress(codes)), dtype=np.int64)
+        places.append(at)
+    word, places = np.concatenate(word), np.concatenate(places)
+    order = np.argsort(word, kind="stable")
+    asked = np.bincount(word, minlength=len(numbers))
+    return pa.Table.from_arrays([pa.array(list(numbers), pa.binary()), _binary(places[order].tobytes(), asked * PLACE_OF.itemsize)], names=["word", "at"])
+
+
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places of rows that begin at starts, one after another."""
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 def _pack(codes: np.ndarray, id_sizes: np.ndarray, ids: np.ndarray, body_sizes: np.ndarray, bodies: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """Words by ascending number: the numbers' steps, sizes, ids and bytes."""
     head = np.array([len(codes), len(ids)], "<u4").tobytes()
-    return squeeze.compress(head + b"".join(_planes(x) for x in (codes, id_sizes, body_sizes, ids)) + bodies.tobytes())
+    return squeeze.compress(head + b"".join(_planes(x) for x in (np.diff(codes.astype(np.int64), prepend=0), id_sizes, body_sizes, ids)) + bodies.tobytes())
 
 
 def _unpack(part: bytes, expand: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -292,7 +303,7 @@ def _unpack(part: bytes, expand: zstandard.ZstdDecompressor) -> tuple[np.ndarray
     n, m = np.frombuffer(raw[:8], "<u4").tolist()
     at = [8 + 4 * x for x in (0, n, 2 * n, 3 * n, 3 * n + m)]
     codes, id_sizes, body_sizes, ids = (_unplanes(raw[a:b]) for a, b in zip(at, at[1:], strict=False))
-    return codes, id_sizes, body_sizes, ids, raw[at[-1] :]
+    return np.cumsum(codes, dtype=np.int64), id_sizes, body_sizes, ids, raw[at[-1] :]
 
 
 def _offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -305,12 +316,11 @@ def _deal(path: str):
     """Words with their ids and bytes, and the blocks that ask for them, to a part for each block."""
 
     def parts(at: pa.Array, ids: pa.Array, bodies: pa.Array, squeeze: zstandard.ZstdCompressor) -> pa.RecordBatch:
-        _, asked = _offsets(at)
-        places = at.flatten()
-        block, code = (np.asarray(places.field(i)) for i in (0, 1))
-        owner = np.repeat(np.arange(len(at)), asked)
-        order = np.argsort(block, kind="stable")
-        block, code, owner = block[order], code[order], owner[order]
+        start, size = _offsets(at)
+        places = np.frombuffer(at.buffers()[2], np.uint8)[start[0] : start[-1] + size[-1]].view(PLACE_OF)
+        owner = np.repeat(np.arange(len(at)), size // PLACE_OF.itemsize)
+        order = np.lexsort((places["code"], places["block"]))
+        block, code, owner = places["block"][order], places["code"][order], owner[order]
         first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         id_start, id_size = _offsets(ids)
         body_start, body_size = _offsets(bodies)
@@ -340,7 +350,7 @@ def _deal(path: str):
     return run
 
 
-_DECIMALS: list[str] = []
+_DECIMALS: list[bytes] = []
 
 
 def _join(folder: str):
@@ -351,28 +361,27 @@ def _join(folder: str):
         parts = [_unpack(p, expand) for p in table.column("part").drop_null().to_pylist()]
         n = sum(len(p[0]) for p in parts)
         top = max((int(p[3].max()) for p in parts if len(p[3])), default=0)
-        _DECIMALS.extend(map(str, range(len(_DECIMALS), top + 1)))
-        texts, bodies, sizes = [""] * n, [b""] * n, np.zeros(n, np.int64)
+        _DECIMALS.extend(b"%d" % i for i in range(len(_DECIMALS), top + 1))
+        texts, bodies, sizes = [b""] * n, [b""] * n, np.zeros(n, np.int64)
         for codes, id_sizes, body_sizes, ids, raw in parts:
             sizes[codes] = id_sizes
             decimals = list(map(_DECIMALS.__getitem__, ids.tolist()))
             a = b = 0
             for code, i, j in zip(codes.tolist(), id_sizes.tolist(), body_sizes.tolist(), strict=True):
-                texts[code], bodies[code] = " ".join(decimals[a : a + i]), raw[b : b + j]
+                texts[code], bodies[code] = b" ".join(decimals[a : a + i]), raw[b : b + j]
                 a, b = a + i, b + j
         del parts
         out = []
         fs, base = open_fs(folder)
         with fs.open_input_stream(f"{base}/{table.column('block')[0].as_py()}.texts", compression=None) as stream:
             for batch in pa.ipc.open_stream(stream):
-                lengths = batch.column(1).to_pylist()
                 codes = _unplanes(batch.column(2)[batch.num_rows - 1].as_py())
                 counts, line = np.concatenate([[0], np.cumsum(sizes[codes])]), codes.tolist()
                 at = 0
-                for doc_id, length in zip(batch.column(0).to_pylist(), lengths, strict=True):
+                for doc_id, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     own = line[at : at + length]
-                    ids, body = " ".join(map(texts.__getitem__, own)), b"".join(map(bodies.__getitem__, own))
-                    out.append((doc_id, int(counts[at + length] - counts[at]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(body).hexdigest()))
+                    ids, body = hashlib.sha256(b" ".join([texts[i] for i in own])), hashlib.sha256(b"".join([bodies[i] for i in own]))
+                    out.append((doc_id, int(counts[at + length] - counts[at]), ids.hexdigest(), body.hexdigest()))
                     at += length
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), DIGESTS.types, strict=True)], schema=DIGESTS)
 
@@ -398,17 +407,13 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     ranks = load_ranks(path)
     folder = shared_dir(docs.sparkSession, "bpe-texts")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = written(rows.mapInArrow(_split(pattern, folder), BLOCK_SQL), "bpe-words")
+    buckets = min(MOST_BUCKETS, 2 * max(rows.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    blocks = written(rows.mapInArrow(_split(pattern, folder, buckets), BLOCK_SQL), "bpe-words")
     names = blocks.where("bucket IS NULL").select("block")
-    number = names.count()
-    salts = max(1, -(-number // SALT_BLOCKS))
-    # Buckets stay together, so the words of one need no further exchange.
-    asked = blocks.where("bucket IS NOT NULL").repartition("bucket").select("bucket", "block", F.explode(F.arrays_zip("words", "codes")).alias("w"))
-    asked = asked.select("bucket", F.pmod("block", F.lit(salts)).alias("salt"), "block", F.col("w.words").alias("word"), F.col("w.codes").alias("code"))
-    words = asked.groupBy("bucket", "salt", "word").agg(F.collect_list(F.struct("block", "code")).alias("at"))
+    words = blocks.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_meet, ASKED_SQL)
     short = F.octet_length("word") <= FOLD_BYTES
     encoded = words.select("at", F.when(short, fold_merges(byte_ids(F.col("word"), ranks), literal_rank_map(pair_ranks(ranks)))).alias("ids"), F.when(~short, F.col("word")).alias("long"))
     decoded = encoded.select("at", "ids", F.when(F.col("ids").isNotNull(), concat_pieces(F.col("ids"), literal_pieces(ranks))).alias("body"), "long")
     parts = decoded.mapInArrow(_deal(path), PART_SQL).unionByName(names.withColumn("part", F.lit(None).cast("binary")))
-    # A task for each block, however small the parts are.
-    return parts.repartition(max(1, number), "block").groupBy("block").applyInArrow(_join(folder), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    # A task for each block, however small the parts are; more partitions than blocks, so that few share one.
+    return parts.repartition(4 * max(1, names.count()), "block").groupBy("block").applyInArrow(_join(folder), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

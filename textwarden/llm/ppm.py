@@ -341,6 +341,6 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held: int = HELD, id_co
     asked = blocks.where("bucket IS NOT NULL").drop("low", "low_counts")
     parts = written(asked.groupBy("bucket").applyInArrow(_bucket(sent), PART_SQL), "ppm-parts")
     total, distinct = parts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    # A task for each block, however small the parts are.
+    # A task for each block, however small the parts are; more partitions than blocks, so that few share one.
     number = blocks.where("bucket IS NULL").count()
-    return parts.drop("tokens", "distinct").repartition(max(1, number), "block").groupBy("block").applyInArrow(_score(folder, buckets, total, distinct), SCORE_SQL)
+    return parts.drop("tokens", "distinct").repartition(4 * max(1, number), "block").groupBy("block").applyInArrow(_score(folder, buckets, total, distinct), SCORE_SQL)
