@@ -150,16 +150,12 @@ def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "train_a.jsonl").write_text('﻿{"text": "x", "label": "1"}\n\n{"text": "y"\n', encoding="utf-8")
     (tmp_path / "test_b.csv").write_text("text,label\na,1\nb,2,3\n")
     good, bad = readers.read_any(spark, str(tmp_path / "train_a.jsonl"), "text string, label string")
-    assert [r.text for r in good.collect()] == ["x"] and [r.error for r in bad.collect()] == ["MalformedJSON"]
-    with pytest.raises(Exception, match="bad JSON"):
+    assert [(r.text, r.line_no) for r in good.collect()] == [("x", 1)] and [(r.error, r.line_no) for r in bad.collect()] == [("MalformedJSON", 3)]
+    with pytest.raises(Exception, match="bad JSON in .*train_a.jsonl:3"):
         readers.read_jsonl(spark, str(tmp_path / "train_a.jsonl"), "text string, label string", strict=True)[0].collect()
     good, bad = readers.read_any(spark, str(tmp_path / "test_b.csv"), "")
-    assert [r.text for r in good.collect()] == ["a"] and bad.count() == 1
+    assert [(r.text, r.line_no) for r in good.collect()] == [("a", 2)] and [r.line_no for r in bad.collect()] == [3]
     assert [p.rpartition("/")[2] for p in readers.discover(spark, str(tmp_path), ["train", "test"])] == ["test_b.csv", "train_a.jsonl"]
-    units = scan.scan_units(spark.createDataFrame([(1, "id 123456789")], "page int, text string"), ["page"])
-    writers.write_results(units, str(tmp_path / "out"))
-    head = spark.read.option("header", True).csv(str(tmp_path / "out/results_csv"))
-    assert head.columns == writers.RESULT_COLUMNS and head.first().final_label == "LEAK"
     writers.write_report(good.where("false").select("text"), str(tmp_path), "empty")
     assert [r.value for r in spark.read.text(str(tmp_path / "empty")).collect()] == ['"text"']
     assert {tuple(r) for r in writers.write_dataset({"train": good.select("text")}, str(tmp_path / "set")).collect()} == {("train", 1)}
@@ -184,3 +180,182 @@ def test_near_duplicates_in_a_large_block(spark):
     assert {(r.seq_a, r.seq_b) for r in audit.near_candidates(records).collect()} == {(500, k) for k in range(120)}
     assert audit.near_candidates(records, 50).count() == 50
     assert audit.near_duplicates(records).first().seq_b == 119
+
+
+def test_units_of_repeated_and_missing_keys(spark):
+    """Pages with one key, or none, keep their lines apart."""
+    rows = [(1, "first line here\nand more"), (1, "other doc line"), (None, "null key\ntwo"), (None, None), (2, " \n\n ")]
+    got = sorted((r.i or 0, r.unit_no, r.sentence) for r in segment.text_units(spark.createDataFrame(rows, "i long, t string"), ["i"], "t").collect())
+    assert got == [(0, 0, "null key"), (0, 1, "two"), (1, 0, "first line here"), (1, 0, "other doc line"), (1, 1, "and more")]
+    plan = segment.text_units(spark.createDataFrame(rows, "i long, t string"), ["i"], "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_results_round_trip(spark, tmp_path):
+    """What is written is read back as it was; pages without units stay; rows have all their columns."""
+    import csv
+    import json
+
+    from textwarden.sources import readers, writers
+
+    pages = spark.createDataFrame([("d1", 1, "mail a.b@example.com now.\nid 123456789"), ("d1", 2, ""), ("d1", 3, "nothing to see. At all."), ("d2", 1, None)], "doc string, page int, text string")
+    results = scan.result_documents(pages, "doc", scorer=scan.rule_scorer)
+    writers.write_results(results, str(tmp_path / "out"))
+    back = readers.read_results(spark, str(tmp_path / "out/results_json"))
+    plain = lambda df: sorted(json.dumps({k: v for k, v in json.loads(r[0]).items() if k != "document"}, sort_keys=True) for r in df.withColumn("metadata", F.col("metadata").dropFields("generated_at")).select(F.to_json(F.struct("*"))).collect())
+    assert plain(back) == plain(results)
+    doc = {r.document: r for r in results.collect()}
+    assert [len(p.sentences) for p in doc["d1"].pages] == [2, 0, 2] and doc["d1"].summary.total_pages == 3 and doc["d1"].summary.total_sentences == 4
+    assert doc["d2"].metadata.analysis_status == "COMPLETE" and doc["d2"].summary.total_sentences == 0
+    first = doc["d1"].pages[0].sentences[0]
+    assert first.regex_results[0].type == "EMAIL" and first.decision.final_label == "LEAK" and first.decision.sequence_support.status == "OK"
+    marked = doc["d1"].pages[0].sentences[1]
+    assert marked.token_analysis.results[0].value == "123456789" and marked.decision.token_support.span_count == 1 and "model_token_localization" in marked.decision.evidence_sources
+    table = spark.read.option("header", True).csv(str(tmp_path / "out/results_csv"))
+    assert table.columns == writers.RESULT_COLUMNS
+    row = table.where("regex_types LIKE '%EMAIL%'").first().asDict()
+    assert all(row[c] is not None for c in writers.RESULT_COLUMNS), row
+    one = results.where("document = 'd1'")
+    written = writers.save_document(one, str(tmp_path / "r.json"), str(tmp_path / "r.csv"))
+    assert (tmp_path / "r.csv").read_bytes()[:3] == b"\xef\xbb\xbf" and written["schema_version"] == "2.0"
+    assert next(csv.reader((tmp_path / "r.csv").read_text(encoding="utf-8-sig").splitlines())) == writers.RESULT_COLUMNS
+    assert readers.read_results(spark, str(tmp_path / "r.json")).select("summary.total_sentences").first()[0] == 4
+    told = scan.public_summary(results).where("document = 'd1'").first()
+    assert (told.status, told.pages, told.total_sentences, told.analysis_status) == ("success", 3, 4, "COMPLETE")
+    for bad in ('{"schema_version": "1.0", "pages": []}', '{"schema_version": "2.0"}', '{"schema_version": "2.0", "pages": "x"}', '{"schema_version": "2.0", "pages": [{"page": 1}]}'):
+        (tmp_path / "bad.json").write_text(bad)
+        with pytest.raises(ValueError):
+            readers.read_results(spark, str(tmp_path / "bad.json"))
+    summary = report.report_summary(readers.result_sentences(back), 2).first()
+    assert summary.leak_sentences == 2 and summary.regex_findings == 2 and summary.token_sentences == 1 and summary.invalid_pages == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from textwarden.__main__ import main
+
+    (tmp_path / "in.txt").write_text("id 123456789\fsecond page here.")
+    got = main([str(tmp_path / "in.txt"), "--json", str(tmp_path / "o/r.json"), "--csv", str(tmp_path / "o/r.csv")])
+    assert got["total_pages"] == 2 and got["total_leaks"] == 1 and "Leaks: 1" in capsys.readouterr().out
+    with pytest.raises(FileNotFoundError):
+        main([str(tmp_path / "none.txt")])
+    (tmp_path / "in.doc").write_text("x")
+    with pytest.raises(ValueError):
+        main([str(tmp_path / "in.doc")])
+
+
+def test_report_summary_counts_what_does_not_fit(spark):
+    finding = "struct<type:string,value:string,start:int,end:int,source:string>"
+    token = "struct<type:string,value:string,start:int,end:int,score:double>"
+    schema = f"container_page int, sentence_page int, item struct<regex_results:array<{finding}>,token_analysis:struct<status:string,results:array<{token}>>,decision:struct<final_label:string,evidence_sources:array<string>,sequence_support:struct<validity:string,used_for_final_label:boolean>>>"
+    item = lambda regex, tokens, label, sources, validity, used: (regex, ("OK", tokens), (label, sources, (validity, used)))
+    good, bad = ("EMAIL", "a@b.cd", 0, 6, "regex"), ("ID", "x", 0, 1, "regex")
+    span, broken = ("P", "ab", 0, 2, 0.9), ("P", "ab", 2, 2, 0.9)
+    rows = [
+        (1, 1, item([good, bad], [span, broken], "LEAK", ["model_sequence"], "VALID_LEAK", True)), (2, 3, item([], [], "LEAK", ["model_sequence"], "ERROR", False)),
+        (None, 9, item([good], [], "LEAK", [], "VALID_LEAK", True)), (1, 1, item([good], [span], "NON_LEAK", [], "VALID_NON_LEAK", False)),
+    ]
+    got = report.report_summary(spark.createDataFrame(rows, schema), 3).first()
+    assert (got.leak_sentences, got.regex_findings, got.invalid_regex_findings, got.token_sentences, got.invalid_token_findings, got.sequence_sentences) == (3, 2, 1, 1, 1, 2)
+    assert got.invalid_pages == 2 and {x.reason for x in got.not_found_examples} == {"mismatch", "out_of_range"} and len(got.warnings) == 1
+
+
+def test_typed_rows(spark, tmp_path):
+    from textwarden.sources import readers
+
+    (tmp_path / "s.jsonl").write_text('\ufeff{"text": "a", "label": "SAFE"}\n\n{"text": "b", "sequence_label": "1.0", "case_id": "c7", "category": "X"}\n')
+    rows = readers.sequence_rows(readers.read_jsonl(spark, str(tmp_path / "s.jsonl"), readers.SEQUENCE_SCHEMA)[0])
+    assert [(r.row_id, r.text, r.label, r.label_name, r.category, r.difficulty) for r in rows.orderBy("line_no").collect()] == [("1", "a", 0, "NON_LEAK", "UNKNOWN", "unknown"), ("c7", "b", 1, "LEAK", "X", "unknown")]
+    (tmp_path / "bad.jsonl").write_text('{"text": " ", "label": "1"}\n')
+    with pytest.raises(Exception, match="missing text in .*, line 1"):
+        readers.sequence_rows(readers.read_jsonl(spark, str(tmp_path / "bad.jsonl"), readers.SEQUENCE_SCHEMA)[0]).collect()
+    (tmp_path / "t.jsonl").write_text('{"tokens": ["a", "b"], "ner_tags": [0, 1]}\n{"tokens": ["a"], "ner_tags": [0], "document_label": "LEAK", "id": "z"}\n')
+    rows = readers.token_rows(readers.read_jsonl(spark, str(tmp_path / "t.jsonl"), readers.TOKEN_SCHEMA)[0]).orderBy("line_no").collect()
+    assert [(r.row_id, r.text, r.ner_tags, r.document_label) for r in rows] == [("1", "a b", [0, 1], None), ("z", "a", [0], 1)]
+    (tmp_path / "u.jsonl").write_text('{"tokens": ["a", "b"], "ner_tags": [0]}\n')
+    with pytest.raises(Exception, match="don't fit"):
+        readers.token_rows(readers.read_jsonl(spark, str(tmp_path / "u.jsonl"), readers.TOKEN_SCHEMA)[0]).collect()
+    (tmp_path / "l.csv").write_text("segment,text\nx,\ny,z\nq\n")
+    assert [r.text for r in readers.read_texts(spark, str(tmp_path / "l.csv")).orderBy("line_no").collect()] == ["x", "z", "q"]
+    (tmp_path / "c.json").write_text('{"a": 1}')
+    assert readers.read_config(spark, str(tmp_path / "c.json")) == {"a": 1}
+    (tmp_path / "c.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        readers.read_config(spark, str(tmp_path / "c.json"))
+    import hashlib
+
+    assert readers.file_digests(spark, str(tmp_path / "c.json")).first().sha256 == hashlib.sha256(b"[1]").hexdigest()
+    assert readers.named_path("a=b/c.txt") == ("a", "b/c.txt") and readers.named_path("b/c.txt") == ("c", "b/c.txt")
+    spark.createDataFrame([("B-X", 1), ("O", 0)], "label string, label_id int").createOrReplaceTempView("l1")
+    other = spark.createDataFrame([("B-Y", 1), ("O", 0)], "label string, label_id int")
+    assert {(r.side, r.label) for r in build.schema_differences(spark.table("l1"), other).collect()} == {("missing", "B-X"), ("unexpected", "B-Y")}
+
+
+def test_lines_of_many_tasks_are_numbered(spark, tmp_path):
+    from textwarden.sources import readers
+
+    (tmp_path / "big.txt").write_text("".join(f"line {k} {'x' * 50}\n" for k in range(1, 20_001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+        got = readers.numbered_lines(spark, str(tmp_path / "big.txt"))
+        assert got.rdd.getNumPartitions() > 3 and got.where("line NOT LIKE concat('line ', line_no, ' %')").count() == 0 and got.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_settings_are_checked():
+    assert scan.checked_settings("2.5", 0.5, 1) == (2.5, 0.5, 1.0)
+    for bad in ((True, 0.5, 0.5), (0, 0.5, 0.5), (float("nan"), 0.5, 0.5), (1, 1, 0.5), (1, 0, 0.5), (1, 0.5, 1.1), (1, 0.5, None)):
+        with pytest.raises(ValueError):
+            scan.checked_settings(*bad)
+
+
+def test_python_scorer_spans_and_errors(spark):
+    def load():
+        def model(texts):
+            if any("boom" in t for t in texts):
+                raise KeyError("bad")
+            return [(0.0, 9.0, [("P", t[:2], 0, 2, 0.8)]) for t in texts]
+
+        return model
+
+    good = scan.scan_units(spark.createDataFrame([(1, "hello there")], "doc_id int, text string"), ["doc_id"], scan.python_scorer(load, name="m1")).first()
+    assert good.tokens[0].value == "he" and good.token_support.max_score == 0.8 and good.scored_by == "m1" and "model_token_localization" in good.evidence_sources
+    bad = scan.scan_units(spark.createDataFrame([(1, "boom there")], "doc_id int, text string"), ["doc_id"], scan.python_scorer(load)).first()
+    assert (bad.status, bad.errors[0].error_type, bad.analysis_status, bad.final_label) == ("ERROR", "KeyError", "FAILED", "UNDETERMINED")
+
+
+def test_calibration_and_evaluation(spark):
+    logits = spark.createDataFrame([(2.0, -2.0, 0), (1.0, -1.0, 0), (-2.0, 2.0, 1), (-1.0, 1.0, 1), (0.5, -0.5, 1)], "z0 double, z1 double, label int")
+    record, sweep = evaluate.calibration_record(logits, "m", "set", 0.5, 0.5)
+    row = record.first()
+    assert record.count() == 1 and sweep.count() == 99 and row.model == "m" and row.temperature > 0 and row.selection_rule == "STRICT_RECALL_AND_FPR" and row.recall >= 0.5
+    units = spark.createDataFrame([("call 123456789012", 1), ("plain words", 1), ("more words", 0)], "sentence string, label int").withColumn("findings", F.array().cast("array<struct<type:string>>"))
+    metrics, errors = evaluate.evaluate_scorer(units, scan.rule_scorer)
+    got = metrics.first()
+    assert (got.tp, got.fn, got.tn) == (1, 1, 1) and [r.sentence for r in errors.collect()] == ["plain words"]
+
+
+def test_splits_that_meet_raise(spark):
+    part = lambda h, g: spark.createDataFrame([(h, g)], "normalized_hash string, group_id string")
+    build.assert_isolated({"a": part("1", "g"), "b": part("2", None)})
+    with pytest.raises(ValueError, match="a-b:group_id"):
+        build.assert_isolated({"a": part("1", "g"), "b": part("2", "g")})
+
+
+def test_token_payload_and_distribution(spark):
+    rows = spark.createDataFrame([(1, "x y", ["x", "y"], [0, 1], ["O", "B-P"], None, "token", 1)], "seq int, text string, tokens array<string>, ner_tags array<int>, tag_names array<string>, typed_spans array<string>, task string, sequence_label int")
+    got = build.canonical_records(rows, "token", "train", "src").first()
+    assert got.id == "train_token_0000000" and got.payload.ner_tags == [0, 1]
+    with pytest.raises(Exception, match="don't fit"):
+        build.canonical_records(rows.withColumn("ner_tags", F.array(F.lit(1))), "token", "train", "src").collect()
+    told = build.distribution(rows).first()
+    assert told.entity_types == {"P": 1} and told.sequence_labels == {"LEAK": 1} and told.min_length == 3
+
+
+def test_protected_patterns_come_back(spark):
+    lines = ["mail a.b@ex.co or www.x.org/p?q=1.5 at 12:30", "on 1/2/2024 and 3.5 or 1,250.75", "C:\\dir\\file.txt and http://h.org/a.b", "none here", "", "10:20 10:20 a.b.co 7.7 x@y.zz"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, t string").select("t", segment.protect(F.col("t")).alias("p"))
+    got = rows.select("t", "p.text", "p.values", segment.restore(F.col("p.text"), F.col("p.values")).alias("back")).collect()
+    assert all(r.back == r.t for r in got)
+    assert all("@" not in r.text and ":" not in r.text and "." not in r.text for r in got) and sum(len(v) for r in got for v in r["values"]) == 13

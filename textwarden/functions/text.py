@@ -120,3 +120,14 @@ def binary_label(variant: str, *fields: Column) -> Column:
 def valid_group(*fields: Column) -> Column:
     """The first group field that isn't blank; null otherwise, so that missing groups never join."""
     return F.coalesce(*(F.nullif(F.trim(f.cast("string")), F.lit("")) for f in fields))
+
+
+#: The fields that name a record's group, by what reads it.
+GROUP_FIELDS = {"build": ["group_id", "pair_id", "case_id"], "audit": ["group_id", "pair_id"], "evaluate": ["group_id"]}
+
+
+def group_key(variant: str, columns: list[str]) -> Column:
+    """A record's group as one of the variants reads it, from those of its fields that are among columns; truth values
+    are no groups."""
+    fields = [F.when(~F.lower(F.col(c).cast("string")).isin("true", "false"), F.col(c).cast("string")) for c in GROUP_FIELDS[variant] if c in columns]
+    return valid_group(*fields) if fields else F.lit(None).cast("string")

@@ -1,7 +1,8 @@
 """Dataset audit: canonical records, duplicates, conflicts, leakage, distributions and validation.
 
 Records have: seq (a total order), file, split, protected, task, text, normalized_text, exact_hash, normalized_hash,
-label, signature, group_id, category. Pair caps are parameters and off unless given.
+label, signature, group_id, category. Reports of pairs show the first few of each text or group, as many as a parameter
+says; duplicate_groups(), split_leakage() and group_leakage(limit=None) leave nothing out.
 """
 
 from __future__ import annotations
@@ -33,11 +34,21 @@ def is_protected(name: Column) -> Column:
     return ~n.contains("hard_train") & n.rlike("|".join(PROTECTED_WORDS))
 
 
-def propose_role(task: Column, split: Column, protected: Column) -> Column:
+#: Roles that a manifest of known files may give; anything else is proposed from the file's structure.
+ROLES = ["MULTITASK_TRAIN_TOKEN_SOURCE", "MULTITASK_VALIDATION_TOKEN_SOURCE", "MULTITASK_TRAIN_SEQUENCE_SOURCE", "MULTITASK_VALIDATION_SEQUENCE_SOURCE", "CALIBRATION_ONLY", "INTERNAL_TEST_ONLY", "HARD_TEST_ONLY", "FINAL_BLIND_TEST_ONLY", "PROTECTED_EVALUATION", "SUPERSEDED", "BASELINE_REFERENCE_ONLY", "UNKNOWN"]
+
+
+def propose_role(name: Column, task: Column, split: Column, protected: Column, known: dict[str, str] | None = None, token_family: str = "token_classification") -> Column:
+    """The role of a dataset file: the known one of its name, else by protection and split, else what an old token file
+    (its name holds token_family) or a sequence file of version 2 is kept for; UNKNOWN otherwise."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for file, role in (known or {}).items():
+        if role not in ROLES:
+            raise ValueError(f"unknown role: {role}")
+        out = out.when(name == file, role)
     return (
-        F.when(protected & split.isin("test", "development"), "INTERNAL_TEST_ONLY").when(protected & split.isin("challenge", "real_world_test"), "HARD_TEST_ONLY")
-        .when(protected & (split == "calibration"), "CALIBRATION_ONLY").when(protected, "PROTECTED_EVALUATION")
-        .when(split.isin("train", "validation"), F.concat(F.lit("MULTITASK_"), F.upper(split), F.lit("_"), F.upper(task), F.lit("_SOURCE"))).otherwise("UNKNOWN")
+        out.when(protected & split.isin("test", "development"), "INTERNAL_TEST_ONLY").when(protected & split.isin("challenge", "real_world_test"), "HARD_TEST_ONLY").when(protected, "PROTECTED_EVALUATION")
+        .when((task == "token") & name.contains(token_family), "SUPERSEDED").when((task == "sequence") & name.endswith("_v2.jsonl"), "BASELINE_REFERENCE_ONLY").otherwise("UNKNOWN")
     )
 
 
@@ -57,21 +68,33 @@ def _first(side: DataFrame, suffix: str, n: int, *also: str) -> DataFrame:
     return side.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def duplicate_groups(records: DataFrame, key: str) -> DataFrame:
+    """One row per text that stands in several records: key, its first record, copies, and whether labels or signatures
+    differ. Nothing is capped and nothing is expanded into pairs."""
+    named = records.where(F.col(key) != "").withColumn("_s", F.col("signature") if "signature" in records.columns else F.lit(None).cast("string"))
+    found = named.groupBy(F.col(key).alias("key")).agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("copies"), ((F.countDistinct("label") > 1) | (F.countDistinct("_s") > 1)).alias("conflict"))
+    return found.where("copies > 1")
+
+
 def duplicate_pairs(records: DataFrame, key: str, limit: int = 200) -> DataFrame:
-    """The first `limit` pairs of records with equal keys, in arrival order, with a conflict flag.
+    """A report: the first `limit` pairs of records with equal keys, in arrival order, with a conflict flag (other labels,
+    or two signatures that differ). duplicate_groups() has all of them, without pairs.
 
     The first pairs of a key lie among its first limit + 1 members, so only those are joined.
     """
-    a, b = _sides(records, ["seq", "file", "label"], key)
-    pairs = _first(a, "a", limit + 1).join(_first(b, "b", limit + 1), "key").where("seq_a < seq_b").withColumn("conflict", F.coalesce(F.col("label_a") != F.col("label_b"), F.lit(False)))
+    records = records if "signature" in records.columns else records.withColumn("signature", F.lit(None).cast("string"))
+    a, b = _sides(records, ["seq", "file", "label", "signature"], key)
+    differ = lambda c: F.coalesce(F.col(f"{c}_a") != F.col(f"{c}_b"), F.lit(False))
+    pairs = _first(a, "a", limit + 1).join(_first(b, "b", limit + 1), "key").where("seq_a < seq_b").withColumn("conflict", differ("label") | differ("signature"))
     w = Window.partitionBy("key").orderBy("seq_a", "seq_b")
     return pairs.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= limit).drop("_k")
 
 
 def label_conflicts(records: DataFrame, limit: int = 50) -> DataFrame:
-    """Pairs with different labels among the first `limit` pairs of each text that has several labels."""
+    """A report: pairs with different labels or signatures among the first `limit` pairs of each text that has several."""
     labelled = records.where("label IS NOT NULL")
-    mixed = labelled.groupBy("normalized_hash").agg(F.countDistinct("label").alias("_n")).where("_n > 1").select("normalized_hash")
+    signature = F.coalesce("signature", F.lit("")) if "signature" in records.columns else F.lit("")
+    mixed = labelled.groupBy("normalized_hash").agg(F.countDistinct("label", signature).alias("_n")).where("_n > 1").select("normalized_hash")
     return duplicate_pairs(labelled.join(mixed, "normalized_hash", "left_semi"), "normalized_hash", limit).where("conflict")
 
 
@@ -83,14 +106,19 @@ def split_leakage(records: DataFrame) -> DataFrame:
     return a.where("split_a = 'train' AND NOT protected_a").join(held, "key").select("key", "seq_a", "file_a", "seq_b", "file_b", "copies_b", F.lit("HIGH").alias("severity"))
 
 
-def group_leakage(records: DataFrame, limit: int = 20) -> DataFrame:
+def group_leakage(records: DataFrame, limit: int | None = 20) -> DataFrame:
     """The first `limit` pairs of records of one group in different splits; HIGH if training meets protected rows.
 
-    Each of them lies among the first 2 * limit members of its group's split, so only those are joined.
+    Each of them lies among the first 2 * limit members of its group's split, so only those are joined. Without a limit,
+    each record meets the first record of every other split of its group, so no record of a leak is left out.
     """
     a, b = _sides(records, ["seq", "split", "protected"], "group_id")
-    pairs = _first(a, "a", 2 * limit, "split_a").join(_first(b, "b", 2 * limit, "split_b"), "key").where("seq_a < seq_b AND split_a <> split_b")
-    pairs = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy("seq_a", "seq_b"))).where(F.col("_k") <= limit)
+    if limit is None:
+        a, b = a, b.groupBy("key", "split_b", "protected_b").agg(F.min("seq_b").alias("seq_b"))
+        pairs = a.join(b, "key").where("split_a <> split_b")
+    else:
+        pairs = _first(a, "a", 2 * limit, "split_a").join(_first(b, "b", 2 * limit, "split_b"), "key").where("seq_a < seq_b AND split_a <> split_b")
+        pairs = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy("seq_a", "seq_b"))).where(F.col("_k") <= limit)
     high = ((F.col("split_a") == "train") & F.col("protected_b")) | ((F.col("split_b") == "train") & F.col("protected_a"))
     return pairs.select(F.col("key").alias("group_id"), "seq_a", "split_a", "seq_b", "split_b", F.when(high, "HIGH").otherwise("MEDIUM").alias("severity"))
 
@@ -138,11 +166,24 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def near_duplicates(records: DataFrame, least: float = 0.88, native: bool = False, top: int | None = 100) -> DataFrame:
     """Candidates at or above a similarity: Ratcliff-Obershelp, or natively normalised Levenshtein."""
     a, b = F.col("normalized_text_a"), F.col("normalized_text_b")
-    score = F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)) if native else sequence_ratio(a, b)
-    found = near_candidates(records).withColumn("score", score).where(F.col("score") >= least).select("seq_a", "seq_b", F.round("score", 4).alias("score"))
+    longer = F.greatest(F.length(a), F.length(b))
+    pairs = near_candidates(records)
+    if native:
+        # No distance is below the difference of the lengths, and only distances up to a bound count, which keeps
+        # the comparison to a band of that width.
+        most = F.floor(F.lit(1.0 - least) * longer + F.lit(1e-9)).cast("int")
+        pairs = pairs.where(F.abs(F.length(a) - F.length(b)) <= most).withColumn("_d", F.call_function("levenshtein", a, b, most)).where("_d >= 0")
+    score = F.lit(1.0) - F.col("_d") / longer if native else sequence_ratio(a, b)
+    found = pairs.withColumn("score", score).where(F.col("score") >= least).select("seq_a", "seq_b", F.round("score", 4).alias("score"))
     return found.orderBy(F.desc("score"), "seq_a", "seq_b").limit(top) if top else found
 
 
+def value_counts(records: DataFrame, key: str, column: str) -> DataFrame:
+    """key and a map from each value of column to its number; missing values count as MISSING."""
+    counts = records.groupBy(key, F.coalesce(F.col(column).cast("string"), F.lit("MISSING")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias(column))
+
+
 def inventory(records: DataFrame) -> DataFrame:
     """Per file: records, groups, categories, surplus copies, empty texts and the number of labels."""
     extra = lambda c: F.count(c) - F.countDistinct(c)
@@ -152,6 +193,22 @@ def inventory(records: DataFrame) -> DataFrame:
     )
 
 
+def dataset_info(records: DataFrame, malformed: DataFrame | None = None) -> DataFrame:
+    """inventory() with what an audit says of each file besides: groups, maps of labels and categories, the union of its
+    records' fields, malformed rows, and the preview of its first text. records may have fields (array<string>)."""
+    one = records.groupBy("file").agg(
+        F.countDistinct(F.nullif("group_id", F.lit(""))).alias("groups"), F.min_by(F.when(F.length("normalized_text") > 120, F.concat(F.substring("normalized_text", 1, 120), F.lit("..."))).otherwise(F.col("normalized_text")), F.when(F.col("normalized_text") != "", F.col("seq"))).alias("sample_text_preview"),
+    )
+    out = inventory(records).join(one, "file")
+    for column in ("label", "category"):
+        out = out.join(value_counts(records, "file", column).withColumnRenamed(column, f"{column}_counts"), "file")
+    if "fields" in records.columns:
+        fields = records.select("file", F.explode("fields").alias("f")).distinct().groupBy("file").agg(F.array_sort(F.collect_list("f")).alias("fields"))
+        out = out.join(fields, "file", "left")
+    bad = malformed.groupBy("file").agg(F.count(F.lit(1)).alias("malformed_count")) if malformed is not None else None
+    return out.withColumn("malformed_count", F.lit(0).cast("long")) if bad is None else out.join(bad, "file", "left").fillna(0, ["malformed_count"])
+
+
 def distribution(records: DataFrame, field: str) -> DataFrame:
     """Counts of a field's values per file, and their percentage."""
     counts = records.groupBy("file", F.coalesce(F.col(field).cast("string"), F.lit("MISSING")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
@@ -178,20 +235,41 @@ def detect_task(record: Column) -> Column:
     return F.when(F.arrays_overlap(keys, F.array(*map(F.lit, ("tokens", "ner_tags", "tag_names", "typed_spans", "entities")))), "token").when(F.arrays_overlap(keys, F.array(F.lit("label"), F.lit("label_name"))), "sequence").otherwise("unknown")
 
 
+def token_labels(tag_names: Column, ner_tags: Column, labels: Column) -> Column:
+    """Label names of a record: its own, else those of its ids in labels (array<string>), UNKNOWN_ID_n for ids beyond."""
+    named = F.transform(ner_tags, lambda i: F.coalesce(F.when(i >= 0, F.get(labels, i.cast("int"))), F.concat(F.lit("UNKNOWN_ID_"), i.cast("string"))))
+    return F.coalesce(tag_names, named, F.array().cast("array<string>"))
+
+
+def signature(labels: Column, spans: Column) -> Column:
+    """What two records of one text must share to agree: labels and spans (start, end, type, text) as JSON."""
+    same = F.transform(F.coalesce(spans, F.array().cast("array<struct<start:int,end:int,type:string,text:string>>")), lambda x: F.struct(x["end"].alias("end"), x["start"].alias("start"), x["text"].alias("text"), x["type"].alias("type")))
+    return F.to_json(F.struct(labels.alias("labels"), same.alias("spans")), {"ignoreNullFields": "false"})
+
+
 def bio_violations(tags: DataFrame, allowed: list[str]) -> DataFrame:
-    """rec, pos and error of each invalid tag; an I tag may follow B or I of its type."""
-    before = F.lag("tag").over(Window.partitionBy("rec").orderBy("pos"))
-    kind = F.regexp_extract("tag", "^[BI]-(.*)$", 1)
-    error = F.when(~F.col("tag").rlike("^(O|[BI]-.+)$"), "invalid_prefix").when(~F.col("tag").isin(allowed), "unknown_label").when(F.col("tag").startswith("I-") & ~F.coalesce(before.isin("x") | (before == F.concat(F.lit("B-"), kind)) | (before == F.concat(F.lit("I-"), kind)), F.lit(False)), "illegal_i_without_b")
-    return tags.select("rec", "pos", "tag", error.alias("error")).where("error IS NOT NULL")
+    """rec, pos and every error of each tag; an I tag may follow B or I of its type."""
+    tags = tags.withColumn("_b", F.lag("tag").over(Window.partitionBy("rec").orderBy("pos")))
+    before, tag, kind = F.col("_b"), F.col("tag"), F.regexp_extract("tag", "^[BI]-(.*)$", 1)
+    follows = F.coalesce(before.rlike("^[BI]-") & (F.regexp_extract(before, "^[BI]-(.*)$", 1) == kind), F.lit(False))
+    unknown = F.when(~tag.isin(allowed), "unknown_label")
+    shape = F.when(tag == "O", F.lit(None)).when(~tag.rlike("^[BI]-"), "invalid_bio_label").when(tag.startswith("I-") & ~follows, "illegal_i_without_b")
+    return tags.select("rec", "pos", "tag", F.explode(F.array_compact(F.array(unknown, shape))).alias("error"))
 
 
 def span_violations(spans: DataFrame) -> DataFrame:
-    """spans (rec, text, start, end, value): the first error of each, and overlaps with the span before."""
+    """spans (rec, text, start, end, value): every error of each, and one of each record whose spans overlap."""
+    start, end, text = F.col("start"), F.col("end"), F.col("text")
+    bounds = F.when(start.isNull() | end.isNull(), "span_bounds_not_int")
+    outside = F.when((start < 0) | (end > F.length(text)), "span_out_of_range")
+    empty = F.when(end <= start, "span_end_not_after_start")
+    proper = (start >= 0) & (start < end) & (end <= F.length(text))
+    value = F.when(proper & (F.substring(text, start + 1, end - start) != F.col("value")), "span_value_mismatch")
+    own = spans.select("rec", "start", "end", F.explode(F.array_compact(F.array(bounds, outside, empty, value))).alias("error"))
     w = Window.partitionBy("rec").orderBy("start", "end")
-    inside = (F.col("start") >= 0) & (F.col("end") <= F.length("text"))
-    error = F.when(F.col("start").isNull() | F.col("end").isNull(), "invalid_bounds").when(F.col("end") <= F.col("start"), "span_end_not_after_start").when(~inside, "span_out_of_range").when(F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")) != F.col("value"), "span_value_mismatch").when(F.lag("end").over(w) > F.col("start"), "span_overlap")
-    return spans.select("rec", "start", "end", error.alias("error")).where("error IS NOT NULL")
+    over = spans.where("start IS NOT NULL AND end IS NOT NULL").withColumn("_b", F.lag("end").over(w)).where("start < _b")
+    first = over.groupBy("rec").agg(F.min(F.struct("start", "end")).alias("s")).select("rec", "s.start", "s.end", F.lit("overlapping_entities").alias("error"))
+    return own.unionByName(first)
 
 
 def malformed(records: DataFrame) -> DataFrame:

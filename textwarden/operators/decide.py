@@ -11,7 +11,7 @@ RULE_CONFIDENCE = 0.99
 
 
 def finite(c: Column) -> Column:
-    """A number from numeric text; null for booleans' text, NaN and infinities."""
+    """A number, or one from numeric text; null for booleans' text, NaN and infinities."""
     v = F.try_cast(c, "double") if hasattr(F, "try_cast") else c.try_cast("double")
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
@@ -77,13 +77,48 @@ def summarise(units: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def counters() -> list[Column]:
+    """The counters of a results document, from unit rows with an errors column."""
+    count = lambda cond, name: F.count_if(F.coalesce(cond, F.lit(False))).alias(name)
+    label, risk, status = F.col("final_label"), F.col("risk_level"), F.col("analysis_status")
+    other = lambda c, *v: ~F.coalesce(c.isin(*v), F.lit(False))
+    return [
+        F.count(F.lit(1)).alias("total_sentences"), count(label == "LEAK", "total_leaks"), count(label == "NON_LEAK", "total_non_leaks"), count(other(label, "LEAK", "NON_LEAK"), "total_undetermined"),
+        count(risk == "HIGH", "high_risk"), count(risk == "MEDIUM", "medium_risk"), count(risk == "LOW", "low_risk"), count(other(risk, "HIGH", "MEDIUM", "LOW"), "unknown_risk"),
+        count(status == "COMPLETE", "complete_analyses"), count(status == "PARTIAL", "partial_analyses"), count(other(status, "COMPLETE", "PARTIAL"), "failed_analyses"),
+        F.sum(F.size("errors")).cast("long").alias("model_errors_count"),
+    ]
+
+
+def sequence_support() -> Column:
+    """What the sequence result gave to the decision, from a judged unit's columns."""
+    used = F.coalesce(F.col("validity") == "VALID_LEAK", F.lit(False))
+    y, p, t = finite(F.col("prediction")).cast("int"), finite(F.col("probability")), finite(F.col("threshold"))
+    return F.struct(
+        F.coalesce("status", F.lit("NOT_RUN")).alias("status"), "validity", "label", F.when(y.isin(0, 1), y).alias("prediction"), "confidence", F.when(p.between(0, 1), p).alias("probability_leak"), "temperature",
+        F.when(t.between(0, 1), t).alias("threshold"), F.col("scored_by").alias("source"), used.alias("used_for_final_label"), used.alias("used_for_risk_level"),
+    )
+
+
+def token_support() -> Column:
+    """What the marked spans gave: they locate values and never decide."""
+    marked = F.coalesce((F.col("status") == "OK") & (F.size("tokens") > 0), F.lit(False))
+    scores = max_score(F.transform("tokens", lambda t: t["score"].cast("string")))
+    return F.struct(F.coalesce("status", F.lit("NOT_RUN")).alias("status"), F.size("tokens").alias("span_count"), scores.alias("max_score"), F.lit(False).alias("used_for_final_label"), marked.alias("used_for_localization"))
+
+
 def document_status(total: Column, complete: Column, failed: Column) -> Column:
     return F.when(total == 0, "COMPLETE").when(failed == total, "FAILED").when(complete == total, "COMPLETE").otherwise("PARTIAL")
 
 
-def first_valid_metadata(units: DataFrame, keys: list[str]) -> DataFrame:
-    """The first valid (temperature, threshold) in unit order; null where a document has none."""
-    t, h = finite(F.col("temperature")), finite(F.col("threshold"))
+def first_metadata() -> Column:
+    """An aggregate: the first valid (temperature, threshold) in unit order, null where there is none."""
+    t, h = finite(F.col("temperature").cast("string")), finite(F.col("threshold").cast("string"))
     valid = (F.col("status") == "OK") & F.col("validity").isin("VALID_LEAK", "VALID_NON_LEAK") & (t > 0) & h.between(0, 1)
     pair = F.min_by(F.struct(t.alias("temperature"), h.alias("threshold")), F.when(valid, F.col("unit_no")))
-    return units.groupBy(*keys).agg(F.when(F.count_if(valid) > 0, pair).alias("_m")).select(*keys, "_m.temperature", "_m.threshold")
+    return F.when(F.count_if(valid) > 0, pair)
+
+
+def first_valid_metadata(units: DataFrame, keys: list[str]) -> DataFrame:
+    """The first valid (temperature, threshold) in unit order; null where a document has none."""
+    return units.groupBy(*keys).agg(first_metadata().alias("_m")).select(*keys, "_m.temperature", "_m.threshold")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,7 +107,10 @@ def fit_temperature(logits: DataFrame, low: float = 0.05, high: float = 20.0, st
 def threshold_sweep(scored: DataFrame, steps: int = 100) -> DataFrame:
     """Metrics at 0.01 to 0.99. Scores fall into the count of thresholds that they reach, so rows are folded to 100 bins
     before any threshold is looked at."""
-    bins = scored.groupBy(F.expr(f"int(aggregate(sequence(1, {steps - 1}), 0, (a, i) -> a + int(score >= i / {steps}.0D)))").alias("bin"), "label").agg(F.count(F.lit(1)).alias("n"))
+    least, step = F.least(F.greatest(F.floor(F.col("score") * F.lit(steps)), F.lit(0)), F.lit(steps - 1)), lambda i: i / F.lit(float(steps))
+    # The product may be off by one step either way, which one comparison on each side tells.
+    reached = F.when((F.col("_b") < steps - 1) & (F.col("score") >= step(F.col("_b") + 1)), F.col("_b") + 1).when((F.col("_b") > 0) & (F.col("score") < step(F.col("_b"))), F.col("_b") - 1).otherwise(F.col("_b"))
+    bins = scored.withColumn("_b", least).groupBy(reached.cast("int").alias("bin"), "label").agg(F.count(F.lit(1)).alias("n"))
     at = bins.select("label", "n", "bin", F.explode(F.sequence(F.lit(1), F.lit(steps - 1))).alias("i"))
     hit = F.col("bin") >= F.col("i")
     cell = lambda y, p, name: F.coalesce(F.sum(F.when((F.col("label") == y) & (hit if p else ~hit), F.col("n"))), F.lit(0)).alias(name)
@@ -124,6 +129,31 @@ def choose_threshold(sweep: DataFrame, min_recall: float, max_fpr: float) -> Dat
     return sweep.withColumn("rule", rule).orderBy(*order).limit(1).select("threshold", "rule", f1, pr, rc, sp)
 
 
+def calibration_record(logits: DataFrame, model: str, selection_set: str, min_recall: float, max_fpr: float) -> tuple[DataFrame, DataFrame]:
+    """(record, sweep) of logits (z0, z1, label): the fitted temperature, the chosen threshold with its rule, the targets,
+    and the metrics at that threshold."""
+    temperature = fit_temperature(logits)
+    scored = logits.select("label", calibrated(F.col("z0"), F.col("z1"), temperature).alias("score"))
+    sweep = threshold_sweep(scored)
+    chosen = choose_threshold(sweep, min_recall, max_fpr).select("threshold", "rule")
+    named = {"model": model, "temperature": temperature, "selection_set": selection_set, "minimum_recall": min_recall, "maximum_fpr_target": max_fpr}
+    return sweep.join(F.broadcast(chosen), "threshold").withColumns({k: F.lit(v) for k, v in named.items()}).withColumnRenamed("rule", "selection_rule"), sweep  # chosen is one row
+
+
+def evaluate_scorer(units: DataFrame, scorer: Callable[[DataFrame], DataFrame], keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(metrics, errors) of a scorer on units (sentence, label 0 or 1): binary_metrics() of what it scored, by keys, and
+    the rows that it got wrong. Rows without a result count as errors, not in the metrics."""
+    gold = units.withColumnRenamed("label", "gold")
+    scored = scorer(gold).withColumns({"label_name": F.col("label"), "label": F.col("gold")})
+    usable = scored.where("status = 'OK'").withColumn("score", F.col("probability"))
+    return binary_metrics(usable, keys or []), scored.where("status <> 'OK' OR prediction <> gold")
+
+
+def mean_score(token_f1: Column, sequence_f1: Column) -> Column:
+    """The score of a checkpoint by both heads alike."""
+    return 0.5 * token_f1 + 0.5 * sequence_f1
+
+
 def selection_score(token_f1: Column, hard_token_f1: Column, sequence_f1: Column, hard_sequence_f1: Column, failed: Column) -> Column:
     return 0.3 * token_f1 + 0.3 * hard_token_f1 + 0.2 * sequence_f1 + 0.2 * hard_sequence_f1 - 0.1 * failed
 

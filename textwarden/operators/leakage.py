@@ -61,7 +61,60 @@ def pair_summary(records: DataFrame, roles: DataFrame) -> DataFrame:
     level = severity(F.col("role_a"), F.col("role_b"), F.col("critical_a") | F.col("critical_b"))
     historical = level == "HISTORICAL_ONLY"
     overlap = (F.col("exact") > 0) | (F.col("normalized") > 0) | (F.col("shared_groups") > 0)
-    return named.select(*both, "exact", "normalized", "shared_groups", "affected", level.alias("severity"), blocks_build(level, F.col("role_a"), F.col("role_b"), overlap).alias("blocker"), root_cause(F.col("file_a") == F.col("file_b"), historical, F.col("exact"), F.col("normalized"), F.col("shared_groups")).alias("cause"))
+    distinct = records.groupBy("file").agg(F.countDistinct("normalized_hash").alias("unique"))
+    for s in "ab":
+        named = named.join(distinct.select(F.col("file").alias(f"file_{s}"), F.col("unique").alias(f"unique_{s}")), f"file_{s}")
+    share = lambda s: F.round(F.when(F.col(f"unique_{s}") > 0, F.lit(100.0) * F.col("affected") / F.col(f"unique_{s}")).otherwise(0.0), 4).alias(f"percentage_{s}")
+    return named.select(*both, "role_a", "role_b", "exact", "normalized", "shared_groups", "unique_a", "unique_b", "affected", share("a"), share("b"), level.alias("severity"), blocks_build(level, F.col("role_a"), F.col("role_b"), overlap).alias("blocker"), root_cause(F.col("file_a") == F.col("file_b"), historical, F.col("exact"), F.col("normalized"), F.col("shared_groups")).alias("cause"))
+
+
+def historical_summary(pairs: DataFrame) -> DataFrame:
+    """One row: number and overlaps of the pairs that only concern historical files."""
+    old = pairs.where("severity = 'HISTORICAL_ONLY'")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(f"historical_{c}")
+    return old.agg(F.count(F.lit(1)).alias("historical_pairs"), total("exact"), total("normalized"), total("shared_groups"))
+
+
+def cross_task_plan(records: DataFrame) -> DataFrame:
+    """Per text and pair of a token and a sequence file: how their records can be planned for. records: normalized_hash,
+    file, task, split, role (of role()), label."""
+    side = lambda task, s: records.where(F.col("task") == task).groupBy("normalized_hash", "file").agg(*(F.min_by(c, "seq").alias(f"{c}_{s}") for c in ("split", "role", "label"))).withColumnRenamed("file", f"{task}_file")
+    pairs = side("token", "t").join(side("sequence", "s"), "normalized_hash")
+    meet = lambda a, b: ((F.col("role_t") == a) & (F.col("role_s") == b)) | ((F.col("role_s") == a) & (F.col("role_t") == b))
+    same = F.col("split_t") == F.col("split_s")
+    both = (F.col("label_t") == "LEAK") & (F.col("label_s") == "LEAK")
+    kind = (
+        F.when(meet("TRAIN_CANDIDATE", "PROTECTED_EVALUATION"), "SPLIT_CONFLICT").when(same & F.coalesce(both, F.lit(False)), "SAFE_BOTH_TASKS").when(same, "SAFE_SEPARATE_TASK_RECORDS")
+        .when(meet("VALIDATION_CANDIDATE", "TRAIN_CANDIDATE"), "SPLIT_CONFLICT").otherwise("REVIEW_REQUIRED")
+    )
+    notes = {"SAFE_BOTH_TASKS": "One record can serve both tasks.", "SAFE_SEPARATE_TASK_RECORDS": "Keep a record for each task.", "SPLIT_CONFLICT": "The text stands in splits that must not meet.", "REVIEW_REQUIRED": "Look at it before splits are planned."}
+    named = pairs.select("normalized_hash", "token_file", "sequence_file", kind.alias("classification"))
+    return named.withColumn("notes", F.element_at(F.create_map(*(F.lit(x) for item in notes.items() for x in item)), F.col("classification")))
+
+
+def projection_counters(strategy: str, kept: DataFrame, removed: DataFrame, validation: DataFrame | None = None) -> DataFrame:
+    """One row of a projected split's counters. Records have normalized_hash, group_id, task, label, and may have
+    entity_types (array<string>)."""
+    group = F.coalesce(F.nullif("group_id", F.lit("")), F.col("normalized_hash"))
+    entities = "entity_types" in kept.columns
+    train = kept.agg(
+        F.count(F.lit(1)).alias("train_records"), F.count_if(F.col("task") == "token").alias("token_train_records"), F.count_if(F.col("task") == "sequence").alias("sequence_train_records"),
+        F.countDistinct(group).alias("train_groups"), F.count_if((F.col("task") == "sequence") & (F.col("label") == "LEAK")).alias("sequence_leaks"), F.count_if((F.col("task") == "sequence") & (F.col("label") == "NON_LEAK")).alias("sequence_non_leaks"),
+        (F.coalesce(F.sum(F.when(F.col("task") == "token", F.size("entity_types"))), F.lit(0)) if entities else F.lit(0)).cast("long").alias("token_entities"),
+    )
+    gone = removed.agg(F.count(F.lit(1)).alias("removed_records"), F.countDistinct(F.nullif("group_id", F.lit(""))).alias("removed_groups"))
+    held = (kept.where("false") if validation is None else validation).agg(F.count(F.lit(1)).alias("validation_records"), F.countDistinct(group).alias("validation_groups"))
+    # Each side is one row.
+    one = lambda d: d.withColumn("_one", F.lit(1))
+    return one(train).join(one(gone), "_one").join(one(held), "_one").drop("_one").withColumn("strategy", F.lit(strategy))
+
+
+def still_overlaps(kept: DataFrame, others: DataFrame) -> DataFrame:
+    """One row: how many kept records still share a text or a group with the others (0 if a split is safe to build)."""
+    by_text = kept.join(others.select("normalized_hash").distinct(), "normalized_hash", "left_semi").select("seq")
+    named = others.where("group_id IS NOT NULL AND group_id <> ''").select("group_id").distinct()
+    by_group = kept.join(named, "group_id", "left_semi").select("seq")
+    return by_text.unionByName(by_group).agg(F.countDistinct("seq").alias("overlaps")).withColumn("safe", F.col("overlaps") == 0)
 
 
 def protected_overlap(records: DataFrame) -> DataFrame:
@@ -100,13 +153,22 @@ def option_b(records: DataFrame, every: int = 5) -> DataFrame:
     return keyed.join(keys, "bucket").withColumn("new_split", F.when(F.col("position") % every == 0, "validation").otherwise("train"))
 
 
+#: Ranges that sorted keys are cut into.
+RANGES = 256
+
+
 def number_sorted(keys: DataFrame, col: str) -> DataFrame:
-    """Distinct keys with their position in the whole order: ranges by prefix are counted, then numbered each for itself."""
-    ranged = keys.withColumn("_part", F.substring(F.col(col), 1, 2))
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    """Distinct keys with their position in the whole order: ranges are counted, then numbered each for itself.
+
+    The ranges end at keys that a hash picks (RANGES at most), so they are of about equal size whatever keys share.
+    """
+    picked = [r[0] for r in keys.select(col).orderBy(F.xxhash64(col), col).limit(RANGES).collect()]
+    ends = F.array(*map(F.lit, picked)).cast("array<string>")
+    ranged = keys.select(col).withColumn("_part", F.size(F.filter(ends, lambda b: b <= F.col(col))))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # RANGES + 1 rows at most
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(col)) - 1
-    return ranged.withColumn("_rank", rank).join(before, "_part").select(col, (F.col("_before") + F.col("_rank")).alias("position"))
+    return ranged.withColumn("_rank", rank).join(F.broadcast(before), "_part").select(col, (F.col("_before") + F.col("_rank")).alias("position"))
 
 
 def recommended(a: Column, b: Column) -> Column:

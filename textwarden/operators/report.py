@@ -2,37 +2,40 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textwarden.functions.text import search_text
 from textwarden.operators.decide import SEQUENCE, finite
 
 
-def share_line(a: dict, b: dict, tolerance: float) -> bool:
-    if abs(a["y0"] - b["y0"]) <= tolerance and abs(a["y1"] - b["y1"]) <= tolerance:
-        return True
-    overlap = min(a["y1"], b["y1"]) - max(a["y0"], b["y0"])
-    return overlap > 0 and overlap >= 0.7 * min(a["y1"] - a["y0"], b["y1"] - b["y0"])
+def share_line(a: Column, b: Column, tolerance: Column) -> Column:
+    """Whether two rectangles stand on one line: both edges close, or most of the lower one's height in common."""
+    close = (F.abs(a["y0"] - b["y0"]) <= tolerance) & (F.abs(a["y1"] - b["y1"]) <= tolerance)
+    common = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
+    return close | ((common > 0) & (common >= F.lit(0.7) * F.least(a["y1"] - a["y0"], b["y1"] - b["y0"])))
 
 
-def _merge(key: tuple, rects: pd.DataFrame) -> pd.DataFrame:
-    rows = rects.sort_values(["y0", "x0"]).to_dict("records")
-    heights = sorted(r["y1"] - r["y0"] for r in rows)
-    tolerance = max(1.0, 0.25 * heights[len(heights) // 2])
-    lines: list[dict] = []
-    for r in rows:
-        near = next((x for x in lines if share_line(x, r, tolerance)), None)
-        if near is None:
-            lines.append({k: r[k] for k in ("x0", "y0", "x1", "y1")})
-        else:
-            near |= {"x0": min(near["x0"], r["x0"]), "y0": min(near["y0"], r["y0"]), "x1": max(near["x1"], r["x1"]), "y1": max(near["y1"], r["y1"])}
-    return pd.DataFrame([{"item": key[0], **x} for x in lines], columns=["item", "x0", "y0", "x1", "y1"])
+def merge_lines(rects: DataFrame) -> DataFrame:
+    """The rectangles of each marked sentence (item), merged greedily by line; a sentence's rectangles are few.
 
+    A fold over the sorted rectangles: each widens the first line that it shares, or begins one.
+    """
+    sides = ("x0", "y0", "x1", "y1")
+    none = F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    corners = lambda r: F.struct(*(r[c].alias(c) for c in sides))
+    heights = F.array_sort(F.transform("_r", lambda r: r["y1"] - r["y0"]))
+    tolerance = F.greatest(F.lit(1.0), F.lit(0.25) * F.get(heights, F.floor(F.size("_r") / 2).cast("int")))
 
-def merge_lines(rects: DataFrame) -> DataFrame:
-    """The rectangles of each marked sentence (item), merged greedily by line; a sentence's rectangles are few."""
-    return rects.groupBy("item").applyInPandas(_merge, "item long, x0 double, y0 double, x1 double, y1 double")
+    def widen(line: Column, r: Column) -> Column:
+        return F.struct(F.least(line["x0"], r["x0"]).alias("x0"), F.least(line["y0"], r["y0"]).alias("y0"), F.greatest(line["x1"], r["x1"]).alias("x1"), F.greatest(line["y1"], r["y1"]).alias("y1"))
+
+    def place(lines: Column, r: Column) -> Column:
+        at = F.array_position(F.transform(lines, lambda x: share_line(x, r, F.col("_t"))), F.lit(True))
+        return F.when(at == 0, F.concat(lines, F.array(corners(r)))).otherwise(F.transform(lines, lambda x, i: F.when(i + 1 == at, widen(x, r)).otherwise(x)))
+
+    sorted_ = rects.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "x1", "y1"))).alias("_r"))
+    return sorted_.withColumn("_t", tolerance).select("item", F.inline(F.aggregate("_r", none, place)))
 
 
 def dedup_rects(rects: DataFrame) -> DataFrame:
@@ -64,6 +67,39 @@ def occurrences(text: Column, value: Column) -> Column:
     return F.when(F.length(value) > 0, ((F.length(text) - F.length(F.replace(text, value, F.lit("")))) / F.length(value)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
+def report_summary(sentences: DataFrame, pages: int, examples: int = 20) -> DataFrame:
+    """One row of counters over result sentences (container_page and sentence_page as found, item as the results have
+    it): leaks, evidence of each kind, findings that can't be marked, pages that don't fit, and a few examples of those."""
+    leak = F.coalesce(F.col("item.decision.final_label") == "LEAK", F.lit(False))
+    tokens, regex = F.col("item.token_analysis.results"), F.col("item.regex_results")
+    fits = lambda t: valid_token(t["type"], t["value"], t["score"], t["start"], t["end"])
+    usable = F.col("item.token_analysis.status") == "OK"
+    good = F.filter(regex, lambda f: F.length(search_text(f["value"])) >= 2)
+    has_tokens = F.coalesce(usable & F.exists(tokens, fits), F.lit(False))
+    support = F.col("item.decision.sequence_support")
+    kind = evidence(F.col("item.decision.final_label"), F.col("item.decision.evidence_sources"), support["validity"], support["used_for_final_label"], has_tokens)
+    state = page_resolution(F.col("container_page"), F.col("sentence_page"), pages)
+    rows = sentences.select(
+        leak.alias("leak"), kind.alias("kind"), state.alias("state"), F.size(good).alias("good"), (F.size(regex) - F.size(good)).alias("bad"), has_tokens.alias("has_tokens"),
+        F.when(usable, F.size(F.filter(tokens, lambda t: ~fits(t)))).otherwise(0).alias("bad_tokens"), F.coalesce("sentence_page", "container_page").alias("page"), support["validity"].alias("validity"),
+    )
+    leaks = F.col("leak")
+    count = lambda c, name: F.count_if(leaks & c).alias(name)
+    total = lambda c, name: F.coalesce(F.sum(F.when(leaks, F.col(c))), F.lit(0)).alias(name)
+    some = lambda value, when: F.slice(F.array_sort(F.collect_list(F.when(leaks & when, value))), 1, examples)
+    wrong = F.col("state") != "ok"
+    return rows.agg(
+        F.count_if(leaks).alias("leak_sentences"), total("good", "regex_findings"), count(F.col("has_tokens"), "token_sentences"), count(F.col("kind").isin("sequence", "both"), "sequence_sentences"),
+        count(F.col("kind").isin("sequence", "both", "token"), "sentence_markings"), total("bad", "invalid_regex_findings"), total("bad_tokens", "invalid_token_findings"), count(wrong, "invalid_pages"),
+        some(F.struct("page", F.col("state").alias("reason")), wrong).alias("not_found_examples"), some(F.concat(F.lit("sequence evidence is named but its result is "), "validity"), F.col("kind") == "warning").alias("warnings"),
+    )
+
+
+def valid_token(kind: Column, value: Column, score: Column, start: Column, end: Column) -> Column:
+    """Whether a marked span is complete: a type, a value, a score from 0 to 1 and places in order."""
+    return F.coalesce((F.trim(kind) != "") & (F.trim(value) != "") & score.between(0, 1) & (start >= 0) & (end > start), F.lit(False))
+
+
 def highlights(units: DataFrame, keys: list[str]) -> DataFrame:
     """What a marked page would show: the values found in each unit and how often they occur there."""
     found = units.select(*keys, "unit_no", "sentence", F.explode("findings").alias("f"))

@@ -51,6 +51,35 @@ def masked(line: Column) -> Column:
     return line
 
 
+def _hidden(k: int) -> str:
+    """The placeholder of a pattern."""
+    return MARK + chr(0xE000 + k)
+
+
+def protect(line: Column) -> Column:
+    """A struct of the line with a placeholder for each match, pattern after pattern, and the matches of each pattern."""
+    state = F.struct(line.alias("text"), F.array().cast("array<array<string>>").alias("values"))
+    for k, p in enumerate(PROTECTED):
+        state = let(state, _hide(k, f"(?iU){p}"))
+    return state
+
+
+def _hide(k: int, pattern: str) -> Callable[[Column], Column]:
+    return lambda s: F.struct(F.regexp_replace(s["text"], pattern, _hidden(k)).alias("text"), F.concat(s["values"], F.array(F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0)))).alias("values"))
+
+
+def _show(own: Column) -> Callable[[Column, Column], Column]:
+    return lambda x, i: F.concat(x, F.coalesce(F.get(own, i), F.lit("")))
+
+
+def restore(text: Column, values: Column) -> Column:
+    """A protected line, or any pieces of it in order, with its matches again: the last pattern's first, since its
+    matches may hold placeholders of those before."""
+    for k in reversed(range(len(PROTECTED))):
+        text = F.array_join(F.transform(F.split(text, _hidden(k), -1), _show(F.get(values, F.lit(k)))), "")
+    return text
+
+
 def is_label_value(line: Column) -> Column:
     """`label: value`: a colon with text on both sides, the left of which neither ends a sentence nor holds ; ? or !."""
     fits = masked(line).rlike(rf"(?U)^[^;?!؟]+(?<![.…][{CLOSERS}]{{0,20}}\s{{0,20}})[:：]\s*\S")

@@ -244,12 +244,65 @@ def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan_documents(_docs(spark, sf_dir), ["doc_id"]).select("doc_id", "total", "leaks", "undetermined", "medium", "document_status")
 
 
-@query()
+JUDGED = f"""WITH {UNIT} {FIND}, hn AS (SELECT doc_id, unit_no, count(*) AS n FROM hit GROUP BY ALL), sc AS (SELECT doc_id, unit_no, sentence, coalesce(n, 0) AS n, length(sentence) - length(regexp_replace(sentence, '[0-9]', '', 'g')) AS d, length(sentence) AS l FROM uni LEFT JOIN hn USING (doc_id, unit_no)),
+    pr AS (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(n * 4.0::DOUBLE + 10.0::DOUBLE * d / l - 5.0::DOUBLE) / {scan.TEMPERATURE}::DOUBLE)) AS p FROM sc), ju AS (SELECT *, p >= {scan.THRESHOLD}::DOUBLE AS leak, n > 0 AS hit FROM pr)"""
+
+
+@query(f"""{JUDGED}, su AS (SELECT doc_id, count(*) AS total, count(*) FILTER (leak OR hit) AS leaks, count(*) FILTER (NOT leak AND NOT hit) AS non_leaks, count(*) FILTER (leak AND hit) AS high, count(*) FILTER (leak <> hit) AS medium FROM ju GROUP BY 1)
+    SELECT doc_id, coalesce(total, 0) AS total, coalesce(leaks, 0) AS leaks, coalesce(non_leaks, 0) AS non_leaks, 0::BIGINT AS undetermined, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(non_leaks, 0) AS low, 0::BIGINT AS unknown,
+    coalesce(total, 0) AS complete, 0::BIGINT AS partial, 0::BIGINT AS failed, 'COMPLETE' AS document_status FROM documents LEFT JOIN su USING (doc_id)""")
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: all counters of every document, with the rule scorer."""
     return scan.scan_documents(_docs(spark, sf_dir), ["doc_id"], scan.rule_scorer)
 
 
+@query(f"""{JUDGED} SELECT '2.0' AS schema_version, doc_id AS page, sentence, 'COMPLETE' AS analysis_status, CASE WHEN leak OR hit THEN 'LEAK' ELSE 'NON_LEAK' END AS final_label, CASE WHEN leak AND hit THEN 'HIGH' WHEN leak OR hit THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+    CASE WHEN leak THEN round(p, 6) WHEN hit THEN 0.99 ELSE round(1 - p, 6) END AS confidence_value, CASE WHEN hit AND NOT leak THEN 'regex_deterministic' ELSE 'model_sequence' END AS confidence_source, CAST(n AS INT) AS findings,
+    'OK' AS sequence_status, CASE WHEN leak THEN 'LEAK' ELSE 'NON_LEAK' END AS sequence_label, CAST(leak AS INT) AS sequence_prediction, round(CASE WHEN leak THEN p ELSE 1 - p END, 6) AS sequence_confidence, round(p, 9) AS sequence_probability_leak, {scan.TEMPERATURE}::DOUBLE AS sequence_temperature, {scan.THRESHOLD}::DOUBLE AS sequence_threshold,
+    'rule' AS sequence_source, CASE WHEN leak THEN 'VALID_LEAK' ELSE 'VALID_NON_LEAK' END AS sequence_validity, len(list_filter(regexp_extract_all(sentence, '[0-9]+'), lambda x: length(x) >= 5)) AS marked, '[]' AS model_errors FROM ju""")
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result rows of every unit; lists are given by their sizes."""
+    from textwarden.sources.writers import flat_rows
+
+    units = scan.scan_units(_docs(spark, sf_dir), ["doc_id"], scan.rule_scorer).withColumn("page", F.col("doc_id"))
+    rows = flat_rows(units).withColumns({"findings": F.json_array_length("regex_types"), "marked": F.json_array_length("token_types").cast("long"), "sequence_probability_leak": F.round("sequence_probability_leak", 9)})
+    return rows.drop("reasons", "evidence_sources", "regex_types", "regex_values", "token_status", "token_types", "token_values", "token_scores")
+
+
+PATTERN_TEXTS = [
+    "write to dana.k@example.co.il or a+b@x.org today", "call 0521234567 or 0612345678", "ids 123456789 and 1234567890 and 12345678", "paid 1,250.50 ש\"ח and 99 שח but 5 שקל", "see REQ-123456 and HR-12345 and FIN-654321",
+    "login Dana2024! or x123! now", "the API_KEY and access-token and secretkey", "jdbc:mysql and connection string or DATABASE URL", "postgres://db x mongodb:// y", "accounts 87654321 and 123456789 and 0529876543", "nothing here", "  ", "",
+]
+
+
+def _pattern_hits() -> str:
+    kinds = {
+        "EMAIL": MAIL, "PHONE": r"'\b05[0-9]{8}\b'", "TICKET": r"'\b(?:REQ|INC|SR|HR|FIN)-[0-9]{6}\b'", "PASSWORD": r"'\b[A-Za-z]+[0-9]{4,}!'",
+        "TECHNICAL_SECRET_KEYWORD": r"'(?i)\b(?:api[_-]?key|secret[_-]?key|access[_-]?token|refresh[_-]?token|private[_-]?key)\b'",
+        "CONNECTION_STRING_KEYWORD": r"'(?i)\b(?:connection\s*string|database\s*url|db[_-]?url|jdbc:|mongodb://|postgres://|mysql://)\b'",
+    }
+    plain = " UNION ALL ".join(f"SELECT i, '{k}' AS type, unnest(regexp_extract_all(t, {p})) AS value FROM tx" for k, p in kinds.items())
+    money = r"""SELECT i, 'MONEY', unnest(regexp_extract_all(t, '(?:^|[^0-9])([0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]+)?\s*(?:ש["״]?ח|שח))', 1)) FROM tx"""
+    return f"""tx AS (SELECT * FROM (VALUES {_values(list(enumerate(PATTERN_TEXTS)))}) AS x(i, t)), ru AS (SELECT i, unnest(regexp_extract_all(t, '[0-9]+')) AS v FROM tx), ph AS (SELECT i, unnest(regexp_extract_all(t, '\\b05[0-9]{{8}}\\b')) AS v FROM tx),
+        hi AS ({plain} UNION ALL {money} UNION ALL SELECT i, 'ID', v FROM ru WHERE length(v) = 9 UNION ALL SELECT i, 'ACCOUNT', v FROM ru WHERE length(v) IN (8, 10) AND NOT EXISTS (SELECT 1 FROM ph WHERE ph.i = ru.i AND ph.v = ru.v))"""
+
+
+@query(f"WITH {_pattern_hits()} SELECT i, type, value, count(*) AS n FROM hi GROUP BY ALL")
+def inline_pattern_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine detectors, on texts made for them."""
+    rows = spark.sql(f"SELECT * FROM VALUES {_values(list(enumerate(PATTERN_TEXTS)))} AS x(i, t)")
+    return rows.select("i", F.explode(patterns.findings(F.col("t"))).alias("f")).groupBy("i", "f.type", "f.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+LABEL_LINES = ["Name: Dana", "time 12:30 today", "see http://a.b/c now", "Ends here. then: no", "a; b: c", "only:", ": only", "Total： 5", "what? x: y", "net (a: b", "Ratio 3:45:10 x", "Note - subject: text", "plain"]
+
+
+@query(f"SELECT i, i IN (0, 3, 7, 9, 11) AS is_label FROM (VALUES {_values(list(enumerate(LABEL_LINES)))}) AS t(i, line)")
+def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(f"SELECT * FROM VALUES {_values(list(enumerate(LABEL_LINES)))} AS t(i, line)")
+    return rows.select("i", segment.is_label_value(F.col("line")).alias("is_label"))
+
+
 STATES = [("OK", "LEAK", "1", "0.9", "0.3"), ("OK", "LEAK", "1", "0.2", "0.3"), ("OK", "NON_LEAK", "0", "0.3", "0.3"), ("OK", "NON_LEAK", "0", "0.1", "0.3"), ("OK", "LEAK", "0.9", "0.9", "0.3"), ("ERROR", None, None, None, None), ("NOT_RUN", "LEAK", "1", "0.9", "0.3"), ("OK", "LEAK", "1", "NaN", "0.3"), ("OK", "LEAK", "1", "0.9", "1.5"), (None, None, None, None, None)]
 STATE_SQL = f"s AS (SELECT * FROM (VALUES {_values([(i, *r) for i, r in enumerate(STATES)])}) AS t(i, status, label, prediction, p, h))"
 
@@ -311,14 +364,6 @@ def first_valid_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide.first_valid_metadata(rows, ["doc"])
 
 
-@query()
-def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textwarden.sources.writers import flat_rows
-
-    units = _judged(spark, sf_dir).withColumn("regex_types", decide.types_of(F.col("findings"))).withColumn("page", F.col("doc_id"))
-    return flat_rows(units)
-
-
 # Audit.
 
 
@@ -382,7 +427,10 @@ def near_duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.near_candidates(_records(spark, sf_dir)).select("seq_a", "seq_b")
 
 
-@query(f"WITH {NEAR} SELECT seq_a, seq_b, round(1.0 - levenshtein(ta, tb)::DOUBLE / greatest(length(ta), length(tb)), 4) AS score FROM nr WHERE 1.0 - levenshtein(ta, tb)::DOUBLE / greatest(length(ta), length(tb)) >= 0.88")
+# DuckDB's distance counts bytes, so each distinct character of a pair becomes one byte first.
+@query(f"""WITH {NEAR}, ch AS (SELECT *, list_distinct(string_split(ta || tb, '')) AS c FROM nr), cd AS (SELECT *, array_to_string(c, '') AS f, array_to_string(list_transform(range(1, len(c) + 1), lambda i: chr(CAST(i AS INT))), '') AS t FROM ch),
+    di AS (SELECT seq_a, seq_b, levenshtein(translate(ta, f, t), translate(tb, f, t)) AS d, greatest(length(ta), length(tb)) AS n FROM cd)
+    SELECT seq_a, seq_b, round(1.0 - d::DOUBLE / n, 4) AS score FROM di WHERE 1.0 - d::DOUBLE / n >= 0.88""")
 def near_duplicate_lev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.near_duplicates(_records(spark, sf_dir), native=True, top=None)
 
@@ -419,10 +467,19 @@ def length_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.length_statistics(_records(spark, sf_dir))
 
 
-@query("SELECT DISTINCT source AS name, CASE WHEN source LIKE '%test%' THEN 'test' ELSE 'unknown' END AS split, source LIKE '%test%' AS protected FROM documents")
+NAMES = ["a_train_v1.jsonl", "hard_train_test.jsonl", "x_validation.csv", "x_dev.csv", "x_development.jsonl", "calibration_set.jsonl", "hard_challenge.jsonl", "final_blind.csv", "real_world_test.csv", "unit_TEST.jsonl", "other.jsonl", "old_token_classification_1.jsonl", "seq_v2.jsonl", "known.jsonl"]
+NAME_SQL = f"nm AS (SELECT * FROM (VALUES {_values([(x,) for x in NAMES])}) AS t(name))"
+SPLIT_SQL = """sp AS (SELECT name, CASE WHEN n LIKE '%train%' THEN 'train' WHEN n LIKE '%validation%' OR (n LIKE '%dev%' AND n NOT LIKE '%development%') THEN 'validation' WHEN n LIKE '%calibration%' THEN 'calibration' WHEN n LIKE '%development%' THEN 'development'
+    WHEN n LIKE '%challenge%' THEN 'challenge' WHEN n LIKE '%blind%' THEN 'blind' WHEN n LIKE '%real_world_test%' THEN 'real_world_test' WHEN n LIKE '%test%' THEN 'test' ELSE 'unknown' END AS split,
+    n NOT LIKE '%hard_train%' AND regexp_matches(n, 'calibration|development|challenge|blind|test') AS protected FROM (SELECT name, lower(name) AS n FROM nm))"""
+
+
+@query(f"""WITH {NAME_SQL}, {SPLIT_SQL}, ta AS (SELECT *, unnest(['token', 'sequence']) AS task FROM sp) SELECT name, task, split, protected, CASE WHEN name = 'known.jsonl' THEN 'FINAL_BLIND_TEST_ONLY' WHEN protected AND split IN ('test', 'development') THEN 'INTERNAL_TEST_ONLY'
+    WHEN protected AND split IN ('challenge', 'real_world_test') THEN 'HARD_TEST_ONLY' WHEN protected THEN 'PROTECTED_EVALUATION' WHEN task = 'token' AND name LIKE '%token_classification%' THEN 'SUPERSEDED' WHEN task = 'sequence' AND name LIKE '%\\_v2.jsonl' ESCAPE '\\' THEN 'BASELINE_REFERENCE_ONLY' ELSE 'UNKNOWN' END AS role FROM ta""")
 def dataset_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _docs(spark, sf_dir).select(F.col("source").alias("name")).distinct()
-    return names.select("name", audit.infer_split(F.col("name")).alias("split"), audit.is_protected(F.col("name")).alias("protected"))
+    names = spark.sql(f"SELECT * FROM VALUES {_values([(x,) for x in NAMES])} AS t(name)").withColumn("task", F.explode(F.array(F.lit("token"), F.lit("sequence"))))
+    rows = names.select("name", "task", audit.infer_split(F.col("name")).alias("split"), audit.is_protected(F.col("name")).alias("protected"))
+    return rows.withColumn("role", audit.propose_role(F.col("name"), F.col("task"), F.col("split"), F.col("protected"), {"known.jsonl": "FINAL_BLIND_TEST_ONLY"}))
 
 
 LABEL_ROWS = [("LEAK",), ("non_leak",), ("1",), ("0",), ("SAFE",), ("NON-LEAK",), ("1.0",), ("true",), ("",), (None,)]
@@ -435,20 +492,23 @@ def normalize_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("x", *(text.binary_label(v, F.col("x")).alias(v) for v in ("audit", "build", "evaluate")))
 
 
-TAGS = [(1, 0, "B-P"), (1, 1, "I-P"), (1, 2, "I-P"), (2, 0, "I-P"), (2, 1, "O"), (3, 0, "B-P"), (3, 1, "I-S"), (4, 0, "X-P"), (5, 0, "B-UNKNOWN"), (6, 0, "O"), (6, 1, "B-S")]
+TAGS = [(1, 0, "B-P"), (1, 1, "I-P"), (1, 2, "I-P"), (2, 0, "I-P"), (2, 1, "O"), (3, 0, "B-P"), (3, 1, "I-S"), (4, 0, "X-P"), (5, 0, "B-UNKNOWN"), (6, 0, "O"), (6, 1, "B-S"), (7, 0, "x"), (7, 1, "I-X"), (8, 0, "B-Q"), (8, 1, "I-Q")]
 
 
-@query(f"""WITH t AS (SELECT *, lag(tag) OVER (PARTITION BY rec ORDER BY pos) AS b FROM (VALUES {_values(TAGS)}) AS x(rec, pos, tag)), e AS (SELECT rec, pos, tag, CASE WHEN NOT regexp_matches(tag, '^(O|[BI]-.+)$') THEN 'invalid_prefix'
-    WHEN tag NOT IN ('O', 'B-P', 'I-P', 'B-S', 'I-S') THEN 'unknown_label' WHEN tag LIKE 'I-%' AND NOT coalesce(b <> 'O' AND substr(b, 3) = substr(tag, 3), false) THEN 'illegal_i_without_b' END AS error FROM t) SELECT * FROM e WHERE error IS NOT NULL""")
+@query(f"""WITH t AS (SELECT *, lag(tag) OVER (PARTITION BY rec ORDER BY pos) AS b FROM (VALUES {_values(TAGS)}) AS x(rec, pos, tag)) SELECT rec, pos, tag, 'unknown_label' AS error FROM t WHERE tag NOT IN ('O', 'B-P', 'I-P', 'B-S', 'I-S')
+    UNION ALL SELECT rec, pos, tag, 'invalid_bio_label' FROM t WHERE tag <> 'O' AND tag NOT LIKE 'B-%' AND tag NOT LIKE 'I-%'
+    UNION ALL SELECT rec, pos, tag, 'illegal_i_without_b' FROM t WHERE tag LIKE 'I-%' AND NOT coalesce((b LIKE 'B-%' OR b LIKE 'I-%') AND substr(b, 3) = substr(tag, 3), false)""")
 def bio_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.bio_violations(spark.sql(f"SELECT * FROM VALUES {_values(TAGS)} AS x(rec, pos, tag)"), ["O", "B-P", "I-P", "B-S", "I-S"])
 
 
-SPANS = [(1, "abcdef", 0, 3, "abc"), (1, "abcdef", 2, 5, "cde"), (2, "abc", 0, 9, "abc"), (3, "abc", 2, 2, ""), (4, "ab", 0, 2, "zz"), (5, "abc", None, 2, "ab"), (6, "abc", 0, 2, "ab"), (6, "abc", 2, 3, "c")]
+SPANS = [(1, "abcdef", 0, 3, "abc"), (1, "abcdef", 2, 5, "cde"), (2, "abc", 0, 9, "abc"), (3, "abc", 2, 2, ""), (4, "ab", 0, 2, "zz"), (5, "abc", None, 2, "ab"), (6, "abc", 0, 2, "ab"), (6, "abc", 2, 3, "c"), (7, "abc", -1, 9, "x"), (8, "abcd", 3, 1, "x"), (9, "abcdef", 0, 4, "abcd"), (9, "abcdef", 1, 3, "bc"), (9, "abcdef", 2, 5, "cde")]
 
 
-@query(f"""WITH s AS (SELECT *, lag(e) OVER (PARTITION BY rec ORDER BY s, e) AS b FROM (VALUES {_values(SPANS)}) AS x(rec, text, s, e, value)), r AS (SELECT rec, s AS "start", e AS "end", CASE WHEN s IS NULL OR e IS NULL THEN 'invalid_bounds'
-    WHEN e <= s THEN 'span_end_not_after_start' WHEN s < 0 OR e > length(text) THEN 'span_out_of_range' WHEN substr(text, s + 1, e - s) <> value THEN 'span_value_mismatch' WHEN b > s THEN 'span_overlap' END AS error FROM s) SELECT * FROM r WHERE error IS NOT NULL""")
+@query(f"""WITH s AS (SELECT *, lag(e) OVER (PARTITION BY rec ORDER BY s, e) AS b FROM (VALUES {_values(SPANS)}) AS x(rec, text, s, e, value)), r AS (SELECT rec, s, e, 'span_bounds_not_int' AS error FROM s WHERE s IS NULL OR e IS NULL
+    UNION ALL SELECT rec, s, e, 'span_out_of_range' FROM s WHERE s < 0 OR e > length(text) UNION ALL SELECT rec, s, e, 'span_end_not_after_start' FROM s WHERE e <= s
+    UNION ALL SELECT rec, s, e, 'span_value_mismatch' FROM s WHERE s >= 0 AND s < e AND e <= length(text) AND substr(text, s + 1, e - s) <> value
+    UNION ALL SELECT rec, arg_min(s, (s, e)), arg_min(e, (s, e)), 'overlapping_entities' FROM s WHERE s < b GROUP BY rec) SELECT rec, s AS "start", e AS "end", error FROM r""")
 def span_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.span_violations(spark.sql(f"SELECT * FROM VALUES {_values(SPANS)} AS x(rec, text, start, end, value)"))
 
@@ -736,8 +796,174 @@ def value_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.highlights(units, ["doc_id"]).withColumn("unit_no", F.col("unit_no").cast("long"))
 
 
-@query(f"WITH {STATE_SQL}, {VALIDITY_SQL} SELECT i, CASE WHEN validity = 'VALID_LEAK' THEN 'sequence' ELSE 'warning' END AS evidence FROM v")
+@query(f"""WITH {STATE_SQL}, {VALIDITY_SQL}, e AS (SELECT i, validity, unnest(['LEAK', 'NON_LEAK']) AS final_label FROM v), f AS (SELECT *, unnest([true, false]) AS named FROM e), g AS (SELECT *, unnest([true, false]) AS marked FROM f)
+    SELECT i, final_label, named, marked, CASE WHEN final_label <> 'LEAK' THEN 'none' WHEN named AND validity <> 'VALID_LEAK' THEN 'warning' WHEN validity = 'VALID_LEAK' THEN CASE WHEN marked THEN 'both' ELSE 'sequence' END WHEN marked THEN 'token' ELSE 'none' END AS evidence FROM g""")
 def report_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     validity = decide.sequence_validity(*(F.col(c) for c in ("status", "label", "prediction", "p", "h")))
-    rows = _states(spark).withColumn("validity", validity)
-    return rows.select("i", report.evidence(F.lit("LEAK"), F.array(F.lit(decide.SEQUENCE)), F.col("validity"), F.lit(True), F.lit(False)).alias("evidence"))
+    both = lambda n: F.explode(F.array(F.lit(True), F.lit(False))).alias(n)
+    rows = _states(spark).select("i", validity.alias("validity"), F.explode(F.array(F.lit("LEAK"), F.lit("NON_LEAK"))).alias("final_label")).select("*", both("named")).select("*", both("marked"))
+    sources = F.when(F.col("named"), F.array(F.lit(decide.SEQUENCE))).otherwise(F.array().cast("array<string>"))
+    return rows.select("i", "final_label", "named", "marked", report.evidence(F.col("final_label"), sources, F.col("validity"), F.lit(True), F.col("marked")).alias("evidence"))
+
+
+# Fixtures that reach every branch, each with its SQL.
+
+
+def _fixture(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {_values(rows)} AS t({columns})")
+
+
+#: seq, file, split, protected, task, label, group, text
+PLANNED = [
+    (1, "t1", "train", "n", "token", "LEAK", "g1", "one"), (2, "s1", "train", "n", "sequence", "LEAK", "g1", "one"), (3, "s1", "train", "n", "sequence", "NON_LEAK", None, "one"), (4, "t1", "train", "n", "token", "NON_LEAK", "g2", "two"),
+    (5, "s1", "train", "n", "sequence", "NON_LEAK", "", "two"), (6, "s2", "validation", "n", "sequence", "LEAK", "g3", "three"), (7, "t1", "train", "n", "token", "LEAK", "g3", "three"), (8, "s3", "test", "y", "sequence", "LEAK", "g4", "four"),
+    (9, "t1", "train", "n", "token", "LEAK", None, "four"), (10, "s4", "old", "n", "sequence", "LEAK", "g5", "five"), (11, "t1", "train", "n", "token", "LEAK", "g5", "five"), (12, "s1", "train", "n", "sequence", "LEAK", "g4", "six"), (13, "s2", "validation", "n", "sequence", "NON_LEAK", "g6", "seven"),
+    (14, "s1", "train", "n", "sequence", "NON_LEAK", "g7", "eight"), (15, "s1", "train", "n", "sequence", "LEAK", "g7", "nine"),
+]
+PLAN_SQL = f"""pl AS (SELECT seq, file, split, p = 'y' AS protected, task, label, grp AS group_id, sha256(text) AS normalized_hash, CASE WHEN p = 'y' THEN 'PROTECTED_EVALUATION' WHEN split = 'train' THEN 'TRAIN_CANDIDATE' WHEN split = 'validation' THEN 'VALIDATION_CANDIDATE' ELSE 'HISTORICAL_OR_SUPERSEDED' END AS role
+    FROM (VALUES {_values(PLANNED)}) AS t(seq, file, split, p, task, label, grp, text))"""
+
+
+def _planned(spark: SparkSession) -> DataFrame:
+    rows = _fixture(spark, PLANNED, "seq, file, split, p, task, label, group_id, text").withColumn("protected", F.col("p") == "y").drop("p")
+    return rows.withColumns({"normalized_hash": text.stable_hash(F.col("text")), "role": leakage.role(F.col("split"), F.col("protected"))})
+
+
+@query(f"WITH {PLAN_SQL} SELECT a.seq AS seq_a, b.seq AS seq_b FROM pl a JOIN pl b ON a.normalized_hash = b.normalized_hash AND a.seq < b.seq AND a.label <> b.label")
+def label_conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.label_conflicts(_planned(spark)).select("seq_a", "seq_b")
+
+
+@query(f"WITH {REC} SELECT exact_hash AS key, min(seq) AS first_seq, count(*) AS copies, count(DISTINCT label) > 1 AS conflict FROM rec GROUP BY 1 HAVING count(*) > 1")
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts that stand in several records, without a cap."""
+    return audit.duplicate_groups(_records(spark, sf_dir), "exact_hash")
+
+
+@query(f"""WITH {GRP}, o AS (SELECT group_id, split, protected, min(seq) AS seq_b FROM rec GROUP BY ALL) SELECT a.group_id, a.seq AS seq_a, a.split AS split_a, seq_b, o.split AS split_b, CASE WHEN (a.split = 'train' AND o.protected) OR (o.split = 'train' AND a.protected) THEN 'HIGH' ELSE 'MEDIUM' END AS severity
+    FROM rec a JOIN o ON a.group_id = o.group_id AND a.split <> o.split""")
+def group_leakage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of a leaking group, without a cap."""
+    return audit.group_leakage(_grouped(spark, sf_dir), limit=None)
+
+
+@query(f"""WITH {PLAN_SQL}, t AS (SELECT normalized_hash, file, arg_min(split, seq) AS split, arg_min(role, seq) AS role, arg_min(label, seq) AS label FROM pl WHERE task = 'token' GROUP BY ALL), s AS (SELECT normalized_hash, file, arg_min(split, seq) AS split, arg_min(role, seq) AS role, arg_min(label, seq) AS label FROM pl WHERE task = 'sequence' GROUP BY ALL)
+    SELECT normalized_hash, t.file AS token_file, s.file AS sequence_file, CASE WHEN t.role IN ('TRAIN_CANDIDATE', 'PROTECTED_EVALUATION') AND s.role IN ('TRAIN_CANDIDATE', 'PROTECTED_EVALUATION') AND t.role <> s.role THEN 'SPLIT_CONFLICT' WHEN t.split = s.split AND t.label = 'LEAK' AND s.label = 'LEAK' THEN 'SAFE_BOTH_TASKS'
+    WHEN t.split = s.split THEN 'SAFE_SEPARATE_TASK_RECORDS' WHEN t.role IN ('TRAIN_CANDIDATE', 'VALIDATION_CANDIDATE') AND s.role IN ('TRAIN_CANDIDATE', 'VALIDATION_CANDIDATE') AND t.role <> s.role THEN 'SPLIT_CONFLICT' ELSE 'REVIEW_REQUIRED' END AS classification FROM t JOIN s USING (normalized_hash)""")
+def cross_task_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.cross_task_plan(_planned(spark)).drop("notes")
+
+
+KEPT_SQL = """ke AS (SELECT * FROM pl WHERE split = 'train' AND NOT protected AND normalized_hash NOT IN (SELECT normalized_hash FROM pl WHERE protected OR split = 'validation') AND (coalesce(group_id, '') = '' OR group_id NOT IN (SELECT group_id FROM pl WHERE (protected OR split = 'validation') AND group_id <> ''))),
+    re AS (SELECT * FROM pl WHERE split = 'train' AND seq NOT IN (SELECT seq FROM ke))"""
+
+
+@query(f"""WITH {PLAN_SQL}, {KEPT_SQL} SELECT 'OPTION_A' AS strategy, count(*) AS train_records, count(*) FILTER (task = 'token') AS token_train_records, count(*) FILTER (task = 'sequence') AS sequence_train_records, count(DISTINCT coalesce(nullif(group_id, ''), normalized_hash)) AS train_groups,
+    count(*) FILTER (task = 'sequence' AND label = 'LEAK') AS sequence_leaks, count(*) FILTER (task = 'sequence' AND label = 'NON_LEAK') AS sequence_non_leaks, 0::BIGINT AS token_entities, (SELECT count(*) FROM re) AS removed_records, (SELECT count(DISTINCT nullif(group_id, '')) FROM re) AS removed_groups, 0::BIGINT AS validation_records, 0::BIGINT AS validation_groups FROM ke""")
+def projection_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _planned(spark)
+    kept = leakage.option_a(rows)
+    return leakage.projection_counters("OPTION_A", kept, rows.where("split = 'train'").join(kept.select("seq"), "seq", "left_anti"))
+
+
+@query(f"""WITH {PLAN_SQL}, {KEPT_SQL}, x AS (SELECT 'kept' AS part, seq, normalized_hash, group_id FROM ke UNION ALL SELECT 'all', seq, normalized_hash, group_id FROM pl WHERE split = 'train'), o AS (SELECT * FROM pl WHERE protected OR split = 'validation')
+    SELECT part, n AS "overlaps", n = 0 AS safe FROM (SELECT part, count(DISTINCT seq) FILTER (normalized_hash IN (SELECT normalized_hash FROM o) OR (coalesce(group_id, '') <> '' AND group_id IN (SELECT group_id FROM o WHERE group_id <> ''))) AS n FROM x GROUP BY 1)""")
+def still_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _planned(spark)
+    others = rows.where("protected OR split = 'validation'")
+    of = lambda d, n: leakage.still_overlaps(d, others).withColumn("part", F.lit(n))
+    return of(leakage.option_a(rows), "kept").unionByName(of(rows.where("split = 'train'"), "all"))
+
+
+@query(f"""WITH {PLAN_SQL}, x(a, b) AS (VALUES ('train', 'validation'), ('train', 'test'), ('validation', 'test')) SELECT a || '-' || b || ':normalized_hash' AS "check", (SELECT count(DISTINCT p.normalized_hash) FROM pl p JOIN pl q USING (normalized_hash) WHERE p.split = a AND q.split = b) AS shared FROM x
+    UNION ALL SELECT a || '-' || b || ':group_id', (SELECT count(DISTINCT p.group_id) FROM pl p JOIN pl q USING (group_id) WHERE p.split = a AND q.split = b) FROM x""")
+def split_isolation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _planned(spark)
+    return build.split_isolation({s: rows.where(F.col("split") == s) for s in ("train", "validation", "test")})
+
+
+@query(f"""WITH {PLAN_SQL}, {_matrix_sql('normalized_hash').replace('rec GROUP', 'pl GROUP')}, g AS (SELECT DISTINCT group_id, file FROM pl WHERE group_id <> ''), gm AS (SELECT a.file AS file_a, b.file AS file_b, count(*) AS n FROM g a JOIN g b ON a.group_id = b.group_id AND a.file < b.file GROUP BY ALL),
+    ro AS (SELECT DISTINCT file, role FROM pl), j AS (SELECT coalesce(m.file_a, gm.file_a) AS file_a, coalesce(m.file_b, gm.file_b) AS file_b, coalesce(shared, 0) AS shared, coalesce(n, 0) AS n FROM (SELECT * FROM m WHERE shared > 0) m FULL JOIN gm ON m.file_a = gm.file_a AND m.file_b = gm.file_b)
+    SELECT count(*) AS historical_pairs, coalesce(CAST(sum(shared) AS BIGINT), 0) AS historical_exact, coalesce(CAST(sum(shared) AS BIGINT), 0) AS historical_normalized, coalesce(CAST(sum(n) AS BIGINT), 0) AS historical_shared_groups FROM j JOIN ro x ON x.file = file_a JOIN ro y ON y.file = file_b WHERE 'HISTORICAL_OR_SUPERSEDED' IN (x.role, y.role)""")
+def historical_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _planned(spark).withColumn("exact_hash", F.col("normalized_hash"))
+    return leakage.historical_summary(leakage.pair_summary(rows, _roles(rows)))
+
+
+@query(f"""WITH {REC}, u AS (SELECT DISTINCT normalized_hash, file FROM rec), n AS (SELECT file, count(*) AS n FROM u GROUP BY 1), f AS (SELECT a.file AS file_a, b.file AS file_b, count(*) AS affected FROM u a JOIN u b ON a.normalized_hash = b.normalized_hash AND a.file < b.file GROUP BY ALL)
+    SELECT file_a, file_b, round(100.0 * affected / x.n, 4)::DOUBLE AS percentage_a, round(100.0 * affected / y.n, 4)::DOUBLE AS percentage_b FROM f JOIN n x ON x.file = file_a JOIN n y ON y.file = file_b""")
+def affected_percentages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec = _records(spark, sf_dir)
+    return leakage.pair_summary(rec, _roles(rec)).where("file_a <> file_b AND affected > 0").select("file_a", "file_b", "percentage_a", "percentage_b")
+
+
+CAUSES = [(i, *(int(x) for x in f"{i:05b}")) for i in range(32)]
+
+
+@query(f"""SELECT i, CASE WHEN h = 1 THEN 'HISTORICAL_VERSION_OVERLAP' WHEN s = 1 THEN 'SAME_FILE_DUPLICATES' WHEN g = 1 AND n = 0 THEN 'SAME_GROUP_SPLIT' WHEN g = 1 THEN 'SAME_TEMPLATE_FAMILY' WHEN e = 1 THEN 'EXACT_TEXT_COPY' WHEN n = 1 THEN 'NORMALIZATION_ONLY' ELSE 'UNKNOWN' END AS cause FROM (VALUES {_values(CAUSES)}) AS t(i, s, h, e, n, g)""")
+def root_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _fixture(spark, CAUSES, "i, s, h, e, n, g")
+    return rows.select("i", leakage.root_cause(F.col("s") == 1, F.col("h") == 1, F.col("e"), F.col("n"), F.col("g")).alias("cause"))
+
+
+IDS = [(1, "[0,1,2]", None), (2, "[3,9,-1]", None), (3, "[0]", "B-X"), (4, None, None)]
+
+
+@query("SELECT * FROM (VALUES (1, 'O,B-P,I-P'), (2, 'B-S,UNKNOWN_ID_9,UNKNOWN_ID_-1'), (3, 'B-X'), (4, '')) AS t(i, labels)")
+def token_label_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _fixture(spark, IDS, "i, ids, name").select("i", F.from_json("ids", "array<int>").alias("ids"), F.when(F.col("name").isNotNull(), F.array("name")).alias("names"))
+    known = F.array(*map(F.lit, ("O", "B-P", "I-P", "B-S")))
+    return rows.select("i", F.array_join(audit.token_labels(F.col("names"), F.col("ids"), known), ",").alias("labels"))
+
+
+GROUPS = [(1, " g1 ", "p", "c"), (2, "", "p", "c"), (3, None, " ", "c"), (4, "true", None, "c"), (5, None, None, None)]
+
+
+@query(f"""WITH t AS (SELECT i, CASE WHEN lower(g) NOT IN ('true', 'false') THEN nullif(trim(g), '') END AS g, nullif(trim(p), '') AS p, nullif(trim(c), '') AS c FROM (VALUES {_values(GROUPS)}) AS t(i, g, p, c)) SELECT i, coalesce(g, p, c) AS build, coalesce(g, p) AS audit, g AS evaluate FROM t""")
+def group_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _fixture(spark, GROUPS, "i, group_id, pair_id, case_id")
+    return rows.select("i", *(text.group_key(v, rows.columns).alias(v) for v in text.GROUP_FIELDS))
+
+
+FLAGS = [(1, "false"), (2, "False"), (3, "true"), (4, None), (5, "0")]
+
+
+@query(f"SELECT i, coalesce(lower(f) = 'false', false) AS hard, i % 3 = 0 OR i = 5 AS updates, CAST(ceil(i / 3.0) AS BIGINT) AS count FROM (VALUES {_values(FLAGS)}) AS t(i, f)")
+def training_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _fixture(spark, FLAGS, "i, f")
+    return rows.select("i", build.is_hard(F.col("f")).alias("hard"), build.updates_here(F.col("i"), F.lit(5), 3).alias("updates"), build.optimizer_updates(F.col("i"), 3).alias("count"))
+
+
+@query(f"""WITH {REC}, v AS (SELECT DISTINCT file, coalesce(label, 'MISSING') AS v FROM rec), p AS (SELECT file, arg_min(normalized_text, seq) AS t FROM rec WHERE normalized_text <> '' GROUP BY 1)
+    SELECT file, count(*) AS records, (SELECT count(*) FROM v WHERE v.file = rec.file) AS label_values, (SELECT CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '...' ELSE t END FROM p WHERE p.file = rec.file) AS sample_text_preview, 0::BIGINT AS malformed_count FROM rec GROUP BY file""")
+def dataset_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.dataset_info(_records(spark, sf_dir)).select("file", "records", F.size("label_counts").cast("long").alias("label_values"), "sample_text_preview", "malformed_count")
+
+
+RULES = [(0.5, 0.6), (0.999, 0.0), (1.5, 0.0)]
+
+
+def _rule_sql(recall: float, fpr: float) -> str:
+    return f"""(SELECT {recall}::DOUBLE AS target, threshold, rule, f1 FROM (SELECT *, CASE r WHEN 0 THEN 'STRICT_RECALL_AND_FPR' WHEN 1 THEN 'RECALL_ONLY_FALLBACK' ELSE 'BEST_F1_FALLBACK' END AS rule FROM (SELECT *, CASE WHEN recall >= {recall} AND fpr <= {fpr} THEN 0 WHEN recall >= {recall} THEN 1 ELSE 2 END AS r FROM w))
+        ORDER BY r, f1 DESC, CASE r WHEN 0 THEN precision WHEN 1 THEN -fpr ELSE recall END DESC, CASE r WHEN 0 THEN specificity WHEN 1 THEN precision ELSE -fpr END DESC, threshold LIMIT 1)"""
+
+
+@query(f"WITH {SWEEP}, w AS ({_rates_sql('c', 'threshold, ')}) " + " UNION ALL ".join(_rule_sql(*r) for r in RULES))
+def choose_threshold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule of each kind: all targets met, recall alone, neither."""
+    sweep, out = evaluate.threshold_sweep(_scored(spark, sf_dir)), None
+    for recall, fpr in RULES:
+        row = evaluate.choose_threshold(sweep, recall, fpr).select(F.lit(recall).alias("target"), "threshold", "rule", "f1")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("SELECT doc_id, round(0.5 * quality + 0.5 * toxic, 6)::DOUBLE AS score FROM labels")
+def mean_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "labels").select("doc_id", F.round(evaluate.mean_score(F.col("quality").cast("double"), F.col("toxic").cast("double")), 6).alias("score"))
+
+
+@query(f"""WITH {REC} SELECT 'train_sequence_' || lpad(CAST(row_number() OVER (ORDER BY seq) - 1 AS VARCHAR), 7, '0') AS id, normalized_hash, CASE label WHEN 'LEAK' THEN 1 WHEN 'NON_LEAK' THEN 0 END AS sequence_label, category, 'documents' AS source_dataset FROM rec""")
+def canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _records(spark, sf_dir).drop("normalized_hash")
+    return build.canonical_records(rows, "sequence", "train", "documents").select("id", "normalized_hash", "sequence_label", "category", "source_dataset")

@@ -2,42 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textwarden.functions.text import binary_label
+
 PREVIEW = 160
 BOM = "﻿"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of text files, line numbers from 1, however many tasks read a file.
+
+    A line's number is its place within its block of the file behind the lines of the blocks before; only the blocks'
+    sizes are gathered, a row for each.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    blocks = lines.groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.join(F.broadcast(blocks.withColumn("_before", before).drop("_n")), ["file", "_at"])
+    number = F.col("_before") + F.col("_id") - F.col("_first") + 1
+    return placed.select("file", number.alias("line_no"), F.when(number == 1, F.regexp_replace("line", f"^{BOM}", "")).otherwise(F.col("line")).alias("line"))
+
+
+MALFORMED = "file string, line_no long, error string, preview string"
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(records, malformed): one JSON object a line, blank lines skipped, a byte-order mark ignored.
+    """(records, malformed): one JSON object a line, blank lines skipped, a byte-order mark at the beginning ignored.
 
-    With strict, a bad line raises when the records are computed. Malformed: file, error, preview.
+    With strict, a bad line raises when the records are computed. Records carry file and line_no.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", f"^{BOM}", "").alias("line")).where(F.trim("line") != "")
-    parsed = lines.withColumn("r", F.from_json("line", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    parsed = numbered_lines(spark, path).where(F.trim("line") != "").withColumn("r", F.from_json("line", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     broken = F.col("r").isNull() | F.col("r._bad").isNotNull() | ~F.col("line").rlike(r"^\s*\{")
     if strict:
-        parsed = parsed.withColumn("r", F.when(broken, F.raise_error(F.concat(F.lit("bad JSON in "), "file", F.lit(": "), F.substring("line", 1, PREVIEW)))).otherwise(F.col("r")))
-        return parsed.select("file", "r.*").drop("_bad"), spark.createDataFrame([], "file string, error string, preview string")
-    good = parsed.where(~broken).select("file", "r.*").drop("_bad")
-    return good, parsed.where(broken).select("file", F.lit("MalformedJSON").alias("error"), F.substring("line", 1, PREVIEW).alias("preview"))
+        told = F.concat(F.lit("bad JSON in "), "file", F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), F.substring("line", 1, PREVIEW))
+        parsed = parsed.withColumn("r", F.when(broken, F.raise_error(told)).otherwise(F.col("r")))
+        return parsed.select("file", "line_no", "r.*").drop("_bad"), spark.createDataFrame([], MALFORMED)
+    good = parsed.where(~broken).select("file", "line_no", "r.*").drop("_bad")
+    return good, parsed.where(broken).select("file", "line_no", F.lit("MalformedJSON").alias("error"), F.substring("line", 1, PREVIEW).alias("preview"))
 
 
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, malformed): a header names the columns; rows of another width are malformed."""
-    head = spark.read.option("header", True).csv(path)
-    names = [c.lstrip(BOM) for c in head.columns]
+def read_csv(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(records, malformed): a header names the columns; rows of another width are malformed, or, if not strict, read as
+    far as they go. Records carry file and line_no; the header is line 1, so rows begin at 2."""
+    names = [c.lstrip(BOM) for c in spark.read.option("header", True).csv(path).columns]
     schema = ", ".join(f"{_quoted(c)} string" for c in names)
-    rows = spark.read.schema(f"{schema}, _bad string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("enforceSchema", True).option("columnPruning", False).csv(path)
-    named = rows.withColumn("file", F.col("_metadata.file_path"))
-    # Spark refuses scans that need nothing but the corrupt record, so the filter looks at a data column too.
-    bad = named.where(F.col("_bad").isNotNull() & (F.length(F.coalesce(F.col(_quoted(names[0])), F.lit(""))) >= 0))
-    return named.where("_bad IS NULL").drop("_bad"), bad.select("file", F.lit("MalformedCSVRow").alias("error"), F.substring("_bad", 1, PREVIEW).alias("preview"))
+    rows = numbered_lines(spark, path).where("line_no > 1 AND line <> ''").withColumn("r", F.from_csv("line", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    if not strict:
+        return rows.select("file", "line_no", "r.*").drop("_bad"), spark.createDataFrame([], MALFORMED)
+    broken = F.col("r._bad").isNotNull()
+    good = rows.where(~broken).select("file", "line_no", "r.*").drop("_bad")
+    return good, rows.where(broken).select("file", "line_no", F.lit("MalformedCSVRow").alias("error"), F.substring("line", 1, PREVIEW).alias("preview"))
 
 
 def read_any(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -49,6 +71,72 @@ def read_any(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, Da
     raise ValueError(f"unknown format: {path}")
 
 
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """A lenient CSV reader: (file, line_no, text, the other columns); the text is the first of the columns text,
+    sentence and segment that isn't empty."""
+    rows, _ = read_csv(spark, path, strict=False)
+    names = [c for c in ("text", "sentence", "segment") if c in rows.columns]
+    if not names:
+        raise ValueError("a column text, sentence or segment is expected")
+    return rows.withColumn("text", first_text(*map(F.col, names)))
+
+
+def _asserted(ok: Column, value: Column, message: str) -> Column:
+    where = F.concat(F.lit(f"{message} in "), F.col("file"), F.lit(", line "), F.col("line_no").cast("string"))
+    return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(where).cast("string"))
+
+
+SEQUENCE_SCHEMA = "text string, label string, sequence_label string, document_label string, case_id string, id string, pair_id string, category string, difficulty string, group_id string, expected_reason string"
+TOKEN_SCHEMA = "text string, tokens array<string>, ner_tags array<int>, tag_names array<string>, case_id string, id string, category string, group_id string, document_label string"
+
+
+def sequence_rows(records: DataFrame) -> DataFrame:
+    """Records of read_jsonl(SEQUENCE_SCHEMA) or read_csv() as evaluation rows: row_id, text, label 0 or 1, label_name and
+    the descriptions with their defaults. A missing text or an unknown label raises."""
+    have = lambda c: F.col(c) if c in records.columns else F.lit(None).cast("string")
+    label = binary_label("evaluate", F.coalesce(*map(have, ("label", "sequence_label", "document_label"))))
+    number = records.select("*", F.row_number().over(Window.partitionBy("file").orderBy("line_no")).alias("_k"))
+    text = _asserted(F.trim(have("text")) != "", have("text"), "missing text")
+    name = _asserted(label.isNotNull(), label, "unknown label")
+    filled = {c: F.coalesce(have(c), F.lit(d)).alias(c) for c, d in (("pair_id", ""), ("category", "UNKNOWN"), ("difficulty", "unknown"), ("group_id", ""), ("expected_reason", ""))}
+    row_id = F.coalesce(have("case_id"), have("id"), F.col("_k").cast("string"))
+    return number.select("file", "line_no", row_id.alias("row_id"), text.alias("text"), (name == "LEAK").cast("int").alias("label"), name.alias("label_name"), *filled.values())
+
+
+def token_rows(records: DataFrame) -> DataFrame:
+    """Records of read_jsonl(TOKEN_SCHEMA) as evaluation rows; tokens and tags of different number raise."""
+    number = records.select("*", F.row_number().over(Window.partitionBy("file").orderBy("line_no")).alias("_k"))
+    fits = F.col("tokens").isNotNull() & ~F.exists("tokens", lambda t: t.isNull()) & (F.size("tokens") == F.size("ner_tags"))
+    checked = _asserted(fits, F.coalesce("text", F.array_join("tokens", " ")), "tokens and tags don't fit")
+    label = binary_label("evaluate", F.col("document_label"))
+    row_id = F.coalesce("case_id", "id", F.col("_k").cast("string"))
+    return number.select("file", "line_no", row_id.alias("row_id"), checked.alias("text"), "tokens", "ner_tags", F.coalesce("tag_names", F.array().cast("array<string>")).alias("tag_names"), F.coalesce("category", F.lit("UNKNOWN")).alias("category"), F.coalesce("group_id", F.lit("")).alias("group_id"), F.when(F.col("document_label").isNotNull(), (label == "LEAK").cast("int")).alias("document_label"))
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A JSON file that holds one object."""
+    found = spark.read.option("wholetext", True).text(path).first()
+    config = json.loads(found.value.lstrip(BOM)) if found else None
+    if not isinstance(config, dict):
+        raise ValueError("a JSON object is expected")
+    return config
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, sha256) of files."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def named_path(argument: str) -> tuple[str, str]:
+    """NAME=PATH, or a path that is named after its file."""
+    name, sign, path = argument.partition("=")
+    if not sign:
+        name, path = argument.replace("\\", "/").rstrip("/").rpartition("/")[2].rpartition(".")[0] or argument, argument
+    if not name or not path:
+        raise ValueError("NAME=PATH is expected")
+    return name, path
+
+
 def first_text(*columns: Column) -> Column:
     """The first of the columns that isn't empty."""
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))
@@ -92,8 +180,21 @@ def read_pdf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """A results document of schema 2.0, one row per sentence; another version raises."""
-    raw = spark.read.option("multiLine", True).json(path)
-    if raw.where("schema_version <> '2.0' OR schema_version IS NULL").limit(1).count():
+    """Result documents of schema 2.0 as they were written; what isn't one raises."""
+    raw = spark.read.option("multiLine", path.lower().endswith(".json")).json(path)
+    if "_corrupt_record" in raw.columns or "schema_version" not in raw.columns or raw.where("schema_version <> '2.0' OR schema_version IS NULL").limit(1).count():
         raise ValueError("results of schema 2.0 are expected")
-    return raw.select(F.explode("pages").alias("p")).select(F.col("p.page").alias("page"), F.posexplode("p.sentences").alias("unit_no", "s")).select("page", "unit_no", "s.*")
+    if "pages" not in raw.columns or not raw.schema["pages"].dataType.simpleString().startswith("array"):
+        raise ValueError("results must contain a list of pages")
+    if raw.where("pages IS NULL").limit(1).count():
+        raise ValueError("results must contain a list of pages")
+    page = raw.schema["pages"].dataType.elementType
+    if page.typeName() == "struct" and ("sentences" not in page.names or page["sentences"].dataType.typeName() != "array"):
+        raise ValueError("each page must contain a list of sentences")
+    return raw
+
+
+def result_sentences(results: DataFrame) -> DataFrame:
+    """The sentences of result documents, with both page numbers: container_page, sentence_page, unit_no, item."""
+    pages = results.select(F.explode("pages").alias("p")).select(F.col("p.page").alias("container_page"), F.posexplode("p.sentences").alias("unit_no", "item"))
+    return pages.select("container_page", F.col("item.page").alias("sentence_page"), "unit_no", "item")
