@@ -2,7 +2,8 @@
 
 The forest's features are the candidate's length, its character transitions, how much of it dictionary words cover,
 marks of its path, and the words around it. It is trained in numpy from labelled findings; without a table of such
-findings it learns from labelled_findings(), which makes them by rule.
+findings it learns from labelled_findings(), which makes them by rule: secrets behind credentials' names and without any
+(issuers' prefixes, bearer tokens, passwords in addresses, bare random values), and what scanners mistake for them.
 
 Cases: null and empty texts hold no candidate; a null path has no marks; overlapping candidates keep the first pattern's;
 repeated rows are scanned each; texts of any length are scanned whole; an empty table gives an empty result. Values are
@@ -11,6 +12,7 @@ returned as SHA-256 digests, never in the clear.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -31,11 +33,16 @@ RULES = [
     ("prefixed_token", re.compile(r"\b((?:gh[pousr]_|sk-|xox[abprs]-|glpat-)[A-Za-z0-9_-]{16,})")),
     ("web_token", re.compile(r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,})")),
     ("assignment", re.compile(r"(?i)\b(?:api[_-]?key|secret|token|passwd|password|pwd|auth|access[_-]?key|credential)s?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{8,})")),
-    ("long_string", re.compile(r"(?<![\w+/=-])([A-Za-z0-9+/_=-]{24,})(?![\w+/=-])")),
+    ("url_password", re.compile(r"\b[a-z][a-z0-9+.-]*://[^\s:/@]+:([^\s:/@]{6,})@")),
+    ("long_string", re.compile(r"(?<![\w+/-])([A-Za-z0-9+/_-]{24,}={0,2})(?![\w+/=-])")),
 ]
 DICTIONARY = "about access account admin after api app auth base before build cache change check class client code commit config connect content count create data date default delete demo development document dummy email error event example false field file filter first from function group handler header hello hash home host image index info input insert item key label last length license line list load local lock login main manager message model name network node null number object option order output page param parent password path placeholder point port process project query read record remote replace request response result return root sample schema secret server service session set size source start state status string system table target task template test text this time title token true type update upload user util value version view with word world write your".split()
 HINTS = [["token", "secret", "password", "passwd", "api", "auth", "credential", "bearer", "login"], ["example", "sample", "dummy", "placeholder", "test", "demo", "fake", "your"], ["commit", "sha", "md5", "checksum", "hash", "digest", "etag", "revision", "integrity"], ["uuid", "guid", "id", "request", "trace", "session"], ["license", "copyright", "version", "http", "https", "www"]]
+#: The words of a text, for hints.
+_HINT_WORDS = re.compile(r"[a-z0-9]+")
 PATHS = [["test", "spec", "fixture", "mock"], ["example", "sample", "docs", "readme"], [".env", "config", "settings", "deploy", "secret"], ["lock", "min.js", "vendor", "dist"]]
+#: Beginnings that token issuers give their keys.
+PREFIXES = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "glpat-", "AKIA", "ASIA", "eyJ", "-----BEGIN")
 NEAR = 60
 _WORDS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) >= 3), key=len, reverse=True)))
 
@@ -50,44 +57,67 @@ def features(value: str, before: str, after: str, path: str | None) -> list[floa
     lower = value.lower()
     covered = sum(len(m) for m in _WORDS.findall(lower)) / n
     vowels = sum(a in "aeiou" and b not in "aeiou0123456789" for a, b in zip(lower, lower[1:], strict=False)) / max(1, n - 1)
-    near, of = f"{before} {after}".lower(), (path or "").lower()
-    line = before.rpartition("\n")[2].lower()
+    near, of = _words(before) | _words(after), (path or "").lower()
+    line = _words(before.rpartition("\n")[2])
     return [
         n, entropy, covered, vowels, max(counts.values(), default=0) / n, *(kinds.count(k) / n for k in range(4)),
         share(lambda a, b: a != b), share(lambda a, b: {a, b} == {0, 2}), share(lambda a, b: {a, b} == {0, 1}), share(lambda a, b: a == b == 2),
         float(all(c in "0123456789abcdef" for c in lower)), float(re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", lower) is not None),
-        *(float(any(w in near for w in hint)) for hint in HINTS), float(any(w in line for w in HINTS[0])), *(float(any(w in of for w in mark)) for mark in PATHS),
+        float(value.startswith(PREFIXES)), *(float(any(w in near for w in hint)) for hint in HINTS), float(any(w in line for w in HINTS[0])), float(before.rstrip(" \"'").endswith(("=", ":"))), *(float(any(w in of for w in mark)) for mark in PATHS),
     ]
 
 
+def _words(text: str) -> set[str]:
+    """Words in lower case, plurals as their singular too."""
+    found = _HINT_WORDS.findall(text.lower())
+    return {*found, *(w[:-1] for w in found if w.endswith("s"))}
+
+
 def candidates(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, rule) in code points, without overlaps, in text order."""
+    starts: list[int] = []  # of what is taken, in order
     taken: list[tuple[int, int, str]] = []
     for name, pattern in RULES:
         for m in pattern.finditer(text or ""):
             s, e = m.span(m.lastindex)
-            value = m.group(m.lastindex)
-            if name == "long_string" and not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+            if name == "long_string" and not (any(c.isdigit() for c in m.group(m.lastindex)) and any(c.isalpha() for c in m.group(m.lastindex))):
                 continue
-            if all(e <= a or s >= b for a, b, _ in taken):
-                taken.append((s, e, name))
-    return sorted(taken)
+            at = bisect.bisect_left(starts, s)
+            if (at and taken[at - 1][1] > s) or (at < len(taken) and taken[at][0] < e):
+                continue
+            starts.insert(at, s)
+            taken.insert(at, (s, e, name))
+    return taken
 
 
-def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str, str | None, int]]:
+def labelled_findings(n: int = 5000, seed: int = 3) -> list[tuple[str, str, str, str | None, int]]:
     """(value, before, after, path, label): secrets, and what scanners mistake for them."""
     rng = random.Random(seed)
     pick = lambda alphabet, a, b: "".join(rng.choices(alphabet, k=rng.randint(a, b)))
     words = lambda a, b: [rng.choice(DICTIONARY) for _ in range(rng.randint(a, b))]
     any_path = lambda: rng.choice([None, "src3", "src/app.py", "conf/settings.yaml", ".env", "web/main.js"])
+    hexed = lambda: pick("0123456789abcdef", *[rng.choice([32, 40, 48, 64])] * 2)  # noqa: E731  as long as digests are
+    random_value = lambda a, b: hexed() if b > 40 and rng.random() < 0.3 else pick(rng.choice(["0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "_-"]), a, b)
     out = []
     for _ in range(n // 2):
-        alphabet = rng.choice(["0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits])
-        value = rng.choice(["", "", "", "ghp_", "sk-", "AKIA"]) + pick(alphabet, 16, 64)
-        name = rng.choice(["token", "secret", "api_key", "password", "auth", "access_key"])
-        lead = " ".join(words(0, 6)) + rng.choice(["\n", " "])
-        out.append((value, lead + rng.choice([f'{name} = "', f"{name}: ", f"{name}='", f"export {name.upper()}="]), " " + " ".join(words(0, 6)), any_path(), 1))
-        shape = rng.randrange(8)
+        lead, tail = " ".join(words(0, 6)) + rng.choice(["\n", " "]), " " + " ".join(words(0, 6))
+        kind = rng.randrange(-3, 8)
+        if kind < 3:  # behind a credential's name
+            value = rng.choice(["", "", "", "ghp_", "sk-", "AKIA"]) + random_value(16, 64)
+            name = rng.choice(["token", "secret", "api_key", "password", "auth", "access_key"])
+            before = lead + rng.choice([f'{name} = "', f"{name}: ", f"{name}='", f"export {name.upper()}="])
+        elif kind == 3:  # an issuer's prefix, in prose
+            value, before = rng.choice(["ghp_", "sk-", "xoxb-", "glpat-"]) + pick(string.ascii_letters + string.digits, 20, 48), lead
+        elif kind == 4:
+            value, before = rng.choice(["AKIA", "ASIA"]) + pick(string.ascii_uppercase + string.digits, 16, 16), lead
+        elif kind == 5:
+            value, before = "eyJ" + pick(string.ascii_letters + string.digits, 12, 40) + "." + pick(string.ascii_letters + string.digits + "_-", 20, 60) + "." + pick(string.ascii_letters + string.digits + "_-", 20, 43), lead + rng.choice(["", "Bearer ", "Authorization: Bearer "])
+        elif kind == 6:  # a value of no name, or of one that says nothing
+            value, before = pick(string.ascii_letters + string.digits + "+/", 32, 64), lead + rng.choice(["", f"{rng.choice(DICTIONARY)} = ", f"{rng.choice(DICTIONARY).upper()}="])
+        else:
+            value, before, tail = random_value(8, 32), lead + rng.choice(["postgres", "mysql", "https", "amqp"]) + f"://{rng.choice(DICTIONARY)}:", f"@{rng.choice(DICTIONARY)}.net/{rng.choice(DICTIONARY)}"
+        out.append((value, before, tail, any_path(), 1))
+        shape = rng.randrange(11)
         before, after, path = " ".join(words(2, 8)) + " ", " " + " ".join(words(2, 8)), any_path()
         if shape == 0:
             value, before = pick("0123456789abcdef", 40, 40), before + rng.choice(["commit ", "sha1 ", "revision ", "checksum: "])
@@ -104,6 +134,12 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
             before += "example token = "
         elif shape == 6:
             value, before = pick("0123456789abcdef", 64, 64), before + rng.choice(["sha256 digest ", "integrity hash ", "etag "])
+        elif shape == 8:
+            value, before = "AKIA" + pick(string.ascii_uppercase, 5, 9) + "EXAMPLE", before + rng.choice(["", "example key "])
+        elif shape == 9:
+            value, before, after = rng.choice(["password", "secret", "changeme", "example", "your-password"]) + rng.choice(["", "1", "123"]), before + f"postgres://{rng.choice(DICTIONARY)}:", "@localhost/test"
+        elif shape == 10:
+            value, before = rng.choice(["sk-", "ghp_"]) + rng.choice(["x", "0", "your-key-here-"]) * rng.randint(16, 24), before + rng.choice(["token = ", "example "])
         else:
             value, before = "/".join(words(3, 6)) + f"/{rng.randint(1, 99)}", before + "https "
         out.append((value, before, after, path, 0))
@@ -113,7 +149,7 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
 class Forest:
     """Gini trees over bootstrap samples, each split from a random set of features; kept as flat arrays."""
 
-    def __init__(self, trees: int = 40, depth: int = 9, least: int = 3, seed: int = 1):
+    def __init__(self, trees: int = 60, depth: int = 12, least: int = 3, seed: int = 1):
         self.trees, self.depth, self.least, self.rng = trees, depth, least, np.random.default_rng(seed)
         self.nodes: list[tuple[np.ndarray, ...]] = []
 
