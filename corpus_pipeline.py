@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents through five training-data operators, each stage written and read again."""
+"""The corpus pipeline: documents through five training-data operators, each stage written and read again.
+
+Every stage but the last takes and returns the columns of documents, whatever others there are, and decides about rows,
+not identifiers: a row with a null or repeated doc_id goes or stays by its text. Empty tables pass through as they are.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,36 @@ from textwarden.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents that the classifier calls toxic go."""
+    """Operator 10: documents that the classifier calls toxic go.
+
+    Null and empty texts are scored as such; without labels of both kinds nothing is called toxic unless all labels are.
+    """
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: of equal texts, the smallest doc_id stays."""
+    """Operator 5: of equal texts, one row stays, that of the smallest doc_id (null last; one of repeated rows).
+
+    Null texts count as empty, so all empty documents are one text.
+    """
     return exact_dedup.survivors(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: one document of each near-duplicate group stays (five words, similarity of 0.8 or more)."""
+    """Operator 1: one document of each near-duplicate group stays (five words, similarity of 0.8 or more).
+
+    That is the row of the smallest doc_id (null last); documents without words are in no group and stay.
+    """
     return near_dedup.survivors(docs, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: documents that hold a benchmark item go."""
+    """Operator 2: documents that hold a benchmark item go; null and empty texts hold none, null items are in none."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: token counts and digests of the ids and of the decoded bytes."""
+    """Operator 6: token counts and digests of the ids and of the decoded bytes, a row per row; null texts are empty."""
     import public_tokenizers
 
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -42,7 +55,7 @@ STAGES = [
     ("decontaminate", drop_leaks),
     ("byte_bpe", encode),
 ]
-#: A trained network and a tokenizer have no SQL.
+#: A trained network and a tokenizer have no SQL; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
