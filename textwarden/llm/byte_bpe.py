@@ -35,14 +35,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import open_fs, shared_dir, write_atomically, written
+from textwarden.llm.common import open_fs, released, shared_dir, write_atomically, written
 
 #: Bounds of a block: distinct pieces, pieces and documents.
 BLOCK_WORDS, BLOCK_TOKENS, BLOCK_DOCS = 600_000, 8_000_000, 500_000
 MOST_BUCKETS = 1 << 16
 FOLD_BYTES = 512
 #: Numbers of documents that a task keeps before it writes them.
-PENDING = 1_000_000
+PENDING = 200_000
 #: Places of the literal map are left ^ right << SHIFT.
 SHIFT = 3
 #: Lowest bits of the rank and of the place in the fold's state; NEVER is above every rank. Words have less than 1024 bytes.
@@ -92,11 +92,12 @@ def literal_rank_map(pairs: dict[tuple[int, int], int]) -> Column:
 
     Given the place and left, right follows, so left is key enough. Places without a pair are null.
     """
-    places: list[dict | None] = [None] * (1 + max(left ^ right << SHIFT for left, right in pairs))
+    places: dict[int, str] = {}
     for (left, right), rank in pairs.items():
-        at = left ^ right << SHIFT
-        places[at] = (places[at] or {}) | {str(left): rank}
-    return F.from_json(F.lit(json.dumps(places)), "array<map<string,long>>").cast("array<map<long,long>>")
+        at, entry = left ^ right << SHIFT, f'"{left}":{rank}'
+        places[at] = f"{places[at]},{entry}" if at in places else entry
+    listed = ",".join("{" + places[at] + "}" if at in places else "null" for at in range(1 + max(places)))
+    return F.from_json(F.lit(f"[{listed}]"), "array<map<string,long>>").cast("array<map<long,long>>")
 
 
 def literal_pieces(ranks: dict[bytes, int]) -> Column:
@@ -243,6 +244,7 @@ class _Block:
 def _split(pattern: str, folder: str, buckets: int):
     """Documents to the files and pieces of their blocks."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -306,6 +308,12 @@ def _unpack(part: bytes, expand: zstandard.ZstdDecompressor) -> tuple[np.ndarray
     return np.cumsum(codes, dtype=np.int64), id_sizes, body_sizes, ids, raw[at[-1] :]
 
 
+def _words_of(part: bytes, expand: zstandard.ZstdDecompressor) -> int:
+    """How many words a part holds."""
+    with expand.stream_reader(part) as reader:
+        return int.from_bytes(reader.read(4), "little")
+
+
 def _offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Starts and sizes of the rows of a list or binary column without nulls."""
     at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -331,6 +339,7 @@ def _deal(path: str):
             out.append(_pack(code[a:b], id_size[w], values[_ragged(id_start[w], id_size[w])], body_size[w], raw[_ragged(body_start[w], body_size[w])], squeeze))
         return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(out, pa.binary())], schema=PART)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -358,22 +367,23 @@ def _join(folder: str):
 
     def run(table: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor()
-        parts = [_unpack(p, expand) for p in table.column("part").drop_null().to_pylist()]
-        n = sum(len(p[0]) for p in parts)
-        top = max((int(p[3].max()) for p in parts if len(p[3])), default=0)
-        _DECIMALS.extend(b"%d" % i for i in range(len(_DECIMALS), top + 1))
+        block, packed = table.column("block")[0].as_py(), table.column("part").drop_null()
+        del table
+        n = sum(_words_of(p.as_buffer(), expand) for p in packed)
         texts, bodies, sizes = [b""] * n, [b""] * n, np.zeros(n, np.int64)
-        for codes, id_sizes, body_sizes, ids, raw in parts:
+        for part in packed:
+            codes, id_sizes, body_sizes, ids, raw = _unpack(part.as_buffer(), expand)
             sizes[codes] = id_sizes
+            _DECIMALS.extend(b"%d" % i for i in range(len(_DECIMALS), int(ids.max(initial=0)) + 1))
             decimals = list(map(_DECIMALS.__getitem__, ids.tolist()))
             a = b = 0
             for code, i, j in zip(codes.tolist(), id_sizes.tolist(), body_sizes.tolist(), strict=True):
                 texts[code], bodies[code] = b" ".join(decimals[a : a + i]), raw[b : b + j]
                 a, b = a + i, b + j
-        del parts
+        del packed
         out = []
         fs, base = open_fs(folder)
-        with fs.open_input_stream(f"{base}/{table.column('block')[0].as_py()}.texts", compression=None) as stream:
+        with fs.open_input_stream(f"{base}/{block}.texts", compression=None) as stream:
             for batch in pa.ipc.open_stream(stream):
                 codes = _unplanes(batch.column(2)[batch.num_rows - 1].as_py())
                 counts, line = np.concatenate([[0], np.cumsum(sizes[codes])]), codes.tolist()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import os
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +94,20 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total
     return found.unionByName(rows.where(~is_hot).join(groups.where(~is_hot).hint("merge"), keys, "left"))
 
 
+def released(run):
+    """A task function that, when its rows are done, gives back the memory that its worker holds but doesn't use, since
+    workers stay for the next stages."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can't
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def crc_mod(column: str, mod: int) -> Column:
     """crc32 of an integer column as decimal text, modulo mod; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)

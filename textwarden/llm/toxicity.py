@@ -24,18 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import crc_mod
+from textwarden.llm.common import crc_mod, released
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 12
 CHAR_BITS, WORD_ROWS = 15, 8192
 #: Bounds of the training sample.
 TOXIC_ROWS, CLEAN_ROWS = 1200, 2500
-CACHE = 300_000
+CACHE = 200_000
 SLICE = 4096
 #: Logits are counted in bins of 1 / BINS up to FAR either way.
 BINS, FAR = 64, 60
@@ -203,7 +202,7 @@ class Net:
 
 
 class Scorer:
-    """Scores texts with a trained network; gate inputs of words are computed once in a worker."""
+    """Scores texts with a trained network; gate inputs of words are computed once in a task."""
 
     def __init__(self, net: Net):
         self.net, self.rows = net, {}
@@ -364,17 +363,15 @@ def _divide(bins: np.ndarray, toxic: np.ndarray, number: np.ndarray) -> float:
 
 def _rate(docs: DataFrame, rows: DataFrame, net: Net) -> list:
     """(bin, toxic, n): how many rows of each kind have logits in each bin."""
-    name = xxhash.xxh3_64_hexdigest(net.p["char"].tobytes())
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(sent.value)
+        scorer = Scorer(sent.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                x = _SCORERS[name].logits([tokens(t) for t in batch.column(0).to_pylist()])
+                x = scorer.logits([tokens(t) for t in batch.column(0).to_pylist()])
                 bins = np.floor(np.clip(x, -FAR, FAR) * BINS).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column(1)], names=["bin", "toxic"])
 
@@ -396,6 +393,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, tox
     return net
 
 
+@released
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All rows of the sample to one row with the network, or the share of toxic labels."""
     if not (held := [b for b in batches if b.num_rows]):
@@ -406,23 +404,18 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps(net)], pa.binary())})
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def score(docs: DataFrame, net: Net | float, folds: int = 5, held: int = 0) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
-    name = xxhash.xxh3_64_hexdigest(net.p["char"].tobytes()) if isinstance(net, Net) else ""
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name and name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(sent.value)
+        scorer = Scorer(sent.value) if isinstance(sent.value, Net) else None
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 texts = batch.column(2).to_pylist()
-                s = _SCORERS[name].scores(texts) if name else np.full(len(texts), sent.value)
+                s = scorer.scores(texts) if scorer else np.full(len(texts), sent.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_mod("doc_id", folds) == held, F.lit(False)).alias("held_out"), "text")
@@ -436,19 +429,17 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0)
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier doesn't call toxic, with all their columns."""
     net = train(docs, labels)
-    name = xxhash.xxh3_64_hexdigest(net.p["char"].tobytes()) if isinstance(net, Net) else ""
     sent = docs.sparkSession.sparkContext.broadcast(net)
     place = docs.columns.index("text")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name and name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(sent.value)
+        scorer = Scorer(sent.value) if isinstance(sent.value, Net) else None
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 texts = batch.column(place).to_pylist()
-                s = _SCORERS[name].scores(texts) if name else np.full(len(texts), sent.value)
+                s = scorer.scores(texts) if scorer else np.full(len(texts), sent.value)
                 yield batch.filter(pa.array(s < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
