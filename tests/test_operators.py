@@ -359,3 +359,26 @@ def test_protected_patterns_come_back(spark):
     got = rows.select("t", "p.text", "p.values", segment.restore(F.col("p.text"), F.col("p.values")).alias("back")).collect()
     assert all(r.back == r.t for r in got)
     assert all("@" not in r.text and ":" not in r.text and "." not in r.text for r in got) and sum(len(v) for r in got for v in r["values"]) == 14
+
+
+def test_counts_of_a_stream(spark, tmp_path):
+    """Findings per window of event time."""
+    import datetime as dt
+
+    from textwarden.streaming import scan as stream
+
+    at = lambda m: dt.datetime(2024, 1, 1, 10, m)
+    rows = [(1, "id 123456789", at(1)), (2, "id 123456789 and a@b.cd", at(4)), (3, "id 987654321", at(14)), (4, None, at(15))]
+    spark.createDataFrame(rows, "doc_id long, text string, at timestamp").write.parquet(str(tmp_path / "in"))
+    texts = spark.readStream.schema("doc_id long, text string, at timestamp").parquet(str(tmp_path / "in"))
+    query = stream.counts_stream(texts, "at").writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {(r.window_start.minute, r.type, r.n) for r in spark.table("counted").collect()} == {(0, "ID", 2), (0, "EMAIL", 1), (10, "ID", 1)}
+
+
+def test_environment_sets_paths(monkeypatch):
+    from textwarden.session import configured
+
+    assert configured("model", "models/x") == "models/x"
+    monkeypatch.setenv("TEXTWARDEN_MODEL", "/m")
+    assert configured("model", "models/x") == "/m"

@@ -215,6 +215,14 @@ def distribution(records: DataFrame, field: str) -> DataFrame:
     return counts.withColumn("percentage", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy("file")), 4))
 
 
+def entity_types(records: DataFrame, tags: str = "tag_names", key: str | None = None) -> DataFrame:
+    """How many tags of each entity type stand in records (of each key), and in how many of them; O tags don't count."""
+    keys = [key] if key else []
+    exploded = records.select(*keys, "seq", F.explode(tags).alias("_t")).where("_t <> 'O'").select(*keys, "seq", F.regexp_replace("_t", "^[BI]-", "").alias("type"))
+    each = exploded.groupBy(*keys, "type", "seq").agg(F.count(F.lit(1)).alias("_n"))
+    return each.groupBy(*keys, "type").agg(F.sum("_n").alias("labels"), F.count(F.lit(1)).alias("records"))
+
+
 def length_statistics(records: DataFrame, key: str = "file") -> DataFrame:
     """Count, extremes, mean, median and nearest-rank percentiles of text lengths.
 

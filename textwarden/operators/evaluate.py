@@ -149,6 +149,11 @@ def evaluate_scorer(units: DataFrame, scorer: Callable[[DataFrame], DataFrame],
     return binary_metrics(usable, keys or []), scored.where("status <> 'OK' OR prediction <> gold")
 
 
+def row_errors(tokens: DataFrame) -> DataFrame:
+    """row_index and errors of the rows with a wrong token (gold, predicted, row_index)."""
+    return tokens.groupBy("row_index").agg(F.count_if(F.col("gold") != F.col("predicted")).alias("errors")).where("errors > 0")
+
+
 def mean_score(token_f1: Column, sequence_f1: Column) -> Column:
     """The score of a checkpoint by both heads alike."""
     return 0.5 * token_f1 + 0.5 * sequence_f1

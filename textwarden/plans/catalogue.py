@@ -456,9 +456,13 @@ def split_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.distribution(_records(spark, sf_dir).withColumn("file", F.col("split")), "category")
 
 
-@query("SELECT CAST(label AS VARCHAR) AS type, count(*) AS labels, count(DISTINCT vec_id) AS records FROM embeddings GROUP BY 1")
+TAGGED = [(1, "O B-P I-P O B-S"), (2, "B-P O B-P"), (3, "O O"), (4, "I-S X")]
+
+
+@query(f"""WITH t AS (SELECT seq, unnest(string_split(tags, ' ')) AS t FROM (VALUES {_values(TAGGED)}) AS x(seq, tags)) SELECT regexp_replace(t, '^[BI]-', '') AS type, count(*) AS labels, count(DISTINCT seq) AS records FROM t WHERE t <> 'O' GROUP BY 1""")
 def entity_type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("string").alias("type")).agg(F.count(F.lit(1)).alias("labels"), F.countDistinct("vec_id").alias("records"))
+    rows = spark.sql(f"SELECT * FROM VALUES {_values(TAGGED)} AS x(seq, tags)")
+    return audit.entity_types(rows.select("seq", F.split("tags", " ").alias("tag_names")))
 
 
 @query(f"""WITH {REC}, r AS (SELECT file, length(normalized_text) AS len, row_number() OVER (PARTITION BY file ORDER BY length(normalized_text)) - 1 AS i, count(*) OVER (PARTITION BY file) AS n FROM rec)
@@ -698,7 +702,7 @@ def per_type_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TOK} SELECT row_index, count(*) FILTER (gold <> predicted) AS errors FROM tok GROUP BY 1 HAVING count(*) FILTER (gold <> predicted) > 0")
 def row_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tokens(spark, sf_dir).groupBy("row_index").agg(F.count_if(F.col("gold") != F.col("predicted")).alias("errors")).where("errors > 0")
+    return evaluate.row_errors(_tokens(spark, sf_dir))
 
 
 GRID = [0.5, 1.0, 2.0, 4.0]

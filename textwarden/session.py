@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +13,8 @@ def session(name: str = "textwarden", master: str | None = None, **extra: str) -
         builder = builder.master(master)
     defaults = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.ui.enabled": "false"}
     return builder.config(map=defaults | extra).getOrCreate()
+
+
+def configured(name: str, default: str) -> str:
+    """A path that the environment may set as TEXTWARDEN_<NAME>."""
+    return os.environ.get(f"TEXTWARDEN_{name.upper()}", default)
