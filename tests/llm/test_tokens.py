@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -41,6 +42,14 @@ def test_shards_round_trip(spark, docs):
     assert token_store.round_trip(spark, docs.where("false"), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_null_identifiers_come_first(spark):
+    """Rows without an identifier, repeated ones and clashing names."""
+    rows = spark.createDataFrame([(2, "b"), (None, "a b"), (None, None), (2, "b"), (1, None)], "doc_id long, text string").withColumns({"shard": F.lit(1), "start": F.lit("x")})
+    got = sorted(token_store.round_trip(spark, rows, P.path("byte_bpe_50k.json")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 1, 2, 2] and sorted(r.n_tokens for r in got[:2]) == [1, 3]
+    assert [r.start for r in got] == [0, *itertools.accumulate(r.n_tokens for r in got)][:-1]
+
+
 def test_reader_touches_only_the_frames_it_needs(tmp_path):
     path = tmp_path / "x.ids.zst"
     with open(path, "wb") as f:
