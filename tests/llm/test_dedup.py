@@ -117,6 +117,7 @@ def test_near_duplicates(spark, percent, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 4)  # so that clusters and their cells are reached
     monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 8)
     monkeypatch.setattr(near_dedup, "PIVOTS", 2)
+    monkeypatch.setattr(near_dedup, "VERIFY_BYTES", 5000)
     rows = corpus(percent)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(table(spark, rows), percent).collect()}
     assert got == brute(rows, percent)

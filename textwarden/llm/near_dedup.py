@@ -54,6 +54,8 @@ ESTIMATE_SIGMAS = 5.0
 SMALL, STEPS = 16, 6
 #: Bounds of a block: documents and shingles; and the members of a cluster that all others are compared with at first.
 BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS = 256, 60_000, 32
+#: Bytes of sets that a bucket of pairs should hold while they are verified.
+VERIFY_BYTES = 8 << 20
 #: Identifiers that a broadcast filter may hold (8 bytes each); more are joined in a shuffle.
 BROADCAST_IDS = 2_000_000
 CACHE = 200_000
@@ -172,14 +174,17 @@ def _estimated(percent: int):
 
 
 def _verified(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    """The pairs of a bucket that are links; the sets of its nodes come once each."""
+
+    def run(pairs: pa.Table, nodes: pa.Table) -> pa.Table:
+        column = nodes.column("shingles")
+        sets = {node: np.frombuffer(column[i].as_buffer(), np.uint64) for i, node in enumerate(nodes.column("node").to_pylist())}
+        keep = []
+        for x, y in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            s, t = sets[x], sets[y]
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            keep.append(100 * both >= percent * (len(s) + len(t) - both))
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -345,17 +350,22 @@ class _Linker:
         if likely.isEmpty():
             return
         ids = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-        sets = self.sets_of(written(ids, "likely-nodes"))
+        sets = written(self.sets_of(written(ids, "likely-nodes")), "likely-sets")
         best = written(likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b"), "best")
         self.add(self._verified(best, sets))
         rest = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
         apart = self.with_comps(self.with_comps(rest, "a", "_ca"), "b", "_cb").where("_ca <> _cb").select("a", "b")
-        self.add(self._verified(apart, sets))
+        self.add(self._verified(written(apart, "apart"), sets))
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
-        return written(both.mapInArrow(_verified(self.percent), "a long, b long"), "links")
+        """The links among pairs (written). Pairs are dealt into buckets of about VERIFY_BYTES of sets by a hash of both
+        ends, and each bucket gets the set of a node once, however many of its pairs name it."""
+        mean = sets.agg(F.avg(F.octet_length("shingles"))).first()[0] or 0
+        buckets = max(1, int(2 * pairs.count() * mean // VERIFY_BYTES))
+        placed = pairs.withColumn("bucket", F.pmod(F.xxhash64("a", "b"), F.lit(buckets)))
+        ends = placed.select("bucket", F.col("a").alias("node")).unionByName(placed.select("bucket", F.col("b").alias("node"))).distinct()
+        nodes = ends.join(sets, "node").select(F.col("bucket").alias("of"), "node", "shingles")
+        return written(placed.groupBy("bucket").cogroup(nodes.groupBy("of")).applyInArrow(_verified(self.percent), "a long, b long"), "links")
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
