@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from textwarden.llm.common import crc_mod, released
+from textwarden.llm.common import crc_mod, released, written
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 12
@@ -260,11 +261,6 @@ class Scorer:
                 size += len(part)
         return out
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = self.logits([tokens(t) for t in texts]) + self.net.offset
-        return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-
-
 def _telling(docs: list[list[bytes]], toxic: np.ndarray) -> dict[bytes, float]:
     """How much more often each word, or any word with its rarest n-grams, stands in toxic documents."""
     buckets = 1 << CHAR_BITS
@@ -361,9 +357,9 @@ def _divide(bins: np.ndarray, toxic: np.ndarray, number: np.ndarray) -> float:
     return float((low - values[cut]) / 2 / BINS)
 
 
-def _rate(docs: DataFrame, rows: DataFrame, net: Net) -> list:
-    """(bin, toxic, n): how many rows of each kind have logits in each bin."""
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+def rated(docs: DataFrame, net: Net, text_col: str = "text", out: str = "_logit") -> DataFrame:
+    """docs with the logit of each row's worst window in a column out, before the threshold is taken off."""
+    sent, place = docs.sparkSession.sparkContext.broadcast(net), docs.columns.index(text_col)
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,25 +367,40 @@ def _rate(docs: DataFrame, rows: DataFrame, net: Net) -> list:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                x = scorer.logits([tokens(t) for t in batch.column(0).to_pylist()])
-                bins = np.floor(np.clip(x, -FAR, FAR) * BINS).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column(1)], names=["bin", "toxic"])
+                x = scorer.logits([tokens(t) for t in batch.column(place).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x.astype(np.float64))], names=[*batch.schema.names, out])
 
-    rated = docs.select("doc_id", "text").join(rows, "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))
-    return rated.mapInArrow(run, "bin long, toxic long").groupBy("bin", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Net | float:
-    """A network from the labelled rows that aren't held out; the share of toxic labels where only one kind exists."""
-    rows = labels.where((crc_mod("doc_id", folds) != held) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def threshold(logits: DataFrame, rows: DataFrame, out: str = "_logit") -> float:
+    """The logit to cut at, from the rated documents of all labelled rows (doc_id, toxic)."""
+    told = logits.select("doc_id", F.floor(F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.col(out))) * F.lit(BINS)).alias("bin")).join(rows, "doc_id")
+    bins = told.groupBy("bin", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()  # 2 * 2 * FAR * BINS at most
+    return _divide(*np.array([(r.bin, r.toxic, r.n) for r in bins], np.int64).T)
+
+
+def _gold(labels: DataFrame, folds: int, held: int) -> DataFrame:
+    """(doc_id, toxic) of the labelled rows that aren't held out."""
+    return labels.where((crc_mod("doc_id", folds) != held) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
+
+
+def _fit(docs: DataFrame, rows: DataFrame, toxic_rows: int, clean_rows: int) -> Net | float:
+    """A network without its threshold; the share of toxic labels where only one kind exists."""
     dice = F.xxhash64(F.col("doc_id"), F.lit(11))
     few = [rows.where(F.col("toxic") == k).orderBy(dice, "doc_id").limit(n) for k, n in ((1, toxic_rows), (0, clean_rows))]
     picked = F.broadcast(few[0].unionByName(few[1]))  # at most toxic_rows + clean_rows rows
-    sample = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("long").alias("toxic"))
+    sample = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     found = sample.repartition(1).mapInArrow(_fitted, "net binary").collect()
-    net = pickle.loads(found[0].net) if found else 0.0
+    return pickle.loads(found[0].net) if found else 0.0
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Net | float:
+    """A network from the labelled rows that aren't held out; the share of toxic labels where only one kind exists."""
+    rows = _gold(labels, folds, held)
+    net = _fit(docs, rows, toxic_rows, clean_rows)
     if isinstance(net, Net):
-        net.offset = -_divide(*np.array(_rate(docs, rows, net), np.int64).T)
+        net.offset = -threshold(rated(docs.select("doc_id", "text").join(rows.select("doc_id"), "doc_id", "left_semi"), net), rows)
     return net
 
 
@@ -404,42 +415,34 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps(net)], pa.binary())})
 
 
-def score(docs: DataFrame, net: Net | float, folds: int = 5, held: int = 0) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted."""
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+def _with_scores(docs: DataFrame, logit: Column | None, share: float, folds: int, held: int) -> DataFrame:
+    score = F.lit(share) if logit is None else F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), logit))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_mod("doc_id", folds) == held, F.lit(False)).alias("held_out"), score.alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
-    @released
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value) if isinstance(sent.value, Net) else None
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                texts = batch.column(2).to_pylist()
-                s = scorer.scores(texts) if scorer else np.full(len(texts), sent.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_mod("doc_id", folds) == held, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+def score(docs: DataFrame, net: Net | float, folds: int = 5, held: int = 0) -> DataFrame:
+    """Per row: doc_id, held_out, score, predicted."""
+    if not isinstance(net, Net):
+        return _with_scores(docs, None, net, folds, held)
+    return _with_scores(rated(docs.select("doc_id", "text"), net), F.col("_logit") + F.lit(net.offset), 0.0, folds, held)
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
-    return score(docs, train(docs, labels, folds, held), folds, held)
+    """score() by a network that is trained on the labels; every document is rated once, for the threshold and its score."""
+    rows = _gold(labels, folds, held)
+    net = _fit(docs, rows, TOXIC_ROWS, CLEAN_ROWS)
+    if not isinstance(net, Net):
+        return _with_scores(docs, None, net, folds, held)
+    logits = written(rated(docs.select("doc_id", "text"), net).drop("text"), "toxicity-logits")
+    return _with_scores(logits, F.col("_logit") - F.lit(threshold(logits, rows)), 0.0, folds, held)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier doesn't call toxic, with all their columns."""
-    net = train(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast(net)
-    place = docs.columns.index("text")
-
-    @released
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value) if isinstance(sent.value, Net) else None
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                texts = batch.column(place).to_pylist()
-                s = scorer.scores(texts) if scorer else np.full(len(texts), sent.value)
-                yield batch.filter(pa.array(s < 0.5))
-
-    return docs.mapInArrow(run, docs.schema)
+    rows = _gold(labels, 5, 0)
+    net = _fit(docs, rows, TOXIC_ROWS, CLEAN_ROWS)
+    if not isinstance(net, Net):
+        return docs.where(F.lit(net < 0.5))
+    scored = written(rated(docs, net, out="_toxicity_logit"), "toxicity-rated")
+    return scored.where(F.col("_toxicity_logit") < F.lit(threshold(scored, rows, "_toxicity_logit"))).drop("_toxicity_logit")
