@@ -94,3 +94,16 @@ def test_heap_merge_is_the_fold():
     for _ in range(200):
         word = "".join(rng.choice("abcthe ") for _ in range(rng.randrange(1, 60)))
         assert byte_bpe.heap_merge([ranks[bytes([b])] for b in word.encode()], pairs) == e.encode_ordinary(word)
+
+
+def test_rank_map_finds_every_pair(spark):
+    """Both places are tried; pairs that can't merge give null."""
+    rng = random.Random(4)
+    pairs = {(rng.randrange(5000), rng.randrange(5000)): 5000 + k for k in range(3000)}
+    ranks = byte_bpe.RankMap(pairs)
+    rows = [(a, b, r) for (a, b), r in pairs.items()] + [(a, b, None) for a, b in ((rng.randrange(5000), rng.randrange(5000)) for _ in range(3000)) if (a, b) not in pairs] + [(-1, 3, None), (3, None, None)]
+    df = spark.createDataFrame(rows, "a long, b long, r long")
+    found = F.get(F.transform(F.array(ranks.column()), lambda t: ranks.rank(t, F.col("a"), F.col("b"))), F.lit(0))
+    assert df.where(~found.eqNullSafe(F.col("r"))).count() == 0
+    with pytest.raises(ValueError):
+        byte_bpe.RankMap({(1 << 20, 1): 5})

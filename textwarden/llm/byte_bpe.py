@@ -43,10 +43,8 @@ MOST_BUCKETS = 1 << 16
 FOLD_BYTES = 512
 #: Numbers of documents that a task keeps before it writes them.
 PENDING = 200_000
-#: Places of the literal map are left ^ right << SHIFT.
-SHIFT = 3
 #: Lowest bits of the rank and of the place in the fold's state; NEVER is above every rank. Words have less than 1024 bytes.
-RANK, PLACE = 32, 22
+RANK, PLACE, ID = 32, 22, 21
 NEVER = 1 << 22
 
 
@@ -87,17 +85,54 @@ def heap_merge(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def literal_rank_map(pairs: dict[tuple[int, int], int]) -> Column:
-    """A foldable array<map<long,long>>: under left ^ right << SHIFT stands a map from left to the merged id.
+class RankMap:
+    """The literal map from pairs to merged ids: an array of longs in which a pair has two possible places.
 
-    Given the place and left, right follows, so left is key enough. Places without a pair are null.
+    A pair is its ids in ID bits each; an entry is the pair above its merged id. Each place is the pair folded upon
+    itself by two shifts, cut to the table's size; entries give way to each other until every one stands at one of its
+    places, else other shifts are tried, then a larger table. Places without a pair are null.
     """
-    places: dict[int, str] = {}
-    for (left, right), rank in pairs.items():
-        at, entry = left ^ right << SHIFT, f'"{left}":{rank}'
-        places[at] = f"{places[at]},{entry}" if at in places else entry
-    listed = ",".join("{" + places[at] + "}" if at in places else "null" for at in range(1 + max(places)))
-    return F.from_json(F.lit(f"[{listed}]"), "array<map<string,long>>").cast("array<map<long,long>>")
+
+    def __init__(self, pairs: dict[tuple[int, int], int]):
+        if max(map(max, pairs)) >= 1 << (ID - 1):
+            raise ValueError("ids are too large for the map")
+        keys = {left << ID | right: rank for (left, right), rank in pairs.items()}
+        size = 1 << max(4, (2 * len(keys) - 1).bit_length())
+        while True:
+            for shifts in (((9, 18), (12, 19)), ((12, 18), (8, 19)), ((11, 18), (8, 17)), ((9, 21), (11, 17)), ((12, 27), (8, 18))):
+                if (table := self._placed(keys, size - 1, shifts)) is not None:
+                    self.mask, self.shifts, self.table = size - 1, shifts, table
+                    return
+            size *= 2
+
+    @staticmethod
+    def _placed(keys: dict[int, int], mask: int, shifts: tuple) -> list[int | None] | None:
+        table: list[int | None] = [None] * (mask + 1)
+        (a, b), (c, d) = shifts
+        for key in keys:
+            at = (key ^ key >> a ^ key >> b) & mask
+            for _ in range(200):
+                key, table[at] = table[at], key
+                if key is None:
+                    break
+                first = (key ^ key >> a ^ key >> b) & mask
+                at = first if first != at else (key ^ key >> c ^ key >> d) & mask
+            else:
+                return None
+        return [None if key is None else key << ID | keys[key] for key in table]
+
+    def column(self) -> Column:
+        return F.from_json(F.lit("[" + ",".join("null" if x is None else str(x) for x in self.table) + "]"), "array<long>")
+
+    def rank(self, table: Column, left: Column, right: Column) -> Column:
+        """The merged id of a pair, null if it has none."""
+
+        def look(key: Column) -> Column:
+            found = [F.get(table, key.bitwiseXOR(F.shiftright(key, a)).bitwiseXOR(F.shiftright(key, b)).bitwiseAND(F.lit(self.mask)).cast("int")) for a, b in self.shifts]
+            ids = F.lit((1 << ID) - 1)
+            return F.when(F.shiftright(found[0], ID) == key, found[0].bitwiseAND(ids)).when(F.shiftright(found[1], ID) == key, found[1].bitwiseAND(ids))
+
+        return F.get(F.transform(F.array(F.shiftleft(left, ID).bitwiseOR(right)), look), F.lit(0))
 
 
 def literal_pieces(ranks: dict[bytes, int]) -> Column:
@@ -108,12 +143,12 @@ def literal_pieces(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(pieces)), "array<binary>")
 
 
-def fold_merges(word: Column, rank_map: Column) -> Column:
+def fold_merges(word: Column, ranks: RankMap) -> Column:
     """fold() with the map bound once, so that the plan holds one copy of it."""
-    return F.get(F.transform(F.array(rank_map), lambda m: fold(word, m)), F.lit(0))
+    return F.get(F.transform(F.array(ranks.column()), lambda table: fold(word, ranks, table)), F.lit(0))
 
 
-def fold(word: Column, rank_map: Column) -> Column:
+def fold(word: Column, ranks: RankMap, table: Column) -> Column:
     """Byte ids (array<int>) to token ids by ranked merges.
 
     The state is one array of longs: the rank of the pair that a token begins, the place of its first byte, and its id
@@ -124,8 +159,7 @@ def fold(word: Column, rank_map: Column) -> Column:
     every, low, ids = F.lit(1 << 30), F.lit((1 << RANK) - 1), F.lit((1 << PLACE) - 1)
 
     def ranked(left: Column, right: Column) -> Column:
-        rank = F.get(rank_map, left.bitwiseXOR(F.shiftleft(right, SHIFT)).cast("int"))[left]
-        return F.coalesce(F.shiftleft(rank, RANK), F.lit(NEVER << RANK))
+        return F.coalesce(F.shiftleft(ranks.rank(table, left, right), RANK), F.lit(NEVER << RANK))
 
     def begin(all_ids: Column) -> Column:
         return F.transform(all_ids, lambda x, i: ranked(x, F.get(all_ids, i + 1)) + F.shiftleft(i.cast("long"), PLACE) + x)
@@ -401,7 +435,7 @@ def _join(folder: str):
 def encode_words(words: DataFrame, path: str, column: str = "word") -> DataFrame:
     """The operator on words alone: adds ids (array<int>) and decoded (binary) to rows with an array of byte ids."""
     ranks = load_ranks(path)
-    with_ids = words.withColumn("ids", fold_merges(F.col(column), literal_rank_map(pair_ranks(ranks))))
+    with_ids = words.withColumn("ids", fold_merges(F.col(column), RankMap(pair_ranks(ranks))))
     return with_ids.withColumn("decoded", concat_pieces(F.col("ids"), literal_pieces(ranks)))
 
 
@@ -422,7 +456,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     names = blocks.where("bucket IS NULL").select("block")
     words = blocks.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_meet, ASKED_SQL)
     short = F.octet_length("word") <= FOLD_BYTES
-    encoded = words.select("at", F.when(short, fold_merges(byte_ids(F.col("word"), ranks), literal_rank_map(pair_ranks(ranks)))).alias("ids"), F.when(~short, F.col("word")).alias("long"))
+    encoded = words.select("at", F.when(short, fold_merges(byte_ids(F.col("word"), ranks), RankMap(pair_ranks(ranks)))).alias("ids"), F.when(~short, F.col("word")).alias("long"))
     decoded = encoded.select("at", "ids", F.when(F.col("ids").isNotNull(), concat_pieces(F.col("ids"), literal_pieces(ranks))).alias("body"), "long")
     parts = decoded.mapInArrow(_deal(path), PART_SQL).unionByName(names.withColumn("part", F.lit(None).cast("binary")))
     # A task for each block, however small the parts are; more partitions than blocks, so that few share one.
