@@ -382,3 +382,40 @@ def test_environment_sets_paths(monkeypatch):
     assert configured("model", "models/x") == "models/x"
     monkeypatch.setenv("TEXTWARDEN_MODEL", "/m")
     assert configured("model", "models/x") == "/m"
+
+
+def test_label_schema_and_manifest(spark, tmp_path):
+    from textwarden.sources import readers, writers
+
+    (tmp_path / "l.json").write_text('{"labels": ["O", "B-P", "I-P"]}')
+    labels = readers.read_label_schema(spark, str(tmp_path / "l.json"))
+    assert [(r.label_id, r.label, r.prefix, r.entity_type) for r in labels.orderBy("label_id").collect()] == [(0, "O", None, None), (1, "B-P", "B", "P"), (2, "I-P", "I", "P")]
+    (tmp_path / "none.json").write_text("{}")
+    assert [r.label for r in readers.read_label_schema(spark, str(tmp_path / "none.json")).collect()] == ["O"]
+    writers.write_dataset({"train": labels}, str(tmp_path / "set"), labels)
+    assert readers.read_label_schema(spark, str(tmp_path / "set/label_schema")).count() == 3
+    files = spark.createDataFrame([("a", "MULTITASK_TRAIN_TOKEN_SOURCE", False), ("b", "MULTITASK_VALIDATION_TOKEN_SOURCE", False), ("c", "CALIBRATION_ONLY", True), ("d", "UNKNOWN", False)], "file string, role string, protected boolean")
+    assert [r.use for r in audit.manifest(files, 0).orderBy("file").collect()] == ["TRAIN", "VALIDATION", "EVALUATION", "EXCLUDED"]
+    assert {r.use for r in audit.manifest(files, 1).collect()} == {"EXCLUDED"}
+    writers.write_reports({"files": files, "none": files.where("false")}, str(tmp_path / "reports"), "A title")
+    assert [r.value for r in spark.read.text(str(tmp_path / "reports/summary.txt")).collect()] == ["A title", "files: 4 rows", "none: 0 rows"]
+    assert writers.json_safe(files).count() == 4
+
+
+def test_dataset_info_counts_values(spark):
+    rows = [(1, "f", "LEAK", "c1", "g", "x y", ["text", "a"]), (2, "f", "LEAK", None, "", "x y", ["text"]), (3, "f", None, "c1", "g", "", ["b"])]
+    rec = audit.audit_records(spark.createDataFrame(rows, "seq int, file string, label string, category string, group_id string, text string, fields array<string>"))
+    bad = spark.createDataFrame([("f", 4)], "file string, line_no int")
+    got = audit.dataset_info(rec, bad).first()
+    assert got.label_counts == {"LEAK": 2, "MISSING": 1} and got.category_counts == {"c1": 2, "MISSING": 1} and got.fields == ["a", "b", "text"]
+    assert (got.groups, got.malformed_count, got.sample_text_preview, got.empty) == (1, 1, "x y", 1)
+
+
+def test_signatures(spark):
+    """Records of one text conflict where their spans differ."""
+    spans = "array<struct<start:int,end:int,type:string,text:string>>"
+    rows = [(1, "t", "LEAK", ["B-P"], [(0, 1, "P", "t")]), (2, "t", "LEAK", ["B-P"], [(0, 1, "P", "t")]), (3, "t", "LEAK", ["B-S"], None)]
+    df = spark.createDataFrame(rows, f"seq int, text string, label string, labels array<string>, spans {spans}").withColumns({"file": F.lit("f"), "signature": audit.signature(F.col("labels"), F.col("spans"))})
+    pairs = audit.duplicate_pairs(audit.audit_records(df), "exact_hash").collect()
+    assert {(r.seq_a, r.seq_b, r.conflict) for r in pairs} == {(1, 2, False), (1, 3, True), (2, 3, True)}
+    assert {(r.seq_a, r.seq_b) for r in audit.label_conflicts(audit.audit_records(df)).collect()} <= {(1, 3), (2, 3)}

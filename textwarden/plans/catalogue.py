@@ -418,7 +418,7 @@ def cross_task_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NEAR = f"""{REC}, lo AS (SELECT normalized_hash, normalized_text, split, protected, min(seq) AS seq, substr(normalized_text, 1, 16) AS p, length(normalized_text) // 40 AS b FROM rec WHERE length(normalized_text) >= 20 GROUP BY ALL),
-    hd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p, b ORDER BY seq) AS r FROM lo WHERE protected) WHERE r <= 50),
+    hd AS (SELECT * FROM lo WHERE protected),
     nr AS (SELECT t.seq AS seq_a, h.seq AS seq_b, t.normalized_text AS ta, h.normalized_text AS tb FROM lo t JOIN hd h ON t.p = h.p AND h.b BETWEEN t.b - 1 AND t.b + 1 AND t.normalized_hash <> h.normalized_hash WHERE t.split = 'train' AND NOT t.protected)"""
 
 
