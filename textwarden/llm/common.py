@@ -51,11 +51,20 @@ def clean_up(spark: SparkSession) -> int:
     return len(made)
 
 
+#: Rows that Python gets at once while a step is written: texts may be long, and both sides hold a batch.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it back."""
     spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    path, before = shared_dir(spark, name), spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,7 +35,7 @@ HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 12
 CHAR_BITS, WORD_ROWS = 15, 8192
 #: Bounds of the training sample.
 TOXIC_ROWS, CLEAN_ROWS = 1200, 2500
-CACHE = 200_000
+CACHE = 100_000
 SLICE = 4096
 #: Logits are counted in bins of 1 / BINS up to FAR either way.
 BINS, FAR = 64, 60
