@@ -5,9 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -65,9 +67,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
+        _forget(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Seconds between two collections of the driver's garbage.
+COLLECT_EVERY = 10
+_collected = 0.0
+
+
+def _forget(spark: SparkSession) -> None:
+    """Now and then, frees what the steps before have left: plans in the driver, and through Spark's cleaner their shuffle
+    files and broadcasts, which stay until the driver's garbage is collected."""
+    global _collected
+    trim()
+    if time.monotonic() - _collected > COLLECT_EVERY:
+        gc.collect()
+        spark._jvm.System.gc()
+        _collected = time.monotonic()
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a shared folder, as executors open it; the store that Spark calls s3a is s3 here."""
     return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
@@ -110,13 +129,18 @@ def released(run):
     @functools.wraps(run)
     def wrapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # where the C library can't
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
     return wrapped
 
 
+def trim() -> None:
+    """Gives memory that this process holds but doesn't use back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can't
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def crc_mod(column: str, mod: int) -> Column:
     """crc32 of an integer column as decimal text, modulo mod; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)
