@@ -182,6 +182,52 @@ def test_near_duplicates_in_a_large_block(spark):
     assert audit.near_duplicates(records).first().seq_b == 119
 
 
+def near_records(spark, seed, letters):
+    """One block of 90 training and 70 protected texts: near copies of a few bases, and unrelated ones, in two lengths."""
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 6)))
+    bases = [[word() for _ in range(n)] for n in (5, 45, 45, 46)]
+    rows = []
+    for k in range(160):
+        words = list(rng.choice(bases)) if rng.random() < 0.6 else [word() for _ in range(rng.choice([5, 45]))]
+        for _ in range(rng.randint(0, len(words) // 15)):
+            words[rng.randrange(len(words))] = rng.choice(["", word()])
+        rows.append((k, "train" if k < 90 else "test", k >= 90, "the same beginning " + " ".join(words)))
+    records = spark.createDataFrame([(*r, r[3]) for r in rows], "seq long, split string, protected boolean, normalized_text string, normalized_hash string")
+    return records, [(r.seq_a, r.seq_b, r.normalized_text_a, r.normalized_text_b) for r in records.transform(audit.near_candidates).collect()]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_near_distances_of_a_block(spark):
+    """Every pair of a block of several cells, held against plain distances; unrelated texts aren't compared in full."""
+    records, pairs = near_records(spark, 1, "abcdeé🙂")
+    got = {(r.seq_a, r.seq_b): r.score for r in audit.near_duplicates(records, native=True, top=None).collect()}
+    scores = {(i, j): 1 - distance(a, b) / max(len(a), len(b)) for i, j, a, b in pairs}
+    assert len(scores) > 1000 and got == {k: pytest.approx(v, abs=6e-5) for k, v in scores.items() if v >= 0.88} and 50 < len(got) < len(scores) / 2
+    for _, _, a, b in pairs[:40]:
+        d = distance(a, b)
+        assert audit.bounded_distance(a, b, audit.char_places(b), d) == d and audit.bounded_distance(a, b, audit.char_places(b), d - 1) is None
+
+
+def test_unrelated_texts_are_told_apart_by_their_runs(monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    texts = [(k, str(k), "".join(rng.choice("abcdefghij ") for _ in range(1000))) for k in range(40)]
+    monkeypatch.setattr(audit, "bounded_distance", None)
+    assert audit._near_distances(texts[:20], texts[20:], 0.88) == []
+
+
 def test_units_of_repeated_and_missing_keys(spark):
     """Pages with one key, or none, keep their lines apart."""
     rows = [(1, "first line here\nand more"), (1, "other doc line"), (None, "null key\ntwo"), (None, None), (2, " \n\n ")]

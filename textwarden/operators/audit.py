@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -137,44 +139,141 @@ def cross_task_overlaps(tokens: DataFrame, sequences: DataFrame, conflicts: Data
 LENGTH_STEP, PREFIX, LEAST = 40, 16, 20
 
 
-#: Protected texts of a block that meet its training texts under one key of the join.
+#: Texts of either side of a block that meet under one key of the join.
 CELL = 50
 
 
-def near_candidates(records: DataFrame, comparisons: int | None = None) -> DataFrame:
-    """Distinct training against distinct protected texts by length bucket (one either way) and prefix; an exploded
-    equi-join, in which blocks of many protected texts are dealt into cells by hash. With comparisons, only with the
-    first so many protected texts of each block."""
+def _near_sides(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct training and distinct protected texts with their prefix p and length bucket b (training: one either way too)."""
     long = records.where(F.length("normalized_text") >= LEAST)
     fold = lambda d, s: d.groupBy("normalized_hash", "normalized_text").agg(F.min("seq").alias(f"seq_{s}")).select(f"seq_{s}", F.col("normalized_hash").alias(f"normalized_hash_{s}"), F.col("normalized_text").alias(f"normalized_text_{s}"), F.substring("normalized_text", 1, PREFIX).alias("p"), F.floor(F.length("normalized_text") / LENGTH_STEP).alias("b"))
     bucket = F.col("b")
     train = fold(long.where("split = 'train' AND NOT protected"), "a").withColumn("b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    held = fold(long.where("protected"), "b")
+    return train, fold(long.where("protected"), "b")
+
+
+def _cell_numbers(side: DataFrame, name: str) -> DataFrame:
+    return side.groupBy("p", "b").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(name))
+
+
+def near_candidates(records: DataFrame, comparisons: int | None = None) -> DataFrame:
+    """Distinct training against distinct protected texts by length bucket (one either way) and prefix; an exploded
+    equi-join, in which blocks of many protected texts are dealt into cells by hash. With comparisons, only with the
+    first so many protected texts of each block."""
+    train, held = _near_sides(records)
     if comparisons is not None:
         held = held.withColumn("_r", F.row_number().over(Window.partitionBy("p", "b").orderBy("seq_b"))).where(F.col("_r") <= comparisons).drop("_r")
-    cells = held.groupBy("p", "b").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("_n"))
+    cells = _cell_numbers(held, "_n")
     held = held.join(cells, ["p", "b"]).withColumn("_c", F.pmod(F.xxhash64("normalized_hash_b"), F.col("_n")).cast("int")).drop("_n")
     train = train.join(cells, ["p", "b"]).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
     return train.join(held, ["p", "b", "_c"]).drop("_c").where("normalized_hash_a <> normalized_hash_b")
 
 
+def _near_cells(records: DataFrame) -> DataFrame:
+    """The candidates unexpanded: each block is dealt into cells of about CELL training by CELL protected texts (_i, _j),
+    and every text stands once in each of its cells, so that no cell is large and no pair is a row."""
+    train, held = _near_sides(records)
+    numbers = _cell_numbers(train, "_n").join(_cell_numbers(held, "_m"), ["p", "b"])
+
+    def dealt(side: DataFrame, s: str, own: str, other: str, i: str, j: str) -> DataFrame:
+        rows = side.join(numbers, ["p", "b"]).withColumn(i, F.pmod(F.xxhash64(f"normalized_hash_{s}"), F.col(own)).cast("int")).withColumn(j, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return rows.select("p", "b", "_i", "_j", F.lit(s == "b").alias("held"), F.col(f"seq_{s}").alias("seq"), F.col(f"normalized_hash_{s}").alias("hash"), F.col(f"normalized_text_{s}").alias("text"))
+
+    return dealt(train, "a", "_n", "_m", "_i", "_j").unionByName(dealt(held, "b", "_m", "_n", "_j", "_i"))
+
+
+def char_places(text: str) -> dict[str, int]:
+    """The places of each character as bits."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(text):
+        places[c] = places.get(c, 0) | 1 << i
+    return places
+
+
+#: Characters between two looks at whether a comparison can still succeed.
+LOOK = 64
+
+
+def bounded_distance(a: str, b: str, places: dict[str, int], most: int) -> int | None:
+    """Levenshtein distance of a and b (with b's places) by columns of differences, a machine word of b at a time; None if
+    it is above most. The distance of the first i characters of both exceeds it by the difference of the lengths at most."""
+    n, m = len(a), len(b)
+    full, slack = (1 << m) - 1, abs(n - m)
+    up, down = full, 0
+    for i, c in enumerate(a, 1):
+        x = places.get(c, 0)
+        same = ((((x & up) + up) ^ up) | x | down) & full
+        right, left = down | (full ^ (same | up)), same & up
+        right = (right << 1 | 1) & full
+        up, down = ((left << 1) & full) | (full ^ (same | right)), right & same
+        if not i % LOOK and i <= m:
+            low = (1 << i) - 1
+            if i + (up & low).bit_count() - (down & low).bit_count() - slack > most:
+                return None
+    found = n + up.bit_count() - down.bit_count()
+    return found if found <= most else None
+
+
+#: An edit touches GRAM runs of so many characters, so it changes at most 2 * GRAM of the counts.
+GRAM = 5
+
+
+def gram_counts(texts: list[str], bins: int) -> np.ndarray:
+    """Counts of each text's runs of GRAM characters, by hash into bins (a power of 2); runs that share a bin only hide differences."""
+    out = np.zeros((len(texts), bins), dtype=np.int32)
+    for row, text in zip(out, texts, strict=True):
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+        runs = np.zeros(max(0, len(codes) - GRAM + 1), dtype=np.uint64)
+        for k in range(GRAM):
+            runs = runs * np.uint64(1_000_003) + codes[k : k + len(runs)]
+        row += np.bincount((runs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % bins, minlength=bins).astype(np.int32)
+    return out
+
+
+def _near_distances(train: list[tuple], held: list[tuple], least: float) -> list[tuple]:
+    """(seq_a, seq_b, score) of the pairs of a cell whose normalised Levenshtein similarity is at least `least`."""
+    out = []
+    bins = min(1 << 15, 1 << (8 * max(len(t) for _, _, t in train)).bit_length())
+    counts, lengths = gram_counts([t for _, _, t in train], bins), np.array([len(t) for _, _, t in train])
+    for seq_b, hash_b, b in held:
+        # No distance is below the difference of the lengths, nor below the share of the runs that differ.
+        longer = np.maximum(lengths, len(b))
+        most = np.floor((1.0 - least) * longer + 1e-9).astype(np.int64)
+        near = (np.abs(lengths - len(b)) <= most) & (np.abs(counts - gram_counts([b], bins)).sum(axis=1) <= 2 * GRAM * most)
+        places = char_places(b) if near.any() else {}
+        for k in np.flatnonzero(near):
+            seq_a, hash_a, a = train[k]
+            if hash_a != hash_b and (d := bounded_distance(a, b, places, int(most[k]))) is not None and (score := 1.0 - d / int(longer[k])) >= least:
+                out.append((seq_a, seq_b, score))
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def near_duplicates(records: DataFrame, least: float = 0.88, native: bool = False, top: int | None = 100) -> DataFrame:
-    """Candidates at or above a similarity: Ratcliff-Obershelp, or natively normalised Levenshtein."""
-    a, b = F.col("normalized_text_a"), F.col("normalized_text_b")
-    longer = F.greatest(F.length(a), F.length(b))
-    pairs = near_candidates(records)
-    if native:
-        # No distance is below the difference of the lengths, and only distances up to a bound count, which keeps
-        # the comparison to a band of that width.
-        most = F.floor(F.lit(1.0 - least) * longer + F.lit(1e-9)).cast("int")
-        pairs = pairs.where(F.abs(F.length(a) - F.length(b)) <= most).withColumn("_d", F.call_function("levenshtein", a, b, most)).where("_d >= 0")
-    score = F.lit(1.0) - F.col("_d") / longer if native else sequence_ratio(a, b)
-    found = pairs.withColumn("score", score).where(F.col("score") >= least).select("seq_a", "seq_b", F.round("score", 4).alias("score"))
+    """Candidates at or above a similarity: Ratcliff-Obershelp, or (native) normalised Levenshtein. All candidates are
+    compared, cell by cell; bounds that hold for every pair spare most of them the full comparison."""
+    if not native:
+        found = near_candidates(records).withColumn("score", sequence_ratio(F.col("normalized_text_a"), F.col("normalized_text_b"))).where(F.col("score") >= least).select("seq_a", "seq_b", F.round("score", 4).alias("score"))
+        return found.orderBy(F.desc("score"), "seq_a", "seq_b").limit(top) if top else found
+    kind = records.schema["seq"].dataType.simpleString()
+
+    def compare(cell: pa.Table) -> pa.Table:
+        train, held = [], []
+        for protected, *text in zip(*(cell.column(c).to_pylist() for c in ("held", "seq", "hash", "text")), strict=True):
+            (held if protected else train).append(tuple(text))
+        found: list[tuple] = []
+        if train and held:
+            found = _near_distances(train, held, least)
+        return pa.table({"seq_a": pa.array([r[0] for r in found], cell.schema.field("seq").type), "seq_b": pa.array([r[1] for r in found], cell.schema.field("seq").type), "score": pa.array([r[2] for r in found], pa.float64())})
+
+    keys = ["p", "b", "_i", "_j"]
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = _near_cells(records).repartition(tasks, *keys).groupBy(*keys)
+    found = cells.applyInArrow(compare, f"seq_a {kind}, seq_b {kind}, score double").select("seq_a", "seq_b", F.round("score", 4).alias("score"))
     return found.orderBy(F.desc("score"), "seq_a", "seq_b").limit(top) if top else found
 
 
