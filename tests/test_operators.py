@@ -228,6 +228,35 @@ def test_unrelated_texts_are_told_apart_by_their_runs(monkeypatch):
     assert audit._near_distances(texts[:20], texts[20:], 0.88) == []
 
 
+def test_near_ratios_of_a_block(spark):
+    """Every pair of a block of several cells, and the first few, held against difflib."""
+    import difflib
+
+    records, pairs = near_records(spark, 2, [chr(k) for k in range(97, 197)])
+    scores = {(i, j): difflib.SequenceMatcher(None, a, b).ratio() for i, j, a, b in pairs}
+    want = sorted(((round(v, 4), i, j) for (i, j), v in scores.items() if v >= 0.88), key=lambda r: (-r[0], r[1], r[2]))
+    assert len(want) > 100
+    for top in (None, 7, 100):
+        got = [(r.score, r.seq_a, r.seq_b) for r in audit.near_duplicates(records, top=top).collect()]
+        assert sorted(got) == sorted(want) if top is None else got == want[:top]
+    for _, _, a, b in pairs[:40]:
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        assert audit.common_length(a, b, audit.char_places(b), row[-1]) == row[-1] and audit.common_length(a, b, audit.char_places(b), row[-1] + 1) is None
+
+
+def test_unrelated_texts_are_not_matched(monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    texts = [(k, str(k), "".join(rng.choice("abcdefghij ") for _ in range(1000))) for k in range(40)]
+    monkeypatch.setattr(audit.difflib, "SequenceMatcher", None)
+    assert audit._near_ratios(texts[:20], texts[20:], 0.88, 100, []) == []
+
+
 def test_units_of_repeated_and_missing_keys(spark):
     """Pages with one key, or none, keep their lines apart."""
     rows = [(1, "first line here\nand more"), (1, "other doc line"), (None, "null key\ntwo"), (None, None), (2, " \n\n ")]

@@ -8,13 +8,13 @@ says; duplicate_groups(), split_leakage() and group_leakage(limit=None) leave no
 from __future__ import annotations
 
 import difflib
+import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from textwarden.functions.text import normalize_key, stable_hash
 
@@ -194,6 +194,23 @@ def char_places(text: str) -> dict[str, int]:
 LOOK = 64
 
 
+def common_length(a: str, b: str, places: dict[str, int], need: int) -> int | None:
+    """Length of the longest common subsequence of a and b (with b's places), a machine word of b at a time; None if it is
+    below need. What the first i characters of a share with b lies in b's first i + len(b) - need characters."""
+    n, m = len(a), len(b)
+    full, free = (1 << m) - 1, (1 << m) - 1
+    for i, c in enumerate(a, 1):
+        hit = free & places.get(c, 0)
+        free = (free + hit) | (free - hit)
+        if not i % LOOK:
+            free &= full
+            j = min(m, i + m - need)
+            if j - (free & ((1 << j) - 1)).bit_count() + n - i < need:
+                return None
+    found = m - (free & full).bit_count()
+    return found if found >= need else None
+
+
 def bounded_distance(a: str, b: str, places: dict[str, int], most: int) -> int | None:
     """Levenshtein distance of a and b (with b's places) by columns of differences, a machine word of b at a time; None if
     it is above most. The distance of the first i characters of both exceeds it by the difference of the lengths at most."""
@@ -248,17 +265,61 @@ def _near_distances(train: list[tuple], held: list[tuple], least: float) -> list
     return out
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def _near_ratios(train: list[tuple], held: list[tuple], least: float, top: int | None, best: list[float]) -> list[tuple]:
+    """(seq_a, seq_b, score) of the pairs of a cell whose Ratcliff-Obershelp ratio is at least `least`.
+
+    Matched characters form a common subsequence, so its length bounds the ratio. best holds the task's top scores so far
+    (a heap); with top, a pair that so many others exceed even when rounded is left out.
+    """
+
+    def needed(total: int) -> int:
+        floor = max(least, best[0] - 1e-4) if top and len(best) == top else least
+        need = int(floor * total / 2)
+        while need and 2.0 * (need - 1) / total >= floor:
+            need -= 1
+        while 2.0 * need / total < floor:
+            need += 1
+        return need
+
+    bounds = []
+    for j, (_, hash_b, b) in enumerate(held):
+        places: dict[str, int] = {}
+        for i, (_, hash_a, a) in enumerate(train):
+            total = len(a) + len(b)
+            if hash_a != hash_b and (need := needed(total)) <= min(len(a), len(b)):
+                places = places or char_places(b)
+                if (shared := common_length(a, b, places, need)) is not None:
+                    bounds.append((2.0 * shared / total, j, i))
+    out, matchers = [], {}
+    for bound, j, i in sorted(bounds, reverse=True):
+        (seq_a, _, a), (seq_b, _, b) = train[i], held[j]
+        if top and len(best) == top and bound < best[0] - 1e-4:
+            break
+        if j not in matchers:
+            matchers[j] = difflib.SequenceMatcher(None, "", b)
+        matchers[j].set_seq1(a)
+        if (score := matchers[j].ratio()) >= least:
+            out.append((seq_a, seq_b, score))
+            if top:
+                (heapq.heappush if len(best) < top else heapq.heappushpop)(best, score)
+    return out
+
+
+#: The number of a worker's task and the task's best scores.
+_BEST: tuple[int, list[float]] = (-1, [])
+
+
+def _task_best() -> list[float]:
+    global _BEST
+    task = TaskContext.get().taskAttemptId()
+    if _BEST[0] != task:
+        _BEST = task, []
+    return _BEST[1]
 
 
 def near_duplicates(records: DataFrame, least: float = 0.88, native: bool = False, top: int | None = 100) -> DataFrame:
     """Candidates at or above a similarity: Ratcliff-Obershelp, or (native) normalised Levenshtein. All candidates are
     compared, cell by cell; bounds that hold for every pair spare most of them the full comparison."""
-    if not native:
-        found = near_candidates(records).withColumn("score", sequence_ratio(F.col("normalized_text_a"), F.col("normalized_text_b"))).where(F.col("score") >= least).select("seq_a", "seq_b", F.round("score", 4).alias("score"))
-        return found.orderBy(F.desc("score"), "seq_a", "seq_b").limit(top) if top else found
     kind = records.schema["seq"].dataType.simpleString()
 
     def compare(cell: pa.Table) -> pa.Table:
@@ -267,7 +328,7 @@ def near_duplicates(records: DataFrame, least: float = 0.88, native: bool = Fals
             (held if protected else train).append(tuple(text))
         found: list[tuple] = []
         if train and held:
-            found = _near_distances(train, held, least)
+            found = _near_distances(train, held, least) if native else _near_ratios(train, held, least, top, _task_best())
         return pa.table({"seq_a": pa.array([r[0] for r in found], cell.schema.field("seq").type), "seq_b": pa.array([r[1] for r in found], cell.schema.field("seq").type), "score": pa.array([r[2] for r in found], pa.float64())})
 
     keys = ["p", "b", "_i", "_j"]
