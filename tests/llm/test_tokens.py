@@ -42,6 +42,27 @@ def test_shards_round_trip(spark, docs):
     assert token_store.round_trip(spark, docs.where("false"), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_encoder_of_marks_and_a_full_cache(monkeypatch):
+    """Words with any marks behind them cost no call of their own, texts of now survive a full cache, one thread encodes."""
+    import os
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    e, tk = token_store.Encoder(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    rng = random.Random(4)
+    tails = ["", "", ".", ",", "!!", "$$$", "'", "'.", ".'s", "'s", "''ll", "_", "_a", "\"?!", "-", "...", ".1", "²"]
+    texts = [rng.choice(" \n").join(rng.choice(["the", "é", "x1", "漢字", "Don't", ""]) + rng.choice(tails) or "z" for _ in range(rng.randrange(1, 30))) for _ in range(400)]
+    want = [np.array(tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert e.encode(texts) == want
+    asked, whole = [], e.whole
+    monkeypatch.setattr(e, "whole", lambda t: asked.extend(t) or whole(t))
+    assert e.encode(["the$$$!? the_"]) == whole(["the$$$!? the_"]) and asked == ["$$$!?"]
+    monkeypatch.setattr(token_store, "CACHE", 3)
+    assert e.encode(texts[:5]) == want[:5] and len(e.known) < 150 and len(asked) < 30 and e.encode(texts) == want
+
+
 def test_null_identifiers_come_first(spark):
     """Rows without an identifier, repeated ones and clashing names."""
     rows = spark.createDataFrame([(2, "b"), (None, "a b"), (None, None), (2, "b"), (1, None)], "doc_id long, text string").withColumns({"shard": F.lit(1), "start": F.lit("x")})
