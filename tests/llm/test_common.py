@@ -66,3 +66,15 @@ def test_released_passes_rows_on():
         yield from given
 
     assert [b.num_rows for b in run(iter(batches))] == [2, 1]
+
+
+def test_memory_of_the_jvm_is_given_back(spark, monkeypatch):
+    """The collection between steps also trims the JVM; where it can't be, nothing is raised."""
+    said = common.trim_jvm(spark)
+    assert said is None or "rim native heap" in said
+    calls = []
+    monkeypatch.setattr(common, "trim_jvm", calls.append)
+    monkeypatch.setattr(common, "_collected", float("-inf"))
+    common._forget(spark)
+    common._forget(spark)
+    assert calls == [spark]

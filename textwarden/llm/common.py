@@ -14,6 +14,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Seconds between two collections of the driver's garbage.
-COLLECT_EVERY = 10
+COLLECT_EVERY = 5
 _collected = 0.0
 
 
@@ -84,9 +85,31 @@ def _forget(spark: SparkSession) -> None:
     if time.monotonic() - _collected > COLLECT_EVERY:
         gc.collect()
         spark._jvm.System.gc()
+        trim_jvm(spark)
         _collected = time.monotonic()
 
 
+def trim_jvm(spark: SparkSession) -> str | None:
+    """Gives memory that the driver's JVM has freed outside its heap (compilers and plans leave much) back to the system;
+    what the JVM says of it, None where it can't. The bean's class isn't public, so it is called by reflection."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    lang, named = jvm.java.lang, jvm.java.lang.Class.forName
+
+    def array(kind, *items):
+        out = gateway.new_array(kind, len(items))
+        for k, item in enumerate(items):
+            out[k] = item
+        return out
+
+    try:
+        kinds = array(lang.Class, *map(named, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+        bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = lang.management.ManagementFactory.getPlatformMBeanServer()
+        return named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, array(lang.Object, bean, "systemTrimNativeHeap", None, None))
+    except Py4JError:
+        return None
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a shared folder, as executors open it; the store that Spark calls s3a is s3 here."""
     return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
