@@ -106,3 +106,13 @@ def test_nulls_repeats_and_clashing_names(spark, folder):
         docs = out
     left = sorted((r.doc_id or 0, (r.text or "")[:20]) for r in docs.collect())
     assert left == sorted([(0, "unnamed but clean"), (3, ""), (4, "same id one"), (4, "same id two"), (5, "twice the same"), (6, long[:20]), (8, "x" * 20)])
+
+
+def test_stages_begin_by_giving_memory_back(spark, folder, monkeypatch):
+    """Stages share executors: what one leaves there would add to what the next one takes."""
+    path, calls = folder([(1, "some text", None, "s", None), (2, "other text", None, "s", None)]), []
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "collect_executors", calls.append)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, path)
+        assert calls == [spark] * (k + 1)

@@ -89,6 +89,14 @@ def _forget(spark: SparkSession) -> None:
         _collected = time.monotonic()
 
 
+def collect_executors(spark: SparkSession) -> None:
+    """Collects the executors' garbage, by which their JVMs give back the heap that the steps before have grown and no
+    longer use; else it stays at its largest, beside what the Python workers of later steps take. A task for each core,
+    so that every executor that is free gets some; what little is left makes a repeated call cheap."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("gc")).write.format("noop").mode("overwrite").save()
+
+
 def trim_jvm(spark: SparkSession) -> str | None:
     """Gives memory that the driver's JVM has freed outside its heap (compilers and plans leave much) back to the system;
     what the JVM says of it, None where it can't. The bean's class isn't public, so it is called by reflection."""
